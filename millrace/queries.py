@@ -1,0 +1,11 @@
+"""The registered queries over the shared tables and their SQL."""
+
+from __future__ import annotations
+
+
+def queries():
+    return {}
+
+
+def oracle_sql():
+    return {}
