@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import re
 import tempfile
 import uuid
 
@@ -12,22 +11,21 @@ from pyspark.sql import functions as F
 
 #: Characters that separate words, as the contracts of these operators define them.
 SPACE = r"\x20\x09-\x0D"
-WORD = re.compile(rf"[^{SPACE}]+")
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_ASCII_LOWER = str.maketrans(_UPPER, _LOWER)
 
 
 def ascii_lower(text: str) -> str:
     """Lower-cases A-Z and nothing else."""
-    return text.translate(_ASCII_LOWER) if not text.isascii() else text.lower()
+    return text.encode().lower().decode()
 
 
 def ascii_lower_col(column):
     return F.translate(column, _UPPER, _LOWER)
 
 
-def words(text: str | None) -> list[str]:
-    return WORD.findall(ascii_lower(text)) if text else []
+def words(text: str | None) -> list[bytes]:
+    """The words, A-Z lower-cased, in UTF-8: bytes are lower-cased and split by exactly these rules."""
+    return text.encode().lower().split() if text else []
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -129,27 +129,48 @@ def index_keys(x: np.ndarray, levels: np.ndarray) -> np.ndarray:
     return np.unique(np.concatenate(out))
 
 
+def parity_sketch(x: np.ndarray) -> bytes:
+    """Parities of how many shingles fall on each bit. The sketches of two sets differ in no more bits than
+    the sets in shingles; there are at least twice as many bits as a set has shingles."""
+    bits = max(64, 1 << (2 * len(x) - 1).bit_length()) if len(x) else 64
+    own = np.bincount((mixed(x, 999) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(own.astype(bool), bitorder="little").tobytes()
+
+
+def sketch_distance(a: bytes, b: bytes) -> int:
+    """How many shingles the sets of these sketches differ in at least. The longer one folds onto the shorter."""
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    if len(x) > len(y):
+        x, y = y, x
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 def _profile(docs: DataFrame) -> DataFrame:
-    """Per document: bucket null, id, n and a fingerprint of its set; per task: bucket and how many shingles fell there."""
+    """Per document: bucket null, id, n, a fingerprint of its set and its sketch; per task: bucket and how many shingles fell there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = worker_cache(("shingler",), Shingler)
         counters = np.zeros(COUNTERS, np.int64)
         for batch in batches:
             sets = [shingler.distinct(t) for t in batch.column(1).to_pylist()]
-            for x in sets:
-                counters += np.bincount((x % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS) if len(x) > COUNTERS // 8 else 0
-                if len(x) <= COUNTERS // 8:
-                    np.add.at(counters, (x % np.uint64(COUNTERS)).astype(np.int64), 1)
-            with np.errstate(over="ignore"):
-                prints = [[int(mixed(x, seed).sum(dtype=np.uint64).astype(np.int64)) for x in sets] for seed in (1001, 1002)]
             n = len(sets)
-            yield pa.RecordBatch.from_pydict({"bucket": pa.nulls(n, pa.int32()), "doc_id": batch.column(0), "n": pa.array(map(len, sets), pa.int64()), "print_a": pa.array(prints[0], pa.int64()), "print_b": pa.array(prints[1], pa.int64())})
+            every = np.concatenate(sets) if n else np.empty(0, np.uint64)
+            counters += np.bincount((every & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
+            ends = np.cumsum([len(x) for x in sets])
+            prints = []
+            for seed in (1001, 1002):
+                with np.errstate(over="ignore"):
+                    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mixed(every, seed), dtype=np.uint64)))[np.concatenate(([0], ends)).astype(np.int64)]
+                    prints.append(np.diff(sums).view(np.int64))
+            yield pa.RecordBatch.from_pydict({"bucket": pa.nulls(n, pa.int32()), "doc_id": batch.column(0), "n": pa.array(map(len, sets), pa.int64()), "print_a": pa.array(prints[0]), "print_b": pa.array(prints[1]), "sketch": pa.array(map(parity_sketch, sets), pa.binary())})
         full = np.flatnonzero(counters)
         if len(full):
-            yield pa.RecordBatch.from_pydict({"bucket": pa.array(full, pa.int32()), "doc_id": pa.nulls(len(full), pa.int64()), "n": pa.array(counters[full]), "print_a": pa.nulls(len(full), pa.int64()), "print_b": pa.nulls(len(full), pa.int64())})
+            none = pa.nulls(len(full), pa.int64())
+            yield pa.RecordBatch.from_pydict({"bucket": pa.array(full, pa.int32()), "doc_id": none, "n": pa.array(counters[full]), "print_a": none, "print_b": none, "sketch": pa.nulls(len(full), pa.binary())})
 
-    return docs.mapInArrow(run, "bucket int, doc_id bigint, n bigint, print_a bigint, print_b bigint")
+    return docs.mapInArrow(run, "bucket int, doc_id bigint, n bigint, print_a bigint, print_b bigint, sketch binary")
 
 
 def _hot(counted: DataFrame) -> dict[int, int]:
@@ -173,7 +194,7 @@ def _keys(docs: DataFrame, hot: dict[int, int]) -> DataFrame:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 x = shingler.distinct(text)
                 if doc_id is not None and len(x):
-                    keys.append(index_keys(x, levels[(x % np.uint64(COUNTERS)).astype(np.int64)]))
+                    keys.append(index_keys(x, levels[(x & np.uint64(COUNTERS - 1)).astype(np.int64)]))
                     ids.append(np.full(len(keys[-1]), doc_id, np.int64))
             if ids:
                 yield pa.RecordBatch.from_pydict({"key": pa.array(np.concatenate(keys).view(np.int64)), "id": pa.array(np.concatenate(ids))})
@@ -207,10 +228,25 @@ def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return joined.mapInArrow(run, "a bigint, b bigint")
 
 
-def _sized(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Pairs whose sizes allow the similarity."""
-    x = pairs.join(sizes.select(F.col("id").alias("a"), F.col("n").alias("n_a")), "a").join(sizes.select(F.col("id").alias("b"), F.col("n").alias("n_b")), "b")
-    return x.where("100 * least(n_a, n_b) >= 80 * greatest(n_a, n_b)").select("a", "b")
+def _texts(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """id and text of the documents that the pairs name."""
+    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+    return rows.join(few_or_shuffled(ids), "doc_id", "left_semi").select(F.col("doc_id").alias("id"), "text").dropDuplicates(["id"])
+
+
+def _plausible(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sizes and sketches allow the similarity; their texts needn't be fetched otherwise."""
+    x = pairs.join(sketches.select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("sketch_a")), "a")
+    x = x.join(sketches.select(F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("sketch_b")), "b")
+    x = x.where("100 * least(n_a, n_b) >= 80 * greatest(n_a, n_b)").select("a", "b", (F.col("n_a") + F.col("n_b")).alias("n"), "sketch_a", "sketch_b")
+
+    def run(batches):
+        for batch in batches:
+            n, a, b = (c.to_pylist() for c in batch.columns[2:])
+            fits = [sketch_distance(a[i], b[i]) <= most_different(n[i], 0) for i in range(len(n))]
+            yield pa.RecordBatch.from_pydict({"a": batch.column(0), "b": batch.column(1)}).filter(pa.array(fits, pa.bool_()))
+
+    return x.mapInArrow(run, "a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -237,12 +273,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     same = Window.partitionBy("key")
     index = _keys(single, hot).withColumn("first", F.min("id").over(same)).withColumn("many", F.max("id").over(same))
     groups = materialize(index.where("first < many").select("key", "id", "first"), f"{folder}/groups")
-    sizes = classes.groupBy("id").agg(F.max("n").alias("n"))
     ids = materialize(groups.select("id").distinct(), f"{folder}/ids")
-    texts = materialize(rows.join(few_or_shuffled(ids.withColumnRenamed("id", "doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("id"), "text"), f"{folder}/texts")
+    held = profile.where("bucket is null and n > 0").select(F.col("doc_id").alias("id"), "n", "sketch").join(few_or_shuffled(ids), "id", "left_semi")
+    sketches = materialize(held.dropDuplicates(["id"]), f"{folder}/sketches")
 
     stars = groups.where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
-    linked = materialize(verify(_sized(stars, sizes), texts), f"{folder}/stars")
+    stars = materialize(_plausible(stars, sketches), f"{folder}/plausible-stars")
+    linked = materialize(verify(stars, _texts(rows, stars)), f"{folder}/stars")
     parts = materialize(components(linked, f"{folder}/first"), f"{folder}/parts")
 
     apart = groups.join(parts.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
@@ -250,8 +287,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     apart = materialize(apart.select("key", "id", "component"), f"{folder}/apart")
     left, right = apart.alias("l"), apart.alias("r")
     cross = left.join(right, (F.col("l.key") == F.col("r.key")) & (F.col("l.id") < F.col("r.id")) & (F.col("l.component") != F.col("r.component")))
-    cross = materialize(cross.select(F.col("l.id").alias("a"), F.col("r.id").alias("b")).distinct(), f"{folder}/cross")
-    more = materialize(verify(_sized(cross, sizes), texts), f"{folder}/more")
+    cross = cross.select(F.col("l.id").alias("a"), F.col("r.id").alias("b")).distinct()
+    cross = materialize(_plausible(cross, sketches), f"{folder}/plausible-cross")
+    more = materialize(verify(cross, _texts(rows, cross)), f"{folder}/more")
     if not more.isEmpty():
         links = parts.select(F.col("component").alias("a"), F.col("node").alias("b")).union(more)
         parts = materialize(components(links, f"{folder}/second"), f"{folder}/all")

@@ -23,20 +23,22 @@ def mixed(x: np.ndarray, seed: int = 0) -> np.ndarray:
         return x ^ x >> np.uint64(31)
 
 
+class _WordHashes(dict):
+    def __missing__(self, word: bytes) -> int:
+        value = self[word] = xxhash.xxh3_64_intdigest(word)
+        return value
+
+
 class Shingler:
     """Hashes words once each and combines WIDTH neighbours by a polynomial."""
 
     def __init__(self):
-        self.memo: dict[str, int] = {}
+        self.memo = _WordHashes()
 
-    def word_hashes(self, found: list[str]) -> np.ndarray:
-        memo = self.memo
-        if new := set(found).difference(memo):
-            if len(memo) + len(new) > MEMO_ENTRIES:
-                memo.clear()
-                new = set(found)
-            memo.update((w, xxhash.xxh3_64_intdigest(w)) for w in new)
-        return np.fromiter(map(memo.__getitem__, found), np.uint64, len(found))
+    def word_hashes(self, found: list[bytes]) -> np.ndarray:
+        if len(self.memo) > MEMO_ENTRIES:
+            self.memo.clear()
+        return np.fromiter(map(self.memo.__getitem__, found), np.uint64, len(found))
 
     def sequence(self, text: str | None) -> np.ndarray:
         """The shingles in order; with fewer words than WIDTH, the whole as one; none without words."""
@@ -55,7 +57,7 @@ class Shingler:
         return np.unique(self.sequence(text))
 
 
-def exact_shingles(text: str | None, width: int = WIDTH) -> set[tuple[str, ...]]:
+def exact_shingles(text: str | None, width: int = WIDTH) -> set[tuple[bytes, ...]]:
     """The shingles themselves, for checks."""
     found = words(text)
     if not found:
