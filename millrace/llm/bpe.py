@@ -1,13 +1,17 @@
 """Byte-level BPE encoding and decoding with a hierarchical-bitmap rank queue.
 
-The symbols of a pre-token form a doubly linked list. Every adjacent pair that
-has a merge rank waits in the bucket of that rank, as the list position of its
-left symbol. A bitmap over the ranks says which buckets hold something, and a
-smaller bitmap says which words of the first are not zero, and so on up to one
-word: find-first-set from the top gives the lowest rank in a few steps, however
-long the pre-token is. A position whose pair has changed since it was queued is
-stale and skipped when it comes up. Within a bucket the leftmost position comes
-first, as the rank files' own library merges.
+The symbols of pre-tokens form doubly linked lists. Every adjacent pair that has
+a merge rank waits in the bucket of that rank, as the list position of its left
+symbol. A bitmap over the ranks says which buckets hold something, and a smaller
+bitmap says which words of the first are not zero: find-first-set in the small
+one and then in one word gives the lowest rank in two steps, however long the
+pre-tokens are. A position whose pair has changed since it was queued is stale
+and skipped when it comes up. Within a bucket positions go from left to right, as
+the rank files' own library merges; a merge that makes a pair of a rank no higher
+puts the rest of its bucket back, so that the new pair comes first.
+
+All pre-tokens of a batch that a worker hasn't met share one queue: their lists
+don't touch, so the lowest rank of all is also the lowest of its own list.
 
 Edge cases: null and empty texts have no ids; a text of any length is encoded
 whole; repeated rows are encoded alike; extra columns pass by untouched.
@@ -17,9 +21,10 @@ from __future__ import annotations
 
 import base64
 import re
+from array import array
 from collections.abc import Iterator
-from heapq import heappop, heappush
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -29,8 +34,8 @@ from .common import local_file, small_batches, with_columns_of, worker_cache
 #: follows another character every match of the pattern ends, so a text can be cut there.
 _SPACES = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 _CHUNK = re.compile(f"[{_SPACES}]*[^{_SPACES}]+|[{_SPACES}]+")
-#: Chunks and pre-tokens kept per worker; the memo is emptied when full.
-MEMO_ENTRIES = 500_000
+#: Chunks kept per worker; the memo is emptied when full.
+MEMO_ENTRIES = 1_000_000
 
 
 class ByteBPE:
@@ -45,102 +50,137 @@ class ByteBPE:
         missing = [b for b in range(256) if bytes([b]) not in ranks]
         if missing:
             raise ValueError(f"the vocabulary lacks single bytes, such as {missing[0]}")
-        self.first_ids = [ranks[bytes([b])] for b in range(256)]
-        self.memo: dict[str, tuple[int, ...]] = {}  # by chunk
-        self.pieces: dict[str, tuple[int, ...]] = {}  # by pre-token
+        self.memo: dict[str, bytes] = {}  # chunk -> ids, packed
 
     @classmethod
     def from_file(cls, path: str, pattern: str) -> ByteBPE:
         with open(local_file(path), "rb") as lines:
             return cls({base64.b64decode(a): int(b) for a, b in map(bytes.split, filter(bytes.strip, lines))}, pattern)
 
-    def merge(self, piece: bytes) -> list[int]:
-        """The ids of one pre-token.
+    def merge(self, pieces: list[bytes]) -> list[bytes]:
+        """The packed ids of pre-tokens.
 
-        after and before link the symbols by the offsets where they start; pair[i] is the rank of the
-        symbol at i joined with the next, -1 without one. words and top are the two levels of the bitmap
-        over ranks: bit r & 255 of words[r >> 8] tells of a bucket, bit w of top of a word that isn't 0.
+        Symbols are known by the offset where they start in the joined pieces: end and before link them,
+        stops marks where pieces end, pair[i] is the rank of the symbol at i joined with the next, -1
+        without one. Bit r & 255 of words[r >> 8] tells of a bucket, bit w of top of a word that isn't 0.
         """
-        whole = self.ranks.get(piece)
-        if whole is not None:
-            return [whole]
-        n, rank_of = len(piece), self.ranks.get
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        pair = [rank_of(piece[i : i + 2], -1) for i in range(n - 1)]
-        pair.append(-1)
+        data, rank_of = b"".join(pieces), self.ranks.get
+        n = len(data)
+        end, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        stops = bytearray(n + 1)
+        at = 0
+        for piece in pieces:
+            if at < n:
+                before[at] = -1
+            at += len(piece)
+            stops[at] = 1
+        pair = [-1 if stops[i + 1] else rank_of(data[i : i + 2], -1) for i in range(n)]
         buckets: dict[int, list[int]] = {}
-        words: dict[int, int] = {}
-        top = 0
         for i, r in enumerate(pair):
             if r >= 0:
                 if r in buckets:
-                    buckets[r].append(i)  # ascending, and so a heap
+                    buckets[r].append(i)
                 else:
                     buckets[r] = [i]
-                    w = r >> 8
-                    words[w] = words.get(w, 0) | 1 << (r & 255)
-                    top |= 1 << w
+        words: dict[int, int] = {}
+        top = 0
+        for r in buckets:
+            words[r >> 8] = words.get(r >> 8, 0) | 1 << (r & 255)
+            top |= 1 << (r >> 8)
         while top:
             w = (top & -top).bit_length() - 1
             word = words[w]
-            r = w << 8 | (word & -word).bit_length() - 1
-            bucket = buckets[r]
-            if len(bucket) > 1:
-                i = heappop(bucket)
-            else:
-                i = bucket[0]
-                del buckets[r]
-                words[w] = word = word & word - 1
-                if not word:
-                    top &= top - 1
-            if pair[i] != r:
-                continue  # stale: a neighbour's merge changed the pair
-            j = after[i]
-            after[i] = k = after[j]
-            pair[j] = pair[i] = -1
-            changed = (i,) if (h := before[i]) < 0 else (h, i)
-            if k < n:
-                before[k] = i
-            for h in changed:
-                end = after[h]
-                r = rank_of(piece[h : after[end]], -1) if end < n else -1
-                pair[h] = r
-                if r >= 0:
-                    if r in buckets:
-                        heappush(buckets[r], h)
+            rank = w << 8 | (word & -word).bit_length() - 1
+            words[w] = word = word & word - 1
+            if not word:
+                top &= top - 1
+            bucket = buckets.pop(rank)
+            bucket.sort()
+            for nth, i in enumerate(bucket):
+                if pair[i] != rank:
+                    continue  # stale: a neighbour's merge changed the pair
+                j = end[i]
+                end[i] = k = end[j]
+                pair[j] = -1
+                if stops[k]:
+                    pair[i] = new = -1
+                else:
+                    before[k] = i
+                    pair[i] = new = rank_of(data[i : end[k]], -1)
+                lower = False
+                if new >= 0:
+                    if new in buckets:
+                        buckets[new].append(i)
                     else:
-                        buckets[r] = [h]
-                        w = r >> 8
-                        words[w] = words.get(w, 0) | 1 << (r & 255)
+                        buckets[new] = [i]
+                        w = new >> 8
+                        words[w] = words.get(w, 0) | 1 << (new & 255)
                         top |= 1 << w
-        out, i = [], 0
-        while i < n:
-            out.append(self.ranks[piece[i : after[i]]])
-            i = after[i]
+                    lower = new <= rank
+                h = before[i]
+                if h >= 0:
+                    pair[h] = new = rank_of(data[h:k], -1)
+                    if new >= 0:
+                        if new in buckets:
+                            buckets[new].append(h)
+                        else:
+                            buckets[new] = [h]
+                            w = new >> 8
+                            words[w] = words.get(w, 0) | 1 << (new & 255)
+                            top |= 1 << w
+                        lower = lower or new <= rank
+                if lower:  # that pair comes before what is left here
+                    if rest := bucket[nth + 1 :]:
+                        if rank in buckets:
+                            buckets[rank] += rest
+                        else:
+                            buckets[rank] = rest
+                            w = rank >> 8
+                            words[w] = words.get(w, 0) | 1 << (rank & 255)
+                            top |= 1 << w
+                    break
+        out, i, ranks = [], 0, self.ranks
+        for piece in pieces:
+            own, stop = [], i + len(piece)
+            while i < stop:
+                own.append(ranks[data[i : end[i]]])
+                i = end[i]
+            out.append(array("I", own).tobytes())
         return out
 
-    def _piece(self, piece: str) -> tuple[int, ...]:
-        ids = self.pieces.get(piece)
-        if ids is None:
-            ids = tuple(self.merge(piece.encode()))
-            if len(piece) < 256:
-                self.pieces[piece] = ids
-        return ids
+    def _learn(self, chunks: set[str]) -> None:
+        """Puts the ids of chunks into the memo."""
+        split, packed, waiting = self.split, {}, {}
+        parts = {c: [p.encode() for p in split(c)] for c in chunks}
+        for own in parts.values():
+            for p in own:
+                if (rank := self.ranks.get(p)) is not None:
+                    packed[p] = array("I", (rank,)).tobytes()
+                else:
+                    waiting[p] = None
+        pieces = list(waiting)
+        packed.update(zip(pieces, self.merge(pieces), strict=True))
+        self.memo.update((c, packed[own[0]] if len(own) == 1 else b"".join(map(packed.__getitem__, own))) for c, own in parts.items())
+
+    def encode_batch(self, texts: list[str | None]) -> list[np.ndarray]:
+        """The ids of each text; what is new to this worker is merged together."""
+        if len(self.memo) > MEMO_ENTRIES:
+            self.memo.clear()
+        memo, chunked = self.memo, [_CHUNK.findall(t) if t else [] for t in texts]
+        new = set()
+        for chunks in chunked:
+            new.update(chunks)
+        new.difference_update(memo)
+        if new:
+            self._learn(new)
+        out = [np.frombuffer(b"".join(map(memo.__getitem__, chunks)), np.uint32) for chunks in chunked]
+        for chunk in new:  # what is very long is not kept
+            if len(chunk) > 256:
+                del memo[chunk]
+        return out
 
     def encode(self, text: str | None) -> list[int]:
-        memo, out = self.memo, []
-        for chunk in _CHUNK.findall(text or ""):
-            ids = memo.get(chunk)
-            if ids is None:
-                parts = self.split(chunk)
-                ids = self._piece(parts[0]) if len(parts) == 1 else sum(map(self._piece, parts), ())
-                if len(memo) + len(self.pieces) >= MEMO_ENTRIES:
-                    memo.clear()
-                    self.pieces.clear()
-                if len(chunk) < 256:
-                    memo[chunk] = ids
-            out += ids
-        return out
+        return self.encode_batch([text])[0].tolist()
 
     def decode(self, ids) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
@@ -155,17 +195,19 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "do
 
     No shuffle: each task encodes its own rows. Null text: no ids, empty bytes.
     """
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, rows=1024, mb=4)
     rows = with_columns_of(docs, id_col, text_col)
     kind = rows.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(path, pattern)
         for batch in batches:
-            ids = [codec.encode(t) for t in batch.column(1).to_pylist()]
-            columns = {id_col: batch.column(0), "ids": pa.array(ids, pa.list_(pa.int32()))}
+            ids = codec.encode_batch(batch.column(1).to_pylist())
+            ends = np.cumsum([0, *map(len, ids)])
+            flat = np.concatenate(ids).astype(np.int32) if ids else np.empty(0, np.int32)
+            columns = {id_col: batch.column(0), "ids": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))}
             if decode:
-                columns["decoded"] = pa.array([codec.decode(x) for x in ids], pa.binary())
+                columns["decoded"] = pa.array([codec.decode(x.tolist()) for x in ids], pa.binary())
             yield pa.RecordBatch.from_pydict(columns)
 
     return rows.mapInArrow(run, f"`{id_col}` {kind}, ids array<int>" + ", decoded binary" * decode)
