@@ -77,7 +77,7 @@ def deduplicate_stream(stream: DataFrame, folder: str, key_hex: int = 64, trigge
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key_hex: int = 64, files_per_step: int = FILES_PER_STEP) -> DataFrame:
-    """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256, locator (of the row that stays).
+    """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256, n_chars, locator (of the row that stays).
 
     key_hex: characters of the digest that key the state; fewer only make the check of the full bytes work more.
     Texts are shuffled only where their digest was hit, and then once per task and distinct text.
@@ -93,7 +93,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         state = state.groupBy("key").agg(F.max(F.struct("group_size", "stays")).alias("last")).select("key", "last.stays", "last.group_size")
 
     keyed = seen.withColumn("key", F.substring("text_sha256", 1, key_hex))
-    result = keyed.join(state, "key").select("key", "doc_id", (-F.col("stays.minus_id")).alias("keep_id"), "group_size", (F.col("row") == -F.col("stays.minus_row")).alias("kept"), "text_sha256", "stays.locator")
+    result = keyed.join(state, "key").select("key", "doc_id", (-F.col("stays.minus_id")).alias("keep_id"), "group_size", (F.col("row") == -F.col("stays.minus_row")).alias("kept"), "text_sha256", "n_chars", "stays.locator")
 
     hits = materialize(state.where(F.col("group_size") > 1).select("key"), f"{folder}/hits")
     few = hits.count() <= BROADCAST_KEYS
@@ -105,7 +105,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return result.drop("key")
     same = Window.partitionBy("key", "bytes")
     order = same.orderBy(F.desc("n_chars"), F.col("doc_id").asc_nulls_last())
-    by_bytes = texts.join(differ, "key", "left_semi").select("doc_id", F.first("doc_id").over(order).alias("keep_id"), F.count(F.lit(1)).over(same).alias("group_size"), (F.row_number().over(order) == 1).alias("kept"), "text_sha256", F.lit("").alias("locator"))
+    by_bytes = texts.join(differ, "key", "left_semi").select("doc_id", F.first("doc_id").over(order).alias("keep_id"), F.count(F.lit(1)).over(same).alias("group_size"), (F.row_number().over(order) == 1).alias("kept"), "text_sha256", "n_chars", F.lit("").alias("locator"))
     return result.join(differ, "key", "left_anti").drop("key").unionByName(by_bytes)
 
 
@@ -114,10 +114,6 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     def place(doc_id, sha, n):
         return F.concat_ws("|", F.coalesce(doc_id.cast("string"), F.lit("~")), sha, n.cast("string"))
 
-    result = deduplicate(docs, id_col, text_col)
-    lengths = materialize(records(docs, id_col, text_col).select("doc_id", "text_sha256", "n_chars"), f"{shared_dir(docs.sparkSession)}/lengths")
-    best = lengths.groupBy("doc_id", "text_sha256").agg(F.max("n_chars").alias("n_chars"))
-    stay = result.where("kept").alias("r").join(best.alias("b"), F.col("r.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("r.text_sha256") == F.col("b.text_sha256")))
-    stay = stay.select(place(F.col("r.doc_id"), F.col("r.text_sha256"), F.col("b.n_chars")).alias("__place")).distinct()
+    stay = deduplicate(docs, id_col, text_col).where("kept").select(place(F.col("doc_id"), F.col("text_sha256"), F.col("n_chars")).alias("__place")).distinct()
     own = docs.withColumn("__place", place(F.col(id_col), F.sha2(normalised(F.col(text_col)), 256), F.length(F.coalesce(F.col(text_col), F.lit("")))))
     return own.join(stay, "__place", "left_semi").dropDuplicates(["__place"]).drop("__place")
