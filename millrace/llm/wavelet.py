@@ -22,6 +22,7 @@ from __future__ import annotations
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -53,7 +54,7 @@ class WaveletMatrix:
         x = ids.astype(np.uint16 if height <= 16 else np.uint32)
         planes, zeros = [], []
         for shift in range(height - 1, -1, -1):
-            bits = (x >> shift & 1).astype(bool)
+            bits = (x & x.dtype.type(1 << shift)) != 0
             planes.append(_packed(bits))
             zeros.append(n - int(np.count_nonzero(bits)))
             x = np.concatenate((x[~bits], x[bits]))
@@ -178,10 +179,15 @@ def _packed(bits: np.ndarray) -> np.ndarray:
     return np.concatenate((packed, np.zeros(-len(packed) % 8, np.uint8))).view(np.uint64)
 
 
-#: A text is cut before a run of spaces and line ends, and each piece encoded once per worker: this is
-#: exact for tokenizers that drop white space, as _drops_space() finds out from the tokenizer's file.
+#: Texts are cut at white space and each piece is encoded once per worker: exact for tokenizers that drop
+#: white space, as _drops_space() finds out from the tokenizer's file. str.split() also cuts at these four
+#: characters, which aren't white space to the tokenizer.
+_NOT_SPACE = "\x1c\x1d\x1e\x1f"
 _PIECE = re.compile(r"[^ \n]+")
-MEMO_ENTRIES = 400_000
+#: A run of plain letters and the marks after it are pre-tokens of their own, and lower-casing a letter needs no context.
+_LETTERS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
+#: Pieces, and words of plain letters, kept per worker; either memo is emptied when full.
+MEMO_ENTRIES = 800_000
 
 
 class WordEncoder:
@@ -198,24 +204,67 @@ class WordEncoder:
         self.library.no_padding()
         self.by_piece = _drops_space(path)
         self.memo: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+        self.ends_word = np.array([name.endswith("</w>") for name, _ in sorted(self.library.get_vocab().items(), key=lambda x: x[1])])
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _encode_words(self, words: list[str]) -> list[bytes]:
+        """Words of plain letters, many in one call: the last token of each ends a word, no other does."""
+        out = []
+        for at in range(0, len(words), 512):
+            own = words[at : at + 512]
+            ids = np.array(self.library.encode(" ".join(own), add_special_tokens=False).ids, "<u4")
+            ends = np.flatnonzero(self.ends_word[ids]) + 1
+            if len(ends) != len(own):
+                return self._encode(words)
+            data, ends = ids.tobytes(), (4 * ends).tolist()
+            out += [data[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+        return out
+
+    def _learn(self, pieces: list[str]) -> None:
+        if len(self.words) > MEMO_ENTRIES:
+            self.words.clear()
+        words, memo, plain, odd, new = self.words, self.memo, [], [], {}
+        for piece in pieces:
+            if found := _LETTERS.fullmatch(piece):
+                letters, marks = found.groups()
+                letters = letters.lower()
+                plain.append((piece, letters, marks))
+                if letters not in words:
+                    new[letters] = None
+                if marks and marks not in words:
+                    odd.append(marks)
+            else:
+                odd.append(piece)
+        words.update(zip(new, self._encode_words(list(new)), strict=True))
+        odd = list(dict.fromkeys(odd))
+        for piece, ids in zip(odd, self._encode(odd), strict=True):
+            memo[piece] = ids
+            if not piece[0].isalnum() and _LETTERS.fullmatch("a" + piece):
+                words[piece] = ids
+        for piece, letters, marks in plain:
+            memo[piece] = words[letters] + words[marks] if marks else words[letters]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if not self.by_piece:
             return [np.frombuffer(x, "<u4") for x in self._encode(texts)]
-        out = []
+        if len(self.memo) > MEMO_ENTRIES:
+            self.memo.clear()
+        memo, cut, new = self.memo, [], {}
         for text in texts:
-            pieces = _PIECE.findall(text)
-            if new := set(pieces).difference(self.memo):
-                if len(self.memo) + len(new) > MEMO_ENTRIES:
-                    self.memo.clear()
-                    new = set(pieces)
-                new = list(new)
-                self.memo.update(zip(new, self._encode(new), strict=True))
-            out.append(np.frombuffer(b"".join(map(self.memo.__getitem__, pieces)), "<u4"))
-        return out
+            pieces = _PIECE.findall(text) if any(c in text for c in _NOT_SPACE) else text.split()
+            ids = list(map(memo.get, pieces))
+            unknown = [i for i, x in enumerate(ids) if x is None]
+            new.update((pieces[i], None) for i in unknown)
+            cut.append((pieces, ids, unknown))
+        if new:
+            self._learn(list(new))
+        for pieces, ids, unknown in cut:
+            for i in unknown:
+                ids[i] = memo[pieces[i]]
+        return [np.frombuffer(b"".join(ids), "<u4") for _, ids, _ in cut]
 
 
 def _drops_space(path: str) -> bool:
