@@ -166,18 +166,22 @@ class ByteBPE:
         """The ids of each text; what is new to this worker is merged together."""
         if len(self.memo) > MEMO_ENTRIES:
             self.memo.clear()
-        memo, chunked = self.memo, [_CHUNK.findall(t) if t else [] for t in texts]
-        new = set()
-        for chunks in chunked:
-            new.update(chunks)
-        new.difference_update(memo)
+        memo, cut, new = self.memo, [], set()
+        for text in texts:
+            chunks = _CHUNK.findall(text) if text else []
+            ids = list(map(memo.get, chunks))
+            unknown = [i for i, x in enumerate(ids) if x is None]
+            new.update([chunks[i] for i in unknown])
+            cut.append((chunks, ids, unknown))
         if new:
             self._learn(new)
-        out = [np.frombuffer(b"".join(map(memo.__getitem__, chunks)), np.uint32) for chunks in chunked]
+        for chunks, ids, unknown in cut:
+            for i in unknown:
+                ids[i] = memo[chunks[i]]
         for chunk in new:  # what is very long is not kept
             if len(chunk) > 256:
                 del memo[chunk]
-        return out
+        return [np.frombuffer(b"".join(ids), np.uint32) for _, ids, _ in cut]
 
     def encode(self, text: str | None) -> list[int]:
         return self.encode_batch([text])[0].tolist()
