@@ -14,7 +14,7 @@ hashing as well, and so on; empty contents are indexed under the last only.
 
 Candidates become links only if the shingles themselves, words compared, have
 100 * intersection >= 80 * union. Equal sets are one class from the start. Within
-an index entry every member is compared with the first; then members of one
+an index entry every member is compared with the most central one; then members of one
 entry that are still in different components are compared with each other. That
 leaves out only pairs whose components are one already, so components are exact.
 
@@ -39,7 +39,10 @@ from .common import materialize, shared_dir, small_batches, with_columns_of, wor
 from .shingles import Shingler, components, exact_shingles, mixed
 
 #: Counters of shingles, by hash; those HOT times over the mean mark shingles that many documents have.
-COUNTERS, HOT = 1 << 17, 8
+#: A task reports only what stands out in it; the order that they give needn't be exact, only the same for all.
+COUNTERS, HOT = 1 << 20, 4
+#: 64-bit words of a sketch.
+SKETCH = 8
 #: Hashings that a set tries before it indexes empty segments.
 HASHINGS = 4
 #: Ids are broadcast up to this many, else joined by shuffle.
@@ -129,22 +132,11 @@ def index_keys(x: np.ndarray, levels: np.ndarray) -> np.ndarray:
     return np.unique(np.concatenate(out))
 
 
-def parity_sketch(x: np.ndarray) -> bytes:
-    """Parities of how many shingles fall on each bit. The sketches of two sets differ in no more bits than
-    the sets in shingles; there are at least twice as many bits as a set has shingles."""
-    bits = max(64, 1 << (2 * len(x) - 1).bit_length()) if len(x) else 64
-    own = np.bincount((mixed(x, 999) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
-    return np.packbits(own.astype(bool), bitorder="little").tobytes()
-
-
-def sketch_distance(a: bytes, b: bytes) -> int:
-    """How many shingles the sets of these sketches differ in at least. The longer one folds onto the shorter."""
-    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-    if len(x) > len(y):
-        x, y = y, x
-    while len(y) > len(x):
-        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
-    return int(np.bitwise_count(x ^ y).sum())
+def parity_sketch(x: np.ndarray) -> np.ndarray:
+    """Parities of how many shingles fall on each bit, as SKETCH words: the sketches of two sets differ in no
+    more bits than the sets in shingles."""
+    bits = np.bincount((mixed(x, 999) & np.uint64(64 * SKETCH - 1)).astype(np.int64), minlength=64 * SKETCH) & 1
+    return np.packbits(bits.astype(bool), bitorder="little").view(np.int64)
 
 
 def _profile(docs: DataFrame) -> DataFrame:
@@ -164,20 +156,20 @@ def _profile(docs: DataFrame) -> DataFrame:
                 with np.errstate(over="ignore"):
                     sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mixed(every, seed), dtype=np.uint64)))[np.concatenate(([0], ends)).astype(np.int64)]
                     prints.append(np.diff(sums).view(np.int64))
-            yield pa.RecordBatch.from_pydict({"bucket": pa.nulls(n, pa.int32()), "doc_id": batch.column(0), "n": pa.array(map(len, sets), pa.int64()), "print_a": pa.array(prints[0]), "print_b": pa.array(prints[1]), "sketch": pa.array(map(parity_sketch, sets), pa.binary())})
-        full = np.flatnonzero(counters)
+            yield pa.RecordBatch.from_pydict({"bucket": pa.nulls(n, pa.int32()), "doc_id": batch.column(0), "n": pa.array(map(len, sets), pa.int64()), "print_a": pa.array(prints[0]), "print_b": pa.array(prints[1]), "sketch": pa.array(list(map(parity_sketch, sets)), pa.list_(pa.int64()))})
+        full = np.flatnonzero(counters > 8 + HOT * counters.mean())
         if len(full):
             none = pa.nulls(len(full), pa.int64())
-            yield pa.RecordBatch.from_pydict({"bucket": pa.array(full, pa.int32()), "doc_id": none, "n": pa.array(counters[full]), "print_a": none, "print_b": none, "sketch": pa.nulls(len(full), pa.binary())})
+            yield pa.RecordBatch.from_pydict({"bucket": pa.array(full, pa.int32()), "doc_id": none, "n": pa.array(counters[full]), "print_a": none, "print_b": none, "sketch": pa.nulls(len(full), pa.list_(pa.int64()))})
 
-    return docs.mapInArrow(run, "bucket int, doc_id bigint, n bigint, print_a bigint, print_b bigint, sketch binary")
+    return docs.mapInArrow(run, "bucket int, doc_id bigint, n bigint, print_a bigint, print_b bigint, sketch array<bigint>")
 
 
-def _hot(counted: DataFrame) -> dict[int, int]:
+def _hot(profile: DataFrame) -> dict[int, int]:
     """Level by counter, of at most COUNTERS / HOT counters."""
-    sums = counted.groupBy("bucket").agg(F.sum("n").alias("n"))
-    total = sums.agg(F.sum("n")).first()[0] or 0
-    rows = sums.where(F.col("n") > HOT * max(1.0, total / COUNTERS)).collect()
+    total = profile.where("bucket is null").agg(F.sum("n")).first()[0] or 0
+    sums = profile.where("bucket is not null").groupBy("bucket").agg(F.sum("n").alias("n"))
+    rows = sums.where(F.col("n") > 8 + HOT * total / COUNTERS).collect()
     return {r.bucket: int(r.n).bit_length() for r in rows}
 
 
@@ -234,19 +226,17 @@ def _texts(rows: DataFrame, pairs: DataFrame) -> DataFrame:
     return rows.join(few_or_shuffled(ids), "doc_id", "left_semi").select(F.col("doc_id").alias("id"), "text").dropDuplicates(["id"])
 
 
-def _plausible(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sizes and sketches allow the similarity; their texts needn't be fetched otherwise."""
-    x = pairs.join(sketches.select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("sketch_a")), "a")
-    x = x.join(sketches.select(F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("sketch_b")), "b")
-    x = x.where("100 * least(n_a, n_b) >= 80 * greatest(n_a, n_b)").select("a", "b", (F.col("n_a") + F.col("n_b")).alias("n"), "sketch_a", "sketch_b")
+def _similar_enough(left: str, right: str):
+    """Whether sizes and sketches, columns n and sketch of both sides, allow the similarity."""
+    n, m = F.col(f"{left}.n"), F.col(f"{right}.n")
+    bits = [F.bit_count(F.col(f"{left}.sketch")[i].bitwiseXOR(F.col(f"{right}.sketch")[i])) for i in range(SKETCH)]
+    return (F.least(n, m) * 100 >= F.greatest(n, m) * 80) & (sum(bits[1:], bits[0]) <= F.floor((n + m) / 9))
 
-    def run(batches):
-        for batch in batches:
-            n, a, b = (c.to_pylist() for c in batch.columns[2:])
-            fits = [sketch_distance(a[i], b[i]) <= most_different(n[i], 0) for i in range(len(n))]
-            yield pa.RecordBatch.from_pydict({"a": batch.column(0), "b": batch.column(1)}).filter(pa.array(fits, pa.bool_()))
 
-    return x.mapInArrow(run, "a bigint, b bigint")
+def _plausible(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sizes and sketches allow the similarity; their texts needn't be fetched otherwise."""
+    x = pairs.join(sketches.alias("l"), F.col("a") == F.col("l.id")).select("a", "b", F.struct("l.n", "l.sketch").alias("l"))
+    return x.join(sketches.alias("r"), (F.col("b") == F.col("r.id")) & _similar_enough("l", "r")).select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -261,7 +251,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = with_columns_of(docs, id_col, text_col).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
     profile = materialize(_profile(rows), f"{folder}/profile")
-    hot = _hot(profile.where("bucket is not null"))
+    hot = _hot(profile)
     sets = profile.where("bucket is null").select("doc_id", "n", "print_a", "print_b")
     filled = sets.where("n > 0 and doc_id is not null")
     classes = materialize(filled.groupBy("print_a", "print_b", "n").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("members")), f"{folder}/classes")
@@ -271,12 +261,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     single = rows.join(few_or_shuffled(own), "doc_id", "left_anti")
 
     same = Window.partitionBy("key")
-    index = _keys(single, hot).withColumn("first", F.min("id").over(same)).withColumn("many", F.max("id").over(same))
-    groups = materialize(index.where("first < many").select("key", "id", "first"), f"{folder}/groups")
-    ids = materialize(groups.select("id").distinct(), f"{folder}/ids")
-    held = profile.where("bucket is null and n > 0").select(F.col("doc_id").alias("id"), "n", "sketch").join(few_or_shuffled(ids), "id", "left_semi")
+    index = _keys(single, hot).withColumn("members", F.count(F.lit(1)).over(same))
+    groups = materialize(index.where("members > 1"), f"{folder}/groups")
+    ids = materialize(groups.groupBy("id").agg(F.sum("members").alias("central")), f"{folder}/ids")
+    held = profile.where("bucket is null and n > 0").select(F.col("doc_id").alias("id"), "n", "sketch").join(few_or_shuffled(ids.select("id")), "id", "left_semi")
     sketches = materialize(held.dropDuplicates(["id"]), f"{folder}/sketches")
 
+    # the first of an entry: the member with the most company over all its entries, such as the text that others are edits of
+    groups = groups.join(ids, "id").withColumn("first", -F.max(F.struct("central", -F.col("id"))).over(same)["col2"])
+    groups = materialize(groups.select("key", "id", "first"), f"{folder}/starred")
     stars = groups.where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
     stars = materialize(_plausible(stars, sketches), f"{folder}/plausible-stars")
     linked = materialize(verify(stars, _texts(rows, stars)), f"{folder}/stars")
@@ -284,11 +277,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     apart = groups.join(parts.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     apart = apart.withColumn("low", F.min("component").over(same)).withColumn("high", F.max("component").over(same)).where("low < high and id <> first")
-    apart = materialize(apart.select("key", "id", "component"), f"{folder}/apart")
-    left, right = apart.alias("l"), apart.alias("r")
-    cross = left.join(right, (F.col("l.key") == F.col("r.key")) & (F.col("l.id") < F.col("r.id")) & (F.col("l.component") != F.col("r.component")))
-    cross = cross.select(F.col("l.id").alias("a"), F.col("r.id").alias("b")).distinct()
-    cross = materialize(_plausible(cross, sketches), f"{folder}/plausible-cross")
+    apart = materialize(apart.join(sketches, "id").select("key", "id", "component", "n", "sketch"), f"{folder}/apart")
+    ordered = (F.col("l.key") == F.col("r.key")) & (F.col("l.id") < F.col("r.id")) & (F.col("l.component") != F.col("r.component"))
+    cross = apart.alias("l").join(apart.alias("r"), ordered & _similar_enough("l", "r"))
+    cross = materialize(cross.select(F.col("l.id").alias("a"), F.col("r.id").alias("b")).distinct(), f"{folder}/cross")
     more = materialize(verify(cross, _texts(rows, cross)), f"{folder}/more")
     if not more.isEmpty():
         links = parts.select(F.col("component").alias("a"), F.col("node").alias("b")).union(more)
