@@ -67,6 +67,10 @@ def _text(c: Column) -> Column:
     return F.coalesce(c, F.lit(""))
 
 
+def _stripped(c: Column) -> Column:
+    return F.regexp_replace(c, r"^\s+|\s+$", "")
+
+
 def _strings(values) -> Column:
     return F.array(*[F.lit(v) for v in values])
 
@@ -181,10 +185,10 @@ def split_summary(answer: Column) -> tuple[Column, Column]:
     """(answer without its summary, summary): in tags, or after a line that says Summary (ST23)."""
     tagged = F.regexp_extract(_text(answer), r"(?is)<summary>(.*?)</summary>", 1)
     titled = F.regexp_extract(_text(answer), r"(?is)\n\s*(?:#+\s*|\**)summary\**\s*:?\s*\n(.*)$", 1)
-    summary = F.trim(F.when(tagged != "", tagged).otherwise(titled))
+    summary = _stripped(F.when(tagged != "", tagged).otherwise(titled))
     rest = F.regexp_replace(_text(answer), r"(?is)<summary>.*?</summary>", "")
     rest = F.when(tagged != "", rest).otherwise(F.regexp_replace(rest, r"(?is)\n\s*(?:#+\s*|\**)summary\**\s*:?\s*\n.*$", ""))
-    return F.trim(rest), F.nullif(summary, F.lit(""))
+    return _stripped(rest), F.nullif(summary, F.lit(""))
 
 
 # -- documents of elements --------------------------------------------------
@@ -206,7 +210,8 @@ def dedent(docstring: Column) -> Column:
     lines = F.split(_text(docstring), "\n")
     full = F.filter(lines, lambda x: F.trim(x) != "")
     indent = F.coalesce(F.array_min(F.transform(full, lambda x: F.length(x) - F.length(F.ltrim(x)))), F.lit(0))
-    return F.trim(F.array_join(F.transform(lines, lambda x: F.when(F.length(x) > indent, F.substr(x, indent + 1)).otherwise(x)), "\n"))
+    cut = F.array_join(F.transform(lines, lambda x: F.when(F.length(x) > indent, F.substr(x, indent + 1)).otherwise(x)), "\n")
+    return F.regexp_replace(cut, r"^\s+|\s+$", "")
 
 
 def line_range(text: Column, first: Column, last: Column) -> Column:

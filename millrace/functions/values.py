@@ -7,6 +7,7 @@ import re
 from datetime import datetime, timedelta
 from zoneinfo import ZoneInfo
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -196,7 +197,6 @@ def tolerant_json(text: str | None) -> str | None:
 
 def tolerant_json_udf():
     """The Arrow-batched form of tolerant_json; try_parse_json does for clean text."""
-    import pandas as pd
 
     @F.pandas_udf("string")
     def run(texts: pd.Series) -> pd.Series:
@@ -242,7 +242,6 @@ def next_cron(expression: str, after: datetime, tz: str = "UTC") -> datetime | N
 
 def next_run_ms(kind: Column, at_ms: Column, every_ms: Column, expr: Column, tz: Column, now_ms: Column) -> Column:
     """When a job runs next: once at, every so often, or by cron; null if never."""
-    import pandas as pd
 
     @F.pandas_udf("bigint")
     def cron(expr: pd.Series, tz: pd.Series, now: pd.Series) -> pd.Series:

@@ -128,7 +128,7 @@ def merge_symbols(ast: DataFrame, precise: DataFrame) -> tuple[DataFrame, DataFr
     names = [f"k_{c}" for c in _KEY] + ["k_line"]
     keyed = precise.select("symbol_id", *key(precise)).groupBy(*names).agg(F.max("symbol_id").alias("canonical_id"))
     matched = ast.select("symbol_id", F.col("source_set").alias("own_sources"), F.col("element_id").alias("own_element"), *key(ast)).join(keyed, names).select("symbol_id", "canonical_id", "own_sources", "own_element")
-    gained = matched.groupBy(F.col("canonical_id").alias("symbol_id")).agg(F.array_sort(F.collect_list("symbol_id")).alias("more"), F.flatten(F.collect_list("own_sources")).alias("sources"), F.min("own_element").alias("element"))
+    gained = matched.groupBy(F.col("canonical_id").alias("symbol_id")).agg(F.array_sort(F.collect_list(F.when(F.col("symbol_id") != F.col("canonical_id"), F.col("symbol_id")))).alias("more"), F.flatten(F.collect_list("own_sources")).alias("sources"), F.min("own_element").alias("element"))
     none = F.array().cast("array<string>")
     kept = precise.join(gained, "symbol_id", "left").withColumn("aliases", F.array_sort(F.array_union("aliases", F.coalesce("more", none)))).withColumn("source_set", F.array_sort(F.array_union("source_set", F.coalesce("sources", none)))).withColumn("element_id", F.coalesce("element_id", "element")).drop("more", "sources", "element")
     gaps = ast.join(matched.select("symbol_id"), "symbol_id", "left_anti")

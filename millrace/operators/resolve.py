@@ -128,13 +128,17 @@ def innermost_scope(calls: DataFrame, scopes: DataFrame) -> DataFrame:
 
 
 def callers(calls: DataFrame, elements: DataFrame) -> DataFrame:
-    """calls with caller_id: the element of the scope's type and name in the file, else the file itself.
-    scope_id: type::name."""
+    """calls with caller_id: the element of the scope's type, name and class in the file, else the file itself.
+    scope_id: type::name; a method is a function with a class."""
     kind, name = F.substring_index("scope_id", "::", 1), F.substring_index("scope_id", "::", -1)
-    named = elements.where("type <> 'file'").groupBy("file_path", F.col("type").alias("scope_kind"), F.col("name").alias("scope_name")).agg(F.min_by("id", "ord").alias("in_scope"))
+    scope_kind = F.when(kind == "method", "function").otherwise(kind)
+    around = F.when(kind == "method", F.col("class_around")).otherwise("")
+    parts = elements.where("type <> 'file'").withColumn("scope_class", F.coalesce("class_name", F.lit("")))
+    named = parts.groupBy("file_path", F.when(F.col("type") == "method", "function").otherwise(F.col("type")).alias("scope_kind"), F.col("name").alias("scope_name"), "scope_class").agg(F.min_by("id", "ord").alias("in_scope"))
     files = elements.where("type = 'file'").groupBy("file_path").agg(F.min("id").alias("file_element"))
-    x = calls.withColumn("scope_kind", kind).withColumn("scope_name", name).join(named, ["file_path", "scope_kind", "scope_name"], "left").join(files, "file_path", "left")
-    return x.withColumn("caller_id", F.coalesce("in_scope", "file_element")).drop("scope_kind", "scope_name", "in_scope", "file_element")
+    x = calls.withColumn("scope_kind", scope_kind).withColumn("scope_name", name).withColumn("scope_class", around)
+    x = x.join(named, ["file_path", "scope_kind", "scope_name", "scope_class"], "left").join(files, "file_path", "left")
+    return x.withColumn("caller_id", F.coalesce("in_scope", "file_element")).drop("scope_kind", "scope_name", "scope_class", "in_scope", "file_element")
 
 
 def instance_calls(calls: DataFrame, types: DataFrame, elements: DataFrame) -> DataFrame:

@@ -51,6 +51,9 @@ def resolve_calls(files: DataFrame, elements: DataFrame, repo: str) -> DataFrame
     named = raw.select(F.col("file_id").alias("importer_id"), F.lit(repo).alias("repo_name"), importer.alias("importer_module"), F.endswith("path", F.lit("__init__.py")).alias("is_package"), "module", "level", "names", "is_from", "alias", F.col("line").alias("pos"))
     keyed = named.withColumn("target_module", R.import_key(F.col("module"), F.col("module"), F.col("level"), F.col("importer_module"), F.col("is_package")))
     bound = keyed.select(F.col("importer_id").alias("file_id"), "repo_name", "target_module", F.explode("names").alias("name"), "alias", "pos", (~F.col("is_from")).alias("is_module"))
+    # from a import b may mean the module a.b
+    inner = bound.where("not is_module").withColumn("target_module", F.concat_ws(".", F.nullif("target_module", F.lit("")), "name")).withColumn("is_module", F.lit(True))
+    bound = bound.unionByName(inner)
     types = P.instance_types(files).withColumnRenamed("path", "file_path")
     called = P.calls(files).join(whole.withColumnRenamed("relative_path", "path"), "path").withColumn("repo_name", F.lit(repo)).withColumn("call_id", F.concat_ws(":", "path", "position", "call_name")).withColumnRenamed("path", "file_path")
     return R.call_edges(called, parts, bound, exports, types)

@@ -48,8 +48,14 @@ def ignore_regex(patterns: Sequence[str]) -> str:
 
 def gitignore_patterns(spark: SparkSession, path: str) -> list[str]:
     """The lines of a .gitignore but for blanks and comments (S02); a file of a few lines by nature."""
-    lines = spark.read.text(path).select(F.trim("value").alias("p")).where("p <> '' and not startswith(p, '#')")
-    return [r.p for r in lines.collect()]
+    jvm = spark.sparkContext._jvm  # Spark's own readers pass over names that start with a dot
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    stream = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(at)
+    try:
+        text = jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+    return [p for line in text.split("\n") if (p := line.strip()) and not p.startswith("#")]
 
 
 def relative(path: Column, root: str) -> Column:
@@ -66,11 +72,45 @@ def scan(spark: SparkSession, root: str, extensions: Sequence[str] = EXTENSIONS,
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     rows = files.select("path", relative(F.col("path"), root).alias("relative_path"), F.col("length").alias("size"), F.col("modificationTime").alias("mtime"), *(["content"] if content else []))
+    if hidden := _underscored(spark, root):
+        more = spark.createDataFrame(hidden, "path string, size bigint, mtime timestamp").withColumn("relative_path", relative(F.col("path"), root))
+        rows = rows.unionByName(_with_content(more) if content else more)
     rows = rows.withColumn("extension", T.extension(F.col("relative_path")))
     kept = rows.where(F.lower("extension").isin(*extensions) & (F.col("size") <= int(megabytes * 1048576)) & ~F.col("relative_path").rlike(ignore_regex(ignored)))
     return kept.withColumn("content", decoded(F.col("content"))) if content else kept
 
 
+def _underscored(spark: SparkSession, root: str) -> list[tuple]:
+    """path, size, mtime of files whose name starts with an underscore, such as __init__.py: Spark's readers take
+    them for hidden ones. Names only; the driver lists a source's files in any case."""
+    from datetime import UTC, datetime
+
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    files, found = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(at, True), []
+    while files.hasNext():
+        f = files.next()
+        name = f.getPath().getName()
+        if name.startswith("_") and "=" not in name:
+            found.append((f.getPath().toString(), f.getLen(), datetime.fromtimestamp(f.getModificationTime() / 1000, UTC)))
+    return found
+
+
+def _with_content(files: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow.fs import FileSystem
+
+        for batch in batches:
+            data = []
+            for path in batch.column("path").to_pylist():
+                system, place = FileSystem.from_uri(path if "://" in path else re.sub("^file:", "file://", path))
+                with system.open_input_stream(place) as stream:
+                    data.append(stream.read())
+            yield batch.append_column("content", pa.array(data, pa.binary()))
+
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in files.schema.fields)
+    return files.mapInArrow(run, f"{schema}, content binary")
+
+
 def decoded(content: Column) -> Column:
     """Text as UTF-8 where it is valid, else Latin-1."""
     return F.when(F.is_valid_utf8(content.cast("string")), F.decode(content, "UTF-8")).otherwise(F.decode(content, "ISO-8859-1"))
