@@ -57,7 +57,7 @@ class WaveletMatrix:
             bits = (x & x.dtype.type(1 << shift)) != 0
             planes.append(_packed(bits))
             zeros.append(n - int(np.count_nonzero(bits)))
-            x = np.concatenate((x[~bits], x[bits]))
+            x = np.concatenate((np.compress(~bits, x), np.compress(bits, x)))  # several times faster than x[bits]
         return cls(n, planes, zeros, np.asarray(doc_ids, np.int64), np.asarray(ends, np.uint64))
 
     # -- the file image ---------------------------------------------------
@@ -162,10 +162,10 @@ class WaveletMatrix:
         height = len(self.planes)
         x = np.zeros(self.n, np.uint16 if height <= 16 else np.uint32)
         for plane in range(height - 1, -1, -1):
-            bits = np.unpackbits(self.planes[plane].view(np.uint8), count=self.n, bitorder="little").astype(bool)
+            bits = np.unpackbits(self.planes[plane].view(np.uint8), count=self.n, bitorder="little").view(bool)
             y = np.empty_like(x)
-            y[~bits] = x[: self.zeros[plane]]
-            y[bits] = x[self.zeros[plane] :] | x.dtype.type(1 << height - 1 - plane)
+            y[np.flatnonzero(~bits)] = x[: self.zeros[plane]]
+            y[np.flatnonzero(bits)] = x[self.zeros[plane] :] | x.dtype.type(1 << height - 1 - plane)
             x = y
         return x
 
@@ -187,7 +187,7 @@ _PIECE = re.compile(r"[^ \n]+")
 #: A run of plain letters and the marks after it are pre-tokens of their own, and lower-casing a letter needs no context.
 _LETTERS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
 #: Pieces, and words of plain letters, kept per worker; either memo is emptied when full.
-MEMO_ENTRIES = 800_000
+MEMO_ENTRIES = 1_000_000
 
 
 class WordEncoder:
