@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, with_columns_of
+from .common import SPACE, materialize, shared_dir, with_columns_of
 
 WEIGHTS = (3, 1, 2)
 SHARE, MOST = 1.5, 2.0
@@ -68,7 +68,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     if cut not in ("word", "document"):
         raise ValueError(f"cut: {cut}")
     key = F.xxhash64(F.col("doc_id"), F.lit(seed))
-    rows = sizes(docs, id_col, text_col, source_col).withColumn("key", key).withColumn("range", F.shiftright(F.col("key"), 64 - RANGE_BITS).cast("int"))
+    counted = materialize(sizes(docs, id_col, text_col, source_col), f"{shared_dir(docs.sparkSession)}/sizes")  # texts are read once
+    rows = counted.withColumn("key", key).withColumn("range", F.shiftright(F.col("key"), 64 - RANGE_BITS).cast("int"))
     spread = rows.select(F.struct(F.col("source").isNull().alias("none"), F.coalesce(F.col("source"), F.lit("")).alias("name")).alias("group"), "doc_id", "source", "size", "key", "range")
     ranges = spread.groupBy("group", "range").agg(F.sum("size").alias("range_size"))
     earlier = Window.partitionBy("group").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
