@@ -672,8 +672,11 @@ def relative_imports(spark, sf_dir):
 
 
 def queries() -> dict[str, Query]:
+    from . import more_queries  # noqa: F401  registers its own
+
     return QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return SQL
