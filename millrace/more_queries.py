@@ -226,7 +226,7 @@ def run_states(spark, sf_dir):
     return W.run_states(e).drop("error_message")
 
 
-@registered("select user_id as id, min(epoch_ms(ts)) as next_wake_ms from events where value > 10 group by user_id having min(epoch_ms(ts)) <= (select epoch_ms(max(ts)) from events)")
+@registered("select user_id as id, min(epoch_us(ts) // 1000) as next_wake_ms from events where value > 10 group by user_id having min(epoch_us(ts)) <= (select epoch_us(max(ts)) from events)")
 def due_jobs(spark, sf_dir):
     e = table(spark, sf_dir, "events").where("value > 10").groupBy(F.col("user_id").alias("id")).agg(F.min(F.expr(_MILLIS)).alias("next_run_at_ms")).withColumn("enabled", F.lit(True))
     now = table(spark, sf_dir, "events").agg(F.max(F.expr(_MILLIS))).first()[0]
