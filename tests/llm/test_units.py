@@ -173,5 +173,13 @@ def test_windows_of_a_repeating_text_are_few():
 def test_verified_passage():
     base = [f"w{i}" for i in range(70)]
     a, b = ["x"] * 5 + base + ["y"] * 9, ["p"] * 40 + base + ["q"] * 3
-    assert passages.verified(a, b, 45, 50, 35, 35)[:4] == (5, 75, 40, 110)
-    assert passages.verified(a, ["z"] * 200, 45, 50, 35, 35) is None
+    assert [x[:4] for x in passages.verified(a, b, 45, 50, 35, 35)] == [(5, 75, 40, 110)]
+    assert passages.verified(a, ["z"] * 200, 45, 50, 35, 35) == []
+
+
+def test_passages_inside_dissimilar_regions():
+    """A candidate that spans two copied passages with edits and a shift between them gives both."""
+    one, two = [f"a{i}" for i in range(60)], [f"b{i}" for i in range(70)]
+    a, b = one + [f"x{i}" for i in range(80)] + two, ["lead"] * 9 + one + [f"y{i}" for i in range(95)] + two
+    found = passages.verified(a, b, 9, 9 + 60 + 95 + 20, 9, 24)
+    assert sorted(x[2:4] for x in found) == [(9, 69), (164, 234)] and all(x[4] == 1.0 for x in found)
