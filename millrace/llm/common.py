@@ -77,8 +77,10 @@ def default_tokenizer(name: str) -> str:
 
 
 def worker_cache(key, make, _kept={}):
-    """One object per Python worker and key, made at first use."""
+    """One object per Python worker, made at first use and kept until an operator asks for another: the memos of
+    several operators that follow each other don't add up."""
     if key not in _kept:
+        _kept.clear()
         _kept[key] = make()
     return _kept[key]
 
