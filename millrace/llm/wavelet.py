@@ -197,7 +197,7 @@ class WordEncoder:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a worker per core
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.library = Tokenizer.from_file(local_file(path))
         self.library.no_truncation()
@@ -205,17 +205,21 @@ class WordEncoder:
         self.by_piece = _drops_space(path)
         self.memo: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
+        # the same vocabulary and merges for words that need neither normalising nor splitting
+        self.plain = Tokenizer.from_file(path)
+        self.plain.normalizer = normalizers.Sequence([])
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, trim_offsets=True, use_regex=False)])
         self.ends_word = np.array([name.endswith("</w>") for name, _ in sorted(self.library.get_vocab().items(), key=lambda x: x[1])])
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _encode_words(self, words: list[str]) -> list[bytes]:
-        """Words of plain letters, many in one call: the last token of each ends a word, no other does."""
+        """Lower-case words of plain letters, many in one call: the last token of each ends a word, no other does."""
         out = []
-        for at in range(0, len(words), 512):
-            own = words[at : at + 512]
-            ids = np.array(self.library.encode(" ".join(own), add_special_tokens=False).ids, "<u4")
+        for at in range(0, len(words), 64):
+            own = words[at : at + 64]
+            ids = np.array(self.plain.encode(" ".join(own), add_special_tokens=False).ids, "<u4")
             ends = np.flatnonzero(self.ends_word[ids]) + 1
             if len(ends) != len(own):
                 return self._encode(words)
@@ -226,25 +230,26 @@ class WordEncoder:
     def _learn(self, pieces: list[str]) -> None:
         if len(self.words) > MEMO_ENTRIES:
             self.words.clear()
-        words, memo, plain, odd, new = self.words, self.memo, [], [], {}
+        words, memo, match, waiting, odd, new = self.words, self.memo, _LETTERS.fullmatch, [], [], {}
         for piece in pieces:
-            if found := _LETTERS.fullmatch(piece):
-                letters, marks = found.groups()
-                letters = letters.lower()
-                plain.append((piece, letters, marks))
-                if letters not in words:
-                    new[letters] = None
-                if marks and marks not in words:
-                    odd.append(marks)
-            else:
+            found = match(piece)
+            if not found:
                 odd.append(piece)
+                continue
+            letters, marks = found.groups()
+            letters = letters.lower()
+            ids, tail = words.get(letters), words.get(marks) if marks else b""
+            if ids is not None and tail is not None:
+                memo[piece] = ids + tail
+                continue
+            waiting.append((piece, letters, marks))
+            if ids is None:
+                new[letters] = None
+            if tail is None:
+                words[marks] = self._encode([marks])[0]
         words.update(zip(new, self._encode_words(list(new)), strict=True))
-        odd = list(dict.fromkeys(odd))
-        for piece, ids in zip(odd, self._encode(odd), strict=True):
-            memo[piece] = ids
-            if not piece[0].isalnum() and _LETTERS.fullmatch("a" + piece):
-                words[piece] = ids
-        for piece, letters, marks in plain:
+        memo.update(zip(odd, self._encode(odd), strict=True))
+        for piece, letters, marks in waiting:
             memo[piece] = words[letters] + words[marks] if marks else words[letters]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
