@@ -371,6 +371,14 @@ def code_block(code: Column, language: Column, path: Column, line: Column) -> Co
     return F.concat(F.lit("```"), _text(language), F.when(_text(path) != "", F.concat(F.lit(" - "), path)).otherwise(F.lit("")), F.when(line.isNotNull(), F.format_string(" (Line %d)", line)).otherwise(F.lit("")), F.lit("\n"), _text(code), F.lit("\n```"))
 
 
+def first_match(name: Column, rules: list[tuple[str, str]], default: str | None = None) -> Column:
+    """The value of the first keyword that a name contains, but for case: provider by model name."""
+    found = F.lit(default).cast("string")
+    for keyword, value in reversed(rules):
+        found = F.when(F.lower(name).contains(keyword.lower()), F.lit(value)).otherwise(found)
+    return found
+
+
 def normal_name(name: Column) -> Column:
     """For comparing names: trimmed, lower-cased, without quotes (ST25)."""
     return F.lower(F.trim(F.regexp_replace(_text(name), "[\"'`]", "")))

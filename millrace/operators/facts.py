@@ -226,6 +226,16 @@ def element_bridge(symbols: DataFrame) -> DataFrame:
     return symbols.where("element_id is not null").groupBy("element_id").agg(F.min("symbol_id").alias("symbol_id"))
 
 
+def source_refs(nodes: DataFrame, documents: DataFrame, symbols: DataFrame, snapshot: DataFrame) -> DataFrame:
+    """node, ref of projected nodes: the symbol's place, else the document, else unknown, with repository and commit
+    (Z23). snapshot: one row of repo_name, commit_id."""
+    s = symbols.select(F.col("symbol_id").alias("node"), F.struct(F.lit("symbol").alias("kind"), "path", "start_line", "end_line").alias("s"))
+    d = documents.select(F.col("doc_id").alias("node"), F.struct(F.lit("document").alias("kind"), "path", F.lit(None).cast("int").alias("start_line"), F.lit(None).cast("int").alias("end_line")).alias("d"))
+    none = F.struct(F.lit("unknown").alias("kind"), F.lit("").alias("path"), F.lit(None).cast("int").alias("start_line"), F.lit(None).cast("int").alias("end_line"))
+    x = nodes.join(s, "node", "left").join(d, "node", "left").crossJoin(F.broadcast(snapshot.select("repo_name", "commit_id").limit(1)))
+    return x.select("node", F.struct("repo_name", "commit_id", F.coalesce("s", "d", none).alias("at")).alias("ref"))
+
+
 # -- lineage ------------------------------------------------------------------------
 def lineage(snapshot: DataFrame, manifest: DataFrame, documents: DataFrame, symbols: DataFrame, commits: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) of what a publication came from (G16): repository, branch, commit, snapshot, manifest, run,

@@ -117,6 +117,30 @@ def file_elements(files: DataFrame, elements: DataFrame, score: float = 0.8) ->
     return own.where(F.contains("relative_path", F.col("wanted"))).drop("wanted").dropDuplicates(["id"]).withColumn("total_score", F.lit(score)).withColumn("llm_file_selected", F.lit(True))
 
 
+def fallback_files(candidates: DataFrame, elements: DataFrame, most: int = 10) -> DataFrame:
+    """The file rows of the first candidates (repo_name, path, ord), where nothing was selected."""
+    first = candidates.orderBy("ord", "repo_name", "path").limit(most)
+    return file_elements(first, elements)
+
+
+def tool_call_log(log: DataFrame, calls: DataFrame, round_number: int) -> DataFrame:
+    """The log with a round's calls; parameters as JSON in order of their names."""
+    row = calls.select(F.lit(round_number).alias("round"), "call_id", "tool", F.to_json(F.array_sort(F.map_entries("parameters"))).alias("parameters_json"))
+    return log.unionByName(row)
+
+
+def calls_before(log: DataFrame, round_number: int) -> DataFrame:
+    """What a round's prompt shows of the rounds before it."""
+    return log.where(F.col("round") < round_number).orderBy("round", "call_id")
+
+
+def union_of_tools(*results: DataFrame) -> DataFrame:
+    """Candidates of several tools as one list without repeats, at most what each tool's own limits gave."""
+    both = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), results)
+    best = Window.partitionBy("__identity").orderBy(F.desc("total_score"), "id")
+    return both.withColumn("__identity", identity(both)).withColumn("__r", F.row_number().over(best)).where("__r = 1").drop("__identity", "__r")
+
+
 def children_of_file(elements: DataFrame, repo: str, path: str) -> DataFrame:
     return elements.where((F.col("repo_name") == repo) & (F.col("relative_path") == path) & F.col("type").isin("class", "function")).orderBy("start_line", "id")
 

@@ -143,6 +143,31 @@ class Engine:
         """Ranked elements for a question in one plan (Entry B)."""
         return hybrid(self.elements(snapshot), question, self.query_vector(question), k, self.edges(snapshot), **filters)
 
+    def repositories(self, ref: str = "main") -> DataFrame:
+        """repo_name, snapshot_id of every repository's head."""
+        return W.heads(self.store.read("manifests", "manifests")).where(F.col("ref_name") == ref).select("repo_name", "snapshot_id")
+
+    def search_all(self, question: str, repos: list[str] | None = None, k: int = 10, most_repos: int = 5, **filters: str | None) -> DataFrame:
+        """Ranked elements of several repositories: of those named, else of the most_repos that fit the question best."""
+        heads = {r.repo_name: r.snapshot_id for r in self.repositories().collect()}  # a row per repository
+        own = {r: s for r, s in heads.items() if repos is None or r in repos}
+        if not own:
+            raise ValueError("no such repository")
+        every = [self.elements(s) for s in own.values()]
+        both = every[0]
+        for e in every[1:]:
+            both = both.unionByName(e, allowMissingColumns=True)
+        vector = self.query_vector(question)
+        if repos is None and len(own) > 1:
+            files = both.where("type = 'file'")
+            text = F.array_join(F.array_sort(F.collect_list(F.concat_ws(" ", "relative_path", F.substring("code", 1, 200)))), " ")
+            about = files.groupBy("repo_name").agg(text.alias("text")).withColumn("vector", V.hash_embedding(T.word_tokens(F.col("text")), DIMENSIONS))
+            semantic = Q.vector_top(about.select(F.col("repo_name").alias("id"), "vector"), vector, 2 * most_repos, measure="l2").withColumnRenamed("id", "repo_name")
+            keyword = Q.bm25(about, question, "repo_name").withColumnRenamed("id", "repo_name")
+            fitting = [r.repo_name for r in Q.select_repositories(semantic, keyword, most_repos).collect()]
+            both = Q.in_repositories(both, fitting)
+        return hybrid(both, question, vector, k, **filters)
+
     def query_vector(self, question: str) -> list[float]:
         row = self.spark.range(1).select(V.hash_embedding(T.word_tokens(F.lit(question)), DIMENSIONS).alias("v"))
         return row.first().v
