@@ -80,11 +80,25 @@ def worker_cache(key, make, _kept={}):
     """One object per Python worker, made at first use and kept until an operator asks for another: the memos of
     several operators that follow each other don't add up."""
     if key not in _kept:
-        _kept.clear()
+        if _kept:
+            _kept.clear()
+            _give_back()
         _kept[key] = make()
     return _kept[key]
 
 
+def _give_back() -> None:
+    """Returns freed memory to the system where the C library can."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass
+
+
 def local_file(path: str) -> str:
     if not os.path.exists(path):
         raise FileNotFoundError(f"vocabulary file {path} is not on this machine")
