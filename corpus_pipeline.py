@@ -38,7 +38,8 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it, whole; at the cut, if at least half of it is within."""
     drawn = mixing.mix(docs, cut="document").where("taken > 0").groupBy("doc_id").agg(F.max(F.ceil(F.col("taken") / F.col("size"))).cast("int").alias("__times"))
-    times = docs.join(drawn, "doc_id").withColumn("__time", F.explode(F.sequence(F.lit(1), F.col("__times"))))
+    drawn = drawn.withColumnRenamed("doc_id", "__id")
+    times = docs.join(drawn, docs["doc_id"].eqNullSafe(drawn["__id"])).withColumn("__time", F.explode(F.sequence(F.lit(1), F.col("__times"))))
     return times.select(*_like(docs))
 
 
