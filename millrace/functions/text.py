@@ -247,7 +247,7 @@ def decode_entities(text: Column) -> Column:
 
 
 def strip_html(html: Column) -> Column:
-    """The text of a page: no scripts, styles or tags, entities decoded (ST15)."""
+    """The text of a fetched page: no scripts, styles or tags, entities decoded (ST15, S24)."""
     out = F.regexp_replace(_text(html), r"(?is)<script[^>]*>.*?</script>", "")
     out = F.regexp_replace(out, r"(?is)<style[^>]*>.*?</style>", "")
     return F.trim(decode_entities(F.regexp_replace(out, "(?s)<[^>]+>", "")))
@@ -389,6 +389,6 @@ def name_tokens(name: Column) -> Column:
 
 
 def jaccard(a: Column, b: Column) -> Column:
-    """Of two arrays as sets; 0 if both are empty (ST25)."""
+    """Of two arrays as sets; 0 if both are empty (ST25, U06)."""
     union = F.size(F.array_union(a, b))
     return F.when(union > 0, F.size(F.array_intersect(a, b)) / union).otherwise(F.lit(0.0))

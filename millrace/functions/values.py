@@ -132,19 +132,44 @@ def adaptive_rounds(query_complexity: Column, repo_factor: Column, base: int = 4
 
 
 def edge_distance(weight: Column) -> Column:
+    """How far apart linked nodes are."""
     return 1 / F.greatest(weight, F.lit(0.1))
 
 
 def xref_confidence(weight: Column) -> Column:
+    """How sure a link between clusters is."""
     return F.least(F.lit(1.0), weight / 4)
 
 
 def cluster_importance(n: Column) -> Column:
+    """By size (M09)."""
     return F.least(F.lit(1.0), 0.3 + n / 20)
 
 
 # -- arrays, maps, JSON ---------------------------------------------------------
+def content_digest(content: Column) -> Column:
+    """md5 of a file's bytes."""
+    return F.md5(content.cast("binary"))
+
+
+def ordered_distinct(values: Column) -> Column:
+    """Without repeats, in order of first mention."""
+    return F.array_distinct(values)
+
+
+def to_row_json(*columns: str) -> Column:
+    """Columns as one JSON text; from_json with a schema reads it back (C05). Values of other kinds than JSON's
+    become texts (C08)."""
+    return F.to_json(F.struct(*columns))
+
+
+def now() -> Column:
+    """The time of the query, one for all rows."""
+    return F.current_timestamp()
+
+
 def sorted_set(values: Column) -> Column:
+    """A set as a sorted array."""
     return F.array_sort(F.array_distinct(values))
 
 
@@ -211,6 +236,7 @@ def expires_at(stored: Column, seconds: int = 3600) -> Column:
 
 
 def is_fresh(stored: Column, now: Column, seconds: int) -> Column:
+    """Whether something stored still counts: cache entries, the catalogue's scan."""
     return now < expires_at(stored, seconds)
 
 
@@ -225,7 +251,7 @@ def _field(spec: str, low: int, high: int) -> set[int]:
 
 
 def next_cron(expression: str, after: datetime, tz: str = "UTC") -> datetime | None:
-    """The first minute after the given time that a five-field expression names, in its own time zone."""
+    """The first minute after the given time that a five-field expression names, in its own time zone."""
     minutes, hours, days, months, weekdays = expression.split()
     allowed = _field(minutes, 0, 59), _field(hours, 0, 23), _field(days, 1, 31), _field(months, 1, 12), {d % 7 for d in _field(weekdays, 0, 7)}
     at = after.astimezone(ZoneInfo(tz)).replace(second=0, microsecond=0) + timedelta(minutes=1)

@@ -167,7 +167,7 @@ def merge(ast: dict[str, DataFrame], precise: dict[str, DataFrame] | None) -> di
 
 # -- checks -----------------------------------------------------------------------
 def validate(facts: dict[str, DataFrame]) -> DataFrame:
-    """rule, detail of each violation of the eleven integrity rules."""
+    """rule, detail of each violation of the eleven integrity rules (J20); edges may end in documents and symbols."""
     documents, symbols, occurrences, edges = (facts[k] for k in ("documents", "symbols", "occurrences", "edges"))
     ids, names = documents.select(F.col("doc_id").alias("i")).distinct(), symbols.select(F.col("symbol_id").alias("i")).distinct()
     nodes = ids.union(names).distinct()

@@ -66,10 +66,12 @@ def compose(first: DataFrame, second: DataFrame) -> DataFrame:
 
 # -- neighbours and reach ---------------------------------------------------------
 def successors(edges: DataFrame, node: str) -> DataFrame:
+    """What a node points to: dependencies, superclasses or callees, by the graph."""
     return edges.where(F.col("src") == node).select(F.col("dst").alias("node")).distinct()
 
 
 def predecessors(edges: DataFrame, node: str) -> DataFrame:
+    """What points to a node: dependents, subclasses or callers."""
     return edges.where(F.col("dst") == node).select(F.col("src").alias("node")).distinct()
 
 
@@ -347,7 +349,7 @@ def chunks(labels: DataFrame, titles: DataFrame, most: int = 64) -> DataFrame:
 
 
 def project(graph: DataFrame, titles: DataFrame, scope_kind: str = "snapshot", rounds: int = 20) -> dict[str, DataFrame]:
-    """Layers L0, L1, L2 and chunks of a weighted graph (G15): communities, representatives, backbone, links."""
+    """Layers L0, L1, L2 and chunks of a weighted graph with what they cover (G15, A24): communities, representatives, backbone, links."""
     damped = damp_hubs(graph)
     folder = work_folder(graph.sparkSession)
     labels = written(label_communities(damped), f"{folder}/labels")

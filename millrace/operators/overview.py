@@ -19,6 +19,7 @@ def count_by_repository(rows: DataFrame) -> DataFrame:
 
 
 def total(rows: DataFrame) -> DataFrame:
+    """How many rows there are."""
     return rows.agg(F.count(F.lit(1)).alias("elements"))
 
 

@@ -272,7 +272,7 @@ def pattern_rows(text: str | None, language: str) -> list[dict]:
     return rows
 
 
-#: language -> function of a text to definition rows; others can be added.
+#: language -> function of a text to definition rows; others can be added, grammars kept once per worker.
 PARSERS: dict[str, Callable[[str | None], list[dict]]] = {"python": python_definitions} | {name: (lambda t, n=name: [r for r in pattern_rows(t, n) if r["kind"] != "import"]) for name in PATTERNS}
 
 

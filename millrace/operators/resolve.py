@@ -45,6 +45,7 @@ def map_problems(modules: DataFrame, exports: DataFrame, files: DataFrame) -> Da
 
 
 def exports_of(exports: DataFrame, module: str) -> DataFrame:
+    """What a module exports."""
     return exports.where(F.col("module") == module).select("symbol", "id")
 
 
@@ -190,6 +191,11 @@ def related_elements(elements: DataFrame, nodes: DataFrame, bridge: DataFrame) -
     return elements.join(by_id, "id", "left_semi")
 
 
+def file_of_module(modules: DataFrame, module: str) -> DataFrame:
+    """repo_name, file_id of a module."""
+    return modules.where(F.col("module") == module).select("repo_name", "file_id")
+
+
 def latest_first(rows: DataFrame, keys: list[str], ord_col: str = "ord") -> DataFrame:
     """The first row of each key by ord."""
     w = Window.partitionBy(*keys).orderBy(ord_col)

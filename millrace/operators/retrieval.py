@@ -49,7 +49,8 @@ def _count_of(tokens: str, term: str) -> Column:
 
 
 def bm25(corpus: DataFrame, query: str, id_col: str = "id", text_col: str = "text") -> DataFrame:
-    """id, score > 0 of the documents that have a term of the query (W05). Repeated query terms count each time.
+    """id, score > 0 of the documents that have a term of the query (W05), of elements as of overviews.
+    Repeated query terms count each time.
 
     One pass counts the corpus, one explodes only the query's terms; the mean idf that replaces negative
     ones needs the document frequency of every term, which is pre-aggregated in each task.
@@ -91,7 +92,7 @@ def top(scored: DataFrame, k: int, score: str = "score", id_col: str = "id") ->
 
 
 def vector_top(vectors: DataFrame, query: list[float], k: int, min_score: float | None = None, measure: str = "cosine", where: Column | None = None) -> DataFrame:
-    """id, score of the k vectors nearest to one query vector (W01, W03); vectors: id, vector."""
+    """id, score of the k vectors nearest to one query vector, exactly (W01, W03, W04); vectors: id, vector."""
     own = vectors if where is None else vectors.where(where)
     q = F.array(*[F.lit(float(x)) for x in query])
     score = {"cosine": V.cosine, "l2_squared": V.squared_l2_similarity, "l2": V.l2_similarity}[measure](F.col("vector"), q)
@@ -152,7 +153,7 @@ def rerank(rows: DataFrame, type_col: str = "type") -> DataFrame:
 
 
 def diversify(rows: DataFrame, penalty: float = 0.1, file_col: str = "file_path") -> DataFrame:
-    """All but the best row of a file lose a flat share of their scores."""
+    """All but the best row of a file lose a flat share of their scores, not a growing one."""
     order = Window.partitionBy(F.coalesce(F.col(file_col), F.lit(""))).orderBy(F.desc("total_score"), "id")
     again = F.row_number().over(order) > 1
     return scaled(rows.withColumn("__again", again), F.when(F.col("__again"), F.lit(1 - penalty)).otherwise(F.lit(1.0))).drop("__again")
@@ -168,7 +169,7 @@ def boost_selected(rows: DataFrame, selected: DataFrame, factor: float = 1.3) ->
 
 # -- filters ------------------------------------------------------------------------
 def apply_filters(rows: DataFrame, language: str | None = None, type: str | None = None, file_path: str | None = None, snapshot_id: str | None = None, extension: str | None = None) -> DataFrame:
-    """Rows that meet every filter that is given; file_path by containment."""
+    """Rows that meet every filter that is given, the extension too; file_path by containment."""
     tests = [F.lit(True)]
     if language is not None:
         tests.append(F.col("language") == language)
@@ -191,19 +192,22 @@ def in_repositories(rows: DataFrame, repos: list[str] | None) -> DataFrame:
 
 
 def by_file(rows: DataFrame, path: str) -> DataFrame:
+    """Rows of a file, by either path."""
     return rows.where((F.col("file_path") == path) | (F.col("relative_path") == path))
 
 
 def by_type(rows: DataFrame, kind: str, most: int = 50) -> DataFrame:
+    """The first rows of a type by id: a report."""
     return rows.where(F.col("type") == kind).orderBy("id").limit(most)
 
 
 def delete_where(rows: DataFrame, condition: Column) -> DataFrame:
-    """The rows that don't meet the condition, those where it is null among them."""
+    """The rows that don't meet the condition, those where it is null among them; the vectors go with their rows."""
     return rows.where(~F.coalesce(condition, F.lit(False)))
 
 
 def with_embedding(rows: DataFrame) -> DataFrame:
+    """Rows that have a vector."""
     return rows.where(F.col("embedding").isNotNull())
 
 
@@ -282,6 +286,19 @@ def list_directory(files: DataFrame, parent: str = "", hidden: bool = False) ->
     return (entries if hidden else entries.where(~F.startswith("name", F.lit(".")))).orderBy(F.desc("is_directory"), "name")
 
 
+def list_directories(files: DataFrame, parent: str = "", hidden: bool = False) -> DataFrame:
+    """The same in every repository at once (F11). files: repo_name, path."""
+    prefix = parent.rstrip("/") + "/" if parent else ""
+    rest = F.substr(F.col("path"), F.lit(len(prefix) + 1))
+    entries = files.where(F.startswith("path", F.lit(prefix))).select("repo_name", F.substring_index(rest, "/", 1).alias("name"), F.contains(rest, F.lit("/")).alias("is_directory")).distinct()
+    return (entries if hidden else entries.where(~F.startswith("name", F.lit(".")))).orderBy("repo_name", F.desc("is_directory"), "name")
+
+
+def overviews_of(overviews: DataFrame, repos: DataFrame) -> DataFrame:
+    """The overviews of chosen repositories."""
+    return overviews.join(repos.select("repo_name").distinct(), "repo_name", "left_semi")
+
+
 def symbol_search(elements: DataFrame, name: str, most: int = 20) -> DataFrame:
     """Elements by name, exact before prefix before containment, but for case."""
     low = F.lower("name")

@@ -29,7 +29,7 @@ def priority(rows: DataFrame) -> DataFrame:
 
 def prune_to_budget(rows: DataFrame, budget: int, group: str | None = None, least: int = 5) -> DataFrame:
     """The rows of each group that a greedy pass by priority takes (W14): the first always; then each that fits
-    the lines left; one that doesn't fit is skipped, and ends the pass once `least` rows are taken.
+    the lines left; one that doesn't fit is skipped, and ends the pass once `least` rows are taken (Q24).
 
     An ordered fold per group, in the JVM. A group is one answer's candidates (at most some hundreds); the
     rows themselves don't travel through it, only id, lines and order.
@@ -142,9 +142,30 @@ def union_of_tools(*results: DataFrame) -> DataFrame:
 
 
 def children_of_file(elements: DataFrame, repo: str, path: str) -> DataFrame:
+    """Classes and functions of a file in order."""
     return elements.where((F.col("repo_name") == repo) & (F.col("relative_path") == path) & F.col("type").isin("class", "function")).orderBy("start_line", "id")
 
 
+def parameter_problems(calls: DataFrame, schema: dict[str, dict[str, tuple[str, bool]]]) -> DataFrame:
+    """calls (call_id, tool, parameters map) with problems: unknown tools, missing names and values of a wrong kind
+    (F18). schema: tool -> name -> (string, integer, number or boolean; whether it is needed)."""
+    kinds = {"integer": "bigint", "number": "double", "boolean": "boolean"}
+    found = F.array().cast("array<string>")
+    for tool, names in schema.items():
+        own = []
+        for name, (kind, needed) in names.items():
+            value = F.element_at("parameters", F.lit(name))
+            if needed:
+                own.append(F.when(value.isNull(), F.lit(f"missing {name}")))
+            if kind in kinds:
+                own.append(F.when(value.isNotNull() & value.try_cast(kinds[kind]).isNull(), F.lit(f"{name} should be {kind}")))
+        extra = F.transform(F.array_except(F.map_keys("parameters"), F.array(*[F.lit(n) for n in names])), lambda k: F.concat(F.lit("unknown "), k))
+        problems = F.concat(F.filter(F.array(*own) if own else F.array().cast("array<string>"), lambda x: x.isNotNull()), extra)
+        found = F.when(F.col("tool") == tool, problems).otherwise(found)
+    known = F.col("tool").isin(*schema)
+    return calls.withColumn("problems", F.when(known, found).otherwise(F.array(F.concat(F.lit("unknown tool "), F.col("tool")))))
+
+
 def tool_calls_to_make(proposed: DataFrame, made: DataFrame) -> DataFrame:
     """Proposed calls (call_id, tool, parameters map) that no earlier round made and none before them repeats."""
     canonical = F.to_json(F.struct(F.lower(F.trim("tool")).alias("tool"), F.array_sort(F.map_entries("parameters")).alias("parameters")))

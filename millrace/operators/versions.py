@@ -42,6 +42,7 @@ def insert_new(table: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def delete_keys(table: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
+    """The table without the rows of some keys, such as a session's turns."""
     return table.join(gone.select(*keys).distinct(), keys, "left_anti")
 
 
@@ -122,7 +123,7 @@ def retry_summary(results: DataFrame) -> DataFrame:
 
 # -- dialogue -----------------------------------------------------------------------------
 def last_turns(turns: DataFrame, n: int, session: str = "session_id", turn: str = "turn_number") -> DataFrame:
-    """Turns whose number is among the last n, oldest first; missing ones leave gaps."""
+    """Turns whose number is among the last n, oldest first; missing ones leave gaps."""
     most = Window.partitionBy(session)
     return turns.withColumn("__m", F.max(turn).over(most)).where(F.col(turn) > F.col("__m") - n).drop("__m").orderBy(session, turn)
 
@@ -134,6 +135,7 @@ def last_messages(messages: DataFrame, n: int = 50, session: str = "session_id",
 
 
 def next_turn(turns: DataFrame, session: str = "session_id", turn: str = "turn_number") -> DataFrame:
+    """The number of each session's next turn."""
     return turns.groupBy(session).agg((F.coalesce(F.max(turn), F.lit(0)) + 1).alias("next_turn"))
 
 

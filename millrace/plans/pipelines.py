@@ -74,7 +74,12 @@ def index_files(files: DataFrame, repo: str, snapshot: str, precise: DataFrame |
 
 
 class Engine:
-    """Index, query, project and publish over one store."""
+    """Index, query, project and publish over one store.
+
+    answer: a model that turns a prompt into text (X01, X04); without it, a list of what was found. embedding: a
+    function of (id, text) to (id, vector). A store under a temporary root makes an engine for trials (Z20); what
+    is stored is loaded, what isn't is made from the elements again (Z19).
+    """
 
     def __init__(self, spark: SparkSession, root: str, answer: Callable[[str], str] | None = None, embedding: Callable | None = None):
         self.spark, self.store, self.answer, self.embedding = spark, Store(spark, root), answer, embedding
@@ -249,7 +254,8 @@ def hybrid(elements: DataFrame, question: str, vector: list[float], k: int = 10,
 
 
 def refine(first: DataFrame, more: DataFrame, budget: int = 12_000) -> DataFrame:
-    """A round of refinement: both lists merged without repeats, priorities, the line budget."""
+    """A round of refinement: both lists merged without repeats, priorities, the line budget (Z08, Z31, W14, W17);
+    without anything new, the first list within its budget."""
     both = S.merge_elements(first, S.only_new(first, more))
     for name, kind in (("agent_found", "boolean"), ("llm_file_selected", "boolean"), ("selection_granularity", "string")):
         if name not in both.columns:

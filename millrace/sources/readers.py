@@ -147,6 +147,23 @@ def read_zip(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "relative_path string, content string")
 
 
+# -- other programs -----------------------------------------------------------------------
+def clone(url: str, target: str, ref: str | None = None, seconds: int = 600) -> str:
+    """A shallow clone of a repository into a folder that all executors reach (S05); scan() reads it."""
+    import subprocess
+
+    subprocess.run(["git", "clone", "--depth", "1", *(["--branch", ref] if ref else []), "--", url, target], check=True, capture_output=True, timeout=seconds)
+    return target
+
+
+def run_indexer(command: Sequence[str], root: str, out: str, seconds: int = 3600) -> str:
+    """Runs an external indexer that writes JSON (S11); read_index() reads it. {root} and {out} stand for the paths."""
+    import subprocess
+
+    subprocess.run([c.format(root=root, out=out) for c in command], check=True, capture_output=True, timeout=seconds)
+    return out
+
+
 # -- stored tables ------------------------------------------------------------------------
 def read_relation(spark: SparkSession, path: str, relation: str | None = None) -> DataFrame:
     """A stored table, with its schema given rather than inferred where it is one of the relations.
@@ -161,7 +178,8 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_chat_sessions(spark: SparkSession, path: str) -> DataFrame:
-    """session file, ord, role, content, timestamp of JSONL sessions, their metadata lines left out."""
+    """session file, ord, role, content, timestamp of JSONL sessions, their metadata lines left out (S23). The file names the
+    session, so its key is never rebuilt from a name (Q21)."""
     rows = spark.read.schema("_type string, role string, content string, timestamp string").json(path)
     return rows.where("_type is null or _type <> 'metadata'").select(F.input_file_name().alias("session_id"), F.monotonically_increasing_id().alias("ord"), "role", "content", F.to_timestamp("timestamp").alias("timestamp"))
 

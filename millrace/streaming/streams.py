@@ -1,5 +1,7 @@
 """Streams: incremental re-indexing, message routing, run and task states, hidden summaries, sessions.
 
+An answer that arrives in pieces is a stream of chunks here (R01); how it reaches a client is not (R03).
+
 All run on Structured Streaming with a checkpoint in a shared folder; sinks are idempotent per micro-batch.
 """
 

@@ -191,3 +191,15 @@ def test_task_stream(spark, tmp_path):
     got = []
     states.writeStream.outputMode("update").option("checkpointLocation", f"file://{tmp_path}/k").foreachBatch(lambda df, _: got.extend(df.collect())).trigger(availableNow=True).start().awaitTermination()
     assert [(r.status, r.attempts) for r in got] == [("completed", 1)]
+
+
+def test_parameter_problems(spark):
+    calls = spark.createDataFrame([(1, "grep", {"term": "x", "most": "5"}), (2, "grep", {"most": "five", "odd": "1"}), (3, "rm", {})], "call_id int, tool string, parameters map<string,string>")
+    schema = {"grep": {"term": ("string", True), "most": ("integer", False)}}
+    got = {r.call_id: sorted(r.problems) for r in S.parameter_problems(calls, schema).collect()}
+    assert got == {1: [], 2: ["missing term", "most should be integer", "unknown odd"], 3: ["unknown tool rm"]}
+
+
+def test_listing_of_several_repositories(spark):
+    files = spark.createDataFrame([("a", "src/x.py"), ("b", "src/d/y.py"), ("b", "src/.z")], "repo_name string, path string")
+    assert [(r.repo_name, r.name, r.is_directory) for r in Q.list_directories(files, "src").collect()] == [("a", "x.py", False), ("b", "d", True)]
