@@ -185,9 +185,9 @@ def _packed(bits: np.ndarray) -> np.ndarray:
 _NOT_SPACE = "\x1c\x1d\x1e\x1f"
 _PIECE = re.compile(r"[^ \n]+")
 #: A run of plain letters and the marks after it are pre-tokens of their own, and lower-casing a letter needs no context.
-_LETTERS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
+_LETTERS, _MARKS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)"), frozenset(".,;:!?")
 #: Pieces, and words of plain letters, kept per worker; either memo is emptied when full.
-MEMO_ENTRIES = 1_000_000
+MEMO_ENTRIES = 1_500_000
 
 
 class WordEncoder:
@@ -232,12 +232,16 @@ class WordEncoder:
             self.words.clear()
         words, memo, match, waiting, odd, new = self.words, self.memo, _LETTERS.fullmatch, [], [], {}
         for piece in pieces:
-            found = match(piece)
-            if not found:
+            if piece.isalpha() and piece.isascii():  # what the pattern finds, sooner
+                letters, marks = piece.lower(), ""
+            elif piece[-1] in _MARKS and piece.isascii() and piece[:-1].isalpha():
+                letters, marks = piece[:-1].lower(), piece[-1]
+            elif found := match(piece):
+                letters, marks = found.groups()
+                letters = letters.lower()
+            else:
                 odd.append(piece)
                 continue
-            letters, marks = found.groups()
-            letters = letters.lower()
             ids, tail = words.get(letters), words.get(marks) if marks else b""
             if ids is not None and tail is not None:
                 memo[piece] = ids + tail
@@ -262,7 +266,7 @@ class WordEncoder:
             pieces = _PIECE.findall(text) if any(c in text for c in _NOT_SPACE) else text.split()
             ids = list(map(memo.get, pieces))
             unknown = [i for i, x in enumerate(ids) if x is None]
-            new.update((pieces[i], None) for i in unknown)
+            new.update(dict.fromkeys([pieces[i] for i in unknown]))
             cut.append((pieces, ids, unknown))
         if new:
             self._learn(list(new))
