@@ -266,7 +266,7 @@ def html_to_markdown(html: Column) -> Column:
 
 
 def normal_blanks(text: Column) -> Column:
-    return F.trim(F.regexp_replace(F.regexp_replace(text, r"[ \t]+", " "), r"\n{3,}", "\n\n"))
+    return _stripped(F.regexp_replace(F.regexp_replace(text, r"[ \t]+", " "), r"\n{3,}", "\n\n"))
 
 
 # -- paths and names --------------------------------------------------------
