@@ -10,6 +10,8 @@ from millrace.llm.common import materialize, shared_dir
 
 #: A text whose language is less certain than this is rejected, and so is one without letters.
 LEAST_SCORE = 0.4
+#: Chunks that a worker of the last stage remembers: executors still hold what the stages before left in memory.
+BPE_MEMO = 200_000
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
@@ -45,7 +47,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens and digests of the ids and of what they decode to."""
-    return queries.bpe_digests(docs)
+    return queries.bpe_digests(docs, BPE_MEMO)
 
 
 STAGES = [("language", language), ("exact", exact), ("near", near), ("mixture", mixture), ("tokens", tokens)]

@@ -49,10 +49,10 @@ _KNOWN_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]
 class ByteBPE:
     """Encoder and decoder of one rank file."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, memo_entries: int = MEMO_ENTRIES):
         import regex
 
-        self.ranks = ranks
+        self.ranks, self.memo_entries = ranks, memo_entries
         self.split = regex.compile(pattern).findall
         self.bytes_of = {rank: piece for piece, rank in ranks.items()}
         missing = [b for b in range(256) if bytes([b]) not in ranks]
@@ -68,9 +68,9 @@ class ByteBPE:
         self.plain = pattern == _KNOWN_PATTERN
 
     @classmethod
-    def from_file(cls, path: str, pattern: str) -> ByteBPE:
+    def from_file(cls, path: str, pattern: str, memo_entries: int = MEMO_ENTRIES) -> ByteBPE:
         with open(local_file(path), "rb") as lines:
-            return cls({base64.b64decode(a): int(b) for a, b in map(bytes.split, filter(bytes.strip, lines))}, pattern)
+            return cls({base64.b64decode(a): int(b) for a, b in map(bytes.split, filter(bytes.strip, lines))}, pattern, memo_entries)
 
     def merge(self, pieces: list[bytes]) -> list[bytes]:
         """The packed ids of pre-tokens, none of them empty.
@@ -170,7 +170,7 @@ class ByteBPE:
 
     def _learn(self, chunks: set[str]) -> None:
         """Puts the ids of chunks into the memo."""
-        if len(self.pieces) > MEMO_ENTRIES:
+        if len(self.pieces) > self.memo_entries:
             self.pieces.clear()
         packed, waiting, memo = self.pieces, {}, self.memo
         parts = [(c, self._split(c)) for c in chunks]
@@ -193,7 +193,7 @@ class ByteBPE:
 
     def encode_batch(self, texts: list[str | None]) -> list[np.ndarray]:
         """The ids of each text; what is new to this worker is merged together."""
-        if len(self.memo) > MEMO_ENTRIES:
+        if len(self.memo) > self.memo_entries:
             self.memo.clear()
         memo, cut, new = self.memo, [], set()
         for text in texts:
@@ -219,11 +219,11 @@ class ByteBPE:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
 
-def _codec(path: str, pattern: str) -> ByteBPE:
-    return worker_cache(("bpe", path, pattern), lambda: ByteBPE.from_file(path, pattern))
+def _codec(path: str, pattern: str, memo_entries: int = MEMO_ENTRIES) -> ByteBPE:
+    return worker_cache(("bpe", path, pattern, memo_entries), lambda: ByteBPE.from_file(path, pattern, memo_entries))
 
 
-def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", decode: bool = False) -> DataFrame:
+def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", decode: bool = False, memo_entries: int = MEMO_ENTRIES) -> DataFrame:
     """One row per row of docs: its id column, ids array<int> and, if asked, decoded binary (from those ids).
 
     No shuffle: each task encodes its own rows. Null text: no ids, empty bytes.
@@ -233,7 +233,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "do
     kind = rows.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(path, pattern)
+        codec = _codec(path, pattern, memo_entries)
         for batch in batches:
             ids = codec.encode_batch(batch.column(1).to_pylist())
             ends = np.cumsum([0, *map(len, ids)])

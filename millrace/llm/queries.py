@@ -51,10 +51,10 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
-def bpe_digests(docs: DataFrame) -> DataFrame:
+def bpe_digests(docs: DataFrame, memo_entries: int = bpe.MEMO_ENTRIES) -> DataFrame:
     import public_tokenizers
 
-    encoded = bpe.encode_documents(docs, default_tokenizer(BYTE_TOKENIZER), public_tokenizers.PATTERN, decode=True)
+    encoded = bpe.encode_documents(docs, default_tokenizer(BYTE_TOKENIZER), public_tokenizers.PATTERN, decode=True, memo_entries=memo_entries)
     ids = F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256)
     return encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), ids.alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
