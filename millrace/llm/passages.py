@@ -10,9 +10,10 @@ overlap on one diagonal, the texts hold a likely near-duplicate passage. It is
 extended over the words around that agree, and verified: the shingles themselves
 must have a Jaccard similarity of at least 0.8 over MIN_WORDS words or more.
 
-Within one hash's group each window meets the windows of the smallest document, of
-the document just before it and of one chosen by chance, not all others; so a group
-of any size gives three candidates a member, and each member of repeats is found.
+Within one hash's group each window first meets the windows of the smallest document,
+of the document just before it and of one chosen by chance. What that verifies joins
+passages to classes. Then all windows of a group that aren't of one class meet each
+other; so the only pairs never compared are those whose passages are joined already.
 
 Edge cases: null texts and texts of fewer than MIN_WORDS words have no passages;
 identical texts are one text for the search, and each of its copies is reported
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .common import SPACE, materialize, shared_dir, small_batches, with_columns_of, words, worker_cache
 from .near_dup import few_or_shuffled
-from .shingles import WIDTH, Shingler, mixed
+from .shingles import WIDTH, Shingler, components, mixed
 
 MIN_WORDS = 50
 HASHES, ENOUGH = 8, 4
@@ -86,10 +87,11 @@ def unpacked(window: int) -> tuple[int, int, int, int]:
     return window >> 58, c - (window >> _REACH_BITS & _REACH), c, c + (window & _REACH)
 
 
-def candidate_passages(meetings: list[tuple[int, int]]) -> list[tuple[int, int, int, int]]:
-    """Interval join of the windows (of a, of b) in which two texts meet: first and last start in b, and the diagonals there."""
+def candidate_passages(meetings: list[tuple[int, int]], joined: list[tuple[int, int]] = ()) -> list[tuple[int, int, int, int]]:
+    """Interval join of the windows (of a, of b) in which two texts meet: first and last start in b, and the diagonals there.
+    Windows whose passages are joined already count as others do, but don't make a candidate alone."""
     by_diagonal = []
-    for window_a, window_b in meetings:
+    for i, (window_a, window_b) in enumerate([*meetings, *joined]):
         order, la, ca, ra = unpacked(window_a)
         _, lb, cb, rb = unpacked(window_b)
         # starts in b of passages of the least length that both windows hold, along the diagonal
@@ -97,7 +99,7 @@ def candidate_passages(meetings: list[tuple[int, int]]) -> list[tuple[int, int,
         first = max(lb, cb - _SPAN + 1, la + d)
         last = min(cb, rb - _SPAN + 1, ra + d - _SPAN + 1)
         if first <= last:
-            by_diagonal.append((d, first, last, order))
+            by_diagonal.append((d, first, last, order, i < len(meetings)))
     by_diagonal.sort()
     out, begin = [], 0
     for i in range(1, len(by_diagonal) + 1):
@@ -107,17 +109,18 @@ def candidate_passages(meetings: list[tuple[int, int]]) -> list[tuple[int, int,
     return out
 
 
-def _covered(intervals: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
-    """Runs of starts that intervals of ENOUGH orders cover."""
+def _covered(intervals: list[tuple[int, int, int, int, bool]]) -> list[tuple[int, int, int, int]]:
+    """Runs of starts that intervals of ENOUGH orders cover, at least one of them not joined already."""
     events = defaultdict(list)
-    for i, (_, first, last, _) in enumerate(intervals):
+    for i, (_, first, last, _, _) in enumerate(intervals):
         events[first].append((1, i))
         events[last + 1].append((0, i))
     active: dict[int, dict[int, int]] = defaultdict(dict)  # by order
-    out, start, diagonal = [], None, 0
+    out, start, diagonal, apart = [], None, 0, 0
     for at in sorted(events):
         for opens, i in sorted(events[at]):
-            d, _, _, order = intervals[i]
+            d, _, _, order, new = intervals[i]
+            apart += new if opens else -new
             if opens:
                 active[order][i] = d
             else:
@@ -125,12 +128,13 @@ def _covered(intervals: list[tuple[int, int, int, int]]) -> list[tuple[int, int,
                 if not active[order]:
                     del active[order]
         now = sorted(d for own in active.values() for d in own.values())
-        if len(active) >= ENOUGH and start is None:
+        covered = len(active) >= ENOUGH and apart > 0
+        if covered and start is None:
             start, diagonal = at, now[len(now) // 2]
-        elif len(active) < ENOUGH and start is not None:
+        elif not covered and start is not None:
             out.append((start, at - 1, diagonal, last_diagonal))
             start = None
-        if len(active) >= ENOUGH:
+        if covered:
             last_diagonal = now[len(now) // 2]
     return out
 
@@ -217,13 +221,13 @@ _CANDIDATE = "a bigint, b bigint, first int, last int, d1 int, d2 int"
 
 
 def _join_intervals(meetings: DataFrame) -> DataFrame:
-    """meetings (a, b, spots) -> candidate passages. A pair's windows are no more than its texts have."""
+    """meetings (a, b, spots, joined) -> candidate passages. A pair's windows are no more than its texts have."""
 
     def run(batches):
         for batch in batches:
             rows = []
-            for a, b, spots in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                rows += [(a, b, *x) for x in candidate_passages([(s["of_a"], s["of_b"]) for s in spots])]
+            for a, b, spots, joined in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                rows += [(a, b, *x) for x in candidate_passages(*([(s["of_a"], s["of_b"]) for s in x] for x in (spots, joined)))]
             columns = zip(*rows, strict=True) if rows else [()] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if i < 2 else pa.int32()) for i, c in enumerate(columns)], names=["a", "b", "first", "last", "d1", "d2"])
 
@@ -253,12 +257,83 @@ def _verify(candidates: DataFrame, texts: DataFrame) -> DataFrame:
     return joined.mapInArrow(run, "a bigint, a_start bigint, a_words bigint, b bigint, b_start bigint, b_words bigint, similarity double")
 
 
+def _orders(spots):
+    return F.size(F.array_distinct(F.transform(spots, lambda s: F.shiftright(s["of_b"], 58))))
+
+
+def _texts(rows: DataFrame, candidates: DataFrame, folder: str) -> DataFrame:
+    """id and text of the documents that the candidates name."""
+    ids = materialize(candidates.select(F.col("a").alias("id")).union(candidates.select("b")).distinct(), f"{folder}-ids")
+    return materialize(rows.join(few_or_shuffled(ids), "id", "left_semi").dropDuplicates(["id"]), folder)
+
+
+def _sides(found: DataFrame) -> DataFrame:
+    sides = found.select(F.col("a").alias("doc_id"), F.col("a_start").alias("start_word"), F.col("a_words").alias("n_words"), F.col("b").alias("match_doc_id"), "similarity")
+    return sides.union(found.select("b", "b_start", "b_words", "a", "similarity"))
+
+
+def _in_islands(spans: DataFrame) -> DataFrame:
+    """spans (doc_id, start_word, n_words), with island: a number within the document, one for those that overlap."""
+    in_order = Window.partitionBy("doc_id").orderBy("start_word", "n_words")
+    ends = F.max(F.col("start_word") + F.col("n_words")).over(in_order.rowsBetween(Window.unboundedPreceding, -1))
+    return spans.withColumn("new", F.when(F.col("start_word") < ends, 0).otherwise(1)).withColumn("island", F.sum("new").over(in_order.rowsBetween(Window.unboundedPreceding, 0)))
+
+
+def _classes(found: DataFrame, folder: str) -> DataFrame:
+    """id, begin, end, class of the passages that overlapping finds make up: one class for those that finds join."""
+    spans = _in_islands(_sides(found).select("doc_id", "start_word", "n_words").distinct())
+    islands = spans.groupBy("doc_id", "island").agg(F.min("start_word").alias("begin"), F.max(F.col("start_word") + F.col("n_words")).alias("end"))
+    islands = materialize(islands.select(F.col("doc_id").alias("id"), "begin", "end", F.monotonically_increasing_id().alias("node")), f"{folder}/islands")
+    side = lambda s: islands.select(F.col("id").alias(s), F.col("begin").alias("begin_" + s), F.col("end").alias("end_" + s), F.col("node").alias("node_" + s))
+    links = found
+    for s in "ab":
+        links = links.join(side(s), s).where(F.col(f"{s}_start").between(F.col("begin_" + s), F.col("end_" + s) - 1))
+    parts = components(links.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")), folder)
+    return materialize(islands.join(parts, "node", "left").select("id", "begin", "end", F.coalesce("component", "node").alias("class")), f"{folder}/classes")
+
+
+def _between_classes(groups: DataFrame, classes: DataFrame, folder: str) -> DataFrame:
+    """groups (key, id, spot) -> pairs (a, b, spots, joined) of all windows of a key that aren't of one class, and for
+    pairs with such windows those of one class as well, which may make up the orders that a candidate needs."""
+
+    def parts(s: str):
+        c = F.shiftright(f"{s}.spot", 2 * _REACH_BITS).bitwiseAND((1 << 58 - 2 * _REACH_BITS) - 1)
+        return c - F.shiftright(f"{s}.spot", _REACH_BITS).bitwiseAND(_REACH), c, c + F.col(f"{s}.spot").bitwiseAND(_REACH)
+
+    centre = parts("w")[1]
+    bit = F.expr("shiftleft(1L, cast(pmod(xxhash64(class), 64) as int))")  # for each class of a document, to tell most pairs without a common one
+    held = classes.groupBy("id").agg(F.bit_or(bit).alias("held"))
+    within = (F.col("w.id") == F.col("k.id")) & (F.col("k.begin") <= centre) & (centre + WIDTH <= F.col("k.end"))
+    told = groups.alias("w").join(classes.alias("k"), within, "left").select("w.key", "w.id", "w.spot", "k.class")
+    told = materialize(told.join(held, "id", "left").select("key", "id", "spot", "class", F.coalesce("held", F.lit(0).cast("long")).alias("held")), f"{folder}/told")
+    same = Window.partitionBy("key")
+    one = (F.count("class").over(same) == F.count(F.lit(1)).over(same)) & (F.min("class").over(same) == F.max("class").over(same))
+    apart = materialize(told.withColumn("one", F.coalesce(one, F.lit(False))).where("not one").drop("one"), f"{folder}/apart")
+
+    (la, ca, ra), (lb, cb, rb) = parts("l"), parts("r")
+    d = cb - ca  # as in candidate_passages
+    aligned = F.greatest(lb, cb - _SPAN + 1, la + d) <= F.least(cb, rb - _SPAN + 1, ra + d - _SPAN + 1)
+    meet = (F.col("l.key") == F.col("r.key")) & (F.col("l.id") < F.col("r.id")) & ~F.coalesce(F.col("l.class") == F.col("r.class"), F.lit(False))
+    spots = F.collect_set(F.struct(F.col("l.spot").alias("of_a"), F.col("r.spot").alias("of_b")))
+    cross = apart.alias("l").join(apart.alias("r"), meet & aligned)
+    shared = F.col("l.held").bitwiseAND(F.col("r.held")) != 0
+    pairs = cross.groupBy(F.col("l.id").alias("a"), F.col("r.id").alias("b"), shared.alias("shared")).agg(spots.alias("spots"))
+    pairs = materialize(pairs.where(F.col("shared") | (_orders("spots") >= ENOUGH)), f"{folder}/between")
+
+    of_class = told.where("class is not null").select("key", "id", "spot", "class")
+    left = pairs.where("shared").select("a", "b").join(of_class.alias("l"), F.col("a") == F.col("l.id"))
+    both = left.join(of_class.alias("r"), (F.col("b") == F.col("r.id")) & (F.col("l.key") == F.col("r.key")) & (F.col("l.class") == F.col("r.class")) & aligned)
+    joined = both.groupBy("a", "b").agg(spots.alias("joined"))
+    whole = pairs.join(joined, ["a", "b"], "left").select("a", "b", "spots", F.coalesce("joined", F.filter("spots", lambda s: F.lit(False))).alias("joined"))
+    return whole.where(_orders(F.concat("spots", "joined")) >= ENOUGH)
+
+
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per passage of a document that another document repeats: doc_id, start_word, n_words, match_doc_id
     (the smallest found), n_matches (documents found to match), similarity. Passages of a document that overlap are one.
 
     Shuffles: a record per document; the windows, (hash, id, place), about a third as many as words;
-    texts of documents with candidates, to verify them.
+    texts of documents with candidates, to verify them; then, once more, what is not of one class yet.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -277,24 +352,23 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     least = F.first(spot).over(by_id.rowsBetween(Window.unboundedPreceding, 0))
     # a third one at random, the same in all groups that have it: where edits of a passage surround one another, it is often an original
     chance = F.min(F.struct(F.xxhash64("id").alias("key"), "id", "spot")).over(same)
-    met = _windows(single).withColumn("before", before).withColumn("least", least).withColumn("chance", chance)
-    met = met.where("before is not null or chance.id <> id").select("id", "spot", "before", "least", F.struct("chance.id", "chance.spot").alias("chance"))
+    met = _windows(single).withColumn("before", before).withColumn("least", least).withColumn("chance", chance).withColumn("most", F.max("id").over(same))
+    met = met.where("least.id < most").select("key", "id", "spot", "before", "least", F.struct("chance.id", "chance.spot").alias("chance"))
     met = materialize(met, f"{folder}/met")
-    meet = met.select("id", "spot", F.explode(F.array_distinct(F.array("before", "least", "chance"))).alias("other")).where("other.id <> id")
+    meet = met.where("before is not null or chance.id <> id").select("id", "spot", F.explode(F.array_distinct(F.array("before", "least", "chance"))).alias("other")).where("other.id <> id")
     pairs = meet.groupBy(F.col("other.id").alias("a"), F.col("id").alias("b")).agg(F.collect_set(F.struct(F.col("other.spot").alias("of_a"), F.col("spot").alias("of_b"))).alias("spots"))
-    orders = F.size(F.array_distinct(F.transform("spots", lambda s: F.shiftright(s["of_b"], 58))))
-    candidates = materialize(_join_intervals(pairs.where(orders >= ENOUGH)), f"{folder}/candidates")
+    first = materialize(_join_intervals(pairs.where(_orders("spots") >= ENOUGH).withColumn("joined", F.filter("spots", lambda s: F.lit(False)))), f"{folder}/candidates")
+    linked = materialize(_verify(first, _texts(rows, first, f"{folder}/texts")), f"{folder}/found")
 
-    ids = materialize(candidates.select(F.col("a").alias("id")).union(candidates.select("b")).distinct(), f"{folder}/ids")
-    texts = materialize(rows.join(few_or_shuffled(ids), "id", "left_semi").dropDuplicates(["id"]), f"{folder}/texts")
-    found = materialize(_verify(candidates, texts), f"{folder}/found")
+    classes = _classes(linked, f"{folder}/first")
+    second = _join_intervals(_between_classes(met.select("key", "id", "spot"), classes, folder))
+    second = materialize(second.join(first, first.columns, "left_anti"), f"{folder}/more-candidates")
+    more = materialize(_verify(second, _texts(rows, second, f"{folder}/more-texts")), f"{folder}/more")
+    found = linked.union(more).distinct()
 
-    sides = found.select(F.col("a").alias("doc_id"), F.col("a_start").alias("start_word"), F.col("a_words").alias("n_words"), F.col("b").alias("match_doc_id"), "similarity")
-    sides = sides.union(found.select("b", "b_start", "b_words", "a", "similarity"))
+    sides = _sides(found)
     whole = copies.where(F.col("n_words") >= MIN_WORDS).select("id", F.lit(0).cast("long"), "n_words", F.when(F.col("id") == F.col("least"), F.col("most")).otherwise(F.col("least")), F.lit(1.0))
     spans = sides.union(whole).groupBy("doc_id", "start_word", "n_words").agg(F.min("match_doc_id").alias("match_doc_id"), F.count(F.lit(1)).alias("n_matches"), F.max("similarity").alias("similarity"))
-    in_order = Window.partitionBy("doc_id").orderBy("start_word", "n_words")
-    ends = F.max(F.col("start_word") + F.col("n_words")).over(in_order.rowsBetween(Window.unboundedPreceding, -1))
-    islands = spans.withColumn("new", F.when(F.col("start_word") < ends, 0).otherwise(1)).withColumn("island", F.sum("new").over(in_order.rowsBetween(Window.unboundedPreceding, 0)))
+    islands = _in_islands(spans)
     merged = islands.groupBy("doc_id", "island").agg(F.min("start_word").alias("start_word"), F.max(F.col("start_word") + F.col("n_words")).alias("end_word"), F.min("match_doc_id").alias("match_doc_id"), F.sum("n_matches").alias("n_matches"), F.max("similarity").alias("similarity"))
     return merged.select("doc_id", "start_word", (F.col("end_word") - F.col("start_word")).alias("n_words"), "match_doc_id", "n_matches", "similarity")

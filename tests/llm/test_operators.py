@@ -281,6 +281,25 @@ def test_planted_passages_are_found(spark):
     assert len(set(found)) >= 0.95 * len(planted)
 
 
+def test_passages_that_share_a_group_with_others(spark):
+    """A copied passage most of whose words are also in many unrelated documents, with mixed group sizes:
+    both copies are found and no other document is reported, against the planted truth."""
+    rnd = random.Random(31)
+    planted, pairs = {}, []
+    for g, others in enumerate([5, 20, 58, 58, 58, 58, 58, 58]):
+        licence, ids = words(20_000 + g, 40), [1000 * g + i for i in range(others + 2)]
+        rnd.shuffle(ids)
+        passage = words(21_000 + g, 10) + licence + words(22_000 + g, 10)
+        for k, i in enumerate(ids):
+            own = words(30_000 + i, 80)
+            own[40:40] = passage if k < 2 else licence
+            pairs.append((i, " ".join(own)))
+        planted |= {ids[0]: ids[1], ids[1]: ids[0]}
+    docs = spark.createDataFrame(rows_of(pairs), SCHEMA).repartition(3)
+    found = {(r.doc_id, r.match_doc_id) for r in passages.repeated_passages(docs).collect()}
+    assert found == set(planted.items())
+
+
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     rows, kept = {r.doc_id: r for r in docs.collect()}, docs
