@@ -47,6 +47,8 @@ SKETCH = 8
 HASHINGS = 4
 #: Ids are broadcast up to this many, else joined by shuffle.
 BROADCAST_IDS = 200_000
+#: Partners of a text that one task verifies at most, on average.
+PARTNERS = 64
 _SPARE = 0.3
 
 
@@ -199,10 +201,33 @@ def few_or_shuffled(ids: DataFrame, most: int = BROADCAST_IDS) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= most else ids
 
 
+def with_nodes(rows: DataFrame, prints: DataFrame, id_col: str, folder: str) -> tuple[DataFrame, DataFrame]:
+    """rows (id_col, text) and prints (id_col, print: xxhash64 of the text, ...) with a column node: the id, or a hash of
+    id and print where an id stands with several texts, so that each text is a node of its own."""
+    several = prints.groupBy(id_col).agg(F.min("print").alias("low"), F.max("print").alias("high")).where("low < high")
+    several = materialize(several.select(id_col, F.lit(True).alias("several")), folder)
+    n = several.count()
+    if not n:
+        return tuple(x.withColumn("node", F.col(id_col)) for x in (rows, prints))
+    marks = F.broadcast(several) if n <= BROADCAST_IDS else several
+    node = lambda p: F.when(F.col("several"), F.xxhash64(F.col(id_col), p)).otherwise(F.col(id_col))
+    return tuple(x.join(marks, id_col, "left").withColumn("node", node(p)).drop("several") for x, p in ((rows, F.xxhash64("text")), (prints, F.col("print"))))
+
+
+def with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """pairs (a, b, ...) with text_a and text_b, from texts (id, text). Texts with many partners go to several tasks, each
+    with some of them, and the pairs of one text stand together in each."""
+    hot = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PARTNERS).cast("int").alias("parts")).where("parts > 1")
+    hot = few_or_shuffled(hot.select(F.col("a").alias("__hot"), "parts"))
+    part = F.coalesce(F.pmod(F.xxhash64("b"), F.col("parts")).cast("int"), F.lit(0)).alias("part")
+    left = pairs.join(hot, F.col("a") == F.col("__hot"), "left").select(*pairs.columns, part)
+    dealt = texts.join(hot, F.col("id") == F.col("__hot"), "left").select(F.col("id").alias("a"), F.col("text").alias("text_a"), F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"))
+    return left.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b").join(dealt, ["a", "part"])
+
+
 def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) whose texts (id, text) link, by their words. Each pair's texts travel to it by two joins."""
-    joined = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
-    joined = joined.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").select("a", "b", "text_a", "text_b")
+    joined = with_texts(pairs, texts).select("a", "b", "text_a", "text_b")
 
     def run(batches):
         at, left = None, set()

@@ -14,11 +14,16 @@ Within one hash's group each window first meets the windows of the smallest docu
 of the document just before it and of one chosen by chance. What that verifies joins
 passages to classes. Then all windows of a group that aren't of one class meet each
 other; so the only pairs never compared are those whose passages are joined already.
+Before each meeting windows are joined as intervals within their own text: a passage
+can only be a candidate where windows of ENOUGH orders are shared, so that texts which
+have no more than a line or a phrase in common drop out and groups stay small.
 
 Edge cases: null texts and texts of fewer than MIN_WORDS words have no passages;
 identical texts are one text for the search, and each of its copies is reported
-as a repeat from end to end; rows without an id take no part; repeated ids are
-one document; repeats within one document alone are not reported.
+as a repeat from end to end, besides its passages; rows without an id take no part;
+the texts of a repeated id are each searched by themselves and their passages
+reported under it; repeated rows are one; repeats within one text alone are not
+reported; very long texts are read whole; extra columns are left out.
 """
 
 from __future__ import annotations
@@ -32,17 +37,23 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import SPACE, materialize, shared_dir, small_batches, with_columns_of, words, worker_cache
-from .near_dup import few_or_shuffled
+from .near_dup import few_or_shuffled, with_nodes, with_texts
 from .shingles import WIDTH, Shingler, components, mixed
 
 MIN_WORDS = 50
 HASHES, ENOUGH = 8, 4
+#: Diagonals of two texts that are verified one by one.
+DIAGONALS = 32
+#: Words that a worker numbers before it starts anew.
+NUMBERED = 400_000
 #: Diagonals of one passage's windows differ by its insertions and deletions: by no more than this from one to the next.
 DRIFT = 12
 #: A window is one long: order, place, and the reach to either side, clipped to what passages this long need.
 _HASH_BITS, _REACH_BITS = 4, 16
 _REACH = (1 << _REACH_BITS) - 1
 _SPAN = MIN_WORDS - WIDTH + 1
+#: Classes of starts outside all known passages, and of windows themselves.
+ALONE, NO_ISLAND = -1, -2
 _ORDERS = mixed(np.arange(HASHES, dtype=np.uint64), 77)[:, None]
 
 
@@ -87,11 +98,10 @@ def unpacked(window: int) -> tuple[int, int, int, int]:
     return window >> 58, c - (window >> _REACH_BITS & _REACH), c, c + (window & _REACH)
 
 
-def candidate_passages(meetings: list[tuple[int, int]], joined: list[tuple[int, int]] = ()) -> list[tuple[int, int, int, int]]:
-    """Interval join of the windows (of a, of b) in which two texts meet: first and last start in b, and the diagonals there.
-    Windows whose passages are joined already count as others do, but don't make a candidate alone."""
+def candidate_passages(meetings: list[tuple[int, int]]) -> list[tuple[int, int, int, int]]:
+    """Interval join of the windows (of a, of b) in which two texts meet: first and last start in b, and the diagonals there."""
     by_diagonal = []
-    for i, (window_a, window_b) in enumerate([*meetings, *joined]):
+    for window_a, window_b in meetings:
         order, la, ca, ra = unpacked(window_a)
         _, lb, cb, rb = unpacked(window_b)
         # starts in b of passages of the least length that both windows hold, along the diagonal
@@ -99,104 +109,178 @@ def candidate_passages(meetings: list[tuple[int, int]], joined: list[tuple[int,
         first = max(lb, cb - _SPAN + 1, la + d)
         last = min(cb, rb - _SPAN + 1, ra + d - _SPAN + 1)
         if first <= last:
-            by_diagonal.append((d, first, last, order, i < len(meetings)))
+            by_diagonal.append((d, first, last, order))
     by_diagonal.sort()
     out, begin = [], 0
     for i in range(1, len(by_diagonal) + 1):
         if i == len(by_diagonal) or by_diagonal[i][0] - by_diagonal[i - 1][0] > DRIFT:
-            out += _covered(by_diagonal[begin:i])
+            if i - begin >= ENOUGH:
+                out += _covered(by_diagonal[begin:i])
             begin = i
     return out
 
 
-def _covered(intervals: list[tuple[int, int, int, int, bool]]) -> list[tuple[int, int, int, int]]:
-    """Runs of starts that intervals of ENOUGH orders cover, at least one of them not joined already."""
+def _covered(intervals: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
+    """Runs of starts that intervals of ENOUGH orders cover."""
     events = defaultdict(list)
-    for i, (_, first, last, _, _) in enumerate(intervals):
+    for i, (_, first, last, _) in enumerate(intervals):
         events[first].append((1, i))
         events[last + 1].append((0, i))
     active: dict[int, dict[int, int]] = defaultdict(dict)  # by order
-    out, start, diagonal, apart = [], None, 0, 0
+    out, start, diagonal = [], None, 0
     for at in sorted(events):
         for opens, i in sorted(events[at]):
-            d, _, _, order, new = intervals[i]
-            apart += new if opens else -new
+            d, _, _, order = intervals[i]
             if opens:
                 active[order][i] = d
             else:
                 del active[order][i]
                 if not active[order]:
                     del active[order]
-        now = sorted(d for own in active.values() for d in own.values())
-        covered = len(active) >= ENOUGH and apart > 0
-        if covered and start is None:
-            start, diagonal = at, now[len(now) // 2]
-        elif not covered and start is not None:
+        if len(active) >= ENOUGH:
+            now = sorted(d for own in active.values() for d in own.values())
+            if start is None:
+                start, diagonal = at, now[len(now) // 2]
+            last_diagonal = now[len(now) // 2]
+        elif start is not None:
             out.append((start, at - 1, diagonal, last_diagonal))
             start = None
-        if covered:
-            last_diagonal = now[len(now) // 2]
-    return out
-
-
-def _jaccard(wa: list[str], wb: list[str]) -> float:
-    a, b = (set(zip(*(w[i:] for i in range(WIDTH)), strict=False)) for w in (wa, wb))
-    return len(a & b) / len(a | b) if a and b else 0.0
-
-
-def _extended(wa: list[bytes], wb: list[bytes], a1: int, a2: int, b1: int, b2: int, found: float) -> tuple[int, int, int, int, float]:
-    """The passages with the words on both sides that agree."""
-    while a1 and b1 and wa[a1 - 1] == wb[b1 - 1]:
-        a1, b1 = a1 - 1, b1 - 1
-    while a2 < len(wa) and b2 < len(wb) and wa[a2] == wb[b2]:
-        a2, b2 = a2 + 1, b2 + 1
-    return a1, a2, b1, b2, max(found, _jaccard(wa[a1:a2], wb[b1:b2]))
-
-
-def _parts(wa: list[bytes], wb: list[bytes], a1: int, a2: int, b1: int, b2: int, similarity: float) -> list[tuple[int, int, int, int, float]]:
-    """Passages within two regions that aren't similar as a whole: runs of starts in b whose least passages have
-    nearly all of their shingles in a as well, each taken whole if it is similar, else its halves, and so on."""
-    shingles = lambda w, begin, end: list(zip(*(w[begin + i : end] for i in range(WIDTH)), strict=False))
-    place: dict = {}
-    for i, x in enumerate(shingles(wa, a1, a2)):
-        place.setdefault(x, a1 + i)
-    at = np.array([place.get(x, -1) for x in shingles(wb, b1, b2)], np.int64)
-    if len(at) < _SPAN:
-        return []
-    hits = np.concatenate(([0], np.cumsum(at >= 0)))
-    starts = np.flatnonzero(hits[_SPAN:] - hits[:-_SPAN] >= similarity * _SPAN)
-    out = []
-
-    def similar(first: int, last: int) -> bool:
-        own = at[first : last + _SPAN]
-        own = own[own >= 0]
-        middle = np.sort(own)[len(own) // 2]
-        own = own[np.abs(own - middle) <= last - first + _SPAN + 2 * DRIFT]  # not where a shingle stands elsewhere once more
-        low, high = int(own.min()), int(own.max()) + WIDTH
-        shared = np.flatnonzero(at[first : last + _SPAN] >= 0)
-        begin, end = b1 + first + int(shared[0]), b1 + first + int(shared[-1]) + WIDTH
-        if min(high - low, end - begin) >= MIN_WORDS and (found := _jaccard(wa[low:high], wb[begin:end])) >= similarity:
-            out.append(_extended(wa, wb, low, high, begin, end, found))
-            return True
-        return False
-
-    for run in np.split(starts, np.flatnonzero(np.diff(starts) > 1) + 1) if len(starts) else ():
-        todo = [(int(run[0]), int(run[-1]))]
-        while todo:  # halves of what isn't similar, down to the least length
-            first, last = todo.pop()
-            if not similar(first, last) and last > first:
-                middle = (first + last) // 2
-                todo += [(first, middle), (middle + 1, last)]
     return out
 
 
-def verified(wa: list[bytes], wb: list[bytes], first: int, last: int, d1: int, d2: int, similarity: float = 0.8) -> list[tuple[int, int, int, int, float]]:
-    """The similar passages around a candidate, as words [begin, end) of a and of b and their similarity."""
-    b1, b2 = first, min(len(wb), last + MIN_WORDS)
-    a1, a2 = max(0, first - d1), min(len(wa), last - d2 + MIN_WORDS)
-    if min(a2 - a1, b2 - b1) >= MIN_WORDS and (found := _jaccard(wa[a1:a2], wb[b1:b2])) >= similarity:
-        return [_extended(wa, wb, a1, a2, b1, b2, found)]
-    return _parts(wa, wb, max(0, a1 - MIN_WORDS), min(len(wa), a2 + MIN_WORDS), max(0, b1 - MIN_WORDS), min(len(wb), b2 + MIN_WORDS), similarity)
+def _similarity(x: np.ndarray, y: np.ndarray) -> float:
+    """Jaccard similarity of two runs of shingles."""
+    x, y = np.unique(x), np.unique(y)
+    if not len(x) or not len(y):
+        return 0.0
+    both = len(x) + len(y) - len(np.unique(np.concatenate((x, y))))
+    return both / (len(x) + len(y) - both)
+
+
+class Texts:
+    """Two texts as word numbers and as shingles: numbers are equal where the words are, without any hashing."""
+
+    def __init__(self, words_a: np.ndarray, words_b: np.ndarray):
+        self.words = words_a, words_b
+        x = np.unique(np.concatenate(self.words), return_inverse=True)[1].astype(np.uint64)
+        if len(x) < WIDTH:
+            self.shingles = x[:0], x[:0]
+            return
+        bits = int(x.max()).bit_length()
+        if WIDTH * bits <= 64:
+            s = x[: len(x) - WIDTH + 1]
+            for i in range(1, WIDTH):
+                s = s << np.uint64(bits) | x[i : len(x) - WIDTH + 1 + i]
+        else:
+            numbered = lambda left, right: np.unique(left << np.uint64(32) | right, return_inverse=True)[1].astype(np.uint64)
+            two = numbered(x[:-1], x[1:])
+            s = numbered(two[:-2], two[2:])[:-1] << np.uint64(32) | x[4:]
+        self.shingles = s[: max(0, len(words_a) - WIDTH + 1)], s[len(words_a) :]
+
+    def similarity(self, a1: int, a2: int, b1: int, b2: int) -> float:
+        return _similarity(self.shingles[0][a1 : max(a1, a2 - WIDTH + 1)], self.shingles[1][b1 : max(b1, b2 - WIDTH + 1)])
+
+    def extended(self, a1: int, a2: int, b1: int, b2: int, found: float) -> tuple[int, int, int, int, float]:
+        """The passages with the words on both sides that agree."""
+
+        def agree(x: np.ndarray, y: np.ndarray) -> int:
+            n = min(len(x), len(y))
+            differ = np.flatnonzero(x[:n] != y[:n])
+            return int(differ[0]) if len(differ) else n
+
+        a, b = self.words
+        before, after = agree(a[:a1][::-1], b[:b1][::-1]), agree(a[a2:], b[b2:])
+        if before or after:
+            a1, a2, b1, b2 = a1 - before, a2 + after, b1 - before, b2 + after
+            found = max(found, self.similarity(a1, a2, b1, b2))
+        return a1, a2, b1, b2, found
+
+    def parts(self, a1: int, a2: int, b1: int, b2: int, similarity: float) -> list[tuple[int, int, int, int, float]]:
+        """Passages within two regions that aren't similar as a whole: runs of starts in b whose least passages have
+        nearly all of their shingles in a as well, each taken whole if it is similar, else its halves, and so on."""
+        x, y = self.shingles[0][a1 : max(a1, a2 - WIDTH + 1)], self.shingles[1][b1 : max(b1, b2 - WIDTH + 1)]
+        if len(y) < _SPAN or not len(x):
+            return []
+        own, place = np.unique(x, return_index=True)
+        near = np.minimum(np.searchsorted(own, y), len(own) - 1)
+        at = np.where(own[near] == y, a1 + place[near], -1)
+        hits = np.concatenate(([0], np.cumsum(at >= 0)))
+        counts = hits[_SPAN:] - hits[:-_SPAN]
+        starts = np.flatnonzero(counts >= similarity * _SPAN)
+        if len(starts):  # of these, where the part of a between most of the shared shingles hasn't too many others
+            counts, rows = counts[starts], np.arange(len(starts))
+            places = np.sort(np.lib.stride_tricks.sliding_window_view(at, _SPAN)[starts], axis=1)
+            low, high = (places[rows, i] - a1 for i in (_SPAN - counts + counts // 10, _SPAN - 1 - counts // 10))
+            others = np.unique(y)
+            here = others[np.minimum(np.searchsorted(others, x), len(others) - 1)] == x
+            missing = np.concatenate(([0], np.cumsum(~here)))
+            starts = starts[counts >= similarity * (_SPAN + np.maximum(missing[high + 1] - missing[low], 0))]
+        out = []
+
+        def similar(first: int, last: int) -> bool:
+            held = at[first : last + _SPAN]
+            shared = np.flatnonzero(held >= 0)
+            held = held[shared]
+            middle = np.sort(held)[len(held) // 2]
+            held = held[np.abs(held - middle) <= last - first + _SPAN + 2 * DRIFT]  # not where a shingle stands elsewhere once more
+            low, high = int(held.min()), int(held.max()) + WIDTH
+            begin, end = b1 + first + int(shared[0]), b1 + first + int(shared[-1]) + WIDTH
+            if min(high - low, end - begin) >= MIN_WORDS and (found := self.similarity(low, high, begin, end)) >= similarity:
+                out.append(self.extended(low, high, begin, end, found))
+                return True
+            return False
+
+        for run in np.split(starts, np.flatnonzero(np.diff(starts) > 1) + 1) if len(starts) else ():
+            todo = [(int(run[0]), int(run[-1]))]
+            while todo:  # halves of what isn't similar, down to the least length
+                first, last = todo.pop()
+                if not similar(first, last) and last > first:
+                    middle = (first + last) // 2
+                    todo += [(first, middle), (middle + 1, last)]
+        return out
+
+    def verified(self, first: int, last: int, d1: int, d2: int, similarity: float = 0.8) -> list[tuple[int, int, int, int, float]]:
+        """The similar passages around a candidate, as words [begin, end) of a and of b and their similarity."""
+        n, m = map(len, self.words)
+        b1, b2 = first, min(m, last + MIN_WORDS)
+        a1, a2 = max(0, first - d1), min(n, last - d2 + MIN_WORDS)
+        if min(a2 - a1, b2 - b1) >= MIN_WORDS and (found := self.similarity(a1, a2, b1, b2)) >= similarity:
+            return [self.extended(a1, a2, b1, b2, found)]
+        return self.parts(max(0, a1 - MIN_WORDS), min(n, a2 + MIN_WORDS), max(0, b1 - MIN_WORDS), min(m, b2 + MIN_WORDS), similarity)
+
+
+class _Numbers(dict):
+    def __missing__(self, word) -> int:
+        value = self[word] = len(self)
+        return value
+
+    def of(self, found: list) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, found), np.uint64, len(found))
+
+
+def verified(wa: list, wb: list, first: int, last: int, d1: int, d2: int, similarity: float = 0.8) -> list[tuple[int, int, int, int, float]]:
+    numbers = _Numbers()
+    return Texts(numbers.of(wa), numbers.of(wb)).verified(first, last, d1, d2, similarity)
+
+
+def verified_places(left: np.ndarray, right: np.ndarray, places: list[tuple[int, int, int, int]], similarity: float = 0.8) -> set[tuple[int, int, int, int, float]]:
+    """The similar passages around the candidates of two texts, given as word numbers. Texts that repeat themselves meet
+    on many diagonals: their regions are then searched as a whole, either text in the other."""
+    merged: list[list[int]] = []
+    for first, last, d1, d2 in sorted(places):
+        near = next((m for m in merged[-4:] if first <= m[1] + 1 and max(abs(d1 - m[3]), abs(d1 - m[2])) <= DRIFT), None)
+        if near:
+            near[1], near[3] = max(near[1], last), d2
+        else:
+            merged.append([first, last, d1, d2])
+    pair = Texts(left, right)
+    if len(merged) <= DIAGONALS:
+        return {x for m in merged for x in pair.verified(*m, similarity)}
+    a1, a2 = min(m[0] - max(m[2:]) for m in merged), max(m[1] - min(m[2:]) for m in merged) + MIN_WORDS
+    b1, b2 = min(m[0] for m in merged), max(m[1] for m in merged) + MIN_WORDS
+    a1, a2, b1, b2 = max(0, a1), min(len(left), a2), max(0, b1), min(len(right), b2)
+    back = Texts(right, left).parts(b1, b2, a1, a2, similarity)
+    return {*pair.parts(a1, a2, b1, b2, similarity), *((c1, c2, d1, d2, found) for d1, d2, c1, c2, found in back)}
 
 
 def _windows(docs: DataFrame) -> DataFrame:
@@ -217,40 +301,142 @@ def _windows(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "key bigint, id bigint, spot bigint")
 
 
+def starts(spots: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First start, place of the least hash and last start of windows, for passages of the least length."""
+    c = spots >> 2 * _REACH_BITS & (1 << 58 - 2 * _REACH_BITS) - 1
+    return np.maximum(c - (spots >> _REACH_BITS & _REACH), c - _SPAN + 1), c, np.minimum(c, c + (spots & _REACH) - _SPAN + 1)
+
+
+def covered(ids: np.ndarray, spots: np.ndarray) -> np.ndarray:
+    """Which windows, in order of ids, hold a start that windows of ENOUGH orders of the same text hold. Windows
+    of one order hold no start twice, so the orders of a start are as many as its windows."""
+    first, _, last = starts(spots)
+    text = np.cumsum(np.concatenate(([0], ids[1:] != ids[:-1]))) * (int(last.max(initial=0)) + 2)
+    at, place = np.unique(np.concatenate((text + first, text + last + 1)), return_inverse=True)
+    n = len(ids)
+    held = np.cumsum(np.bincount(place[:n], minlength=len(at)) - np.bincount(place[n:], minlength=len(at)))
+    enough = np.concatenate(([0], np.cumsum(held >= ENOUGH)))
+    return enough[place[n:]] > enough[place[:n]]
+
+
+def pieces(ids: np.ndarray, spots: np.ndarray, island_ids: np.ndarray, begin: np.ndarray, end: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Cuts windows where passages of known class begin and end: which window, the cut window, and the class at its starts
+    or ALONE. A start is of a class if its least passage has a shingle in a passage of that class: what is found
+    there overlaps that passage and is of its class already.
+    ids and island_ids are in order; islands of one text don't overlap."""
+    first, c, last = starts(spots)
+    top = int(max(last.max(initial=0), end.max(initial=0))) + MIN_WORDS
+    number = np.unique(np.concatenate((ids, island_ids)), return_inverse=True)[1] * (2 * top)
+    text, island = number[: len(ids)], number[len(ids) :]
+    low, high = island + np.maximum(begin - _SPAN + 1, 0), island + end - WIDTH + 1
+    order = np.argsort(low, kind="stable")
+    low, high, own = low[order], high[order], classes[order]
+    low[1:] = np.maximum(low[1:], high[:-1])
+    cuts = np.stack((low, high), 1).ravel()
+    of_cut = np.stack((own, np.full(len(own), ALONE)), 1).ravel()  # the class from each cut on
+    cuts, of_cut = np.concatenate(([-1], cuts)), np.concatenate(([ALONE], of_cut))
+    begins, ends = np.searchsorted(cuts, text + first, "right") - 1, np.searchsorted(cuts, text + last, "right") - 1
+    many = ends - begins + 1
+    window = np.repeat(np.arange(len(ids)), many)
+    at = np.arange(len(window)) - np.repeat(np.cumsum(many) - many, many) + begins[window]
+    left = np.maximum(first[window], cuts[at] - text[window])
+    right = np.minimum(last[window], np.append(cuts[1:], np.iinfo(np.int64).max)[at] - 1 - text[window])
+    cut = spots[window] >> 2 * _REACH_BITS << 2 * _REACH_BITS | c[window] - left << _REACH_BITS | right + _SPAN - 1 - c[window]
+    keep = left <= right
+    return window[keep], cut[keep], of_cut[at][keep]
+
+
+def _whole_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """Columns of batches that are sorted by their second column, an id, so that the rows of an id come together."""
+    held: list[list[np.ndarray]] = []
+    for batch in batches:
+        part = [c.to_numpy() for c in batch.columns]
+        if not len(part[1]):
+            continue
+        cut = int(np.searchsorted(part[1], part[1][-1]))  # the last text may go on
+        if cut or held and held[-1][1][-1] != part[1][0]:
+            held.append([x[:cut] for x in part])
+            yield [np.concatenate(x) for x in zip(*held, strict=True)]
+            held = []
+        held.append([x[cut:] for x in part])
+    if held:
+        yield [np.concatenate(x) for x in zip(*held, strict=True)]
+
+
+def _where_covered(windows: DataFrame) -> DataFrame:
+    """The interval join within each text: windows that lie where windows of ENOUGH orders do. A text whose windows
+    are shared by chance, or over fewer words than a passage has, keeps none of them."""
+    names = windows.columns
+
+    def run(batches):
+        for columns in _whole_texts(batches):
+            keep = covered(columns[1], columns[2])
+            yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in columns], names=names)
+
+    return windows.repartition("id").sortWithinPartitions("id").mapInArrow(run, windows.schema)
+
+
+def _in_classes(windows: DataFrame, classes: DataFrame) -> DataFrame:
+    """windows (key, id, spot), cut where passages (id, begin, end, class) begin and end, with class; pieces outside
+    stay only where they alone are of ENOUGH orders."""
+    islands = classes.select(F.col("begin").alias("key"), "id", F.col("end").alias("spot"), "class")
+    rows = windows.withColumn("class", F.lit(NO_ISLAND).cast("long")).union(islands).repartition("id").sortWithinPartitions("id")
+
+    def run(batches):
+        for key, ids, spots, own in _whole_texts(batches):
+            w = own == NO_ISLAND
+            if not w.any():
+                continue
+            which, cut, of = pieces(ids[w], spots[w], ids[~w], key[~w], spots[~w], own[~w])
+            key, ids = key[w][which], ids[w][which]
+            keep = (of != ALONE) | covered(ids, cut)  # at one start all pieces are of one class
+            yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (key, ids, cut, of)], names=["key", "id", "spot", "class"])
+
+    return rows.mapInArrow(run, "key bigint, id bigint, spot bigint, class bigint")
+
+
+def _in_several(windows: DataFrame) -> DataFrame:
+    """The windows whose least hash two texts have or more, and not all of them in one class."""
+    same, limits = Window.partitionBy("key"), {"low": F.min("id"), "high": F.max("id")}
+    if "class" in windows.columns:
+        limits |= {"least": F.min("class"), "most": F.max("class")}
+    told = windows.withColumns({k: v.over(same) for k, v in limits.items()}).where("low < high")
+    return (told.where(f"least < most or least = {ALONE}") if "class" in windows.columns else told).select(windows.columns)
+
+
 _CANDIDATE = "a bigint, b bigint, first int, last int, d1 int, d2 int"
 
 
 def _join_intervals(meetings: DataFrame) -> DataFrame:
-    """meetings (a, b, spots, joined) -> candidate passages. A pair's windows are no more than its texts have."""
+    """meetings (a, b, spots) -> candidate passages. A pair's windows are no more than its texts have."""
 
     def run(batches):
         for batch in batches:
             rows = []
-            for a, b, spots, joined in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                rows += [(a, b, *x) for x in candidate_passages(*([(s["of_a"], s["of_b"]) for s in x] for x in (spots, joined)))]
+            for a, b, spots in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                rows += [(a, b, *x) for x in candidate_passages([(s["of_a"], s["of_b"]) for s in spots])]
             columns = zip(*rows, strict=True) if rows else [()] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if i < 2 else pa.int32()) for i, c in enumerate(columns)], names=["a", "b", "first", "last", "d1", "d2"])
 
-    return meetings.mapInArrow(run, _CANDIDATE)
+    return meetings.where(_orders("spots") >= ENOUGH).mapInArrow(run, _CANDIDATE)
 
 
 def _verify(candidates: DataFrame, texts: DataFrame) -> DataFrame:
     """a, a_start, a_words, b, b_start, b_words, similarity of the candidates that hold, by their words."""
-    grouped = candidates.groupBy("a", "b").agg(F.collect_list(F.struct("first", "last", "d1", "d2")).alias("places"))
-    joined = grouped.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
-    joined = joined.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a").select("a", "b", "places", "text_a", "text_b")
+    pairs = candidates.groupBy("a", "b").agg(F.collect_list(F.struct("first", "last", "d1", "d2")).alias("places"))
+    joined = with_texts(pairs, texts).select("a", "b", "places", "text_a", "text_b")
 
     def run(batches):
-        at, left = None, []
+        at, left, numbers = None, None, _Numbers()
         for batch in batches:
             rows = set()
             for a, b, places, text_a, text_b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if a != at:
-                    at, left = a, words(text_a)
-                right = words(text_b)
-                for p in places:
-                    for a1, a2, b1, b2, similarity in verified(left, right, p["first"], p["last"], p["d1"], p["d2"]):
-                        rows.add((a, a1, a2 - a1, b, b1, b2 - b1, similarity))
+                    if len(numbers) > NUMBERED:
+                        numbers = _Numbers()
+                    at, left = a, numbers.of(words(text_a))
+                found = verified_places(left, numbers.of(words(text_b)), [(p["first"], p["last"], p["d1"], p["d2"]) for p in places])
+                rows.update((a, a1, a2 - a1, b, b1, b2 - b1, similarity) for a1, a2, b1, b2, similarity in found)
             columns = zip(*rows, strict=True) if rows else [()] * 7
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.float64() if i == 6 else pa.int64()) for i, c in enumerate(columns)], names=["a", "a_start", "a_words", "b", "b_start", "b_words", "similarity"])
 
@@ -292,83 +478,89 @@ def _classes(found: DataFrame, folder: str) -> DataFrame:
     return materialize(islands.join(parts, "node", "left").select("id", "begin", "end", F.coalesce("component", "node").alias("class")), f"{folder}/classes")
 
 
-def _between_classes(groups: DataFrame, classes: DataFrame, folder: str) -> DataFrame:
-    """groups (key, id, spot) -> pairs (a, b, spots, joined) of all windows of a key that aren't of one class, and for
-    pairs with such windows those of one class as well, which may make up the orders that a candidate needs."""
+def _between_classes(met: DataFrame, classes: DataFrame, folder: str) -> DataFrame:
+    """Candidates among all windows of a group that aren't of one class. Texts that hold too few of those windows at any
+    start are left out first, so that groups shrink to what can still make a passage."""
+    told = materialize(_in_several(_in_classes(met, classes)), f"{folder}/told")
+    apart = materialize(_in_several(_where_covered(told)), f"{folder}/apart")
 
     def parts(s: str):
         c = F.shiftright(f"{s}.spot", 2 * _REACH_BITS).bitwiseAND((1 << 58 - 2 * _REACH_BITS) - 1)
         return c - F.shiftright(f"{s}.spot", _REACH_BITS).bitwiseAND(_REACH), c, c + F.col(f"{s}.spot").bitwiseAND(_REACH)
 
-    centre = parts("w")[1]
-    bit = F.expr("shiftleft(1L, cast(pmod(xxhash64(class), 64) as int))")  # for each class of a document, to tell most pairs without a common one
-    held = classes.groupBy("id").agg(F.bit_or(bit).alias("held"))
-    within = (F.col("w.id") == F.col("k.id")) & (F.col("k.begin") <= centre) & (centre + WIDTH <= F.col("k.end"))
-    told = groups.alias("w").join(classes.alias("k"), within, "left").select("w.key", "w.id", "w.spot", "k.class")
-    told = materialize(told.join(held, "id", "left").select("key", "id", "spot", "class", F.coalesce("held", F.lit(0).cast("long")).alias("held")), f"{folder}/told")
-    same = Window.partitionBy("key")
-    one = (F.count("class").over(same) == F.count(F.lit(1)).over(same)) & (F.min("class").over(same) == F.max("class").over(same))
-    apart = materialize(told.withColumn("one", F.coalesce(one, F.lit(False))).where("not one").drop("one"), f"{folder}/apart")
-
     (la, ca, ra), (lb, cb, rb) = parts("l"), parts("r")
     d = cb - ca  # as in candidate_passages
     aligned = F.greatest(lb, cb - _SPAN + 1, la + d) <= F.least(cb, rb - _SPAN + 1, ra + d - _SPAN + 1)
-    meet = (F.col("l.key") == F.col("r.key")) & (F.col("l.id") < F.col("r.id")) & ~F.coalesce(F.col("l.class") == F.col("r.class"), F.lit(False))
-    spots = F.collect_set(F.struct(F.col("l.spot").alias("of_a"), F.col("r.spot").alias("of_b")))
-    cross = apart.alias("l").join(apart.alias("r"), meet & aligned)
-    shared = F.col("l.held").bitwiseAND(F.col("r.held")) != 0
-    pairs = cross.groupBy(F.col("l.id").alias("a"), F.col("r.id").alias("b"), shared.alias("shared")).agg(spots.alias("spots"))
-    pairs = materialize(pairs.where(F.col("shared") | (_orders("spots") >= ENOUGH)), f"{folder}/between")
-
-    of_class = told.where("class is not null").select("key", "id", "spot", "class")
-    left = pairs.where("shared").select("a", "b").join(of_class.alias("l"), F.col("a") == F.col("l.id"))
-    both = left.join(of_class.alias("r"), (F.col("b") == F.col("r.id")) & (F.col("l.key") == F.col("r.key")) & (F.col("l.class") == F.col("r.class")) & aligned)
-    joined = both.groupBy("a", "b").agg(spots.alias("joined"))
-    whole = pairs.join(joined, ["a", "b"], "left").select("a", "b", "spots", F.coalesce("joined", F.filter("spots", lambda s: F.lit(False))).alias("joined"))
-    return whole.where(_orders(F.concat("spots", "joined")) >= ENOUGH)
+    meet = (F.col("l.key") == F.col("r.key")) & (F.col("l.id") < F.col("r.id")) & ((F.col("l.class") != F.col("r.class")) | (F.col("l.class") == ALONE))
+    pairs = apart.alias("l").join(apart.alias("r"), meet & aligned).groupBy(F.col("l.id").alias("a"), F.col("r.id").alias("b"))
+    return _join_intervals(pairs.agg(F.collect_set(F.struct(F.col("l.spot").alias("of_a"), F.col("r.spot").alias("of_b"))).alias("spots")))
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per passage of a document that another document repeats: doc_id, start_word, n_words, match_doc_id
-    (the smallest found), n_matches (documents found to match), similarity. Passages of a document that overlap are one.
+    (the smallest found), n_matches (documents found to repeat it), similarity, class_id (first document and place of
+    the passages that links join), class_docs (the documents of that class). Passages of a document that overlap are one.
 
-    Shuffles: a record per document; the windows, (hash, id, place), about a third as many as words;
-    texts of documents with candidates, to verify them; then, once more, what is not of one class yet.
+    Shuffles: a record per document; the windows, (hash, id, place), about a third as many as words; those that two
+    texts share, by text and by hash; texts of documents with candidates, to verify them.
     """
     spark = docs.sparkSession
     small_batches(spark)
     folder = shared_dir(spark)
-    rows = with_columns_of(docs, id_col, text_col).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
+    rows = with_columns_of(docs, id_col, text_col).select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).where("doc is not null and text is not null")
+
+    prints = materialize(rows.select("doc", F.xxhash64("text").alias("print"), F.sha2("text", 256).alias("digest")), f"{folder}/prints")
+    rows, prints = with_nodes(rows, prints, "doc", f"{folder}/several")
+    texts = prints.groupBy("digest", "doc").agg(F.min("node").alias("node"))
+    same = texts.groupBy("digest").agg(F.min(F.struct("doc", "node")).alias("least"), F.max("doc").alias("most"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
+    owners = texts.join(same, "digest", "left").select("doc", F.col("node").alias("own"), F.coalesce("least.node", "node").alias("id"), F.coalesce("least.doc", "doc").alias("least"), F.coalesce("most", "doc").alias("most"), F.coalesce("copies", F.lit(1)).alias("copies"))
+    owners = materialize(owners, f"{folder}/owners")
+    drop = owners.where("own <> id").select(F.col("own").alias("node")).distinct()
+    rows = rows.join(few_or_shuffled(drop), "node", "left_anti").select(F.col("node").alias("id"), "text")
+
+    met = materialize(_where_covered(_in_several(_windows(rows))), f"{folder}/met")
+    first = materialize(_first_meetings(met), f"{folder}/candidates")
+    linked = materialize(_verify(first, _texts(rows, first, f"{folder}/texts")), f"{folder}/found")
 
-    prints = materialize(rows.select("id", F.sha2("text", 256).alias("print"), F.regexp_count("text", F.lit(f"[^{SPACE}]+")).cast("long").alias("n_words")), f"{folder}/prints")
-    classes = prints.groupBy("print").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most")
-    copies = materialize(prints.join(classes, "print").select("id", "least", "most", "n_words"), f"{folder}/copies")
-    drop = copies.where("id <> least").select("id").distinct()
-    single = rows.join(few_or_shuffled(drop), "id", "left_anti")
+    second = _between_classes(met, _classes(linked, f"{folder}/first"), folder)
+    second = materialize(second.join(first, first.columns, "left_anti"), f"{folder}/more-candidates")
+    more = materialize(_verify(second, _texts(rows, second, f"{folder}/more-texts")), f"{folder}/more")
+    found = materialize(linked.union(more).distinct(), f"{folder}/all")
+    return _reported(found, _classes(found, f"{folder}/last"), owners, rows, folder)
 
-    same, by_id = Window.partitionBy("key"), Window.partitionBy("key").orderBy("id")
+
+def _first_meetings(met: DataFrame) -> DataFrame:
+    """Candidates among windows and three others of their group."""
+    same, by_id = Window.partitionBy("key"), Window.partitionBy("key").orderBy("id", "spot")
     spot = F.struct("id", "spot")
-    before = F.last(spot).over(by_id.rangeBetween(Window.unboundedPreceding, -1))
+    before = F.last(spot).over(Window.partitionBy("key").orderBy("id").rangeBetween(Window.unboundedPreceding, -1))
     least = F.first(spot).over(by_id.rowsBetween(Window.unboundedPreceding, 0))
     # a third one at random, the same in all groups that have it: where edits of a passage surround one another, it is often an original
     chance = F.min(F.struct(F.xxhash64("id").alias("key"), "id", "spot")).over(same)
-    met = _windows(single).withColumn("before", before).withColumn("least", least).withColumn("chance", chance).withColumn("most", F.max("id").over(same))
-    met = met.where("least.id < most").select("key", "id", "spot", "before", "least", F.struct("chance.id", "chance.spot").alias("chance"))
-    met = materialize(met, f"{folder}/met")
-    meet = met.where("before is not null or chance.id <> id").select("id", "spot", F.explode(F.array_distinct(F.array("before", "least", "chance"))).alias("other")).where("other.id <> id")
+    three = met.withColumn("before", before).withColumn("least", least).withColumn("chance", F.struct(chance["id"].alias("id"), chance["spot"].alias("spot")))
+    meet = three.select("id", "spot", F.explode(F.array_distinct(F.array("before", "least", "chance"))).alias("other")).where("other.id <> id")
     pairs = meet.groupBy(F.col("other.id").alias("a"), F.col("id").alias("b")).agg(F.collect_set(F.struct(F.col("other.spot").alias("of_a"), F.col("spot").alias("of_b"))).alias("spots"))
-    first = materialize(_join_intervals(pairs.where(_orders("spots") >= ENOUGH).withColumn("joined", F.filter("spots", lambda s: F.lit(False)))), f"{folder}/candidates")
-    linked = materialize(_verify(first, _texts(rows, first, f"{folder}/texts")), f"{folder}/found")
-
-    classes = _classes(linked, f"{folder}/first")
-    second = _join_intervals(_between_classes(met.select("key", "id", "spot"), classes, folder))
-    second = materialize(second.join(first, first.columns, "left_anti"), f"{folder}/more-candidates")
-    more = materialize(_verify(second, _texts(rows, second, f"{folder}/more-texts")), f"{folder}/more")
-    found = linked.union(more).distinct()
-
-    sides = _sides(found)
-    whole = copies.where(F.col("n_words") >= MIN_WORDS).select("id", F.lit(0).cast("long"), "n_words", F.when(F.col("id") == F.col("least"), F.col("most")).otherwise(F.col("least")), F.lit(1.0))
-    spans = sides.union(whole).groupBy("doc_id", "start_word", "n_words").agg(F.min("match_doc_id").alias("match_doc_id"), F.count(F.lit(1)).alias("n_matches"), F.max("similarity").alias("similarity"))
-    islands = _in_islands(spans)
-    merged = islands.groupBy("doc_id", "island").agg(F.min("start_word").alias("start_word"), F.max(F.col("start_word") + F.col("n_words")).alias("end_word"), F.min("match_doc_id").alias("match_doc_id"), F.sum("n_matches").alias("n_matches"), F.max("similarity").alias("similarity"))
-    return merged.select("doc_id", "start_word", (F.col("end_word") - F.col("start_word")).alias("n_words"), "match_doc_id", "n_matches", "similarity")
+    return _join_intervals(pairs)
+
+
+def _reported(found: DataFrame, classes: DataFrame, owners: DataFrame, rows: DataFrame, folder: str) -> DataFrame:
+    """The rows of the result: passages of texts become passages of all documents that hold the text, and a text that
+    several documents hold is one more passage, from end to end."""
+    holders = materialize(owners.select("id", "least", "copies").distinct().join(classes.select("id").distinct(), "id", "left_semi"), f"{folder}/holders")
+    sides = _sides(found).withColumnsRenamed({"doc_id": "id", "match_doc_id": "match"})
+    inside = (sides["id"] == classes["id"]) & sides["start_word"].between(classes["begin"], classes["end"] - 1)
+    linked = sides.join(classes, inside).groupBy(classes["id"], "begin", "end", "class", "match").agg(F.max("similarity").alias("similarity"))
+    matches = holders.select(F.col("id").alias("match"), F.col("least").alias("match_least"), F.col("copies").alias("match_copies"))
+    islands = linked.join(matches, "match").groupBy("id", "begin", "end", "class").agg(F.min("match_least").alias("match"), F.sum("match_copies").alias("matches"), F.max("similarity").alias("similarity"))
+    islands = materialize(islands, f"{folder}/linked")
+    sizes = classes.join(holders, "id").groupBy("class", "id").agg(F.min(F.struct("least", "begin")).alias("first"), F.first("copies").alias("copies"))
+    sizes = sizes.groupBy("class").agg(F.min("first").alias("first"), F.sum("copies").alias("class_docs"))
+    own = islands.join(sizes, "class").join(owners, "id")
+    match = F.when(F.col("doc") != F.col("least"), F.least("match", "least")).otherwise(F.col("match"))
+    inner = own.select(F.col("doc").alias("doc_id"), F.col("begin").alias("start_word"), (F.col("end") - F.col("begin")).alias("n_words"), match.alias("match_doc_id"), (F.col("matches") + F.col("copies") - 1).alias("n_matches"), "similarity", F.concat_ws(":", "first.least", "first.begin").alias("class_id"), "class_docs")
+
+    held = owners.where("copies > 1")
+    lengths = rows.join(few_or_shuffled(held.select("id").distinct()), "id", "left_semi").dropDuplicates(["id"]).select("id", F.regexp_count("text", F.lit(f"[^{SPACE}]+")).cast("long").alias("n_words"))
+    other = F.when(F.col("doc") == F.col("least"), F.col("most")).otherwise(F.col("least"))
+    whole = held.join(lengths.where(F.col("n_words") >= MIN_WORDS), "id").select("doc", F.lit(0).cast("long"), "n_words", other, F.col("copies") - 1, F.lit(1.0), F.concat(F.lit("text:"), "least"), "copies")
+    return inner.union(whole)

@@ -183,3 +183,42 @@ def test_passages_inside_dissimilar_regions():
     a, b = one + [f"x{i}" for i in range(80)] + two, ["lead"] * 9 + one + [f"y{i}" for i in range(95)] + two
     found = passages.verified(a, b, 9, 9 + 60 + 95 + 20, 9, 24)
     assert sorted(x[2:4] for x in found) == [(9, 69), (164, 234)] and all(x[4] == 1.0 for x in found)
+
+
+def test_windows_are_cut_at_known_passages():
+    """Against every start looked up by itself."""
+    rnd = random.Random(5)
+    ids, spots, islands = [], [], []
+    for text in (3, 4, 9):
+        x = shingles.Shingler().sequence(" ".join(f"w{rnd.randrange(400)}" for _ in range(300)))
+        k, w = passages.text_windows(x)
+        ids += [text] * len(w)
+        spots += list(w)
+        if text != 4:
+            islands += [(text, 20, 90, 7), (text, 90, 150, 8), (text, 200, 280, 7)]
+    ids, spots = np.array(ids), np.array(spots)
+    i_ids, begin, end, classes = (np.array(x) for x in zip(*islands))
+    which, cut, of = passages.pieces(ids, spots, i_ids, begin, end, classes)
+
+    def by_start(windows, owner, known):
+        first, c, last = passages.starts(windows)
+        return {(int(o), int(p), int(w >> 58), s): known(i, s) for i, (o, w, a, p, b) in enumerate(zip(owner, windows, first, c, last)) for s in range(a, b + 1)}
+
+    def class_at(text, s):
+        held = [k for t, a, b, k in islands if t == text and a - 45 <= s <= b - 5]
+        return held[0] if held else passages.ALONE
+
+    want = by_start(spots, ids, lambda i, s: class_at(ids[i], s))
+    assert by_start(cut, ids[which], lambda i, s: int(of[i])) == want
+
+
+def test_windows_that_too_few_orders_share():
+    x = shingles.Shingler().sequence(" ".join(f"w{i}" for i in range(200)))
+    _, w = passages.text_windows(x)
+    first, _, last = passages.starts(w)
+    rnd = np.random.default_rng(2)
+    some = w[rnd.random(len(w)) < 0.5]
+    f, _, l = passages.starts(some)
+    count = [sum((f <= s) & (l >= s)) for s in range(200)]
+    want = [any(count[s] >= passages.ENOUGH for s in range(a, b + 1)) for a, b in zip(f, l)]
+    assert passages.covered(np.full(len(some), 3), some).tolist() == want
