@@ -10,9 +10,9 @@ overlap on one diagonal, the texts hold a likely near-duplicate passage. It is
 extended over the words around that agree, and verified: the shingles themselves
 must have a Jaccard similarity of at least 0.8 over MIN_WORDS words or more.
 
-Within one hash's group each window first meets the windows of the smallest document,
-of the document just before it and of one chosen by chance. What that verifies joins
-passages to classes. Then all windows of a group that aren't of one class meet each
+Within one hash's group each window first meets the windows of the text with the most
+company in all its groups and of one chosen by chance. What that verifies joins passages
+to classes. Then all windows of a group that aren't of one class meet each
 other; so the only pairs never compared are those whose passages are joined already.
 Before each meeting windows are joined as intervals within their own text: a passage
 can only be a candidate where windows of ENOUGH orders are shared, so that texts which
@@ -196,8 +196,8 @@ class Texts:
         return a1, a2, b1, b2, found
 
     def parts(self, a1: int, a2: int, b1: int, b2: int, similarity: float) -> list[tuple[int, int, int, int, float]]:
-        """Passages within two regions that aren't similar as a whole: runs of starts in b whose least passages have
-        nearly all of their shingles in a as well, each taken whole if it is similar, else its halves, and so on."""
+        """Passages within two regions that aren't similar as a whole: runs of starts in b whose least passages are
+        similar to a part of a, each taken whole if it is similar, else its halves, and so on."""
         x, y = self.shingles[0][a1 : max(a1, a2 - WIDTH + 1)], self.shingles[1][b1 : max(b1, b2 - WIDTH + 1)]
         if len(y) < _SPAN or not len(x):
             return []
@@ -207,17 +207,19 @@ class Texts:
         hits = np.concatenate(([0], np.cumsum(at >= 0)))
         counts = hits[_SPAN:] - hits[:-_SPAN]
         starts = np.flatnonzero(counts >= similarity * _SPAN)
-        if len(starts):  # of these, where the part of a between most of the shared shingles hasn't too many others
-            counts, rows = counts[starts], np.arange(len(starts))
-            places = np.sort(np.lib.stride_tricks.sliding_window_view(at, _SPAN)[starts], axis=1)
-            low, high = (places[rows, i] - a1 for i in (_SPAN - counts + counts // 10, _SPAN - 1 - counts // 10))
+        if len(starts):  # of these, where least passages are similar: the part of a that has the shared shingles has few others
+            held = np.lib.stride_tricks.sliding_window_view(at, _SPAN)[starts]
+            counts = counts[starts]
+            middle = np.sort(held, axis=1)[np.arange(len(starts)), _SPAN - counts + counts // 2][:, None]
+            near = (held >= 0) & (np.abs(held - middle) <= _SPAN + 2 * DRIFT)  # not where a shingle stands elsewhere once more
+            low, high = np.where(near, held, a2).min(axis=1) - a1, np.where(near, held, a1).max(axis=1) - a1
             others = np.unique(y)
-            here = others[np.minimum(np.searchsorted(others, x), len(others) - 1)] == x
-            missing = np.concatenate(([0], np.cumsum(~here)))
-            starts = starts[counts >= similarity * (_SPAN + np.maximum(missing[high + 1] - missing[low], 0))]
+            missing = np.concatenate(([0], np.cumsum(others[np.minimum(np.searchsorted(others, x), len(others) - 1)] != x)))
+            starts = starts[near.sum(axis=1) >= similarity * (_SPAN + missing[high + 1] - missing[low])]
         out = []
 
-        def similar(first: int, last: int) -> bool:
+        def settled(first: int, last: int) -> bool:
+            """Whether starts from first to last make a passage, or are too short to, as all their parts are."""
             held = at[first : last + _SPAN]
             shared = np.flatnonzero(held >= 0)
             held = held[shared]
@@ -225,7 +227,9 @@ class Texts:
             held = held[np.abs(held - middle) <= last - first + _SPAN + 2 * DRIFT]  # not where a shingle stands elsewhere once more
             low, high = int(held.min()), int(held.max()) + WIDTH
             begin, end = b1 + first + int(shared[0]), b1 + first + int(shared[-1]) + WIDTH
-            if min(high - low, end - begin) >= MIN_WORDS and (found := self.similarity(low, high, begin, end)) >= similarity:
+            if min(high - low, end - begin) < MIN_WORDS:
+                return True
+            if (found := self.similarity(low, high, begin, end)) >= similarity:
                 out.append(self.extended(low, high, begin, end, found))
                 return True
             return False
@@ -234,7 +238,7 @@ class Texts:
             todo = [(int(run[0]), int(run[-1]))]
             while todo:  # halves of what isn't similar, down to the least length
                 first, last = todo.pop()
-                if not similar(first, last) and last > first:
+                if not settled(first, last) and last > first:
                     middle = (first + last) // 2
                     todo += [(first, middle), (middle + 1, last)]
         return out
@@ -275,7 +279,11 @@ def verified_places(left: np.ndarray, right: np.ndarray, places: list[tuple[int,
             merged.append([first, last, d1, d2])
     pair = Texts(left, right)
     if len(merged) <= DIAGONALS:
-        return {x for m in merged for x in pair.verified(*m, similarity)}
+        found: set = set()
+        for first, last, d1, d2 in merged:
+            if not any(b1 <= first and last + MIN_WORDS <= b2 and max(abs(b1 - a1 - d1), abs(b1 - a1 - d2)) <= DRIFT for a1, _, b1, b2, _ in found):
+                found.update(pair.verified(first, last, d1, d2, similarity))
+        return found
     a1, a2 = min(m[0] - max(m[2:]) for m in merged), max(m[1] - min(m[2:]) for m in merged) + MIN_WORDS
     b1, b2 = min(m[0] for m in merged), max(m[1] for m in merged) + MIN_WORDS
     a1, a2, b1, b2 = max(0, a1), min(len(left), a2), max(0, b1), min(len(right), b2)
@@ -519,7 +527,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     rows = rows.join(few_or_shuffled(drop), "node", "left_anti").select(F.col("node").alias("id"), "text")
 
     met = materialize(_where_covered(_in_several(_windows(rows))), f"{folder}/met")
-    first = materialize(_first_meetings(met), f"{folder}/candidates")
+    first = materialize(_first_meetings(met, folder), f"{folder}/candidates")
     linked = materialize(_verify(first, _texts(rows, first, f"{folder}/texts")), f"{folder}/found")
 
     second = _between_classes(met, _classes(linked, f"{folder}/first"), folder)
@@ -529,16 +537,16 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     return _reported(found, _classes(found, f"{folder}/last"), owners, rows, folder)
 
 
-def _first_meetings(met: DataFrame) -> DataFrame:
-    """Candidates among windows and three others of their group."""
-    same, by_id = Window.partitionBy("key"), Window.partitionBy("key").orderBy("id", "spot")
-    spot = F.struct("id", "spot")
-    before = F.last(spot).over(Window.partitionBy("key").orderBy("id").rangeBetween(Window.unboundedPreceding, -1))
-    least = F.first(spot).over(by_id.rowsBetween(Window.unboundedPreceding, 0))
-    # a third one at random, the same in all groups that have it: where edits of a passage surround one another, it is often an original
-    chance = F.min(F.struct(F.xxhash64("id").alias("key"), "id", "spot")).over(same)
-    three = met.withColumn("before", before).withColumn("least", least).withColumn("chance", F.struct(chance["id"].alias("id"), chance["spot"].alias("spot")))
-    meet = three.select("id", "spot", F.explode(F.array_distinct(F.array("before", "least", "chance"))).alias("other")).where("other.id <> id")
+def _first_meetings(met: DataFrame, folder: str) -> DataFrame:
+    """Candidates among windows and two others of their group: that of the text with the most company over all its
+    windows, such as the one that others are edits of, and one by chance, the same in all groups that have it."""
+    same = Window.partitionBy("key")
+    company = met.withColumn("members", F.count(F.lit(1)).over(same)).groupBy("id").agg(F.sum("members").alias("company"))
+    ranked = met.join(materialize(company, f"{folder}/company"), "id")
+    spot = lambda first: F.max(F.struct(first, F.xxhash64("id").alias("by"), "id", "spot")).over(same)
+    two = ranked.withColumn("most", spot(F.col("company"))).withColumn("chance", spot(F.lit(0).alias("company")))
+    pick = lambda c: F.struct(F.col(f"{c}.id").alias("id"), F.col(f"{c}.spot").alias("spot"))
+    meet = two.select("id", "spot", F.explode(F.array_distinct(F.array(pick("most"), pick("chance")))).alias("other")).where("other.id <> id")
     pairs = meet.groupBy(F.col("other.id").alias("a"), F.col("id").alias("b")).agg(F.collect_set(F.struct(F.col("other.spot").alias("of_a"), F.col("spot").alias("of_b"))).alias("spots"))
     return _join_intervals(pairs)
 
