@@ -104,12 +104,12 @@ def only_new_elements(spark, sf_dir):
     return S.only_new(known, els).select("id")
 
 
-@registered(f"""with {_ELEMENTS}, s as (select doc_id as selection_id, 'x/' || (doc_id * 3 % 300) as path, source as repo_name from documents where doc_id % 5 = 0),
+@registered(f"""with {_ELEMENTS}, s as (select doc_id as selection_id, 'x/' || (doc_id * 3 % 300) as path, source as repo_name from documents),
     m as (select selection_id, e.id, row_number() over (partition by selection_id order by case when e.relative_path = s.path and e.repo_name = s.repo_name then 1 when e.repo_name = s.repo_name then 2 when e.relative_path = s.path then 3 else 4 end, e.id) as r
         from s join elements e on string_split(e.relative_path, '/')[-1] = string_split(s.path, '/')[-1] where e.type = 'file')
     select selection_id, id from m where r = 1""")
 def match_selections(spark, sf_dir):
-    s = documents(spark, sf_dir).where("doc_id % 5 = 0").select(F.col("doc_id").alias("selection_id"), F.concat(F.lit("x/"), F.col("doc_id") * 3 % 300).alias("path"), F.col("source").alias("repo_name"), F.lit(None).cast("string").alias("name"))
+    s = documents(spark, sf_dir).select(F.col("doc_id").alias("selection_id"), F.concat(F.lit("x/"), F.col("doc_id") * 3 % 300).alias("path"), F.col("source").alias("repo_name"), F.lit(None).cast("string").alias("name"))
     return S.match_selections(s, elements(spark, sf_dir)).select("selection_id", "id")
 
 

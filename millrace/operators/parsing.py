@@ -8,6 +8,7 @@ Functions run in Arrow batches, one text at a time, so memory is bounded by the
 from __future__ import annotations
 
 import ast
+import bisect
 import inspect
 import re
 from collections.abc import Callable, Iterator
@@ -246,29 +247,64 @@ PATTERNS["typescript"] = [*PATTERNS["javascript"], ("class", rf"^\s*(?:export\s+
 PATTERNS["cpp"] = PATTERNS["c"]
 
 
+_COMMENT = r"//[^\n]*|/\*.*?(?:\*/|\Z)"
+_TEXT = r'"(?:\\.|[^"\\\n])*"|\'(?:\\.|[^\'\\\n])*\''
+#: What isn't code, by language: comments and texts; Rust has lifetimes, so that its quotes hold one character.
+_NOT_CODE = {"rust": re.compile(rf"{_COMMENT}|\"(?:\\.|[^\"\\])*\"|'(?:\\[^'\n]*|[^'\\\n])'", re.S)} | {
+    name: re.compile(rf"{_COMMENT}|{_TEXT}|`(?:\\.|[^`\\])*`", re.S) for name in ("javascript", "typescript")
+}
+_NOT_CODE_ELSE = re.compile(rf"{_COMMENT}|{_TEXT}", re.S)
+
+
+def code_only(text: str, language: str) -> str:
+    """The text with blanks in place of comments and quoted texts; line ends and places stay."""
+    return _NOT_CODE.get(language, _NOT_CODE_ELSE).sub(lambda m: re.sub(r"[^\n]", " ", m.group()), text)
+
+
+def _closing(code: str) -> dict[int, int]:
+    """Where each opening brace is closed; those that aren't are closed by the end."""
+    out, todo = {}, []
+    for m in re.finditer(r"[{}]", code):
+        if m.group() == "{":
+            todo.append(m.start())
+        elif todo:
+            out[todo.pop()] = m.start()
+    return out | dict.fromkeys(todo, len(code))
+
+
 def pattern_rows(text: str | None, language: str) -> list[dict]:
-    """Definitions and imports of a language that has patterns (T07 to T11); a definition ends where its braces close."""
+    """Definitions and imports of a language that has patterns (T07 to T11). A definition ends where the brace closes that
+    opens next, by the code without comments and texts, or with its statement if that ends first."""
     rules = [(k, re.compile(p)) for k, p in PATTERNS.get(language, ())]
-    lines, rows = (text or "").split("\n"), []
+    text = text or ""
+    code = code_only(text, language)
+    lines, rows, closing = text.split("\n"), [], _closing(code)
+    breaks = [m.start() for m in re.finditer("\n", text)]
+    at = 0
     for i, line in enumerate(lines):
+        begin, at = at, at + len(line) + 1
+        if line.strip() and not code[begin : begin + len(line)].strip():
+            continue
         for kind, rule in rules:
             if not (m := rule.search(line)):
                 continue
             extra = (m.group(2) or "").strip() if m.re.groups > 1 else ""
-            end, depth, opened = i, 0, False
+            end = i
             if kind != "import":
-                for end in range(i, min(len(lines), i + 5000)):
-                    depth += lines[end].count("{") - lines[end].count("}")
-                    opened = opened or "{" in lines[end]
-                    if opened and depth <= 0 or not opened and ";" in lines[end]:
-                        break
-            rows.append({"kind": kind, "name": m.group(1), "start_line": i + 1, "end_line": end + 1, "docstring": None, "parameters": [p.strip() for p in extra.split(",") if p.strip()] if kind in ("function", "method") else [], "return_type": None, "is_async": "async" in line, "class_name": None, "bases": [b.strip() for b in extra.split(",") if b.strip()] if kind == "class" else [], "decorators": [], "complexity": None, "header": line.strip()})
+                stop = re.compile(r"[{;]").search(code, begin + m.end(1))
+                if stop:
+                    end = bisect.bisect_left(breaks, closing[stop.start()] if stop.group() == "{" else stop.start())
+            rows.append({"kind": kind, "name": m.group(1), "start_line": i + 1, "end_line": min(end, len(lines) - 1) + 1, "docstring": None, "parameters": [p.strip() for p in extra.split(",") if p.strip()] if kind in ("function", "method") else [], "return_type": None, "is_async": "async" in line, "class_name": None, "bases": [b.strip() for b in extra.split(",") if b.strip()] if kind == "class" else [], "decorators": [], "complexity": None, "header": line.strip()})
             break
-    classes = [r for r in rows if r["kind"] == "class"]
+    around: list[dict] = []
     for r in rows:
-        around = [c for c in classes if c is not r and c["start_line"] <= r["start_line"] and r["end_line"] <= c["end_line"]]
-        if r["kind"] in ("function", "method") and around:
-            r["kind"], r["class_name"] = "method", around[-1]["name"]
+        while around and around[-1]["end_line"] < r["start_line"]:
+            around.pop()
+        inside = [c for c in around if r["end_line"] <= c["end_line"]]
+        if r["kind"] in ("function", "method") and inside:
+            r["kind"], r["class_name"] = "method", inside[-1]["name"]
+        if r["kind"] == "class":
+            around.append(r)
     return rows
 
 

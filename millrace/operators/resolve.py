@@ -40,7 +40,7 @@ def map_problems(modules: DataFrame, exports: DataFrame, files: DataFrame) -> Da
     """problem, detail: exports of unknown modules, modules of unknown files, files with two modules."""
     a = exports.select("repo_name", "module").subtract(modules.select("repo_name", "module")).select(F.lit("export of unknown module").alias("problem"), F.col("module").alias("detail"))
     b = modules.join(files.select(F.col("id").alias("file_id")), "file_id", "left_anti").select(F.lit("module of unknown file"), F.col("module"))
-    c = modules.groupBy("file_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.lit("file with several modules"), F.col("file_id"))
+    c = modules.groupBy("file_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.lit("file with several modules"), F.col("file_id").cast("string"))
     return a.union(b).union(c)
 
 

@@ -114,11 +114,11 @@ def cosine_topk(spark, sf_dir):
 
 
 @registered(f"""select query_id, id, rank, score from (select q.vec_id as query_id, e.vec_id as id, round({_COSINE}, 6) as score,
-    row_number() over (partition by q.vec_id order by {_COSINE} desc, e.vec_id)::int as rank from embeddings e, embeddings q where q.vec_id < 5) where rank <= 3""")
+    row_number() over (partition by q.vec_id order by {_COSINE} desc, e.vec_id)::int as rank from embeddings e, embeddings q where q.vec_id % 100 = 0) where rank <= 3""")
 def cosine_batch_topk(spark, sf_dir):
-    """Five given queries against all vectors, three best each."""
+    """Every hundredth vector against all, three best each."""
     v = vectors(spark, sf_dir)
-    asked = v.where("id < 5").select(F.col("id").alias("query_id"), F.col("vector").alias("query_vector"))
+    asked = v.where("id % 100 = 0").select(F.col("id").alias("query_id"), F.col("vector").alias("query_vector"))
     return Q.vector_batch_top(v, asked, 3).select("query_id", "id", "rank", F.round("score", 6).alias("score"))
 
 
@@ -613,15 +613,17 @@ def task_states(spark, sf_dir):
 
 
 # -- selection ------------------------------------------------------------------------------------------
-_SPANS = """spans as (select l_orderkey as id, 'f' || (l_orderkey % 200) as relative_path, case l_linenumber % 3 when 0 then 'class' else 'function' end as type, (l_partkey % 50)::int as start_line,
-    (l_partkey % 50 + l_quantity)::int as end_line, l_linenumber from lineitem where l_linenumber <= 2), one as (select * exclude (r) from (select *, row_number() over (partition by id order by l_linenumber) as r from spans) where r = 1)"""
+_SPANS = """one as (select row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax)::varchar || '-' || l_orderkey as id, 'f' || (l_orderkey // 5) as relative_path,
+    case l_linenumber % 3 when 0 then 'class' else 'function' end as type, (l_partkey % 50)::int as start_line, (l_partkey % 50 + l_quantity)::int as end_line from lineitem)"""
 
 
 def _spans(spark, sf_dir):
-    l = table(spark, sf_dir, "lineitem").where("l_linenumber <= 2")
-    x = l.select(F.col("l_orderkey").alias("id"), F.concat(F.lit("f"), F.col("l_orderkey") % 200).alias("relative_path"), F.when(F.col("l_linenumber") % 3 == 0, "class").otherwise("function").alias("type"), (F.col("l_partkey") % 50).cast("int").alias("start_line"), (F.col("l_partkey") % 50 + F.col("l_quantity")).cast("int").alias("end_line"), "l_linenumber")
-    w = Window.partitionBy("id").orderBy("l_linenumber")
-    return x.withColumn("r", F.row_number().over(w)).where("r = 1").withColumn("repo_name", F.lit("r"))
+    """Every line item is a span; five orders make a file."""
+    number = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax"))
+    return table(spark, sf_dir, "lineitem").select(
+        F.concat_ws("-", number.cast("string"), "l_orderkey").alias("id"), F.concat(F.lit("f"), F.floor(F.col("l_orderkey") / 5)).alias("relative_path"), F.when(F.col("l_linenumber") % 3 == 0, "class").otherwise("function").alias("type"),
+        (F.col("l_partkey") % 50).cast("int").alias("start_line"), (F.col("l_partkey") % 50 + F.col("l_quantity")).cast("int").alias("end_line"), F.lit("r").alias("repo_name"),
+    )
 
 
 @registered(f"""with {_SPANS}, o as (select *, row_number() over (partition by relative_path order by case type when 'class' then 0 else 1 end, -(case when end_line > start_line then end_line - start_line + 1 else 0 end), start_line, id) as n from one)
@@ -672,7 +674,7 @@ def relative_imports(spark, sf_dir):
 
 
 def queries() -> dict[str, Query]:
-    from . import more_queries  # noqa: F401  registers its own
+    from . import code_queries, more_queries  # noqa: F401  register their own
 
     return QUERIES
 
