@@ -19,6 +19,8 @@ from ..functions import values as V
 GRAPHS = {"dependency": ("import",), "call": ("call",), "inheritance": ("inherit",), "reference": ("ref",), "containment": ("contain",)}
 EDGE_WEIGHTS = {"call": 3.0, "inherit": 2.5, "import": 2.0, "ref": 1.5, "contain": 1.0}
 MOST_CLUSTERS = 64
+#: A side is broadcast only if it is counted to have no more rows.
+BROADCAST_ROWS = 100_000
 
 
 def work_folder(spark: SparkSession) -> str:
@@ -39,10 +41,12 @@ def written(df: DataFrame, path: str) -> DataFrame:
 # -- building -----------------------------------------------------------------
 def route_edges(edges: DataFrame) -> DataFrame:
     """graph, src, dst and the attributes of the last of parallel edges; unknown types are dropped.
-    edges: src_id, dst_id, edge_type, ord."""
+    edges: src_id, dst_id, edge_type, ord. Parallel edges are reduced in each task before the shuffle."""
     graph = F.element_at(F.create_map(*[F.lit(x) for g, kinds in GRAPHS.items() for k in kinds for x in (k, g)]), F.col("edge_type"))
-    last = Window.partitionBy("graph", "src_id", "dst_id").orderBy(F.desc("ord"))
-    return edges.withColumn("graph", graph).where("graph is not null").withColumn("__r", F.row_number().over(last)).where("__r = 1").drop("__r", "ord")
+    rest = [c for c in edges.columns if c not in ("src_id", "dst_id", "ord")]
+    routed = edges.withColumn("graph", graph).where("graph is not null")
+    last = routed.groupBy("graph", "src_id", "dst_id").agg(F.max_by(F.struct(*rest), "ord").alias("__last"))
+    return last.select("graph", "src_id", "dst_id", *[F.col(f"__last.{c}").alias(c) for c in rest])
 
 
 def nodes_of(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
@@ -76,17 +80,30 @@ def predecessors(edges: DataFrame, node: str) -> DataFrame:
 
 
 def symmetric(edges: DataFrame) -> DataFrame:
-    return edges.select("src", "dst").union(edges.select(F.col("dst"), F.col("src"))).distinct()
+    return both_ways(edges).distinct()
+
+
+def both_ways(edges: DataFrame) -> DataFrame:
+    """Each edge and its reverse in one pass over the edges, repeats included."""
+    return edges.select(F.explode(F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst")))).alias("e")).select("e.src", "e.dst")
+
+
+def _few(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """A written table, to be broadcast if it is counted to be small."""
+    return F.broadcast(df) if df.count() <= most else df
 
 
 def reach(edges: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
     """seed, node, distance of what lies at most so many hops along the edges, the seed itself at 0.
-    seeds: seed. Each hop joins the frontier with the edges and keeps one row per (seed, node)."""
-    found = frontier = seeds.select("seed", F.col("seed").alias("node")).distinct().withColumn("distance", F.lit(0))
+    seeds: seed. Each hop's new pairs are written; while they are few, a hop reads the edges without a shuffle."""
+    folder = work_folder(edges.sparkSession)
+    found = frontier = written(seeds.select("seed", F.col("seed").alias("node")).distinct().withColumn("distance", F.lit(0)), f"{folder}/0")
+    links = edges.select(F.col("src").alias("node"), F.col("dst").alias("next"))
     for hop in range(1, hops + 1):
-        frontier = frontier.join(edges.select(F.col("src").alias("node"), F.col("dst").alias("next")), "node").select("seed", F.col("next").alias("node")).distinct().withColumn("distance", F.lit(hop))
+        step = links.join(_few(frontier), "node").select("seed", F.col("next").alias("node")).distinct()
+        frontier = written(step.join(found, ["seed", "node"], "left_anti").withColumn("distance", F.lit(hop)), f"{folder}/{hop}")
         found = found.union(frontier)
-    return found.groupBy("seed", "node").agg(F.min("distance").alias("distance"))
+    return found.select("seed", "node", "distance")
 
 
 def related(edges: DataFrame, seeds: DataFrame, hops: int = 2) -> DataFrame:
@@ -101,7 +118,7 @@ def related(edges: DataFrame, seeds: DataFrame, hops: int = 2) -> DataFrame:
 
 def related_undirected(edges: DataFrame, seeds: DataFrame, hops: int = 2) -> DataFrame:
     """Nodes within so many hops over all graphs, either way, without the seeds."""
-    return reach(symmetric(edges), seeds, hops).where("node <> seed")
+    return reach(both_ways(edges), seeds, hops).where("node <> seed")
 
 
 def related_with_fallback(facts: DataFrame, legacy: DataFrame, seeds: DataFrame, hops: int = 2) -> DataFrame:
@@ -123,17 +140,23 @@ def expand(rows: DataFrame, neighbours: DataFrame, elements: DataFrame, weight:
     return rows.unionByName(new, allowMissingColumns=True)
 
 
-def shortest_path(edges: DataFrame, source, target, most: int = 6) -> DataFrame:
-    """path, hops of the shortest path, the smallest of equal ones; no row without one.
-    The frontier keeps one path per node, so it never outgrows the nodes."""
+def shortest_path(edges: DataFrame, source, target, most: int | None = None) -> DataFrame:
+    """path, hops of the shortest path, the smallest of equal ones; no row without one (G08). The search goes on until it
+    meets the target or finds nothing new (most: a bound on the hops, if wanted). Each level is written and keeps one
+    path per node that is new, so that it never outgrows the nodes."""
     spark = edges.sparkSession
-    kind = edges.schema["src"].dataType
-    links = edges.select("src", "dst").distinct()
-    seen = frontier = spark.range(1).select(F.lit(source).cast(kind).alias("node"), F.array(F.lit(source).cast(kind)).alias("path"))
-    for _ in range(most):
-        frontier = frontier.join(links, frontier["node"] == links["src"]).groupBy(F.col("dst").alias("node")).agg(F.min(F.concat("path", F.array("dst"))).alias("path"))
-        seen = seen.union(frontier)
-    return seen.where(F.col("node") == F.lit(target)).select("path", (F.size("path") - 1).alias("hops")).orderBy("hops", "path").limit(1)
+    folder, kind = work_folder(spark), edges.schema["src"].dataType
+    links, hop = edges.select("src", "dst"), 0
+    level = written(spark.range(1).select(F.lit(source).cast(kind).alias("node"), F.array(F.lit(source).cast(kind)).alias("path")), f"{folder}/0")
+    seen = level.select("node")
+    while True:
+        hit = level.where(F.col("node") == F.lit(target))
+        if not hit.isEmpty() or hop == most or level.isEmpty():
+            return hit.select("path", (F.size("path") - 1).alias("hops"))
+        hop += 1
+        step = links.join(_few(level), links["src"] == level["node"]).groupBy(F.col("dst").alias("node")).agg(F.min(F.concat("path", F.array("dst"))).alias("path"))
+        level = written(step.join(seen, "node", "left_anti"), f"{folder}/{hop}")
+        seen = written(seen.union(level.select("node")), f"{folder}/seen-{hop}") if hop % 8 == 0 else seen.union(level.select("node"))
 
 
 def call_chain(edges: DataFrame, seed, hops: int = 2, direction: str = "callees") -> DataFrame:
@@ -150,10 +173,11 @@ def call_chain(edges: DataFrame, seed, hops: int = 2, direction: str = "callees"
 
 # -- measures -----------------------------------------------------------------------
 def graph_stats(edges: DataFrame) -> DataFrame:
-    """graph, nodes, edges (A10). edges: graph, src, dst. Endpoints are counted in one pass."""
-    ends = edges.select("graph", F.explode(F.array(F.struct(F.col("src").alias("n")), F.struct(F.col("dst").alias("n")))).alias("x")).groupBy("graph").agg(F.countDistinct("x.n").alias("nodes"))
-    own = edges.groupBy("graph").agg(F.countDistinct("src", "dst").alias("edges"))
-    return ends.join(own, "graph")
+    """graph, nodes, edges (A10). edges: graph, src, dst. Nodes and edges are made distinct and counted in one pass."""
+    none = F.lit(None).cast(edges.schema["dst"].dataType)
+    parts = F.array(F.struct(F.col("src").alias("a"), none.alias("b")), F.struct(F.col("dst").alias("a"), none.alias("b")), F.struct(F.col("src").alias("a"), F.col("dst").alias("b")))
+    distinct = edges.select("graph", F.explode(parts).alias("x")).select("graph", "x.a", "x.b").distinct()
+    return distinct.groupBy("graph").agg(F.count_if(F.col("b").isNull()).alias("nodes"), F.count("b").alias("edges"))
 
 
 def average_degree(edges: DataFrame) -> DataFrame:
@@ -162,19 +186,18 @@ def average_degree(edges: DataFrame) -> DataFrame:
     return nodes.crossJoin(edges.select("src", "dst").distinct().agg(F.count(F.lit(1)).alias("edges"))).withColumn("avg_degree", F.when(F.col("nodes") > 0, 2 * F.col("edges") / F.col("nodes")).otherwise(0.0))
 
 
-def is_acyclic(edges: DataFrame, most: int = 1000) -> bool:
+def is_acyclic(edges: DataFrame) -> bool:
     """Whether peeling nodes without incoming edges, again and again, leaves none."""
     folder = work_folder(edges.sparkSession)
     left = written(edges.select("src", "dst").distinct(), f"{folder}/0")
-    count = left.count()
-    for i in range(1, most + 1):
-        if not count:
-            return True
+    count, i = left.count(), 0
+    while count:
+        i += 1
         left = written(left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi"), f"{folder}/{i}")
         before, count = count, left.count()
         if before == count:
             return False
-    raise RuntimeError(f"the graph has chains of more than {most} edges")
+    return True
 
 
 def degrees(edges: DataFrame) -> DataFrame:
@@ -185,11 +208,13 @@ def weight_of(edge_type: Column) -> Column:
     return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in EDGE_WEIGHTS.items() for x in kv]), edge_type), F.lit(1.0))
 
 
-def weighted_graph(edges: DataFrame, nodes: DataFrame, fallback: DataFrame | None = None) -> DataFrame:
+def weighted_graph(edges: DataFrame, nodes: DataFrame | None = None, fallback: DataFrame | None = None) -> DataFrame:
     """a < b, weight, edge_types of an undirected graph: the sum over its edges, by type (A12). Edges whose ends
-    aren't both nodes are dropped; if none is left, the fallback edges (src, dst) count 1 each."""
-    known = nodes.select("node")
-    own = edges.join(known.withColumnRenamed("node", "src"), "src", "left_semi").join(known.withColumnRenamed("node", "dst"), "dst", "left_semi")
+    aren't both nodes are dropped, where nodes are given; if none is left, the fallback edges (src, dst) count 1 each."""
+    own = edges
+    if nodes is not None:
+        known = nodes.select("node")
+        own = edges.join(known.withColumnRenamed("node", "src"), "src", "left_semi").join(known.withColumnRenamed("node", "dst"), "dst", "left_semi")
     a, b = F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")
     out = own.groupBy(a, b).agg(F.sum(weight_of(F.col("edge_type"))).alias("weight"), F.array_sort(F.collect_set("edge_type")).alias("edge_types"))
     if fallback is None:
@@ -320,14 +345,14 @@ def backbone(clusters: DataFrame, links: DataFrame, most: int = MOST_CLUSTERS) -
 def ego(edges: DataFrame, node, hops: int = 1) -> DataFrame:
     """The nodes of a neighbourhood, the centre among them."""
     seed = edges.sparkSession.range(1).select(F.lit(node).cast(edges.schema["src"].dataType).alias("seed"))
-    return reach(symmetric(edges), seed, hops).select("node")
+    return reach(both_ways(edges), seed, hops).select("node")
 
 
-def query_scope(edges: DataFrame, terminals: list, hops: int = 1, most: int = 4) -> DataFrame:
+def query_scope(edges: DataFrame, terminals: list, hops: int = 1, most: int | None = None) -> DataFrame:
     """Nodes of a query's scope: shortest paths that join the terminals to the first one, and what lies around
     them; terminals without a path count with their own neighbourhood (G11: Steiner trees have no form in joins)."""
     near = [ego(edges, t, hops) for t in terminals]
-    both = symmetric(edges)
+    both = both_ways(edges)
     for t in terminals[1:]:
         path = shortest_path(both, terminals[0], t, most).select(F.explode("path").alias("seed"))
         near.append(reach(both, path, hops).select("node"))

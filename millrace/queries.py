@@ -21,6 +21,7 @@ from .operators import resolve as R
 from .operators import retrieval as Q
 from .operators import selection as S
 from .operators import versions as W
+from .sources.readers import spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -42,7 +43,7 @@ def registered(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -467,8 +468,12 @@ def graph_stats(spark, sf_dir):
 _BIPARTITE = "links as (select distinct 's' || l_suppkey as src, 'p' || l_partkey as dst from lineitem)"
 
 
+def _pairs(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").select(F.concat(F.lit("s"), F.col("l_suppkey")).alias("src"), F.concat(F.lit("p"), F.col("l_partkey")).alias("dst"))
+
+
 def _bipartite(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").select(F.concat(F.lit("s"), F.col("l_suppkey")).alias("src"), F.concat(F.lit("p"), F.col("l_partkey")).alias("dst")).distinct()
+    return _pairs(spark, sf_dir).distinct()
 
 
 @registered(f"""with {_BIPARTITE}, two as (select src, dst from links union select dst, src from links), h0 as (select 's1' as node, 0 as distance),
@@ -476,7 +481,7 @@ def _bipartite(spark, sf_dir):
     select node, min(distance) as distance from (select * from h0 union all select * from h1 union all select * from h2) group by node""")
 def khop(spark, sf_dir):
     seed = spark.createDataFrame([("s1",)], "seed string")
-    return G.reach(G.symmetric(_bipartite(spark, sf_dir)), seed, 2).select("node", "distance")
+    return G.reach(G.both_ways(_pairs(spark, sf_dir)), seed, 2).select("node", "distance")
 
 
 @registered(f"""with {_BIPARTITE}, two as (select src, dst from links union select dst, src from links),
@@ -486,7 +491,7 @@ def khop(spark, sf_dir):
     p4 as (select b.dst as node, min(list_append(path, b.dst)) as path from two b join p3 on b.src = node group by b.dst)
     select array_to_string(path, '>') as path, (len(path) - 1)::int as hops from (select * from p1 union all select * from p2 union all select * from p3 union all select * from p4) where node = 'p2' order by len(path), path limit 1""")
 def shortest_path(spark, sf_dir):
-    return G.shortest_path(G.symmetric(_bipartite(spark, sf_dir)), "p1", "p2", 4).select(F.array_join("path", ">").alias("path"), "hops")
+    return G.shortest_path(G.both_ways(_pairs(spark, sf_dir)), "p1", "p2").select(F.array_join("path", ">").alias("path"), "hops")
 
 
 _WEIGHTED = f"""{_EDGES}, weighted as (select least(src_id, dst_id) as a, greatest(src_id, dst_id) as b, sum(case edge_type when 'call' then 3.0 when 'inherit' then 2.5 when 'import' then 2.0 when 'ref' then 1.5 else 1.0 end)::double as weight,
@@ -495,7 +500,7 @@ _WEIGHTED = f"""{_EDGES}, weighted as (select least(src_id, dst_id) as a, greate
 
 def _weighted(spark, sf_dir):
     e = _edges(spark, sf_dir).where("edge_type <> 'unknown'").select(F.col("src_id").alias("src"), F.col("dst_id").alias("dst"), "edge_type")
-    return G.weighted_graph(e, G.nodes_of(e))
+    return G.weighted_graph(e)
 
 
 @registered(f"with {_WEIGHTED} select a, b, weight, edge_types from weighted")

@@ -46,6 +46,14 @@ def ignore_regex(patterns: Sequence[str]) -> str:
     return "|".join(parts) or r"(?!)"
 
 
+
+def spread(df: DataFrame) -> DataFrame:
+    """A table whose files give fewer partitions than there are cores, dealt to all of them; larger ones as they are.
+    Rows are dealt evenly, so a file of one row group keeps no more than its scan in one task."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def gitignore_patterns(spark: SparkSession, path: str) -> list[str]:
     """The lines of a .gitignore but for blanks and comments (S02); a file of a few lines by nature."""
     jvm = spark.sparkContext._jvm  # Spark's own readers pass over names that start with a dot
