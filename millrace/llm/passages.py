@@ -11,12 +11,13 @@ extended over the words around that agree, and verified: the shingles themselves
 must have a Jaccard similarity of at least 0.8 over MIN_WORDS words or more.
 
 Within one hash's group each window first meets the windows of the text with the most
-company in all its groups and of one chosen by chance. What that verifies joins passages
-to classes. Then all windows of a group that aren't of one class meet each
+company in all its groups and of one chosen by chance, then of another one by chance.
+What that verifies joins passages to classes. Then all windows of a group that aren't of one class meet each
 other; so the only pairs never compared are those whose passages are joined already.
 Before each meeting windows are joined as intervals within their own text: a passage
 can only be a candidate where windows of ENOUGH orders are shared, so that texts which
-have no more than a line or a phrase in common drop out and groups stay small.
+have no more than a line or a phrase in common drop out and groups stay small. Before
+the second one, so do passages of which too few shingles are in any other text.
 
 Edge cases: null texts and texts of fewer than MIN_WORDS words have no passages;
 identical texts are one text for the search, and each of its copies is reported
@@ -42,6 +43,8 @@ from .shingles import WIDTH, Shingler, components, mixed
 
 MIN_WORDS = 50
 HASHES, ENOUGH = 8, 4
+#: Meetings with chosen others before all that is still apart meets.
+ROUNDS = 2
 #: Diagonals of two texts that are verified one by one.
 DIAGONALS = 32
 #: Words that a worker numbers before it starts anew.
@@ -50,6 +53,9 @@ NUMBERED = 400_000
 DRIFT = 12
 #: A window is one long: order, place, and the reach to either side, clipped to what passages this long need.
 _HASH_BITS, _REACH_BITS = 4, 16
+#: Shingles of a least passage that a similar one, which is no shorter, must have as well: r + s shingles with a Jaccard
+#: similarity of 0.8 have 4 / 9 of them in common.
+NEEDED = -(-8 * (MIN_WORDS - WIDTH + 1) // 9)
 _REACH = (1 << _REACH_BITS) - 1
 _SPAN = MIN_WORDS - WIDTH + 1
 #: Classes of starts outside all known passages, and of windows themselves.
@@ -403,6 +409,60 @@ def _in_classes(windows: DataFrame, classes: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "key bigint, id bigint, spot bigint, class bigint")
 
 
+def _shingles_in(windows: DataFrame, texts: DataFrame) -> DataFrame:
+    """shingle, id, place, alone, again of the places that windows (id, spot, class) reach: alone if windows of no class
+    do, again if the shingle stands once more within a passage's length."""
+    reached = windows.groupBy("id").agg(F.collect_list("spot").alias("spots"), F.collect_list(F.col("class") == ALONE).alias("alone"))
+
+    def run(batches):
+        shingler = worker_cache(("shingler",), Shingler)
+        for batch in batches:
+            out = []
+            for own, text, spots, alone in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                x = shingler.sequence(text)
+                first, _, last = starts(np.array(spots, np.int64))
+                marks = np.zeros((2, len(x) + 1), np.int32)
+                np.add.at(marks, (np.array(alone, np.int64), first), 1)
+                np.add.at(marks, (np.array(alone, np.int64), np.minimum(last + _SPAN, len(x))), -1)
+                held = np.cumsum(marks, axis=1)[:, :-1] > 0
+                place = np.flatnonzero(held.any(axis=0))
+                order = np.argsort(x, kind="stable")
+                near = np.flatnonzero((x[order][1:] == x[order][:-1]) & (np.diff(order) < _SPAN))
+                again = np.zeros(len(x), bool)
+                again[order[near]] = again[order[near + 1]] = True
+                out.append((x[place].view(np.int64), np.full(len(place), own), place, held[1][place], again[place]))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["shingle", "id", "place", "alone", "again"])
+
+    return texts.join(reached, "id").select("id", "text", "spots", "alone").mapInArrow(run, "shingle bigint, id bigint, place bigint, alone boolean, again boolean")
+
+
+def _where_shingles_are_shared(windows: DataFrame, texts: DataFrame, folder: str) -> DataFrame:
+    """Without the windows of no class at whose starts fewer shingles than a similar passage needs are in any other text
+    that windows reach: edits of a much copied text have few partners, though they share windows with all copies."""
+    held = materialize(_shingles_in(windows, texts), f"{folder}/shingles")
+    shared = held.groupBy("shingle").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("shingle")
+    places = held.where("alone and not again").join(shared, "shingle", "left_semi").union(held.where("alone and again"))
+    marks = places.select(F.col("place").alias("key"), "id", F.lit(0).cast("long").alias("spot"), F.lit(NO_ISLAND).cast("long").alias("class"))
+    rows = windows.union(marks).repartition("id").sortWithinPartitions("id")
+
+    def run(batches):
+        for key, ids, spots, own in _whole_texts(batches):
+            mark = own == NO_ISLAND
+            place, key, text, spots, own = key[mark], key[~mark], ids, spots[~mark], own[~mark]
+            first, _, last = starts(spots)
+            number = np.cumsum(np.concatenate(([0], text[1:] != text[:-1]))) * (int(max(place.max(initial=0), last.max(initial=0))) + 2 * MIN_WORDS)
+            place, number = np.sort(place + number[mark]), number[~mark]
+            many = last - first + 1
+            window = np.repeat(np.arange(len(spots)), many)
+            start = np.arange(len(window)) - np.repeat(np.cumsum(many) - many, many) + (first + number)[window]
+            enough = np.searchsorted(place, start + _SPAN) - np.searchsorted(place, start) >= NEEDED
+            keep = (np.bincount(window[enough], minlength=len(spots)) > 0) | (own != ALONE)
+            yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (key, ids[~mark], spots, own)], names=["key", "id", "spot", "class"])
+
+    return rows.mapInArrow(run, windows.schema)
+
+
 def _in_several(windows: DataFrame) -> DataFrame:
     """The windows whose least hash two texts have or more, and not all of them in one class."""
     same, limits = Window.partitionBy("key"), {"low": F.min("id"), "high": F.max("id")}
@@ -486,11 +546,17 @@ def _classes(found: DataFrame, folder: str) -> DataFrame:
     return materialize(islands.join(parts, "node", "left").select("id", "begin", "end", F.coalesce("component", "node").alias("class")), f"{folder}/classes")
 
 
-def _between_classes(met: DataFrame, classes: DataFrame, folder: str) -> DataFrame:
-    """Candidates among all windows of a group that aren't of one class. Texts that hold too few of those windows at any
-    start are left out first, so that groups shrink to what can still make a passage."""
-    told = materialize(_in_several(_in_classes(met, classes)), f"{folder}/told")
-    apart = materialize(_in_several(_where_covered(told)), f"{folder}/apart")
+def _between_classes(told: DataFrame, rows: DataFrame, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Candidates among all windows of a group that aren't of one class, and the texts that they are of. Windows at whose
+    starts too few orders or too few shingles are shared are left out first, so that groups shrink to what can still
+    make a passage. The class with most windows in a group isn't joined with itself."""
+    ids = materialize(told.select("id").distinct(), f"{folder}/told-ids")
+    texts = materialize(rows.join(few_or_shuffled(ids), "id", "left_semi").dropDuplicates(["id"]), f"{folder}/told-texts")
+    kept = _in_several(_where_shingles_are_shared(told, texts, folder))
+    apart = materialize(_in_several(_where_covered(kept)), f"{folder}/apart")
+    major = apart.where(F.col("class") != ALONE).groupBy("key", "class").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max(F.struct("n", "class")).alias("most"))
+    sides = apart.join(major.select("key", F.col("most.class").alias("major")), "key", "left")
+    sides = materialize(sides.withColumn("minor", F.coalesce(F.col("class") != F.col("major"), F.lit(True))).drop("major"), f"{folder}/sides")
 
     def parts(s: str):
         c = F.shiftright(f"{s}.spot", 2 * _REACH_BITS).bitwiseAND((1 << 58 - 2 * _REACH_BITS) - 1)
@@ -499,9 +565,12 @@ def _between_classes(met: DataFrame, classes: DataFrame, folder: str) -> DataFra
     (la, ca, ra), (lb, cb, rb) = parts("l"), parts("r")
     d = cb - ca  # as in candidate_passages
     aligned = F.greatest(lb, cb - _SPAN + 1, la + d) <= F.least(cb, rb - _SPAN + 1, ra + d - _SPAN + 1)
-    meet = (F.col("l.key") == F.col("r.key")) & (F.col("l.id") < F.col("r.id")) & ((F.col("l.class") != F.col("r.class")) | (F.col("l.class") == ALONE))
-    pairs = apart.alias("l").join(apart.alias("r"), meet & aligned).groupBy(F.col("l.id").alias("a"), F.col("r.id").alias("b"))
-    return _join_intervals(pairs.agg(F.collect_set(F.struct(F.col("l.spot").alias("of_a"), F.col("r.spot").alias("of_b"))).alias("spots")))
+    once = F.when(F.col("r.minor"), F.col("l.id") < F.col("r.id")).otherwise(F.col("l.id") != F.col("r.id"))
+    meet = (F.col("l.key") == F.col("r.key")) & once & ((F.col("l.class") != F.col("r.class")) | (F.col("l.class") == ALONE))
+    met = sides.where("minor").alias("l").join(sides.alias("r"), meet & aligned)
+    of_a, of_b = (F.when(F.col("l.id") < F.col("r.id"), F.col(x)).otherwise(F.col(y)) for x, y in (("l.spot", "r.spot"), ("r.spot", "l.spot")))
+    pairs = met.groupBy(F.least("l.id", "r.id").alias("a"), F.greatest("l.id", "r.id").alias("b"))
+    return _join_intervals(pairs.agg(F.collect_set(F.struct(of_a.alias("of_a"), of_b.alias("of_b"))).alias("spots"))), texts
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -527,28 +596,34 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     rows = rows.join(few_or_shuffled(drop), "node", "left_anti").select(F.col("node").alias("id"), "text")
 
     met = materialize(_where_covered(_in_several(_windows(rows))), f"{folder}/met")
-    first = materialize(_first_meetings(met, folder), f"{folder}/candidates")
-    linked = materialize(_verify(first, _texts(rows, first, f"{folder}/texts")), f"{folder}/found")
-
-    second = _between_classes(met, _classes(linked, f"{folder}/first"), folder)
-    second = materialize(second.join(first, first.columns, "left_anti"), f"{folder}/more-candidates")
-    more = materialize(_verify(second, _texts(rows, second, f"{folder}/more-texts")), f"{folder}/more")
-    found = materialize(linked.union(more).distinct(), f"{folder}/all")
+    told, tried, found = met.withColumn("class", F.lit(ALONE).cast("long")), None, None
+    for i in range(ROUNDS):
+        candidates = materialize(_meetings(told, i, f"{folder}/{i}"), f"{folder}/{i}/candidates")
+        linked = materialize(_verify(candidates, _texts(rows, candidates, f"{folder}/{i}/texts")), f"{folder}/{i}/found")
+        tried, found = (candidates, linked) if not i else (tried.union(candidates), found.union(linked))
+        told = materialize(_in_several(_in_classes(met, _classes(found, f"{folder}/{i}"))), f"{folder}/{i}/told")
+    candidates, texts = _between_classes(told, rows, folder)
+    candidates = materialize(candidates.join(tried, candidates.columns, "left_anti"), f"{folder}/candidates")
+    found = materialize(found.union(materialize(_verify(candidates, texts), f"{folder}/found")).distinct(), f"{folder}/all")
     return _reported(found, _classes(found, f"{folder}/last"), owners, rows, folder)
 
 
-def _first_meetings(met: DataFrame, folder: str) -> DataFrame:
-    """Candidates among windows and two others of their group: that of the text with the most company over all its
-    windows, such as the one that others are edits of, and one by chance, the same in all groups that have it."""
+def _meetings(told: DataFrame, seed: int, folder: str) -> DataFrame:
+    """Candidates among windows (key, id, spot, class) and one or two others of their group: one by chance, the same in all
+    groups that have it, and at first that of the text with the most company over all its windows, such as the one that
+    others are edits of."""
     same = Window.partitionBy("key")
-    company = met.withColumn("members", F.count(F.lit(1)).over(same)).groupBy("id").agg(F.sum("members").alias("company"))
-    ranked = met.join(materialize(company, f"{folder}/company"), "id")
-    spot = lambda first: F.max(F.struct(first, F.xxhash64("id").alias("by"), "id", "spot")).over(same)
-    two = ranked.withColumn("most", spot(F.col("company"))).withColumn("chance", spot(F.lit(0).alias("company")))
-    pick = lambda c: F.struct(F.col(f"{c}.id").alias("id"), F.col(f"{c}.spot").alias("spot"))
-    meet = two.select("id", "spot", F.explode(F.array_distinct(F.array(pick("most"), pick("chance")))).alias("other")).where("other.id <> id")
-    pairs = meet.groupBy(F.col("other.id").alias("a"), F.col("id").alias("b")).agg(F.collect_set(F.struct(F.col("other.spot").alias("of_a"), F.col("spot").alias("of_b"))).alias("spots"))
-    return _join_intervals(pairs)
+    pick = lambda *order: F.max(F.struct(*order, F.xxhash64("id", F.lit(seed)).alias("by"), "id", "spot", "class")).over(same)
+    others = {"chance": pick()}
+    if not seed:
+        company = told.withColumn("members", F.count(F.lit(1)).over(same)).groupBy("id").agg(F.sum("members").alias("company"))
+        told = told.join(materialize(company, f"{folder}/company"), "id")
+        others["most"] = pick("company")
+    told = told.withColumns(others)
+    other = F.explode(F.array_distinct(F.array(*[F.struct(*[F.col(f"{c}.{x}").alias(x) for x in ("id", "spot", "class")]) for c in others])))
+    meet = told.select("id", "spot", "class", other.alias("other")).where(f"other.id <> id and (other.class <> class or class = {ALONE})")
+    pairs = meet.groupBy(F.col("other.id").alias("a"), F.col("id").alias("b"))
+    return _join_intervals(pairs.agg(F.collect_set(F.struct(F.col("other.spot").alias("of_a"), F.col("spot").alias("of_b"))).alias("spots")))
 
 
 def _reported(found: DataFrame, classes: DataFrame, owners: DataFrame, rows: DataFrame, folder: str) -> DataFrame:
