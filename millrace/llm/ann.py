@@ -16,7 +16,9 @@ it holds two blocks and its queries' heaps. The result is quadratic by contract
 Edge cases: vectors that are null, empty, zero, or hold null or non-finite
 components take no part; vectors of different dimension don't meet; rows with
 equal scores go by smaller id; a query finds fewer if there are fewer; rows that
-share the query's id are its own; null ids take no part.
+share the query's id are its own; an id that stands in several rows is found once, and
+asked once, with its best score; null ids take no part; extra columns are left out; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -169,5 +171,6 @@ def nearest(table: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_
         yield from (s.found() for s in searches)
 
     found = meet.mapInArrow(run, "query_id bigint, vec_id bigint, score double")
+    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

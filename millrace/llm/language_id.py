@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small_batches, with_columns_of, worker_cache
+from .common import materialize, shared_dir, small_batches, with_columns_of, worker_cache
 
 TRAIN_ROWS = 20_000
 MAX_WORDS = 15_000
@@ -147,15 +147,20 @@ def word_counts(docs: DataFrame, lang_col: str = "lang", text_col: str = "text")
 
 def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_rows: int = TRAIN_ROWS, max_words: int = MAX_WORDS) -> Model:
     """A model of labelled rows (null texts and labels are left out). What comes to the driver is
-    bounded: max_words rows per language."""
+    bounded: max_words rows per language, and what is sampled by train_rows, dealt evenly to the languages."""
     rows = with_columns_of(labelled, id_col, text_col, lang_col).where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
-    total = rows.count()
-    share = min(1.0, train_rows / max(1, total))
-    if share < 1:
-        rows = rows.where(F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit(17)), F.lit(1_000_000)) < round(share * 1_000_000))
-    order = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
-    top = word_counts(rows, lang_col, text_col).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= max_words)
-    return Model([(r.lang, r.word, r.n) for r in top.select("lang", "word", "n").collect()])
+    spark = rows.sparkSession
+    folder = shared_dir(spark)
+    labels = materialize(rows.groupBy(F.col(lang_col).alias("__lang")).agg(F.count(F.lit(1)).alias("__rows")), f"{folder}/labels")
+    quota = train_rows / max(1, labels.count())  # each language has as many rows, so that rare ones are learned at every size
+    place = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit(17)), F.lit(1_000_000))
+    rows = rows.join(F.broadcast(labels), F.col(lang_col) == F.col("__lang")).where(place < F.round(F.lit(quota * 1_000_000) / F.col("__rows"))).select(*rows.columns)
+    counts = materialize(word_counts(rows, lang_col, text_col), f"{folder}/words")
+    # the commonest words, as many as fit: all of a frequency or none, so that only frequencies are ranked
+    ranked = counts.groupBy("lang", "n").agg(F.count(F.lit(1)).alias("words")).withColumn("upto", F.sum("words").over(Window.partitionBy("lang").orderBy(F.desc("n"))))
+    least = ranked.where(F.col("upto") <= max_words).groupBy("lang").agg(F.min("n").alias("least"))
+    top = counts.join(F.broadcast(least), "lang").where("n >= least")
+    return Model([(r.lang, r.word, r.n) for r in top.select("lang", "word", "n").orderBy("lang", "word").collect()])
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

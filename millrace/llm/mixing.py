@@ -6,7 +6,7 @@ and the excess goes to the others by weight. That is water-filling: with the
 sources ordered by what they can hold per weight, the level comes from prefix
 sums in one pass.
 
-Draw: every document has a key, a hash of its id and the seed. Within a source
+Draw: every document has a key, a hash of its id, its text and the seed. Within a source
 the documents stand by that key, which is the same as shuffling them. The top
 bits of the key cut each source into ranges; sums of ranges, then of documents
 within a range, give each document's place in the source by words, so a source
@@ -15,7 +15,7 @@ Whole epochs are taken first; the rest is cut at the exact budget.
 
 Edge cases: null texts and texts without words have size 0 and are never drawn;
 a source of size 0 has target 0; repeated document ids count each for itself;
-an empty table gives an empty result; reruns agree.
+an empty table gives an empty result; extra columns are left out; reruns agree.
 """
 
 from __future__ import annotations
@@ -32,10 +32,10 @@ RANGE_BITS = 10
 
 
 def sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """doc_id, source, size: the words of each row."""
+    """doc_id, source, size, print: the words and xxhash64 of each row's text."""
     rows = with_columns_of(docs, id_col, text_col, source_col)
     count = F.coalesce(F.regexp_count(F.col(text_col), F.lit(f"[^{SPACE}]+")), F.lit(0)).cast("long")
-    return rows.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), count.alias("size"))
+    return rows.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), count.alias("size"), F.xxhash64(text_col).alias("print"))
 
 
 def targets(per_source: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
@@ -56,7 +56,7 @@ def targets(per_source: DataFrame, weights=WEIGHTS, share: float = SHARE, most:
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = 11, cut: str = "word") -> DataFrame:
-    """doc_id, source, size, source_size, target, taken for each row of docs.
+    """doc_id, print (xxhash64 of the text), source, size, source_size, target, taken for each row of docs.
 
     taken: words that the mix takes, repeats counted. cut="word": the document at the cut gives only
     its part, so that a source gives its target to the word; cut="document": it is taken whole if at
@@ -67,10 +67,10 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     """
     if cut not in ("word", "document"):
         raise ValueError(f"cut: {cut}")
-    key = F.xxhash64(F.col("doc_id"), F.lit(seed))
+    key = F.xxhash64(F.col("doc_id"), F.col("print"), F.lit(seed))
     counted = materialize(sizes(docs, id_col, text_col, source_col), f"{shared_dir(docs.sparkSession)}/sizes")  # texts are read once
     rows = counted.withColumn("key", key).withColumn("range", F.shiftright(F.col("key"), 64 - RANGE_BITS).cast("int"))
-    spread = rows.select(F.struct(F.col("source").isNull().alias("none"), F.coalesce(F.col("source"), F.lit("")).alias("name")).alias("group"), "doc_id", "source", "size", "key", "range")
+    spread = rows.select(F.struct(F.col("source").isNull().alias("none"), F.coalesce(F.col("source"), F.lit("")).alias("name")).alias("group"), "doc_id", "source", "size", "print", "key", "range")
     ranges = spread.groupBy("group", "range").agg(F.sum("size").alias("range_size"))
     earlier = Window.partitionBy("group").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     ranges = ranges.withColumn("ahead", F.coalesce(F.sum("range_size").over(earlier), F.lit(0)))
@@ -87,4 +87,4 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     inside = F.least(F.greatest(rest - (F.col("ahead") + F.col("upto") - F.col("size")), F.lit(0)), F.col("size"))
     if cut == "document":
         inside = F.when(inside * 2 >= F.col("size"), F.col("size")).otherwise(F.lit(0))
-    return placed.select("doc_id", "source", "size", "source_size", "target", (epochs * F.col("size") + inside).cast("long").alias("taken"))
+    return placed.select("doc_id", "print", "source", "size", "source_size", "target", (epochs * F.col("size") + inside).cast("long").alias("taken"))

@@ -13,15 +13,17 @@ two segments. A set whose cheap segments don't suffice is indexed under a second
 hashing as well, and so on; empty contents are indexed under the last only.
 
 Candidates become links only if the shingles themselves, words compared, have
-100 * intersection >= 80 * union. Equal sets are one class from the start. Within
+100 * intersection >= 80 * union. Equal sets are one class from the start: found by
+fingerprints, and compared by words as well. Within
 an index entry every member is compared with the most central one; then members of one
 entry that are still in different components are compared with each other. That
 leaves out only pairs whose components are one already, so components are exact.
 
 Edge cases: null texts and texts without words have no shingles and link with
 nothing; fewer than five words are one shingle; rows without an id have no
-component; each row of a repeated id has the component of its own text; an empty
-table gives an empty result.
+component; the texts of a repeated id are nodes of their own, and each of its rows has
+the component of its own text; repeated rows are one node; very long texts are read
+whole; extra columns are left out; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -142,7 +144,7 @@ def parity_sketch(x: np.ndarray) -> np.ndarray:
 
 
 def _profile(docs: DataFrame) -> DataFrame:
-    """Per document: bucket null, id, n, a fingerprint of its set and its sketch; per task: bucket and how many shingles fell there."""
+    """docs: id, text, print. Per document: bucket null, id, print, n, a fingerprint of its set and its sketch; per task: bucket and how many shingles fell there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = worker_cache(("shingler",), Shingler)
@@ -158,13 +160,13 @@ def _profile(docs: DataFrame) -> DataFrame:
                 with np.errstate(over="ignore"):
                     sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mixed(every, seed), dtype=np.uint64)))[np.concatenate(([0], ends)).astype(np.int64)]
                     prints.append(np.diff(sums).view(np.int64))
-            yield pa.RecordBatch.from_pydict({"bucket": pa.nulls(n, pa.int32()), "doc_id": batch.column(0), "n": pa.array(map(len, sets), pa.int64()), "print_a": pa.array(prints[0]), "print_b": pa.array(prints[1]), "sketch": pa.array(list(map(parity_sketch, sets)), pa.list_(pa.int64()))})
+            yield pa.RecordBatch.from_pydict({"bucket": pa.nulls(n, pa.int32()), "doc_id": batch.column(0), "print": batch.column(2), "n": pa.array(map(len, sets), pa.int64()), "print_a": pa.array(prints[0]), "print_b": pa.array(prints[1]), "sketch": pa.array(list(map(parity_sketch, sets)), pa.list_(pa.int64()))})
         full = np.flatnonzero(counters > 8 + HOT * counters.mean())
         if len(full):
             none = pa.nulls(len(full), pa.int64())
-            yield pa.RecordBatch.from_pydict({"bucket": pa.array(full, pa.int32()), "doc_id": none, "n": pa.array(counters[full]), "print_a": none, "print_b": none, "sketch": pa.nulls(len(full), pa.list_(pa.int64()))})
+            yield pa.RecordBatch.from_pydict({"bucket": pa.array(full, pa.int32()), "doc_id": none, "print": none, "n": pa.array(counters[full]), "print_a": none, "print_b": none, "sketch": pa.nulls(len(full), pa.list_(pa.int64()))})
 
-    return docs.mapInArrow(run, "bucket int, doc_id bigint, n bigint, print_a bigint, print_b bigint, sketch array<bigint>")
+    return docs.mapInArrow(run, "bucket int, doc_id bigint, print bigint, n bigint, print_a bigint, print_b bigint, sketch array<bigint>")
 
 
 def _hot(profile: DataFrame) -> dict[int, int]:
@@ -201,17 +203,19 @@ def few_or_shuffled(ids: DataFrame, most: int = BROADCAST_IDS) -> DataFrame:
     return F.broadcast(ids) if ids.count() <= most else ids
 
 
-def with_nodes(rows: DataFrame, prints: DataFrame, id_col: str, folder: str) -> tuple[DataFrame, DataFrame]:
+def with_nodes(rows: DataFrame, prints: DataFrame, id_col: str, folder: str) -> tuple[DataFrame, DataFrame, int]:
     """rows (id_col, text) and prints (id_col, print: xxhash64 of the text, ...) with a column node: the id, or a hash of
-    id and print where an id stands with several texts, so that each text is a node of its own."""
+    id and print where an id stands with several texts, so that each text is a node of its own; and how many such ids
+    there are."""
     several = prints.groupBy(id_col).agg(F.min("print").alias("low"), F.max("print").alias("high")).where("low < high")
     several = materialize(several.select(id_col, F.lit(True).alias("several")), folder)
     n = several.count()
     if not n:
-        return tuple(x.withColumn("node", F.col(id_col)) for x in (rows, prints))
+        return rows.withColumn("node", F.col(id_col)), prints.withColumn("node", F.col(id_col)), 0
     marks = F.broadcast(several) if n <= BROADCAST_IDS else several
     node = lambda p: F.when(F.col("several"), F.xxhash64(F.col(id_col), p)).otherwise(F.col(id_col))
-    return tuple(x.join(marks, id_col, "left").withColumn("node", node(p)).drop("several") for x, p in ((rows, F.xxhash64("text")), (prints, F.col("print"))))
+    rows, prints = (x.join(marks, id_col, "left").withColumn("node", node(p)).drop("several") for x, p in ((rows, F.xxhash64("text")), (prints, F.col("print"))))
+    return rows, prints, n
 
 
 def with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -225,8 +229,9 @@ def with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return left.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b").join(dealt, ["a", "part"])
 
 
-def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose texts (id, text) link, by their words. Each pair's texts travel to it by two joins."""
+def verify(pairs: DataFrame, texts: DataFrame, least: int = 80) -> DataFrame:
+    """The pairs (a, b) whose texts (id, text) link, by their words: least is the percentage of shingles in common. Each
+    pair's texts travel to it by two joins."""
     joined = with_texts(pairs, texts).select("a", "b", "text_a", "text_b")
 
     def run(batches):
@@ -239,7 +244,7 @@ def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                     at, left = a[i], exact_shingles(text_a[i])
                 right = exact_shingles(text_b[i])
                 both = len(left & right)
-                linked.append(bool(both) and 100 * both >= 80 * (len(left) + len(right) - both))
+                linked.append(bool(both) and 100 * both >= least * (len(left) + len(right) - both))
             yield pa.RecordBatch.from_pydict({"a": batch.column(0), "b": batch.column(1)}).filter(pa.array(linked, pa.bool_()))
 
     return joined.mapInArrow(run, "a bigint, b bigint")
@@ -265,7 +270,8 @@ def _plausible(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: doc_id, n_shingles, component_id (the smallest id reachable by links), class_id (the smallest id with an equal set).
+    """One row per row of docs: doc_id, n_shingles, component_id (the smallest id reachable by links), class_id (the smallest
+    id with an equal set), print (xxhash64 of the text), kept (whether the text is the one that stands for its component).
 
     Shuffles: a record per document; the index, (key, id) per entry, about a third of the number of shingles;
     and texts of documents that share an entry, to verify them.
@@ -275,21 +281,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     folder = shared_dir(spark)
     rows = with_columns_of(docs, id_col, text_col).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
-    profile = materialize(_profile(rows), f"{folder}/profile")
+    profile = materialize(_profile(rows.withColumn("print", F.xxhash64("text"))), f"{folder}/profile")
     hot = _hot(profile)
-    sets = profile.where("bucket is null").select("doc_id", "n", "print_a", "print_b")
+    # from here on each text is a node: its id, or a hash where an id stands with several texts
+    rows, sets, several = with_nodes(rows, profile.where("bucket is null").drop("bucket"), "doc_id", f"{folder}/several")
     filled = sets.where("n > 0 and doc_id is not null")
-    classes = materialize(filled.groupBy("print_a", "print_b", "n").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("members")), f"{folder}/classes")
-    copies = classes.where("members > 1").select("print_a", "print_b", "n", "id")
-    others = materialize(filled.join(copies, ["print_a", "print_b", "n"]).where("doc_id <> id").select("doc_id", "id"), f"{folder}/copies")
-    own = others.join(classes.select("id").distinct(), others["doc_id"] == classes["id"], "left_anti").select("doc_id").distinct()
-    single = rows.join(few_or_shuffled(own), "doc_id", "left_anti")
+    classes = filled.groupBy("print_a", "print_b", "n").agg(F.min("node").alias("id"), F.max("node").alias("most")).where("id < most").drop("most")
+    equal = materialize(filled.join(classes, ["print_a", "print_b", "n"]).where("node <> id").select(F.col("id").alias("a"), F.col("node").alias("b")).distinct(), f"{folder}/equal")
+    texts = rows.select(F.col("node").alias("doc_id"), "text")
+    copies = materialize(verify(equal, _texts(texts, equal), 100), f"{folder}/copies")
+    single = texts.join(few_or_shuffled(copies.select(F.col("b").alias("doc_id"))), "doc_id", "left_anti")
 
     same = Window.partitionBy("key")
     index = _keys(single, hot).withColumn("members", F.count(F.lit(1)).over(same))
     groups = materialize(index.where("members > 1"), f"{folder}/groups")
     ids = materialize(groups.groupBy("id").agg(F.sum("members").alias("central")), f"{folder}/ids")
-    held = profile.where("bucket is null and n > 0").select(F.col("doc_id").alias("id"), "n", "sketch").join(few_or_shuffled(ids.select("id")), "id", "left_semi")
+    held = sets.where("n > 0").select(F.col("node").alias("id"), "n", "sketch").join(few_or_shuffled(ids.select("id")), "id", "left_semi")
     sketches = materialize(held.dropDuplicates(["id"]), f"{folder}/sketches")
 
     # the first of an entry: the member with the most company over all its entries, such as the text that others are edits of
@@ -297,7 +304,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     groups = materialize(groups.select("key", "id", "first"), f"{folder}/starred")
     stars = groups.where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
     stars = materialize(_plausible(stars, sketches), f"{folder}/plausible-stars")
-    linked = materialize(verify(stars, _texts(rows, stars)), f"{folder}/stars")
+    linked = materialize(verify(stars, _texts(texts, stars)), f"{folder}/stars")
     parts = materialize(components(linked, f"{folder}/first"), f"{folder}/parts")
 
     apart = groups.join(parts.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
@@ -306,11 +313,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ordered = (F.col("l.key") == F.col("r.key")) & (F.col("l.id") < F.col("r.id")) & (F.col("l.component") != F.col("r.component"))
     cross = apart.alias("l").join(apart.alias("r"), ordered & _similar_enough("l", "r"))
     cross = materialize(cross.select(F.col("l.id").alias("a"), F.col("r.id").alias("b")).distinct(), f"{folder}/cross")
-    more = materialize(verify(cross, _texts(rows, cross)), f"{folder}/more")
+    more = materialize(verify(cross, _texts(texts, cross)), f"{folder}/more")
     if not more.isEmpty():
         links = parts.select(F.col("component").alias("a"), F.col("node").alias("b")).union(more)
         parts = materialize(components(links, f"{folder}/second"), f"{folder}/all")
 
-    wide = sets.join(copies.select("print_a", "print_b", "n", F.col("id").alias("class")), ["print_a", "print_b", "n"], "left")
-    wide = wide.select("doc_id", F.col("n").alias("n_shingles"), F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.coalesce("class", "doc_id")).otherwise(F.col("doc_id")).alias("class_id"))
-    return wide.join(parts.withColumnRenamed("node", "class_id"), "class_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "class_id").alias("component_id"), "class_id")
+    wide = sets.select("doc_id", "node", "print", "n").join(copies.withColumnsRenamed({"b": "node", "a": "class"}), "node", "left").withColumn("class", F.coalesce("class", "node"))
+    wide = wide.join(parts.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
+    wide = wide.withColumn("kept", F.col("node").eqNullSafe(F.col("component")))
+    if several:  # nodes aren't ids: the smallest id of each component and class, and one node of that id
+        first = wide.groupBy("component").agg(F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "node"))["node"].alias("first"))
+        same = wide.groupBy("class").agg(F.min("doc_id").alias("least_class"))
+        wide = wide.join(first, "component", "left").join(same, "class", "left").withColumn("kept", F.col("node").eqNullSafe(F.col("first")))
+        wide = wide.withColumn("component", F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id"))).withColumn("class", F.when(F.col("n") > 0, F.col("least_class")).otherwise(F.col("doc_id")))
+    kept = F.col("kept") | (F.col("n") == 0) | F.col("doc_id").isNull()
+    return wide.select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.col("class").alias("class_id"), "print", kept.alias("kept"))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs without the texts that near_duplicates() doesn't keep: one text of each component stays, that of the smallest
+    id. Rows without id, text or words all stay, and so do repeated rows of the text that stays."""
+    names = ["__id", "__print"]
+    drop = near_duplicates(docs, id_col, text_col).where("not kept").select(F.col("doc_id").alias(names[0]), F.col("print").alias(names[1])).distinct()
+    drop = few_or_shuffled(materialize(drop, f"{shared_dir(docs.sparkSession)}/drop"))
+    return docs.join(drop, (docs[id_col] == drop[names[0]]) & (F.xxhash64(docs[text_col]) == drop[names[1]]), "left_anti")

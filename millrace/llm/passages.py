@@ -587,7 +587,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     rows = with_columns_of(docs, id_col, text_col).select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).where("doc is not null and text is not null")
 
     prints = materialize(rows.select("doc", F.xxhash64("text").alias("print"), F.sha2("text", 256).alias("digest")), f"{folder}/prints")
-    rows, prints = with_nodes(rows, prints, "doc", f"{folder}/several")
+    rows, prints, _ = with_nodes(rows, prints, "doc", f"{folder}/several")
     texts = prints.groupBy("digest", "doc").agg(F.min("node").alias("node"))
     same = texts.groupBy("digest").agg(F.min(F.struct("doc", "node")).alias("least"), F.max("doc").alias("most"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
     owners = texts.join(same, "digest", "left").select("doc", F.col("node").alias("own"), F.coalesce("least.node", "node").alias("id"), F.coalesce("least.doc", "doc").alias("least"), F.coalesce("most", "doc").alias("most"), F.coalesce("copies", F.lit(1)).alias("copies"))

@@ -324,3 +324,31 @@ def test_queries_against_sql(spark, data):
     for name in sql:
         got, want = data(spark, all_queries[name], sql[name])
         assert got == want, name
+
+
+@pytest.mark.parametrize("order", [(0, 1, 2), (0, 2, 1), (2, 1, 0)])
+def test_texts_that_share_an_id(spark, order):
+    """A near copy and an unrelated text under one id: the link holds, and the unrelated text stays by itself."""
+    base = words(70, 90)
+    copy = [*base[:40], "changed", *base[41:]]
+    rows = [(1, " ".join(base)), (2, " ".join(copy)), (2, " ".join(words(71, 90)))]
+    docs = spark.createDataFrame(rows_of([rows[i] for i in order]), SCHEMA).coalesce(1)
+    text = dict(zip((r.print for r in docs.select(F.xxhash64("text").alias("print")).collect()), (r.text for r in docs.collect())))
+    found = {text[r.print]: (r.doc_id, r.component_id, r.kept) for r in near_dup.near_duplicates(docs).collect()}
+    assert [found[t] for _, t in rows] == [(1, 1, True), (2, 1, False), (2, 2, True)]
+    assert {r.text for r in near_dup.keep_one(docs).collect()} == {rows[0][1], rows[2][1]}
+    assert {(r.doc_id, r.match_doc_id) for r in passages.repeated_passages(docs).collect()} == {(1, 2), (2, 1)}
+
+
+def test_stages_on_hard_rows(spark, hard, nothing):
+    """Every stage but the last, on nulls, empty and long texts, repeated rows and ids, and other columns."""
+    docs = hard.union(hard.where("doc_id in (1, 9)"))
+    for name, stage in corpus_pipeline.STAGES[1:4]:
+        kept = stage(spark, docs, SF)
+        assert kept.columns == list(corpus_pipeline.COLUMNS), name
+        before = {(r.doc_id, r.text) for r in docs.collect()}
+        assert {(r.doc_id, r.text) for r in kept.collect()} <= before
+        assert stage(spark, nothing, SF).count() == 0
+    near = {r.doc_id for r in corpus_pipeline.near(spark, hard, SF).collect()}
+    assert near >= {1, 6, 7, 8, 11, 12, 15, 16, 17} and not near & {2, 3, 4, 5, 10, 14}
+    assert corpus_pipeline.tokens(spark, docs, SF).count() == docs.count()
