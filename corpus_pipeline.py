@@ -1,4 +1,10 @@
-"""A training-data pipeline: each stage calls one operator on all that the stage before kept."""
+"""A training-data pipeline: each stage calls one operator on all that the stage before kept.
+
+Edge cases: rows without text, without letters or with too uncertain a language go at the first stage, so that no later one
+sees empty texts; null ids and sources are values like others, and rows without an id are never near copies; of repeated
+rows the exact stage keeps one; texts that share an id are told apart by their hash; very long texts pass whole; columns
+other than those of documents are dropped; an empty table passes every stage as an empty table.
+"""
 
 from __future__ import annotations
 
@@ -31,17 +37,19 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each group of near copies; documents without words all stay."""
-    found = near_dup.near_duplicates(docs)
-    drop = materialize(found.where("component_id <> doc_id").select("doc_id").distinct(), f"{shared_dir(spark)}/drop")
-    return docs.join(near_dup.few_or_shuffled(drop), "doc_id", "left_anti").select(*_like(docs))
+    """The text of the smallest id of each group of near copies; documents without words all stay. Texts that share an id
+    are judged each by itself."""
+    return near_dup.keep_one(docs).select(*_like(docs))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it, whole; at the cut, if at least half of it is within."""
-    drawn = mixing.mix(docs, cut="document").where("taken > 0").groupBy("doc_id").agg(F.max(F.ceil(F.col("taken") / F.col("size"))).cast("int").alias("__times"))
-    drawn = drawn.withColumnRenamed("doc_id", "__id")
-    times = docs.join(drawn, docs["doc_id"].eqNullSafe(drawn["__id"])).withColumn("__time", F.explode(F.sequence(F.lit(1), F.col("__times"))))
+    """Each document as often as the mix takes it, whole; at the cut, if at least half of it is within. Rows are told
+    apart by id, text and source."""
+    keys = ("doc_id", "print", "source")
+    drawn = mixing.mix(docs, cut="document").where("taken > 0").groupBy(*keys).agg(F.max(F.ceil(F.col("taken") / F.col("size"))).cast("int").alias("__times"))
+    drawn = drawn.withColumnsRenamed({k: f"__{k}" for k in keys})
+    same = docs["doc_id"].eqNullSafe(drawn["__doc_id"]) & (F.xxhash64(docs["text"]) == drawn["__print"]) & docs["source"].eqNullSafe(drawn["__source"])
+    times = docs.join(drawn, same).withColumn("__time", F.explode(F.sequence(F.lit(1), F.col("__times"))))
     return times.select(*_like(docs))
 
 
