@@ -586,6 +586,27 @@ def query_terminals(spark, sf_dir):
     return G.query_terminals(nodes, p.select(F.col("p_partkey").alias("node"), F.col("p_size").alias("degree")), "Small steel").select("node", F.round("score", 6).alias("score"))
 
 
+@registered("""with n as (select n_nationkey as c from nation) select case when c % 5 = 0 then 0 else c - 1 end as parent, c as child from n where c > 0""")
+def backbone_tree(spark, sf_dir):
+    """The heaviest links: from 0 to every fifth nation, and from each to the next; others are lighter and left out."""
+    n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("c"))
+    heavy = n.where("c > 0").select(F.when(F.col("c") % 5 == 0, F.lit(0)).otherwise(F.col("c") - 1).cast("int").alias("ca"), F.col("c").alias("cb"), F.lit(9.0).alias("weight"))
+    light = n.where("c > 2").select((F.col("c") - 2).cast("int").alias("ca"), F.col("c").alias("cb"), (F.lit(1.0) + F.col("c") % 7).alias("weight"))
+    return G.backbone(n.select(F.col("c").alias("cluster"), (F.lit(100) - F.col("c")).alias("size")), heavy.union(light))
+
+
+@registered(f"""with {_ELEMENTS} select id from elements where id % 5 = 0 or (type = 'file' and repo_name = 'src2') or (id % 5 = 1 and id % 7 = 0)""")
+def related_elements(spark, sf_dir):
+    """By the bridge, by a document's path, and by path and name."""
+    els = elements(spark, sf_dir)
+    d = documents(spark, sf_dir)
+    symbols = d.select(F.concat(F.lit("s"), "doc_id").alias("symbol_id"), F.concat_ws("/", "source", "doc_id").alias("path"), F.concat(F.lit("d"), "doc_id").alias("display_name"))
+    nodes = d.where("doc_id % 5 = 0 or doc_id % 5 = 1 and doc_id % 7 = 0").select(F.concat(F.lit("s"), "doc_id").alias("node")).union(spark.createDataFrame([("dsrc2",)], "node string"))
+    docs = d.where("doc_id % 4 = 2 and source = 'src2'").select(F.lit("dsrc2").alias("doc_id"), F.concat_ws("/", "source", "doc_id").alias("path"))
+    bridge = d.where("doc_id % 5 = 0").select(F.col("doc_id").alias("element_id"), F.concat(F.lit("s"), "doc_id").alias("symbol_id"))
+    return R.related_elements(els, nodes, bridge, docs, symbols).select("id")
+
+
 @registered("""select cluster, count(*) as size, round(least(1.0, 0.3 + count(*) / 20.0), 6) as importance, coalesce(min(case when doc_id < 20 then 'd' || doc_id end), cluster) as label from (select source as cluster, doc_id from documents) group by cluster""")
 def cluster_labels(spark, sf_dir):
     m = documents(spark, sf_dir).select(F.col("source").alias("cluster"), F.col("doc_id").alias("node"), F.concat(F.lit("d"), "doc_id").alias("title"), (F.col("doc_id") < 20).alias("is_representative"))

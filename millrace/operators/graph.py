@@ -1,7 +1,6 @@
 """Graphs as edge tables (src, dst, edge_type): routing, neighbours, reach, paths, ranks, trees and projections.
 
-Traversals are bounded by hops and unrolled into joins, or loop on the driver over written steps; no edge
-list comes to the driver, except a cluster graph of at most MOST_CLUSTERS nodes.
+Traversals loop on the driver over written steps; no edge list comes to the driver.
 """
 
 from __future__ import annotations
@@ -18,7 +17,6 @@ from ..functions import values as V
 #: The five graphs and the edge types that each holds.
 GRAPHS = {"dependency": ("import",), "call": ("call",), "inheritance": ("inherit",), "reference": ("ref",), "containment": ("contain",)}
 EDGE_WEIGHTS = {"call": 3.0, "inherit": 2.5, "import": 2.0, "ref": 1.5, "contain": 1.0}
-MOST_CLUSTERS = 64
 #: A side is broadcast only if it is counted to have no more rows.
 BROADCAST_ROWS = 100_000
 
@@ -310,36 +308,48 @@ def cluster_graph(graph: DataFrame, labels: DataFrame) -> DataFrame:
     return x.groupBy(F.least("x", "y").alias("ca"), F.greatest("x", "y").alias("cb")).agg(F.sum("weight").alias("weight")).withColumn("confidence", V.xref_confidence(F.col("weight")))
 
 
-def backbone(clusters: DataFrame, links: DataFrame, most: int = MOST_CLUSTERS) -> DataFrame:
-    """parent, child of a maximum spanning tree over the largest clusters, from the largest one.
-    Only their at most `most` ids and the links among them come to the driver: a proven bound."""
-    spark = clusters.sparkSession
-    top = clusters.orderBy(F.desc("size"), "cluster").limit(most)
-    ids = [r.cluster for r in top.collect()]
-    own = links.join(F.broadcast(top.select(F.col("cluster").alias("ca"))), "ca", "left_semi").join(F.broadcast(top.select(F.col("cluster").alias("cb"))), "cb", "left_semi")
-    group = {i: i for i in ids}
-    tree: dict = {i: [] for i in ids}
-    for r in sorted(own.collect(), key=lambda r: (-r.weight, str(r.ca), str(r.cb))):
-        a, b = group[r.ca], group[r.cb]
-        if a != b:
-            tree[r.ca].append(r.cb)
-            tree[r.cb].append(r.ca)
-            for k, v in group.items():
-                if v == b:
-                    group[k] = a
-    rows, seen = [], set()
-    for root in ids:
-        todo = [] if root in seen else [root]
-        seen.update(todo)
-        while todo:
-            at = todo.pop(0)
-            for child in sorted(tree[at], key=str):
-                if child not in seen:
-                    seen.add(child)
-                    rows.append((at, child))
-                    todo.append(child)
+def spanning_forest(links: DataFrame) -> DataFrame:
+    """ca, cb of a maximum spanning forest of links (ca < cb, weight), ties by the ends as texts. In each round every
+    component takes its best link to another one, so that rounds are no more than the logarithm of the nodes."""
+    spark, folder = links.sparkSession, work_folder(links.sparkSession)
+    order = F.struct((-F.col("weight")).alias("w"), F.col("ca").cast("string").alias("a"), F.col("cb").cast("string").alias("b"), "ca", "cb")
+    open_links = written(links.select("ca", "cb", order.alias("o"), F.col("ca").alias("la"), F.col("cb").alias("lb")), f"{folder}/0")
+    tree, i = spark.createDataFrame([], open_links.select("ca", "cb").schema), 0
+    while not open_links.isEmpty():
+        i += 1
+        ends = open_links.select(F.explode(F.array(F.struct(F.col("la").alias("own"), F.col("lb").alias("other")), F.struct(F.col("lb").alias("own"), F.col("la").alias("other")))).alias("e"), "o")
+        best = written(ends.groupBy("e.own").agg(F.min(F.struct("o", "e.other")).alias("m")).select("own", "m.other", "m.o.ca", "m.o.cb"), f"{folder}/best-{i}")
+        tree = written(tree.union(best.select("ca", "cb")).distinct(), f"{folder}/tree-{i}")
+        parts = connected(best.select(F.col("own").alias("a"), F.col("other").alias("b")))
+        for end in ("la", "lb"):
+            to = parts.select(F.col("node").alias(end), F.col("component").alias("__to"))
+            open_links = open_links.join(to, end, "left").withColumn(end, F.coalesce("__to", end)).drop("__to")
+        open_links = written(open_links.where("la <> lb").select("ca", "cb", "o", "la", "lb"), f"{folder}/{i}")
+    return tree
+
+
+def backbone(clusters: DataFrame, links: DataFrame) -> DataFrame:
+    """parent, child of a maximum spanning tree over the clusters (cluster, size), from the largest one; each part that
+    has no link to it is a tree from its own largest (G14). Levels are written; nothing comes to the driver."""
+    spark, folder = clusters.sparkSession, work_folder(clusters.sparkSession)
+    known = clusters.select("cluster")
+    own = links.select("ca", "cb", "weight").join(known.withColumnRenamed("cluster", "ca"), "ca", "left_semi").join(known.withColumnRenamed("cluster", "cb"), "cb", "left_semi")
+    tree = spanning_forest(own)
+    both = written(both_ways(tree.select(F.col("ca").alias("src"), F.col("cb").alias("dst"))), f"{folder}/tree")
+    parts = connected(tree.select(F.col("ca").alias("a"), F.col("cb").alias("b")))
+    sized = parts.join(clusters.select(F.col("cluster").alias("node"), "size"), "node")
+    level = written(sized.groupBy("component").agg(F.min(F.struct((-F.col("size")).alias("s"), "node"))["node"].alias("node")).select("node"), f"{folder}/0")
     kind = clusters.schema["cluster"].dataType.simpleString()
-    return spark.createDataFrame(rows, f"parent {kind}, child {kind}")
+    seen, out, i = level, spark.createDataFrame([], f"parent {kind}, child {kind}"), 0
+    while not level.isEmpty():
+        i += 1
+        step = both.join(_few(level), both["src"] == level["node"]).select(F.col("src").alias("parent"), F.col("dst").alias("node"))
+        step = written(step.join(seen, "node", "left_anti").select("parent", F.col("node").alias("child")), f"{folder}/{i}")
+        out, level = out.union(step), step.select(F.col("child").alias("node"))
+        seen = seen.union(level)
+        if i % 8 == 0:  # the plan stays short on long chains
+            out, seen = written(out, f"{folder}/out-{i}"), written(seen, f"{folder}/seen-{i}")
+    return out
 
 
 def ego(edges: DataFrame, node, hops: int = 1) -> DataFrame:

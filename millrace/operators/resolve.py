@@ -185,10 +185,18 @@ def call_stats(kept: DataFrame, dropped: DataFrame) -> DataFrame:
     return x.select(total.alias("total"), "kept", "filtered", share("kept").alias("kept_pct"), share("filtered").alias("filtered_pct"))
 
 
-def related_elements(elements: DataFrame, nodes: DataFrame, bridge: DataFrame) -> DataFrame:
-    """Elements of graph nodes: by the bridge of ids, else by a document node's path."""
-    by_id = bridge.join(nodes.withColumnRenamed("node", "symbol_id"), "symbol_id", "left_semi").select(F.col("element_id").alias("id"))
-    return elements.join(by_id, "id", "left_semi")
+def related_elements(elements: DataFrame, nodes: DataFrame, bridge: DataFrame, documents: DataFrame | None = None, symbols: DataFrame | None = None) -> DataFrame:
+    """Elements of graph nodes (node): by the bridge of ids; a document node's file elements by its path; symbols that the
+    bridge lacks by path and name (J28, Q4). Equi joins on paths, which both sides hold relative to the repository."""
+    asked = nodes.select("node").distinct()
+    ids = bridge.join(asked.withColumnRenamed("node", "symbol_id"), "symbol_id", "left_semi").select(F.col("element_id").alias("id"))
+    if documents is not None:
+        paths = documents.join(asked.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi").select(F.col("path").alias("relative_path")).distinct()
+        ids = ids.union(elements.where("type = 'file'").join(paths, "relative_path", "left_semi").select("id"))
+    if symbols is not None:
+        rest = symbols.join(asked.withColumnRenamed("node", "symbol_id"), "symbol_id", "left_semi").join(bridge.select("symbol_id"), "symbol_id", "left_anti")
+        ids = ids.union(elements.join(rest.select(F.col("path").alias("relative_path"), F.col("display_name").alias("name")).distinct(), ["relative_path", "name"], "left_semi").select("id"))
+    return elements.join(ids.distinct(), "id", "left_semi")
 
 
 def file_of_module(modules: DataFrame, module: str) -> DataFrame:

@@ -75,10 +75,18 @@ def bm25(corpus: DataFrame, query: str, id_col: str = "id", text_col: str = "tex
     return hits.select("id", score.alias("score")).where("score > 0")
 
 
-def bm25_from_postings(index: DataFrame, size: DataFrame, query: str) -> DataFrame:
-    """id, score from stored postings (id, term, tf, length) and corpus size (S13): the term filter reaches the scan."""
+def corpus_statistics(index: DataFrame, size: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(term, df, idf; the corpus size): what an index stores beside its postings, so that a question reads none of them
+    but those of its own terms."""
+    return idf(index.crossJoin(F.broadcast(size)), F.col("documents")), size
+
+
+def bm25_from_postings(index: DataFrame, size: DataFrame, query: str, terms_idf: DataFrame | None = None) -> DataFrame:
+    """id, score from stored postings (id, term, tf, length), corpus size and, if stored too, idf by term (S13): the term
+    filter reaches the scans. Without the idf it is aggregated from the whole index first."""
     terms = [t for t in query.lower().split() if t]
-    asked = idf(index.crossJoin(F.broadcast(size)), F.col("documents")).where(F.col("term").isin(*(terms or [""])))
+    known = corpus_statistics(index, size)[0] if terms_idf is None else terms_idf
+    asked = known.where(F.col("term").isin(*(terms or [""]))).select("term", "idf")
     times = F.coalesce(F.element_at(F.create_map(*[x for t in dict.fromkeys(terms or [""]) for x in (F.lit(t), F.lit(terms.count(t)))]), F.col("term")), F.lit(0))
     own = index.where(F.col("term").isin(*(terms or [""]))).join(F.broadcast(asked), "term").crossJoin(F.broadcast(size))
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean_length"))) * times
@@ -100,14 +108,19 @@ def vector_top(vectors: DataFrame, query: list[float], k: int, min_score: float
     return top(scored if min_score is None else scored.where(F.col("score") >= min_score), k)
 
 
+def _in_blocks(asked: DataFrame, key: str, most: int = QUERY_ROWS) -> list[DataFrame]:
+    """asked in blocks of about so many rows at most, each to be broadcast."""
+    n = -(-asked.count() // most)
+    return [asked] if n <= 1 else [asked.where(F.pmod(F.xxhash64(key), F.lit(2 * n)) == i) for i in range(2 * n)]
+
+
 def vector_batch_top(vectors: DataFrame, queries: DataFrame, k: int, min_score: float | None = None) -> DataFrame:
-    """query_id, id, score, rank for several queries (W02). queries: query_id, query_vector; they are few
-    (counted, QUERY_ROWS at most) and broadcast, so the vectors are read once and never shuffled."""
-    if queries.count() > QUERY_ROWS:
-        raise ValueError(f"more than {QUERY_ROWS} queries: search them in parts")
+    """query_id, id, score, rank for several queries (W02). queries: query_id, query_vector. They are counted and go in
+    blocks of QUERY_ROWS or fewer, each broadcast, so that vectors are read once a block and never shuffled."""
     unit = vectors.where(F.col("vector").isNotNull()).select("id", V.unit(F.col("vector")).alias("vector"))
     asked = queries.select("query_id", V.unit(F.col("query_vector")).alias("query_vector"))
-    scored = unit.crossJoin(F.broadcast(asked)).select("query_id", "id", V.dot(F.col("vector"), F.col("query_vector")).alias("score"))
+    blocks = [unit.crossJoin(F.broadcast(b)).select("query_id", "id", V.dot(F.col("vector"), F.col("query_vector")).alias("score")) for b in _in_blocks(asked, "query_id")]
+    scored = reduce(DataFrame.union, blocks)
     if min_score is not None:
         scored = scored.where(F.col("score") >= min_score)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
@@ -314,13 +327,12 @@ def named_element(elements: DataFrame, name: str) -> DataFrame:
 
 def fuzzy_repository(names: DataFrame, repos: DataFrame) -> DataFrame:
     """name -> repo_name by the first test that holds: equal but for case, containment, Jaccard >= 0.5.
-    names: name, of a model's reply: counted to be QUERY_ROWS at most, and broadcast."""
-    if names.count() > QUERY_ROWS:
-        raise ValueError(f"more than {QUERY_ROWS} names")
+    names: name, of a model's reply: counted, and broadcast in blocks of QUERY_ROWS or fewer."""
     a, b = T.normal_name(F.col("name")), T.normal_name(F.col("repo_name"))
     likeness = T.jaccard(T.name_tokens(F.col("name")), T.name_tokens(F.col("repo_name")))
     tier = F.when(a == b, 0).when(F.contains(a, b) | F.contains(b, a), 1).when(likeness >= 0.5, 2)
-    tried = repos.select("repo_name").crossJoin(F.broadcast(names)).withColumn("tier", tier).withColumn("likeness", likeness).where("tier is not null")
+    pairs = reduce(DataFrame.union, [repos.select("repo_name").crossJoin(F.broadcast(n)) for n in _in_blocks(names.select("name"), "name")])
+    tried = pairs.withColumn("tier", tier).withColumn("likeness", likeness).where("tier is not null")
     order = Window.partitionBy("name").orderBy("tier", F.desc("likeness"), "repo_name")
     return tried.withColumn("rank", F.row_number().over(order)).where("rank = 1").select("name", "repo_name", "tier")
 

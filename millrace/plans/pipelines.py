@@ -164,11 +164,12 @@ class Engine:
             both = both.unionByName(e, allowMissingColumns=True)
         vector = self.query_vector(question)
         if repos is None and len(own) > 1:
-            files = both.where("type = 'file'")
-            text = F.array_join(F.array_sort(F.collect_list(F.concat_ws(" ", "relative_path", F.substring("code", 1, 200)))), " ")
-            about = files.groupBy("repo_name").agg(text.alias("text")).withColumn("vector", V.hash_embedding(T.word_tokens(F.col("text")), DIMENSIONS))
-            semantic = Q.vector_top(about.select(F.col("repo_name").alias("id"), "vector"), vector, 2 * most_repos, measure="l2").withColumnRenamed("id", "repo_name")
-            keyword = Q.bm25(about, question, "repo_name").withColumnRenamed("id", "repo_name")
+            q = F.array(*[F.lit(float(x)) for x in vector])
+            near = both.where("vector is not null").select("repo_name", V.l2_similarity(F.col("vector"), q).alias("score"))
+            semantic = near.groupBy("repo_name").agg(F.max("score").alias("score"))
+            text = T.lexical_document(*[F.col(c) for c in ("name", "type", "language", "relative_path", "docstring", "signature", "summary", "code")])
+            hits = Q.bm25(both.select("id", text.alias("text")), question).join(both.select("id", "repo_name"), "id")
+            keyword = hits.groupBy("repo_name").agg(F.sum("score").alias("score"))
             fitting = [r.repo_name for r in Q.select_repositories(semantic, keyword, most_repos).collect()]
             both = Q.in_repositories(both, fitting)
         return hybrid(both, question, vector, k, **filters)

@@ -303,7 +303,20 @@ def html_strip(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.md5(T.strip_html(F.col("html")).cast("binary")).alias("digest"))
 
 
-@registered()
+def _markdown_sql() -> str:
+    x = "regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(script|style)>', '', 'g')"
+    x = f"""regexp_replace({x}, '(?is)<a[^>]*href=["'']([^"'']*)["''][^>]*>(.*?)</a>', '[\\2](\\1)', 'g')"""
+    for level in range(1, 7):
+        x = f"regexp_replace({x}, '(?is)<h{level}[^>]*>(.*?)</h{level}>', chr(10) || '{'#' * level} \\1' || chr(10), 'g')"
+    x = f"regexp_replace({x}, '(?is)<li[^>]*>(.*?)</li>', chr(10) || '- \\1', 'g')"
+    x = f"regexp_replace({x}, '(?i)</(p|div|section|article)>', chr(10) || chr(10), 'g')"
+    x = f"regexp_replace({x}, '(?i)<br\\s*/?>|<hr\\s*/?>', chr(10), 'g')"
+    x = _entities(f"regexp_replace({x}, '(?s)<[^>]+>', '', 'g')")
+    x = f"regexp_replace(regexp_replace({x}, '[ \\t]+', ' ', 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g')"
+    return f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+
+
+@registered(f"select page_id, md5({_markdown_sql()}) as digest from pages")
 def html_markdown(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.md5(T.html_to_markdown(F.col("html")).cast("binary")).alias("digest"))
 

@@ -92,13 +92,18 @@ def visible(buffer: str, hidden: bool, chunk: str) -> tuple[str, str, bool]:
 
 
 def hide_summaries(stream: DataFrame) -> DataFrame:
-    """session_id, shown for chunks (session_id, ord, chunk) of answers that arrive in pieces."""
+    """session_id, shown for chunks (session_id, ord, chunk) of answers that arrive in pieces; a null chunk ends an answer:
+    what was held back as the possible start of a tag is shown then, and the session starts anew (R02)."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         buffer, hidden = state.get if state.exists else ("", False)
         rows = pd.concat(list(batches)).sort_values("ord")
         out = []
         for chunk in rows["chunk"]:
+            if chunk is None or chunk != chunk:
+                out.append("" if hidden else buffer)
+                buffer, hidden = "", False
+                continue
             shown, buffer, hidden = visible(buffer, hidden, chunk)
             out.append(shown)
         state.update((buffer, hidden))

@@ -160,6 +160,18 @@ def test_hidden_summaries():
         assert shown + buffer == "Answer <b> one two <SUM no end"
 
 
+def test_hidden_summaries_end(spark, tmp_path):
+    """A null chunk shows what was held back, and the next answer starts anew."""
+    folder, schema = tmp_path / "in", "session_id string, ord int, chunk string"
+    folder.mkdir()
+    chunks = ["a < b is true <", None, "next <SUMMARY>no", "t</SUMMARY> shown", None]
+    spark.createDataFrame([("s", i, c) for i, c in enumerate(chunks)], schema).coalesce(1).write.mode("append").parquet(str(folder))
+    stream = streams.hide_summaries(spark.readStream.schema(schema).parquet(str(folder)))
+    seen = []
+    stream.writeStream.foreachBatch(lambda rows, _: seen.extend(r.shown for r in rows.collect())).option("checkpointLocation", f"file://{tmp_path}/c").trigger(availableNow=True).start().awaitTermination()
+    assert "".join(seen) == "a < b is true <next  shown"
+
+
 def test_streams(spark, tmp_path):
     folder, schema = tmp_path / "in", "channel string, sender string, content string"
     folder.mkdir()
