@@ -22,7 +22,8 @@ from .operators import selection as S
 from .operators import versions as W
 from .queries import _BIPARTITE, _ELEMENTS, _PATH, _ROUTED, _bipartite, _files, _routed, documents, elements, registered, table
 
-_NONE = F.lit(None).cast("string")
+def _none() -> Column:
+    return F.lit(None).cast("string")
 
 
 # -- source by rule --------------------------------------------------------------------
@@ -119,6 +120,12 @@ def parsed_elements(spark, sf_dir):
     return P.elements(_python_files(spark, sf_dir).drop("language"), "r").select("id", "type", "name", "start_line", "end_line")
 
 
+@registered(f"""select {_FILE} as path, 1 as line_number, 'import' as kind, 'os' as name from documents union all select {_FILE}, 2, 'import', {_n('pkg{a}.mod{b}')} from documents union all select {_FILE}, 3, 'import', {_n('.mod{c}')} from documents
+    union all select {_FILE}, 5, 'class', {_n('C{k}')} from documents union all select {_FILE}, 7, 'function', 'run' from documents union all select {_FILE}, 13, 'function', {_n('f{e}')} from documents""")
+def structure_summaries(spark, sf_dir):
+    return P.structure_summary(_python_files(spark, sf_dir))
+
+
 #: extension -> import line, what it imports, word for classes, of functions, after parameters.
 _LANGUAGES = {
     "js": ('import x from "m"', "m", "class", "function ", ""), "ts": ('import x from "m"', "m", "export class", "async function ", ""), "cpp": ("#include <m>", "m", "struct", "int ", ""),
@@ -172,7 +179,7 @@ _EXPORTS = f"exports as (select source as repo_name, replace(replace({_MODULE},
 
 
 def _exports(spark, sf_dir):
-    e = _module_files(spark, sf_dir).where("id % 4 > 0").select("*", F.lit("function").alias("type"), F.concat(F.lit("f"), F.col("id") % 3).alias("name"), _NONE.alias("class_name"))
+    e = _module_files(spark, sf_dir).where("id % 4 > 0").select("*", F.lit("function").alias("type"), F.concat(F.lit("f"), F.col("id") % 3).alias("name"), _none().alias("class_name"))
     return R.export_map(e)
 
 
@@ -223,7 +230,7 @@ def _code_tables(spark, sf_dir):
     name = lambda p: F.concat(F.lit(p), i)
     base = [F.col("doc_id").alias("file_id"), name("p").alias("file_path"), F.lit("r").alias("repo_name")]
     one = lambda kind, ident, label, cls, ord: d.select(*base, F.lit(kind).alias("type"), name(ident).alias("id"), label.alias("name"), cls.alias("class_name"), F.lit(ord).alias("ord"))
-    parts = [one("file", "file", name("p"), _NONE, 0), one("class", "class", name("C"), _NONE, 1), one("method", "method", F.lit("run"), name("C"), 2), one("function", "function", name("f"), _NONE, 3)]
+    parts = [one("file", "file", name("p"), _none(), 0), one("class", "class", name("C"), _none(), 1), one("method", "method", F.lit("run"), name("C"), 2), one("function", "function", name("f"), _none(), 3)]
     els = parts[0]
     for p in parts[1:]:
         els = els.union(p)
@@ -234,8 +241,8 @@ def _code_tables(spark, sf_dir):
     call = lambda n, scope, around, obj, called: d.select(F.concat(i, F.lit(f"-{n}")).alias("call_id"), *base, scope.alias("scope_id"), around.alias("class_around"), obj.alias("base_object"), called.alias("call_name"))
     run = F.lit("method::run")
     rows = [
-        call(1, run, name("C"), _NONE, name("f")), call(2, F.concat(F.lit("function::f"), i), _NONE, _NONE, F.when(F.col("doc_id") % 2 == 0, F.lit("given")).otherwise(other)),
-        call(3, run, name("C"), F.lit("self"), F.lit("run")), call(4, F.lit("function::run"), _NONE, F.lit("obj"), F.lit("run")), call(5, _NONE, _NONE, _NONE, F.lit("nothing")), call(6, F.lit("function::gone"), _NONE, _NONE, name("f")),
+        call(1, run, name("C"), _none(), name("f")), call(2, F.concat(F.lit("function::f"), i), _none(), _none(), F.when(F.col("doc_id") % 2 == 0, F.lit("given")).otherwise(other)),
+        call(3, run, name("C"), F.lit("self"), F.lit("run")), call(4, F.lit("function::run"), _none(), F.lit("obj"), F.lit("run")), call(5, _none(), _none(), _none(), F.lit("nothing")), call(6, F.lit("function::gone"), _none(), _none(), name("f")),
     ]
     calls = rows[0]
     for r in rows[1:]:
@@ -327,7 +334,7 @@ def base_targets(spark, sf_dir):
 def _fact_elements(spark, sf_dir):
     kind = F.when(F.col("doc_id") % 2 == 0, "class").otherwise("function")
     d = documents(spark, sf_dir)
-    parts = d.select(F.col("doc_id").cast("string").alias("id"), kind.alias("type"), F.concat(F.lit("n"), F.col("doc_id")).alias("name"), F.col("source").alias("relative_path"), F.col("lang").alias("language"), _NONE.alias("signature"), (F.col("doc_id") % 90).cast("int").alias("start_line"), F.lit(0).alias("start_col"), (F.col("doc_id") % 90 + 5).cast("int").alias("end_line"), _NONE.alias("qualified_name"), _NONE.alias("class_name"), F.array().cast("array<string>").alias("imports"), F.array().cast("array<string>").alias("bases"))
+    parts = d.select(F.col("doc_id").cast("string").alias("id"), kind.alias("type"), F.concat(F.lit("n"), F.col("doc_id")).alias("name"), F.col("source").alias("relative_path"), F.col("lang").alias("language"), _none().alias("signature"), (F.col("doc_id") % 90).cast("int").alias("start_line"), F.lit(0).alias("start_col"), (F.col("doc_id") % 90 + 5).cast("int").alias("end_line"), _none().alias("qualified_name"), _none().alias("class_name"), F.array().cast("array<string>").alias("imports"), F.array().cast("array<string>").alias("bases"))
     return parts
 
 
@@ -344,7 +351,7 @@ def _index(spark, sf_dir):
     """An indexer's output: a document per source, a symbol per even document, a reference to each and to odd ones, which are external."""
     d = documents(spark, sf_dir).withColumn("s", F.concat(F.lit("pkg "), F.col("doc_id")))
     r = F.array(*[F.lit(x) for x in (1, 0, 1, 3)])
-    symbol = F.struct(F.col("s").alias("symbol"), F.col("s").alias("name"), F.lit("class").alias("kind"), r.alias("range"), _NONE.alias("signature"), _NONE.alias("qualified_name"))
+    symbol = F.struct(F.col("s").alias("symbol"), F.col("s").alias("name"), F.lit("class").alias("kind"), r.alias("range"), _none().alias("signature"), _none().alias("qualified_name"))
     seen = F.struct(F.col("s").alias("symbol"), F.when(F.col("doc_id") % 3 == 0, "definition").otherwise("reference").alias("role"), r.alias("range"))
     docs = d.groupBy("source").agg(F.collect_list(F.when(F.col("doc_id") % 2 == 0, symbol)).alias("symbols"), F.collect_list(seen).alias("occurrences"))
     return docs.select(F.array(F.struct(F.col("source").alias("path"), F.lit("python").alias("language"), "symbols", "occurrences")).alias("documents"))
@@ -502,7 +509,7 @@ def structure_text(spark, sf_dir):
 
 @registered(f"""with {_ELEMENTS}, k as (select *, 'g' || (id % 4) as p from elements) select p as relative_path, type, count(*) as n, string_agg(name, ',' order by name) as names, max(end_line) as last_line from k where p = 'g1' group by all""")
 def file_summary(spark, sf_dir):
-    rows = elements(spark, sf_dir).withColumn("relative_path", F.concat(F.lit("g"), F.col("id") % 4)).withColumn("class_name", _NONE)
+    rows = elements(spark, sf_dir).withColumn("relative_path", F.concat(F.lit("g"), F.col("id") % 4)).withColumn("class_name", _none())
     return O.file_summary(rows, "g1").select("relative_path", "type", "n", F.array_join("names", ",").alias("names"), F.col("last_line").cast("long").alias("last_line"))
 
 
@@ -648,7 +655,7 @@ def reply_fields(spark, sf_dir):
 @registered(f"with {_ELEMENTS} select id, md5('Type: ' || type || chr(10) || 'Name: ' || name || case when code <> '' then chr(10) || 'Code: ' || left(code, 10000) else '' end) as digest from elements")
 def embedding_document(spark, sf_dir):
     """The first ten thousand characters of code are what the feature embeds."""
-    return elements(spark, sf_dir).select("id", F.md5(T.embedding_document(F.col("type"), F.col("name"), _NONE, _NONE, _NONE, F.col("code")).cast("binary")).alias("digest"))
+    return elements(spark, sf_dir).select("id", F.md5(T.embedding_document(F.col("type"), F.col("name"), _none(), _none(), _none(), F.col("code")).cast("binary")).alias("digest"))
 
 
 @registered("select doc_id, 'first ' || doc_id || chr(10) || '  second' || chr(10) || 'third' as doc from documents")
@@ -735,7 +742,7 @@ def tolerant_json(spark, sf_dir):
 def next_runs(spark, sf_dir):
     e, at = table(spark, sf_dir, "events"), F.col("event_id")
     kind = F.when(at % 2 == 0, "at").otherwise("every")
-    return e.select("event_id", V.next_run_ms(kind, at, at, _NONE, _NONE, F.lit(500)).alias("next_run_ms"))
+    return e.select("event_id", V.next_run_ms(kind, at, at, _none(), _none(), F.lit(500)).alias("next_run_ms"))
 
 
 # -- selections ------------------------------------------------------------------------------------------------
@@ -767,7 +774,7 @@ def union_of_tools(spark, sf_dir):
 @registered(f"""with {_ELEMENTS}, g as (select *, case when id % 2 = 0 then 'tool' when id % 3 = 0 then 'graph' else 'retrieval' end as s from elements)
     select repo_name, string_agg(distinct s, ',' order by s) as sources, sum(case when end_line > 1 then end_line else 0 end)::bigint as lines, count(*) as elements from g group by repo_name""")
 def grouped_by_file(spark, sf_dir):
-    e = elements(spark, sf_dir).withColumns({"agent_found": F.col("id") % 2 == 0, "related_to": F.when(F.col("id") % 3 == 0, "x"), "signature": _NONE, "relative_path": F.col("repo_name")})
+    e = elements(spark, sf_dir).withColumns({"agent_found": F.col("id") % 2 == 0, "related_to": F.when(F.col("id") % 3 == 0, "x"), "signature": _none(), "relative_path": F.col("repo_name")})
     return S.grouped_by_file(e).select("repo_name", F.array_join("sources", ",").alias("sources"), "lines", "elements")
 
 
@@ -775,7 +782,7 @@ def grouped_by_file(spark, sf_dir):
     select id, rank from r where rank <= 10 order by repo_name, type, rank limit 200""")
 def display_candidates(spark, sf_dir):
     """Ten of a kind a file, two hundred rows: limits of the display."""
-    e = elements(spark, sf_dir).withColumn("class_name", _NONE).withColumn("relative_path", F.lit("f"))
+    e = elements(spark, sf_dir).withColumn("class_name", _none()).withColumn("relative_path", F.lit("f"))
     return S.display_candidates(e).select("id", "rank")
 
 

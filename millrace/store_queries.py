@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .operators import graph as G
@@ -11,7 +12,8 @@ from .queries import _BM25, _ELEMENTS, _ROUTED, ASKED, _routed, documents, eleme
 from .sources import readers
 from .sources.sinks import Store, mirror_json
 
-_NONE = F.lit(None).cast("string")
+def _none() -> Column:
+    return F.lit(None).cast("string")
 
 
 def _store(spark) -> Store:
@@ -56,8 +58,8 @@ def stored_snapshots(spark, sf_dir):
     """Two writes of the same snapshots: the first time of creation stays, the rest is replaced."""
     store, e = _store(spark), table(spark, sf_dir, "events")
     per = e.groupBy("user_id").agg(F.min("ts").alias("first"), F.max("ts").alias("last"), F.min("event_id").alias("a"), F.max("event_id").alias("b"))
-    snapshot = lambda at, n: per.select(F.concat(F.lit("s"), "user_id").alias("snapshot_id"), F.lit("r").alias("repo_name"), F.concat(F.lit("b"), n).alias("branch"), _NONE.alias("commit_id"), _NONE.alias("tree_id"), F.concat(F.lit("k"), "user_id").alias("artifact_key"), F.col(at).alias("created_at"))
-    refs = per.select(F.concat(F.lit("f"), "user_id").alias("ref_id"), F.lit("r").alias("repo_name"), F.lit("b").alias("branch"), F.lit("c").alias("commit_id"), _NONE.alias("tree_id"), F.concat(F.lit("s"), "user_id").alias("snapshot_id"), F.col("first").alias("created_at"))
+    snapshot = lambda at, n: per.select(F.concat(F.lit("s"), "user_id").alias("snapshot_id"), F.lit("r").alias("repo_name"), F.concat(F.lit("b"), n).alias("branch"), _none().alias("commit_id"), _none().alias("tree_id"), F.concat(F.lit("k"), "user_id").alias("artifact_key"), F.col(at).alias("created_at"))
+    refs = per.select(F.concat(F.lit("f"), "user_id").alias("ref_id"), F.lit("r").alias("repo_name"), F.lit("b").alias("branch"), F.lit("c").alias("commit_id"), _none().alias("tree_id"), F.concat(F.lit("s"), "user_id").alias("snapshot_id"), F.col("first").alias("created_at"))
     store.save_snapshot(snapshot("first", "a"), refs)
     store.save_snapshot(snapshot("last", "b"), refs)
     return store.read("snapshots").select("snapshot_id", "created_at", "branch")
@@ -107,8 +109,8 @@ def stored_vectors(spark, sf_dir):
 def chat_sessions(spark, sf_dir):
     """Sessions as JSON lines with a line about each, which the reader leaves out."""
     c = table(spark, sf_dir, "conversations")
-    lines = c.select(_NONE.alias("_type"), "role", F.col("text").alias("content"), F.lit("2024-01-01 00:00:00").alias("timestamp"))
-    about = c.select("conv_id").distinct().select(F.lit("metadata").alias("_type"), _NONE.alias("role"), F.lit("x").alias("content"), _NONE.alias("timestamp"))
+    lines = c.select(_none().alias("_type"), "role", F.col("text").alias("content"), F.lit("2024-01-01 00:00:00").alias("timestamp"))
+    about = c.select("conv_id").distinct().select(F.lit("metadata").alias("_type"), _none().alias("role"), F.lit("x").alias("content"), _none().alias("timestamp"))
     path = f"{G.work_folder(spark)}/sessions"
     mirror_json(lines.union(about), path)
     return readers.read_chat_sessions(spark, path).groupBy("role", F.md5(F.col("content").cast("binary")).alias("digest")).agg(F.count(F.lit(1)).alias("n"))
@@ -127,7 +129,7 @@ def file_manifests(spark, sf_dir):
 def published_manifests(spark, sf_dir):
     """Two publications into one log; each manifest points to the one before."""
     store, e = _store(spark), table(spark, sf_dir, "events")
-    rows = e.select(F.col("event_id").cast("string").alias("manifest_id"), F.col("user_id").cast("string").alias("repo_name"), F.col("event_type").alias("ref_name"), F.lit("s").alias("snapshot_id"), _NONE.alias("index_run_id"), F.col("ts").alias("published_at"), _NONE.alias("previous_manifest_id"), F.lit("published").alias("status"))
+    rows = e.select(F.col("event_id").cast("string").alias("manifest_id"), F.col("user_id").cast("string").alias("repo_name"), F.col("event_type").alias("ref_name"), F.lit("s").alias("snapshot_id"), _none().alias("index_run_id"), F.col("ts").alias("published_at"), _none().alias("previous_manifest_id"), F.lit("published").alias("status"))
     store.publish(rows.where("cast(manifest_id as bigint) % 2 = 0"))
     store.publish(rows.where("cast(manifest_id as bigint) % 2 = 1"))
     found = W.with_previous(store.read("manifests").drop("previous_manifest_id").withColumn("manifest_id", F.col("manifest_id").cast("long")))
