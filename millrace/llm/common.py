@@ -9,6 +9,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.readers import spread
+
 #: Characters that separate words, as the contracts of these operators define them.
 SPACE = r"\x20\x09-\x0D"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -61,7 +63,7 @@ def small_batches(spark: SparkSession, rows: int = 1024, mb: int = 16) -> None:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def with_columns_of(docs: DataFrame, *names: str) -> DataFrame:

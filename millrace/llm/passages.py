@@ -11,8 +11,8 @@ extended over the words around that agree, and verified: the shingles themselves
 must have a Jaccard similarity of at least 0.8 over MIN_WORDS words or more.
 
 Within one hash's group each window first meets the windows of the text with the most
-company in all its groups and of one chosen by chance, then of another one by chance.
-What that verifies joins passages to classes. Then all windows of a group that aren't of one class meet each
+company in all its groups and of one chosen by chance. What that verifies joins passages
+to classes. Then all windows of a group that aren't of one class meet each
 other; so the only pairs never compared are those whose passages are joined already.
 Before each meeting windows are joined as intervals within their own text: a passage
 can only be a candidate where windows of ENOUGH orders are shared, so that texts which
@@ -43,8 +43,8 @@ from .shingles import WIDTH, Shingler, components, mixed
 
 MIN_WORDS = 50
 HASHES, ENOUGH = 8, 4
-#: Meetings with chosen others before all that is still apart meets.
-ROUNDS = 2
+#: Meetings with chosen others before all that is still apart meets; a second one found little more.
+ROUNDS = 1
 #: Diagonals of two texts that are verified one by one.
 DIAGONALS = 32
 #: Words that a worker numbers before it starts anew.
