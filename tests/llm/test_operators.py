@@ -352,3 +352,71 @@ def test_stages_on_hard_rows(spark, hard, nothing):
     near = {r.doc_id for r in corpus_pipeline.near(spark, hard, SF).collect()}
     assert near >= {1, 6, 7, 8, 11, 12, 15, 16, 17} and not near & {2, 3, 4, 5, 10, 14}
     assert corpus_pipeline.tokens(spark, docs, SF).count() == docs.count()
+
+
+def test_repeated_passages_against_all_pairs(spark):
+    """Every pair of texts of a whole table, compared by their words: what repeats shares a class, and nothing else is reported."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    numbers = passages._Numbers()
+    own = {r.doc_id: numbers.of(r.text.encode().lower().split()) for r in docs.collect() if r.text}
+    holders = {}
+    for i, x in own.items():
+        for s in set(zip(*(x[k:].tolist() for k in range(5)))):
+            holders.setdefault(s, []).append(i)
+    shared = {}
+    for ids in holders.values():
+        for k, b in enumerate(ids):
+            for a in ids[:k]:
+                shared[a, b] = shared.get((a, b), 0) + 1
+    want = set()
+    for (a, b), n in shared.items():
+        if n >= 36:
+            for left, right in ((a, b), (b, a)):
+                if passages.Texts(own[left], own[right]).parts(0, len(own[left]), 0, len(own[right]), 0.8):
+                    want.add((a, b))
+    found = {}
+    for r in passages.repeated_passages(docs).collect():
+        found.setdefault(r.doc_id, set()).add(r.class_id)
+    assert set(found) <= {i for pair in want for i in pair}
+    assert len(want) > 20 and sum(bool(found.get(a, set()) & found.get(b, set())) for a, b in want) >= 0.95 * len(want)
+
+
+def test_language_scores_by_hand(spark):
+    """Counts, back-off and scores worked out again in plain loops, for a whole table."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    own = [r for r in docs.collect() if r.text and r.lang and zlib.crc32(str(r.doc_id).encode()) % 4 != 2]
+    split = lambda text: re.findall(r"[^\W\d_]+", (text or "").lower())
+    counts = {}
+    for r in own:
+        for w in split(r.text):
+            counts[r.lang, w] = counts.get((r.lang, w), 0) + 1
+    langs = sorted({r.lang for r in own})
+    cut = lambda w, n: [x[i : i + n] for x in ([w] if n == 1 else [f"\x02{w}\x03"]) for i in range(len(x) - n + 1)]
+    tables = [{} for _ in range(5)]
+    for (lang, w), n in counts.items():
+        for size in range(5):
+            for piece in [w] if not size else cut(w, size):
+                tables[size].setdefault(piece, dict.fromkeys(langs, 0))[lang] += n
+    sums = [{x: sum(row[x] for row in t.values()) for x in langs} for t in tables]
+    logs = lambda size, piece: [np.log((tables[size][piece][x] + 0.5) / (sums[size][x] + 0.5 * len(tables[size]))) for x in langs]
+
+    def score(text):
+        total, found = np.zeros(len(langs)), split(text)
+        for w in found:
+            if w in tables[0]:
+                total += logs(0, w)
+                continue
+            for size in (4, 3, 2, 1):
+                if known := [logs(size, p) for p in cut(w, size) if p in tables[size]]:
+                    total += np.mean(known, axis=0)
+                    break
+        if not found:
+            return "und", 0.0
+        total /= len(found) ** 0.5
+        return langs[int(total.argmax())], float(1 / np.exp(total - total.max()).sum())
+
+    assert all(sum(x == lang for x, _ in counts) <= language_id.MAX_WORDS for lang in langs)
+    got = {r.doc_id: r for r in queries.op4_language_id(spark, SF).collect()}
+    for r in docs.collect():
+        lang, value = score(r.text)
+        assert got[r.doc_id].lang_pred == lang and abs(got[r.doc_id].score - value) < 1e-3, r.doc_id
