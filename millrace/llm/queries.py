@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, exact_dedup, language_id, mixing, near_dup, passages, token_counts, url_filter, wavelet
+from . import ann, bpe, exact_dedup, fingerprints, language_id, mixing, near_dup, passages, rolling, token_counts, url_filter, vector_codes, wavelet
 from .common import SPACE, default_tokenizer, table
 
 #: Rules of op3: verdict, host/path.
@@ -67,7 +67,20 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_wavelet_tokens, op2_repeated_passages, op3_url_filter, op4_language_id, op5_exact_dedup, op6_source_mixing, op7_nearest_vectors, op8_token_counts, op9_byte_bpe, op10_ngram_jaccard)}
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = vector_codes.compress(table(spark, sf_dir, "embeddings"))
+    return coded.select("vec_id", "code", "error", "label_error", F.lit(books.digest()).alias("codebooks_sha256"))
+
+
+def op12_rolling_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rolling.roll(rolling.document_events(table(spark, sf_dir, "documents")))
+
+
+def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_wavelet_tokens, op2_repeated_passages, op3_url_filter, op4_language_id, op5_exact_dedup, op6_source_mixing, op7_nearest_vectors, op8_token_counts, op9_byte_bpe, op10_ngram_jaccard, op11_vector_codes, op12_rolling_features, op13_fingerprints)}
 
 _NORMAL = f"regexp_replace(coalesce(text, ''), '[{SPACE}]+', '', 'g')"
 _AZ = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -87,12 +100,74 @@ def _hits_sql(terms) -> str:
     return " + ".join(f"coalesce(regexp_matches(low, '(^|[^a-z0-9]){t}($|[^a-z0-9])'), false)::int" for t in terms)
 
 
+def _vector_codes_sql() -> str:
+    """Each round as CTEs of its own: distances of all parts to all entries, the nearest, and the new entries."""
+    v = vector_codes
+    width = "(select max(len(ints)) from kept)"
+    text = f"""
+        with usable as (
+            select vec_id, label, list_transform(embedding, lambda x: floor(x::double * {v.SCALE})::bigint) as ints from embeddings
+            where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+        ), kept as materialized (select *, row_number() over (order by vec_id) as place from usable
+        ), parts as materialized (
+            select place, vec_id, label, p, ints[p * {width} // {v.PARTS} + 1 : (p + 1) * {width} // {v.PARTS}] as part from kept, range({v.PARTS}) as r(p)
+        ), book0 as materialized (select p, place - 1 as e, part as entry from parts where place <= {v.ENTRIES})"""
+    for i in range(v.ROUNDS + 1):
+        text += f""", near{i} as materialized (
+            select place, vec_id, label, x.p, any_value(part) as part, min(list_sum(list_transform(list_zip(part, entry), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::bigint * {v.ENTRIES} + e) as best
+            from parts x join book{i} b on x.p = b.p group by all
+        )"""
+        if i < v.ROUNDS:
+            text += f""", sums{i} as (
+                select p, best % {v.ENTRIES} as e, j, floor(sum(part[j])::hugeint / count(*))::bigint as mean
+                from near{i}, range(1, {width} // {v.PARTS} + 1) as r(j) group by all
+            ), book{i + 1} as materialized (
+                select b.p, b.e, coalesce(n.entry, b.entry) as entry from book{i} b left join (select p, e, list(mean order by j) as entry from sums{i} group by all) n on n.p = b.p and n.e = b.e
+            )"""
+    return text + f""", coded as (
+            select vec_id, label, string_agg(printf('%02x', best % {v.ENTRIES}), '' order by p) as code, sum(best // {v.ENTRIES})::bigint as error
+            from near{v.ROUNDS} group by place, vec_id, label
+        )
+        select vec_id, code, error, sum(error) over (partition by label)::bigint as label_error,
+            (select sha256(string_agg(array_to_string(entry, ','), ',' order by p, e)) from book{v.ROUNDS}) as codebooks_sha256
+        from coded"""
+
+
+def _rolling_sql() -> str:
+    """crc32 is made of its table; a window's lengths are listed and sorted."""
+    whole = 0xFFFFFFFF
+    lists = ", ".join(f"list(length) filter (length is not null) over w{w} as l{w}, count(*) over w{w} as n{w}, coalesce(sum(length) over w{w}, 0)::bigint as s{w}, count(distinct lang) over w{w} as g{w}" for w in rolling.WINDOWS)
+    spans = ", ".join(f"w{w} as (partition by source order by event_s range between {w} preceding and 1 preceding)" for w in rolling.WINDOWS)
+    rows = " union all ".join(
+        f"""select doc_id, {w}::bigint as window_s, event_s, n{w} as n_events, s{w} as sum_chars, g{w} as n_langs,
+            list_sort(l{w})[(50 * len(l{w}) + 99) // 100] as median_chars, list_sort(l{w})[(90 * len(l{w}) + 99) // 100] as high_chars from seen"""
+        for w in rolling.WINDOWS
+    )
+    return f"""
+        with crc as (
+            select list(list_reduce(list_prepend(i::ubigint, list_transform(range(8), lambda k: k::ubigint)), lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384::ubigint) else c >> 1 end) order by i) as t from range(256) as r(i)
+        ), hashed as (
+            select doc_id, source, lang, length(text)::bigint as length,
+                xor(list_reduce(list_prepend({whole}::ubigint, list_transform(string_split(doc_id::varchar, ''), lambda c: ascii(c)::ubigint)), lambda h, b: xor(h >> 8, t[(xor(h, b) & 255)::bigint + 1])), {whole}::ubigint)::bigint as h
+            from documents, crc
+        ), timed as (select *, 60 * floor((doc_id + h % 10000) / 6)::bigint as event_s from hashed
+        ), seen as (select doc_id, event_s, {lists} from timed window {spans})
+        {rows}"""
+
+
 def oracle_sql() -> dict[str, str]:
     rule, verdict = _rule_sql()
     soft = [t for t in url_filter.SOFT if t not in url_filter.STRICT]
     weights = " ".join(f"when {i} then {w}.0" for i, w in enumerate(mixing.WEIGHTS))
     levels = len(mixing.WEIGHTS)
     return {
+        "op11_vector_codes": _vector_codes_sql(),
+        "op12_rolling_features": _rolling_sql(),
+        # Fingerprints have no SQL form; the edited texts have.
+        "op13_edits": """
+            with ordered as (select doc_id, coalesce(text, '') as text, row_number() over (order by doc_id) as place from documents
+            ), turned as (select a.doc_id, a.text, b.text as following from ordered a join ordered b on b.place = a.place % (select count(*) from ordered) + 1)
+            select doc_id, length(text) as n_chars, sha256(concat(substr(text, 1, length(text) - length(text) // 4), substr(following, 1, length(text) // 4))) as edited_sha256 from turned""",
         "op3_url_filter": f"""
             with parts as (
                 select page_id, {_AZ.format("url")} as low,
@@ -145,5 +220,9 @@ def op6_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.targets(per_source).select("source", "source_size", F.round("target", 3).alias("target"))
 
 
+def op13_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op13_fingerprints(spark, sf_dir).select("doc_id", "n_chars", "edited_sha256")
+
+
 def queries() -> dict:
-    return QUERIES | {"op6_targets": op6_targets}
+    return QUERIES | {"op6_targets": op6_targets, "op13_edits": op13_edits}
