@@ -16,6 +16,7 @@ from .operators import facts as X
 from .operators import graph as G
 from .operators import overview as O
 from .operators import parsing as P
+from .operators import projection
 from .operators import resolve as R
 from .operators import retrieval as Q
 from .operators import selection as S
@@ -45,22 +46,12 @@ async def f{e}(a, b=1):
         print(i)
     return m.g(a)
 '''
-_BRACES = '''{imp}
-{cls} K{k} {open}
-  {fn}f{e}(a, b){ret} {open}
-    let s = "}}" + '{{' ; // }} not the end {{
-    /* }} */
-    {open} x(s); {close}
-  {close}
-{close}
-{cls} L{d} {open} {close}
-'''
 
 
-def _rendered(template: str, **fixed: str) -> Column:
+def _rendered(template: str, **fixed: Column) -> Column:
     parts = re.split(r"\{(\w+)\}", template.replace("{{", "\x01").replace("}}", "\x02"))
     plain = lambda s: s.replace("\x01", "{").replace("\x02", "}")
-    return F.concat(*[F.lit(plain(p)) if i % 2 == 0 else F.lit(fixed[p]) if p in fixed else F.expr(f"cast({_NUMBERS[p]} as string)") for i, p in enumerate(parts)])
+    return F.concat(*[F.lit(plain(p)) if i % 2 == 0 else fixed[p] if p in fixed else F.expr(f"cast({_NUMBERS[p]} as string)") for i, p in enumerate(parts)])
 
 
 def _rendered_sql(template: str) -> str:
@@ -126,33 +117,88 @@ def structure_summaries(spark, sf_dir):
     return P.structure_summary(_python_files(spark, sf_dir))
 
 
-#: extension -> import line, what it imports, word for classes, of functions, after parameters.
-_LANGUAGES = {
-    "js": ('import x from "m"', "m", "class", "function ", ""), "ts": ('import x from "m"', "m", "export class", "async function ", ""), "cpp": ("#include <m>", "m", "struct", "int ", ""),
-    "rs": ("use m;", "m", "struct", "pub fn ", " -> i32"), "cs": ("using m;", "m", "public class", "public int ", ""),
-}
+#: extension -> source with each document's whole text in it: {text} in a comment, {quoted} in a text of the language.
+_BRACES = {
+    "js": """import x, {{ y }} from 'm{b}';
+/* {text} */
+class K{k} extends B {{ m{e}() {{ return /["{{]/; }} n(b) {{ return `{quoted}`; }} }}
+""",
+    "ts": """import type {{ A }} from 'm{b}';
+/* {text} */
+export const g{e} = <T,>(x: T) => x;
+abstract class K{k}<P> extends B<P> {{
+  private h = async (e: E): Promise<void> => {{ use(`{quoted}`); }};
+  abstract later{d}(x: number): void;
+}}
+""",
+    "cpp": """#include <m{b}>
+/* {text} */
+static int f{e}(int a,
+    int b)
+{{
+  return R"doc({quoted})doc"[a];
+}}
+class K{k} : public B {{
+  K{k}(int n) : x{{n}} {{ }}
+  int m{d}() const {{ return '{{'; }}
+  int x;
+}};
+""",
+    "rs": """use a::m{b};
+/* outer /* {text} */ {{ */
+pub struct K{k}<T>(T);
+impl<T> K{k}<T> {{
+  pub fn f{e}(&self, s: &'a str) -> i32 {{
+    let t = r##"{quoted}"##; '{{'
+  }}
+}}
+trait S{d} {{ fn need(&self); }}
+""",
+    "cs": """using A.m{b};
+namespace N {{
+/* {text} */
+class K{k} : B {{
+  K{k}(int a) {{ }}
+  int m{e}(string s) {{ return @"{quoted}"; }}
+  int X => 1;
+}}
+}}
+""",
+}
+#: extension -> how a text is written in it.
+_WRITTEN = {"js": (r"[\\`$]", r"\\$0"), "ts": (r"[\\`$]", r"\\$0"), "cpp": (r'\)doc"', ") doc"), "rs": ('"##', '" ##'), "cs": ('"', '""')}
 
 
 def _brace_files(spark, sf_dir):
-    out = None
-    for ext, (imp, _, cls, fn, ret) in _LANGUAGES.items():
-        text = _rendered(_BRACES, imp=imp, cls=cls, fn=fn, ret=ret, open="{", close="}")
+    out, whole = None, F.coalesce("text", F.lit(""))
+    for ext, template in _BRACES.items():
+        quoted = F.regexp_replace(whole, *_WRITTEN[ext])
+        text = _rendered(template, text=F.regexp_replace(whole, r"\*/|/\*", "* /"), quoted=quoted)
         part = documents(spark, sf_dir).select(F.concat_ws(".", F.col("doc_id").cast("string"), F.lit(ext)).alias("path"), text.alias("content"))
         out = part if out is None else out.union(part)
     return P.with_language(out)
 
 
-_EACH = "(values " + ", ".join(f"('{e}', '{m[1]}')" for e, m in _LANGUAGES.items()) + ") as x(ext, module)"
+#: extension, kind, name, first and last line and how often the text's lines come before each, surrounding type.
+_FOUND = (
+    ("js", "class", "K{k}", 3, 1, 3, 2, None), ("js", "method", "m{e}", 3, 1, 3, 1, "K{k}"), ("js", "method", "n", 3, 1, 3, 2, "K{k}"),
+    ("ts", "function", "g{e}", 3, 1, 3, 1, None), ("ts", "class", "K{k}", 4, 1, 7, 2, None), ("ts", "method", "h", 5, 1, 5, 2, "K{k}"), ("ts", "method", "later{d}", 6, 2, 6, 2, "K{k}"),
+    ("cpp", "function", "f{e}", 3, 1, 7, 2, None), ("cpp", "class", "K{k}", 8, 2, 12, 2, None), ("cpp", "method", "K{k}", 9, 2, 9, 2, "K{k}"), ("cpp", "method", "m{d}", 10, 2, 10, 2, "K{k}"),
+    ("rs", "class", "K{k}", 3, 1, 3, 1, None), ("rs", "method", "f{e}", 5, 1, 7, 2, "K{k}"), ("rs", "class", "S{d}", 9, 2, 9, 2, None), ("rs", "method", "need", 9, 2, 9, 2, "S{d}"),
+    ("cs", "class", "K{k}", 4, 1, 8, 2, None), ("cs", "method", "K{k}", 5, 1, 5, 1, "K{k}"), ("cs", "method", "m{e}", 6, 1, 6, 2, "K{k}"),
+)
+_LINES = "lines as (select *, length(coalesce(text, '')) - length(replace(coalesce(text, ''), chr(10), '')) as l from documents)"
 
 
-@registered(f"""select doc_id || '.' || ext as path, 'class' as kind, {_n('K{k}')} as name, 2 as start_line, 8 as end_line, null::varchar as class_name from documents, {_EACH}
-    union all select doc_id || '.' || ext, 'method', {_n('f{e}')}, 3, 7, {_n('K{k}')} from documents, {_EACH} union all select doc_id || '.' || ext, 'class', {_n('L{d}')}, 9, 9, null from documents, {_EACH}""")
+@registered(f"with {_LINES} " + " union all ".join(
+    f"select doc_id || '.{ext}' as path, '{kind}' as kind, {_n(name)} as name, {a} + {i} * l as start_line, {b} + {j} * l as end_line, {_n(of) if of else 'null::varchar'} as class_name from lines"
+    for ext, kind, name, a, i, b, j, of in _FOUND))
 def parse_brace_languages(spark, sf_dir):
-    """JavaScript, TypeScript, C++, Rust and C#, with braces in texts and comments."""
+    """JavaScript, TypeScript, C++, Rust and C#: whole documents stand in comments and texts, where their marks are no code."""
     return P.definitions(_brace_files(spark, sf_dir)).select("path", "kind", "name", "start_line", "end_line", "class_name")
 
 
-@registered(f"select doc_id || '.' || ext as path, module, 1 as line from documents, {_EACH}")
+@registered(" union all ".join(f"select doc_id || '.{ext}' as path, {_n(name)} as module, 1 as line from documents" for ext, name in (("js", "m{b}"), ("ts", "m{b}"), ("cpp", "m{b}"), ("rs", "a::m{b}"), ("cs", "A.m{b}"))))
 def parse_brace_imports(spark, sf_dir):
     return P.imports(_brace_files(spark, sf_dir)).select("path", "module", "line")
 
@@ -617,7 +663,7 @@ def related_elements(spark, sf_dir):
 @registered("""select cluster, count(*) as size, round(least(1.0, 0.3 + count(*) / 20.0), 6) as importance, coalesce(min(case when doc_id < 20 then 'd' || doc_id end), cluster) as label from (select source as cluster, doc_id from documents) group by cluster""")
 def cluster_labels(spark, sf_dir):
     m = documents(spark, sf_dir).select(F.col("source").alias("cluster"), F.col("doc_id").alias("node"), F.concat(F.lit("d"), "doc_id").alias("title"), (F.col("doc_id") < 20).alias("is_representative"))
-    return G.cluster_labels(m).select("cluster", "size", F.round("importance", 6).alias("importance"), "label")
+    return projection.cluster_labels(m).select("cluster", "size", F.round("importance", 6).alias("importance"), "label")
 
 
 # -- texts -------------------------------------------------------------------------------------------------

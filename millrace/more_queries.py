@@ -10,6 +10,7 @@ from .operators import facts as X
 from .operators import graph as G
 from .operators import overview as O
 from .operators import parsing as P
+from .operators import projection
 from .operators import resolve as R
 from .operators import retrieval as Q
 from .operators import selection as S
@@ -192,7 +193,7 @@ def cluster_chunks(spark, sf_dir):
     """The 64 largest clusters: a limit of the projection's last layer."""
     g = _weighted(spark, sf_dir)
     labels = g.select(F.col("a").alias("node")).union(g.select("b")).distinct().withColumn("cluster", F.substring("node", 1, 2))
-    return G.chunks(labels, labels.select("node", F.col("node").alias("title"))).select("chunk", "cluster", "size")
+    return projection.chunks(labels, labels.select("node", F.col("node").alias("title"))).select("chunk", "cluster", "size")
 
 
 #: Milliseconds of a time without a zone.

@@ -1,4 +1,4 @@
-"""Graphs as edge tables (src, dst, edge_type): routing, neighbours, reach, paths, ranks, trees and projections.
+"""Graphs as edge tables (src, dst, edge_type): routing, neighbours, reach, paths, ranks and trees.
 
 Traversals loop on the driver over written steps; no edge list comes to the driver.
 """
@@ -262,23 +262,8 @@ def pagerank(graph: DataFrame, alpha: float = 0.85, rounds: int = 20) -> DataFra
     return ranks
 
 
-def label_communities(graph: DataFrame, rounds: int = 5) -> DataFrame:
-    """node, cluster by label propagation: each node takes the label with the most weight around it, the smaller
-    of equal ones (G12). A substitute for modularity methods, which have no form in joins; says so in plans."""
-    folder = work_folder(graph.sparkSession)
-    both = written(graph.select(F.col("a").alias("src"), F.col("b").alias("dst"), "weight").union(graph.select("b", "a", "weight")), f"{folder}/edges")
-    labels = both.select(F.col("src").alias("node")).distinct().withColumn("cluster", F.col("node"))
-    for i in range(rounds):
-        seen = both.join(labels, both["dst"] == labels["node"]).groupBy("src", "cluster").agg(F.sum("weight").alias("w"))
-        own = labels.select(F.col("node").alias("src"), "cluster", F.lit(0.5).alias("w"))
-        total = seen.union(own).groupBy("src", "cluster").agg(F.sum("w").alias("w"))
-        order = Window.partitionBy("src").orderBy(F.desc("w"), "cluster")
-        labels = written(total.withColumn("r", F.row_number().over(order)).where("r = 1").select(F.col("src").alias("node"), "cluster"), f"{folder}/{i}")
-    return labels
-
-
 def connected(graph: DataFrame, rounds: int = 50) -> DataFrame:
-    """node, component: the smallest node reachable; the hook for graphs without communities."""
+    """node, component: the smallest node reachable; each step takes the smallest label around and jumps along it."""
     folder = work_folder(graph.sparkSession)
     both = written(graph.select(F.col("a").alias("src"), F.col("b").alias("dst")).union(graph.select("b", "a")), f"{folder}/edges")
     labels = written(both.select(F.col("src").alias("node")).distinct().withColumn("component", F.col("node")), f"{folder}/start")
@@ -356,51 +341,3 @@ def ego(edges: DataFrame, node, hops: int = 1) -> DataFrame:
     """The nodes of a neighbourhood, the centre among them."""
     seed = edges.sparkSession.range(1).select(F.lit(node).cast(edges.schema["src"].dataType).alias("seed"))
     return reach(both_ways(edges), seed, hops).select("node")
-
-
-def query_scope(edges: DataFrame, terminals: list, hops: int = 1, most: int | None = None) -> DataFrame:
-    """Nodes of a query's scope: shortest paths that join the terminals to the first one, and what lies around
-    them; terminals without a path count with their own neighbourhood (G11: Steiner trees have no form in joins)."""
-    near = [ego(edges, t, hops) for t in terminals]
-    both = both_ways(edges)
-    for t in terminals[1:]:
-        path = shortest_path(both, terminals[0], t, most).select(F.explode("path").alias("seed"))
-        near.append(reach(both, path, hops).select("node"))
-    return reduce(DataFrame.union, near).distinct()
-
-
-# -- projections --------------------------------------------------------------------------
-def cluster_labels(members: DataFrame) -> DataFrame:
-    """cluster, size, label, summary, importance (ST28). members: cluster, node, title, is_representative."""
-    x = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"), F.min(F.when(F.col("is_representative"), F.col("title"))).alias("label"), F.slice(F.array_sort(F.collect_set("title")), 1, 3).alias("some"))
-    return x.select("cluster", "size", F.coalesce("label", F.col("cluster").cast("string")).alias("label"), F.format_string("%s: %d nodes, such as %s", F.coalesce("label", F.col("cluster").cast("string")), "size", F.array_join("some", ", ")).alias("summary"), V.cluster_importance(F.col("size")).alias("importance"))
-
-
-def chunks(labels: DataFrame, titles: DataFrame, most: int = 64) -> DataFrame:
-    """chunk, cluster, nodes, of the largest clusters (W27): a limit of the projection's last layer."""
-    own = labels.join(titles, "node", "left").groupBy("cluster").agg(F.count(F.lit(1)).alias("size"), F.array_sort(F.collect_list(F.struct("node", "title"))).alias("nodes"))
-    order = Window.orderBy(F.desc("size"), "cluster")
-    return own.orderBy(F.desc("size"), "cluster").limit(most).withColumn("chunk", F.row_number().over(order)).select("chunk", "cluster", "size", "nodes")
-
-
-def project(graph: DataFrame, titles: DataFrame, scope_kind: str = "snapshot", rounds: int = 20) -> dict[str, DataFrame]:
-    """Layers L0, L1, L2 and chunks of a weighted graph with what they cover (G15, A24): communities, representatives, backbone, links."""
-    damped = damp_hubs(graph)
-    folder = work_folder(graph.sparkSession)
-    labels = written(label_communities(damped), f"{folder}/labels")
-    plain = damped.select(F.col("a").alias("src"), F.col("b").alias("dst"))
-    degree = degrees(plain)
-    best = representatives(labels, pagerank(damped, rounds=rounds), degree)
-    members = labels.join(titles, "node", "left").join(best.select("node", F.lit(True).alias("rep")), "node", "left").select("cluster", "node", "title", F.coalesce("rep", F.lit(False)).alias("is_representative"))
-    named = written(cluster_labels(members), f"{folder}/named")
-    xrefs = cluster_graph(damped, labels)
-    tree = backbone(named.select("cluster", "size"), xrefs)
-    size = labels.agg(F.count(F.lit(1)).alias("nodes")).crossJoin(damped.agg(F.count(F.lit(1)).alias("edges")))
-    top = named.orderBy(F.desc("size"), "cluster").limit(3).agg(F.array_join(F.array_sort(F.collect_list("label")), ", ").alias("top"))
-    meta = F.struct(F.col("nodes").alias("covers_nodes"), F.col("edges").alias("covers_edges"), F.lit("label_propagation").alias("projection_method"))
-    l0 = size.crossJoin(top).select(F.lit("L0").alias("layer"), F.format_string(f"{scope_kind.capitalize()} projection over %d nodes and %d edges. Key communities: %s.", "nodes", "edges", "top").alias("summary"), F.to_json(F.struct(meta.alias("meta"))).alias("node_json"))
-    counts = named.agg(F.count(F.lit(1)).alias("c")).crossJoin(tree.agg(F.count(F.lit(1)).alias("t"))).crossJoin(xrefs.agg(F.count(F.lit(1)).alias("x"))).crossJoin(size)
-    l1 = counts.select(F.lit("L1").alias("layer"), F.format_string(f"{scope_kind.capitalize()} hierarchy with %d clusters, %d backbone links, and %d cross-links.", "c", "t", "x").alias("summary"), F.to_json(F.struct(meta.alias("meta"))).alias("node_json"))
-    parts = chunks(labels, titles)
-    l2 = parts.agg(F.count(F.lit(1)).alias("n")).crossJoin(size).select(F.lit("L2").alias("layer"), F.format_string("%d chunks.", "n").alias("summary"), F.to_json(F.struct(meta.alias("meta"))).alias("node_json"))
-    return {"layers": l0.unionByName(l1).unionByName(l2), "clusters": named, "backbone": tree, "xrefs": xrefs, "chunks": parts.select(F.format_string("chunk_%d", "chunk").alias("chunk_id"), F.to_json(F.struct("cluster", "size", "nodes")).alias("chunk_json"))}

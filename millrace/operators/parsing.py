@@ -1,17 +1,17 @@
 """Parsers as table-generating functions: source text in, rows of definitions, imports, calls, scopes and types out.
 
-Python is parsed with the standard library's ast; other languages by patterns over their lines (no grammar library
-is needed; one can be plugged in through PARSERS). A text that can't be parsed gives no rows, never an error.
+Python is parsed with the standard library's ast, other languages by the lexers and parsers of `grammar`; more can be
+plugged in through PARSERS. A text that can't be parsed gives no rows, never an error.
 Functions run in Arrow batches, one text at a time, so memory is bounded by the longest text.
 """
 
 from __future__ import annotations
 
 import ast
-import bisect
 import inspect
 import re
 from collections.abc import Callable, Iterator
+from functools import partial
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import values as V
+from . import grammar
 
 MOST_FUNCTION_LINES = 1000
 # Names of built-in functions, whose calls say nothing about a repository.
@@ -219,97 +220,18 @@ def python_instance_types(text: str | None) -> list[dict]:
     return rows
 
 
-# -- other languages, by patterns ----------------------------------------------------------
-_NAME = r"([A-Za-z_$][\w$]*)"
-#: language -> (kind, pattern of a line, groups: name, bases or parameters)
-PATTERNS: dict[str, list[tuple[str, str]]] = {
-    "javascript": [
-        ("class", rf"^\s*(?:export\s+)?(?:default\s+)?(?:abstract\s+)?class\s+{_NAME}(?:\s+extends\s+([\w$.]+))?"),
-        ("function", rf"^\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s*\*?\s*{_NAME}\s*\(([^)]*)"),
-        ("function", rf"^\s*(?:export\s+)?(?:const|let|var)\s+{_NAME}\s*=\s*(?:async\s+)?\(?([^()=]*)\)?\s*=>"),
-        ("method", rf"^\s+(?:static\s+|async\s+|public\s+|private\s+|protected\s+|get\s+|set\s+)*(?!if\b|for\b|while\b|switch\b|catch\b|return\b){_NAME}\s*\(([^)]*)\)\s*(?::[^{{]+)?\{{"),
-        ("import", r"^\s*import\s+.*?from\s+['\"]([^'\"]+)['\"]"), ("import", r"^\s*import\s+['\"]([^'\"]+)['\"]"), ("import", r"require\(\s*['\"]([^'\"]+)['\"]\s*\)"),
-    ],
-    "c": [
-        ("import", r"^\s*#\s*include\s+[<\"]([^>\"]+)[>\"]"), ("class", rf"^\s*(?:typedef\s+)?(?:struct|class|union|enum)\s+{_NAME}\s*(?::\s*(?:public|private|protected)?\s*([\w:]+))?[^;]*\{{"),
-        ("function", rf"^(?!\s*(?:return|else|if|for|while|switch)\b)[\w:<>,&*\s~]+?[\s*&]([A-Za-z_~][\w:~]*)\s*\(([^;]*)\)\s*(?:const)?\s*\{{"),
-    ],
-    "rust": [
-        ("import", r"^\s*(?:pub\s+)?use\s+([\w:]+)"), ("class", rf"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:struct|enum|trait|union)\s+{_NAME}"),
-        ("function", rf"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:const\s+|async\s+|unsafe\s+|extern\s+\"C\"\s+)*fn\s+{_NAME}\s*(?:<[^>]*>)?\s*\(([^)]*)"),
-    ],
-    "csharp": [
-        ("import", r"^\s*using\s+(?:static\s+)?([\w.]+)\s*;"), ("class", rf"^\s*(?:public|private|protected|internal|static|sealed|abstract|partial|\s)*(?:class|interface|struct|record|enum)\s+{_NAME}(?:<[^>]*>)?(?:\s*:\s*([\w.<>, ]+))?"),
-        ("method", rf"^\s*(?:(?:public|private|protected|internal|static|virtual|override|abstract|async|sealed)\s+)+[\w<>\[\],.?]+\s+{_NAME}\s*\(([^)]*)"),
-    ],
-}
-PATTERNS["typescript"] = [*PATTERNS["javascript"], ("class", rf"^\s*(?:export\s+)?(?:declare\s+)?(?:interface|enum)\s+{_NAME}(?:\s+extends\s+([\w$.]+))?"), ("class", rf"^\s*(?:export\s+)?type\s+{_NAME}\s*(?:<[^>]*>)?\s*=")]
-PATTERNS["cpp"] = PATTERNS["c"]
-
-
-_COMMENT = r"//[^\n]*|/\*.*?(?:\*/|\Z)"
-_TEXT = r'"(?:\\.|[^"\\\n])*"|\'(?:\\.|[^\'\\\n])*\''
-#: What isn't code, by language: comments and texts; Rust has lifetimes, so that its quotes hold one character.
-_NOT_CODE = {"rust": re.compile(rf"{_COMMENT}|\"(?:\\.|[^\"\\])*\"|'(?:\\[^'\n]*|[^'\\\n])'", re.S)} | {
-    name: re.compile(rf"{_COMMENT}|{_TEXT}|`(?:\\.|[^`\\])*`", re.S) for name in ("javascript", "typescript")
-}
-_NOT_CODE_ELSE = re.compile(rf"{_COMMENT}|{_TEXT}", re.S)
-
-
-def code_only(text: str, language: str) -> str:
-    """The text with blanks in place of comments and quoted texts; line ends and places stay."""
-    return _NOT_CODE.get(language, _NOT_CODE_ELSE).sub(lambda m: re.sub(r"[^\n]", " ", m.group()), text)
-
-
-def _closing(code: str) -> dict[int, int]:
-    """Where each opening brace is closed; those that aren't are closed by the end."""
-    out, todo = {}, []
-    for m in re.finditer(r"[{}]", code):
-        if m.group() == "{":
-            todo.append(m.start())
-        elif todo:
-            out[todo.pop()] = m.start()
-    return out | dict.fromkeys(todo, len(code))
-
-
-def pattern_rows(text: str | None, language: str) -> list[dict]:
-    """Definitions and imports of a language that has patterns (T07 to T11). A definition ends where the brace closes that
-    opens next, by the code without comments and texts, or with its statement if that ends first."""
-    rules = [(k, re.compile(p)) for k, p in PATTERNS.get(language, ())]
-    text = text or ""
-    code = code_only(text, language)
-    lines, rows, closing = text.split("\n"), [], _closing(code)
-    breaks = [m.start() for m in re.finditer("\n", text)]
-    at = 0
-    for i, line in enumerate(lines):
-        begin, at = at, at + len(line) + 1
-        if line.strip() and not code[begin : begin + len(line)].strip():
-            continue
-        for kind, rule in rules:
-            if not (m := rule.search(line)):
-                continue
-            extra = (m.group(2) or "").strip() if m.re.groups > 1 else ""
-            end = i
-            if kind != "import":
-                stop = re.compile(r"[{;]").search(code, begin + m.end(1))
-                if stop:
-                    end = bisect.bisect_left(breaks, closing[stop.start()] if stop.group() == "{" else stop.start())
-            rows.append({"kind": kind, "name": m.group(1), "start_line": i + 1, "end_line": min(end, len(lines) - 1) + 1, "docstring": None, "parameters": [p.strip() for p in extra.split(",") if p.strip()] if kind in ("function", "method") else [], "return_type": None, "is_async": "async" in line, "class_name": None, "bases": [b.strip() for b in extra.split(",") if b.strip()] if kind == "class" else [], "decorators": [], "complexity": None, "header": line.strip()})
-            break
-    around: list[dict] = []
-    for r in rows:
-        while around and around[-1]["end_line"] < r["start_line"]:
-            around.pop()
-        inside = [c for c in around if r["end_line"] <= c["end_line"]]
-        if r["kind"] in ("function", "method") and inside:
-            r["kind"], r["class_name"] = "method", inside[-1]["name"]
-        if r["kind"] == "class":
-            around.append(r)
-    return rows
+# -- other languages ---------------------------------------------------------------------
+def other_definitions(text: str | None, language: str) -> list[dict]:
+    """Definitions of a language that has a grammar."""
+    return grammar.declarations(repaired(text or ""), language).rows
+
+
+def other_imports(text: str | None, language: str) -> list[dict]:
+    return grammar.declarations(repaired(text or ""), language).imports
 
 
-#: language -> function of a text to definition rows; others can be added, grammars kept once per worker.
-PARSERS: dict[str, Callable[[str | None], list[dict]]] = {"python": python_definitions} | {name: (lambda t, n=name: [r for r in pattern_rows(t, n) if r["kind"] != "import"]) for name in PATTERNS}
+#: language -> function of a text to definition rows; others can be added.
+PARSERS: dict[str, Callable[[str | None], list[dict]]] = {"python": python_definitions} | {name: partial(other_definitions, language=name) for name in grammar.LANGUAGES}
 
 
 def _generated(files: DataFrame, make: Callable[[str | None, str | None], list[dict]], schema: str) -> DataFrame:
@@ -345,7 +267,7 @@ def imports(files: DataFrame) -> DataFrame:
     def make(content, language):
         if language == "python":
             return python_imports(content)
-        return [{"module": r["name"], "names": [r["name"]], "is_from": False, "line": r["start_line"], "level": 0, "alias": None} for r in pattern_rows(content, language) if r["kind"] == "import"]
+        return other_imports(content, language) if language in grammar.LANGUAGES else []
 
     return _generated(files, make, IMPORT_ROW)
 

@@ -19,9 +19,11 @@ from ..operators import facts as X
 from ..operators import graph as G
 from ..operators import overview as O
 from ..operators import parsing as P
+from ..operators import projection
 from ..operators import resolve as R
 from ..operators import retrieval as Q
 from ..operators import selection as S
+from ..operators import steiner
 from ..operators import versions as W
 from ..sources import readers
 from ..sources.sinks import Store
@@ -218,9 +220,9 @@ class Engine:
             degree = G.degrees(edges)
             terminals = [r.node for r in G.query_terminals(nodes, degree, query).collect()]  # twelve at most
             if terminals:
-                nodes = nodes.join(G.query_scope(edges, terminals), "node", "left_semi")
+                nodes = nodes.join(steiner.query_scope(G.weighted_graph(edges, nodes), terminals), "node", "left_semi")
         fallback = facts["symbols"].select(F.col("symbol_id").alias("src"), "path").join(facts["documents"].select(F.col("doc_id").alias("dst"), "path"), "path").select("src", "dst")
-        out = G.project(G.weighted_graph(edges, nodes, fallback), nodes.select("node", "title"), scope_kind)
+        out = projection.project(G.weighted_graph(edges, nodes, fallback), nodes.select("node", "title"), scope_kind)
         i = self.spark.range(1).select(V.projection_id(F.lit(snapshot), F.lit(scope_kind), F.lit(query or target or ""), F.lit(target).cast("string"), F.lit(query), F.create_map().cast("map<string,string>")).alias("i")).first().i
         self.store.save_projection(i, out["layers"], out["chunks"])
         return out | {"projection_id": self.spark.range(1).select(F.lit(i).alias("projection_id"))}

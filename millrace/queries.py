@@ -692,7 +692,7 @@ def relative_imports(spark, sf_dir):
 
 
 def queries() -> dict[str, Query]:
-    from . import code_queries, more_queries, store_queries  # noqa: F401  register their own
+    from . import code_queries, graph_queries, more_queries, store_queries  # noqa: F401  register their own
 
     return QUERIES
 

@@ -97,28 +97,6 @@ def test_python_imports_calls_types():
     assert scopes["function::stop"] == b"def stop(self):\n        pass"
 
 
-@pytest.mark.parametrize("language, text, want", [
-    ("javascript", JS, {("import", "react"), ("import", "fs"), ("class", "View"), ("method", "render"), ("function", "load"), ("function", "f")}),
-    ("rust", RUST, {("import", "std::io"), ("class", "P"), ("function", "new")}), ("c", C, {("import", "stdio.h"), ("class", "node"), ("function", "add")}),
-    ("csharp", CSHARP, {("import", "System.Text"), ("class", "Foo"), ("method", "Get")}), ("typescript", "interface A extends B {\n  x: number;\n}\n", {("class", "A")}), ("cobol", "x", set()),
-])
-def test_patterns(language, text, want):
-    rows = P.pattern_rows(text, language)
-    assert {(r["kind"], r["name"]) for r in rows} == want
-    assert all(r["end_line"] >= r["start_line"] for r in rows)
-
-
-def test_braces_that_are_not_code():
-    """Braces in texts and comments end nothing, and definitions may be of any length."""
-    rows = lambda text, language: [(r["name"], r["start_line"], r["end_line"]) for r in P.pattern_rows(text, language) if r["kind"] != "import"]
-    body = 'function a() {{\n  {}\n  return 1;\n}}\nfunction b() {{\n}}\n'
-    for line in ('let s = "}";', "let s = '{';", "// }", "/* { */", "let s = `}`;", 'let s = "\\"}";'):
-        assert rows(body.format(line), "javascript") == [("a", 1, 4), ("b", 5, 6)], line
-    assert rows("fn long<'a>(x: &'a str) {\n" + "    f('{');\n" * 6000 + "}\nfn next() {}\n", "rust") == [("long", 1, 6002), ("next", 6003, 6003)]
-    assert rows("int f(int a);\nint g(int a) {\n  return a;\n", "c") == [("g", 2, 4)]
-    assert rows("/* function gone() { */\nfunction here() {}\n", "javascript") == [("here", 2, 2)]
-
-
 def test_scan(spark, repo):
     patterns = readers.gitignore_patterns(spark, f"file://{repo}/.gitignore")
     assert patterns == ["big.py", "*.log"]
@@ -187,7 +165,7 @@ def test_engine(spark, repo, tmp_path):
     out = engine.project(snap)
     layers = {r.layer: r.summary for r in out["layers"].collect()}
     assert set(layers) == {"L0", "L1", "L2"} and "projection over" in layers["L0"] and out["chunks"].count() >= 1
-    assert "label_propagation" in out["layers"].first().node_json
+    assert "modularity" in out["layers"].first().node_json
     engine.remove("demo")
     assert engine.head("demo") is None
 

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.operators import graph as G
+from millrace.operators import projection
 from millrace.operators import retrieval as Q
 from millrace.operators import selection as S
 from millrace.streaming import streams
@@ -135,7 +136,7 @@ def test_shortest_path_and_backbone(spark):
 def test_projection_layers(spark):
     edges = [(f"n{i}", f"n{(i + d) % 12}") for i in range(12) for d in (1, 2)] + [(f"m{i}", f"m{(i + 1) % 6}") for i in range(6)] + [("n0", "m0")]
     g = G.weighted_graph(spark.createDataFrame([(a, b, "call") for a, b in edges], "src string, dst string, edge_type string"), spark.createDataFrame(sorted({(x,) for e in edges for x in e}), "node string"))
-    out = G.project(g, g.select(F.col("a").alias("node"), F.col("a").alias("title")).distinct())
+    out = projection.project(g, g.select(F.col("a").alias("node"), F.col("a").alias("title")).distinct())
     assert {r.layer for r in out["layers"].collect()} == {"L0", "L1", "L2"} and out["clusters"].agg(F.sum("size")).first()[0] == 18
     assert all("covers_nodes" in r.node_json and "covers_edges" in r.node_json for r in out["layers"].collect())
 
