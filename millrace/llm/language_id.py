@@ -1,18 +1,20 @@
 """Language ID by words first, then character n-grams.
 
-The model keeps, per language, the log frequency of its commonest words and of
+The model keeps, per language, the log frequency of its words and of
 the n-grams (n from MAX_N down to 1, with word ends) of those words. A known
 word of a text adds its log frequencies. A word that no language knows falls
 back to its n-grams of MAX_N characters, and if none of those is known, to the
 next shorter ones, down to single characters.
 
 The model is fitted on a sample of TRAIN_ROWS labelled rows (chosen by a hash of
-the document's id) and keeps MAX_WORDS words and MAX_GRAMS n-grams of each length
-per language, so its size is bounded whatever the corpus.
+the document's id, as many of each language), which bounds its size whatever the corpus; of the
+sample, it keeps the words that occur twice or more, or all words of a language where those that do are less than
+half of what its texts hold (as in languages that are written without spaces).
 
 Edge cases: a null text, or one without a letter, is "und" with score 0, and so
 is every text if no row is labelled; ties go to the smaller language name; rows
-with a null document id count as not held out; texts are read whole.
+with a null document id count as not held out; texts are read whole; repeated rows are
+judged each for itself, and learned from as often as they stand there; other columns, whatever their names, are left out.
 """
 
 from __future__ import annotations
@@ -20,21 +22,21 @@ from __future__ import annotations
 import math
 import re
 import uuid
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, shared_dir, small_batches, with_columns_of, worker_cache
 
 TRAIN_ROWS = 20_000
-MAX_WORDS = 15_000
-MAX_GRAMS = 15_000
 MAX_N = 4
 MEMO_ENTRIES = 300_000
+#: Labels are broadcast if they are counted to be no more.
+BROADCAST_LABELS = 10_000
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -49,35 +51,36 @@ def grams(word: str, n: int) -> list[str]:
     return [marked[i : i + n] for i in range(len(marked) - n + 1)]
 
 
+class Logs:
+    """Log frequencies by language of words or n-grams: a place for each, and a matrix."""
+
+    def __init__(self, counts: dict[tuple[str, int], int], n_langs: int):
+        names = sorted({name for name, _ in counts})
+        self.at = dict(zip(names, range(len(names)), strict=True))
+        seen = np.zeros((len(names), n_langs))
+        for (name, lang), n in counts.items():
+            seen[self.at[name], lang] = n
+        self.rows = np.log((seen + 0.5) / (seen.sum(axis=0) + 0.5 * len(names))).astype(np.float32)
+
+    def get(self, name: str) -> np.ndarray | None:
+        at = self.at.get(name)
+        return None if at is None else self.rows[at]
+
+
 class Model:
-    """Rows of log frequencies: of words, and of n-grams by length."""
+    """Log frequencies of words, and of n-grams by length, from rows of (language, word, n)."""
 
-    def __init__(self, counts: list[tuple[str, str, int]], max_grams: int = MAX_GRAMS):
+    def __init__(self, counts: list[tuple[str, str, int]]):
         self.languages = sorted({lang for lang, _, _ in counts})
         at = {lang: i for i, lang in enumerate(self.languages)}
-        words: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(len(at)))
-        for lang, word, n in counts:
-            words[word][at[lang]] += n
-        self.words = self._logs(words)
+        self.words = Logs({(word, at[lang]): n for lang, word, n in counts}, len(at))
         self.grams = {}
         for n in range(1, MAX_N + 1):
-            by_lang = [Counter() for _ in at]
+            seen: Counter = Counter()
             for lang, word, many in counts:
                 for g in grams(word, n):
-                    by_lang[at[lang]][g] += many
-            table: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(len(at)))
-            for i, c in enumerate(by_lang):
-                for g, many in sorted(c.items(), key=lambda x: (-x[1], x[0]))[:max_grams]:
-                    table[g][i] = many
-            self.grams[n] = self._logs(table)
-
-    @staticmethod
-    def _logs(table: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-        if not table:
-            return {}
-        counts = np.array(list(table.values()))
-        logs = np.log((counts + 0.5) / (counts.sum(axis=0) + 0.5 * len(counts))).astype(np.float32)
-        return dict(zip(table, logs, strict=True))
+                    seen[g, at[lang]] += many
+            self.grams[n] = Logs(seen, len(at))
 
     def of_word(self, word: str) -> np.ndarray | None:
         """A word's log frequencies; None if even its characters are unknown."""
@@ -145,22 +148,23 @@ def word_counts(docs: DataFrame, lang_col: str = "lang", text_col: str = "text")
     return rows.mapInArrow(run, "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
-def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_rows: int = TRAIN_ROWS, max_words: int = MAX_WORDS) -> Model:
+def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_rows: int = TRAIN_ROWS) -> Model:
     """A model of labelled rows (null texts and labels are left out). What comes to the driver is
-    bounded: max_words rows per language, and what is sampled by train_rows, dealt evenly to the languages."""
+    bounded by the words of train_rows rows."""
     rows = with_columns_of(labelled, id_col, text_col, lang_col).where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
     spark = rows.sparkSession
     folder = shared_dir(spark)
     labels = materialize(rows.groupBy(F.col(lang_col).alias("__lang")).agg(F.count(F.lit(1)).alias("__rows")), f"{folder}/labels")
-    quota = train_rows / max(1, labels.count())  # each language has as many rows, so that rare ones are learned at every size
-    place = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit(17)), F.lit(1_000_000))
-    rows = rows.join(F.broadcast(labels), F.col(lang_col) == F.col("__lang")).where(place < F.round(F.lit(quota * 1_000_000) / F.col("__rows"))).select(*rows.columns)
+    n_labels = labels.count()
+    quota = train_rows / max(1, n_labels)  # each language has as many rows, so that rare ones are learned at every size
+    place = F.xxhash64(F.col(id_col).cast("string"), F.lit(17)).cast("double") / float(1 << 64) + 0.5
+    few = F.broadcast(labels) if n_labels <= BROADCAST_LABELS else labels
+    rows = rows.join(few, F.col(lang_col) == F.col("__lang")).where(place * F.col("__rows") < quota).select(*rows.columns)
     counts = materialize(word_counts(rows, lang_col, text_col), f"{folder}/words")
-    # the commonest words, as many as fit: all of a frequency or none, so that only frequencies are ranked
-    ranked = counts.groupBy("lang", "n").agg(F.count(F.lit(1)).alias("words")).withColumn("upto", F.sum("words").over(Window.partitionBy("lang").orderBy(F.desc("n"))))
-    least = ranked.where(F.col("upto") <= max_words).groupBy("lang").agg(F.min("n").alias("least"))
-    top = counts.join(F.broadcast(least), "lang").where("n >= least")
-    return Model([(r.lang, r.word, r.n) for r in top.select("lang", "word", "n").orderBy("lang", "word").collect()])
+    repeats = F.col("n") >= 2
+    kinds = counts.groupBy(F.col("lang").alias("__lang")).agg((2 * F.coalesce(F.sum(F.when(repeats, F.col("n"))), F.lit(0)) >= F.sum("n")).alias("__some"))
+    kept = counts.join(F.broadcast(kinds) if n_labels <= BROADCAST_LABELS else kinds, F.col("lang") == F.col("__lang")).where(repeats | ~F.col("__some"))
+    return Model([(r.lang, r.word, r.n) for r in kept.select("lang", "word", "n").orderBy("lang", "word").collect()])
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -391,6 +391,9 @@ def test_language_scores_by_hand(spark):
         for w in split(r.text):
             counts[r.lang, w] = counts.get((r.lang, w), 0) + 1
     langs = sorted({r.lang for r in own})
+    held = {x: sum(n for (y, _), n in counts.items() if x == y) for x in langs}
+    some = {x: 2 * sum(n for (y, _), n in counts.items() if x == y and n > 1) >= held[x] for x in langs}
+    counts = {(x, w): n for (x, w), n in counts.items() if n > 1 or not some[x]}
     cut = lambda w, n: [x[i : i + n] for x in ([w] if n == 1 else [f"\x02{w}\x03"]) for i in range(len(x) - n + 1)]
     tables = [{} for _ in range(5)]
     for (lang, w), n in counts.items():
@@ -415,8 +418,41 @@ def test_language_scores_by_hand(spark):
         total /= len(found) ** 0.5
         return langs[int(total.argmax())], float(1 / np.exp(total - total.max()).sum())
 
-    assert all(sum(x == lang for x, _ in counts) <= language_id.MAX_WORDS for lang in langs)
     got = {r.doc_id: r for r in queries.op4_language_id(spark, SF).collect()}
     for r in docs.collect():
         lang, value = score(r.text)
         assert got[r.doc_id].lang_pred == lang and abs(got[r.doc_id].score - value) < 1e-3, r.doc_id
+
+
+def test_languages_whose_words_never_repeat(spark):
+    """A language written without spaces has few words twice; it is learned from all of them, by their n-grams."""
+    rnd = random.Random(4)
+    run = lambda letters, n: "".join(rnd.choice(letters) for _ in range(n))
+    rows = [(i, " ".join(run("アイウエオカキクケコサシスセソ", 14) for _ in range(20)), "zz") for i in range(20)]
+    rows += [(100 + i, " ".join(rnd.choice(["the", "house", "of", "river", "and"]) for _ in range(20)), "en") for i in range(20)]
+    docs = spark.createDataFrame([(*r, "word", "n", 1) for r in rows + rows[:2]], "doc_id bigint, text string, lang string, word string, n string, __rows int")
+    model = language_id.fit(docs)
+    assert model.languages == ["en", "zz"]
+    got = language_id.predict(docs, model).collect()
+    assert len(got) == 42 and {(r.doc_id < 100, r.lang_pred) for r in got} == {(True, "zz"), (False, "en")}
+    assert language_id.Predictor(model).predict("アカサ")[0] == "zz"
+
+
+def test_sample_is_right_at_any_number_of_rows(spark):
+    """Each language gives about as many rows, whatever its share."""
+    docs = spark.range(60_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 30 == 0, "a").otherwise("b").alias("lang"), F.when(F.col("id") % 30 == 0, "aa aa").otherwise("bb bb").alias("text"))
+    model = language_id.fit(docs, train_rows=2000)
+    n = {w: 2 / np.exp(model.words.rows[model.words.at[w]]).max() for w in ("aa", "bb")}
+    assert model.languages == ["a", "b"] and all(1 < x < 4 for x in n.values())
+    counted = language_id.word_counts(docs).collect()
+    assert {(r.lang, r.n) for r in counted} == {("a", 4000), ("b", 116_000)}
+
+
+def test_language_stage_on_hard_rows(spark, hard, nothing):
+    """Rows without a language go; all others stay as they are, repeats too."""
+    learn = spark.createDataFrame(rows_of([(1000 + i, f"long long words again no id w{i} w{i} a b c d") for i in range(40)]), SCHEMA)
+    docs = hard.unionByName(hard.where("doc_id = 9")).unionByName(learn)
+    got = corpus_pipeline.language(spark, docs, SF).collect()
+    assert got and {r.doc_id for r in got} <= {r.doc_id for r in docs.collect()} and all(r.text and any(c.isalpha() for c in r.text) for r in got)
+    assert sum(r.doc_id == 9 for r in got) == 2 and sum(r.doc_id == 13 for r in got) == 1
+    assert corpus_pipeline.language(spark, nothing, SF).count() == 0
