@@ -262,6 +262,37 @@ def pagerank(graph: DataFrame, alpha: float = 0.85, rounds: int = 20) -> DataFra
     return ranks
 
 
+def pagerank_to(graph: DataFrame, alpha: float = 0.85, tolerance: float = 1e-6, chained: int = 4) -> DataFrame:
+    """node, rank of a weighted undirected graph (a, b, weight), the sum of all errors at most the tolerance.
+
+    Ranks start in proportion to the nodes' strength, which is what they are without jumps, so the first residual is known
+    at once. Then only nodes whose residual is above their share of the tolerance pass it on, until none is left. A few
+    rounds are chained before the step is written.
+    """
+    folder = work_folder(graph.sparkSession)
+    ends = F.array(F.struct(F.col("a").alias("src"), F.col("b").alias("dst")), F.struct(F.col("b").alias("src"), F.col("a").alias("dst")))
+    both = graph.where("weight > 0").select(F.explode(ends).alias("e"), "weight").select("e.*", "weight")
+    strength = both.groupBy(F.col("src").alias("node")).agg(F.sum("weight").alias("strength"))
+    nodes = written(strength, f"{folder}/nodes")
+    n, total = nodes.agg(F.count(F.lit(1)), F.sum("strength")).first()
+    if not n:
+        return nodes.select("node", F.lit(0.0).alias("rank"))
+    links = written(both.join(nodes.withColumnRenamed("node", "src"), "src").select("src", "dst", (F.col("weight") / F.col("strength")).alias("share")), f"{folder}/links")
+    start = F.col("strength") / total
+    state = nodes.select("node", start.alias("rank"), ((1 - alpha) * (1.0 / n - start)).alias("residual"))
+    least, turn = tolerance * (1 - alpha) / n, 0
+    while True:
+        turn += 1
+        for _ in range(chained):
+            moving = F.abs("residual") > least
+            got = links.join(state.where(moving).select(F.col("node").alias("src"), "residual"), "src").groupBy(F.col("dst").alias("node")).agg((alpha * F.sum(F.col("residual") * F.col("share"))).alias("got"))
+            after = F.when(moving, 0.0).otherwise(F.col("residual")) + F.coalesce("got", F.lit(0.0))
+            state = state.join(got, "node", "left").select("node", (F.col("rank") + F.when(moving, F.col("residual")).otherwise(0.0)).alias("rank"), after.alias("residual"))
+        state = written(state, f"{folder}/{turn}")
+        if state.where(F.abs("residual") > least).isEmpty():
+            return state.select("node", (F.col("rank") + F.col("residual")).alias("rank"))
+
+
 def connected(graph: DataFrame, rounds: int = 50) -> DataFrame:
     """node, component: the smallest node reachable; each step takes the smallest label around and jumps along it."""
     folder = work_folder(graph.sparkSession)

@@ -11,6 +11,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import intervals
+
 from ..functions import text as T
 
 
@@ -120,12 +122,11 @@ def inheritance_edges(classes: DataFrame, resolved: DataFrame) -> DataFrame:
 
 # -- calls ----------------------------------------------------------------------------------
 def innermost_scope(calls: DataFrame, scopes: DataFrame) -> DataFrame:
-    """calls (call_id, file_path, position) with the scope that starts last among those around (J14). Scopes are
-    joined on their file, whose size bounds the pairs, and aggregated to one row a call."""
-    x = calls.join(scopes.select("file_path", "scope_id", "start_byte", "end_byte"), "file_path", "left")
-    inside = (F.col("start_byte") <= F.col("position")) & (F.col("position") < F.col("end_byte"))
-    best = x.groupBy("call_id").agg(F.max(F.when(inside, F.struct("start_byte", "scope_id"))).alias("s"))
-    return calls.join(best.select("call_id", F.col("s.scope_id").alias("scope_id")), "call_id", "left")
+    """calls (call_id, file_path, position) with the scope that starts last among those around (J14), by one sweep over a
+    file's calls and scopes in their order."""
+    spans = scopes.select("file_path", F.col("scope_id").alias("span_id"), F.col("start_byte").alias("start"), F.col("end_byte").alias("end"))
+    found = intervals.innermost(calls.select("file_path", F.col("call_id").alias("point_id"), "position"), spans)
+    return calls.join(found.select(F.col("point_id").alias("call_id"), F.col("span_id").alias("scope_id")), "call_id", "left")
 
 
 def callers(calls: DataFrame, elements: DataFrame) -> DataFrame:

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import intervals
+
 
 def lines_of(start: Column, end: Column) -> Column:
     """end - start + 1 if end > start, else 0."""
@@ -80,16 +82,13 @@ def drop_duplicates(rows: DataFrame) -> DataFrame:
 def drop_contained(rows: DataFrame) -> DataFrame:
     """Rows whose lines no row before them in their file strictly contains (W17), by (type, size, start).
 
-    A self join within a file, by its key; containment is transitive, so comparing with all earlier rows
-    is the same as with the kept ones.
+    Containment is transitive, so comparing with all earlier rows is the same as with the kept ones; and what contains a
+    row is longer, so it is earlier unless its type stands lower. Rows that end before they start contain none.
     """
     rank = F.when(F.col("type") == "file", 3).when(F.col("type") == "class", 2).when(F.col("type") == "function", 1).otherwise(0)
-    file = [F.coalesce("repo_name", F.lit("")), F.coalesce("relative_path", F.lit(""))]
-    order = Window.partitionBy(*file).orderBy(-rank, -lines_of(F.col("start_line"), F.col("end_line")), "start_line", "id")
-    placed = rows.withColumn("__file", F.concat_ws("\x1f", *file)).withColumn("__at", F.row_number().over(order))
-    around = placed.select(F.col("__file").alias("f"), F.col("__at").alias("a"), F.col("start_line").alias("s"), F.col("end_line").alias("e"))
-    inside = (F.col("__file") == F.col("f")) & (F.col("a") < F.col("__at")) & (F.col("s") <= F.col("start_line")) & (F.col("end_line") <= F.col("e")) & ((F.col("s") < F.col("start_line")) | (F.col("end_line") < F.col("e")))
-    return placed.join(around, inside, "left_anti").drop("__file", "__at")
+    keys = {"__repo": F.coalesce("repo_name", F.lit("")), "__path": F.coalesce("relative_path", F.lit("")), "start": F.col("start_line"), "end": F.col("end_line"), "rank": rank}
+    placed = rows.select(F.struct(*rows.columns).alias("row"), *[c.alias(n) for n, c in keys.items()])
+    return intervals.contained(placed, ["__repo", "__path"], 4).where(~F.col("inside")).select("row.*")
 
 
 def merge_elements(existing: DataFrame, new: DataFrame) -> DataFrame:

@@ -31,14 +31,19 @@ def upsert(table: DataFrame, new: DataFrame, keys: list[str], keep_first: tuple[
     return latest(both, keys, ["__new"]).drop("__new")
 
 
-def insert_new(table: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """New rows only where their key isn't there; null keys are equal."""
+def only_new(table: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+    """New rows whose key isn't there, one for each key; null keys are equal."""
     seen = table.select(*[F.col(k).alias(f"__{k}") for k in keys]).distinct()
     condition = None
     for k in keys:
         test = new[k].eqNullSafe(seen[f"__{k}"])
         condition = test if condition is None else condition & test
-    return table.unionByName(new.dropDuplicates(keys).join(seen, condition, "left_anti"), allowMissingColumns=True)
+    return new.dropDuplicates(keys).join(seen, condition, "left_anti")
+
+
+def insert_new(table: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
+    """The table and the new rows whose key isn't there."""
+    return table.unionByName(only_new(table, new, keys), allowMissingColumns=True)
 
 
 def delete_keys(table: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
@@ -63,6 +68,14 @@ def publish(manifests: DataFrame, new: DataFrame) -> DataFrame:
     return with_previous(manifests.drop("previous_manifest_id").unionByName(new.drop("previous_manifest_id"), allowMissingColumns=True))
 
 
+def published(manifests: DataFrame, new: DataFrame) -> DataFrame:
+    """New manifests with previous_manifest_id: of each ref, the first points to the head, the others each to the one before."""
+    ends = heads(manifests).withColumn("__new", F.lit(False)).unionByName(new.drop("previous_manifest_id").withColumn("__new", F.lit(True)), allowMissingColumns=True)
+    w = Window.partitionBy("repo_name", "ref_name").orderBy("__new", "published_at", "manifest_id")
+    found = ends.withColumn("previous_manifest_id", F.lag("manifest_id").over(w)).where("__new").drop("__new")
+    return found.select(manifests.columns)
+
+
 def branch_manifest(head_rows: DataFrame, manifests: DataFrame) -> DataFrame:
     """Heads joined with their manifests."""
     return head_rows.select("repo_name", "ref_name", "manifest_id").join(manifests.drop("repo_name", "ref_name"), "manifest_id")

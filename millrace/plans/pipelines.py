@@ -227,11 +227,12 @@ class Engine:
         self.store.save_projection(i, out["layers"], out["chunks"])
         return out | {"projection_id": self.spark.range(1).select(F.lit(i).alias("projection_id"))}
 
-    def remove(self, repo: str) -> None:
+    def remove(self, repo: str) -> int:
+        """Removes a repository's tables and rows; returns the freed bytes."""
+        freed = 0
         for r in self.store.read("snapshots", "snapshots").where(F.col("repo_name") == repo).select("snapshot_id").toLocalIterator():
-            self.store.drop(f"elements/{_name(r.snapshot_id)}")
-            self.store.drop(f"facts/{_name(r.snapshot_id)}")
-        self.store.remove_repository(repo, ("snapshots", "snapshot_refs", "manifests"))
+            freed += self.store.drop(f"elements/{_name(r.snapshot_id)}") + self.store.drop(f"facts/{_name(r.snapshot_id)}")
+        return freed + sum(self.store.remove_repository(repo, ("snapshots", "snapshot_refs", "manifests")).values())
 
 
 def _name(snapshot: str) -> str:

@@ -173,11 +173,11 @@ def run_indexer(command: Sequence[str], root: str, out: str, seconds: int = 3600
 
 
 # -- stored tables ------------------------------------------------------------------------
-def read_relation(spark: SparkSession, path: str, relation: str | None = None) -> DataFrame:
+def read_relation(spark: SparkSession, *paths: str, relation: str | None = None) -> DataFrame:
     """A stored table, with its schema given rather than inferred where it is one of the relations.
     A filter on its partition column reads only those folders."""
     reader = spark.read.schema(RELATIONS[relation]) if relation else spark.read
-    return reader.parquet(path)
+    return reader.parquet(*paths)
 
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 from .operators import graph as G
+from .operators import ranked
 from .operators import retrieval as Q
+from .operators import small_world
 from .operators import versions as W
-from .queries import _BM25, _ELEMENTS, _ROUTED, ASKED, _routed, documents, elements, registered, table
+from .queries import _BM25, _ELEMENTS, _ROUTED, ASKED, _routed, documents, elements, registered, table, vectors
 from .sources import readers
 from .sources.sinks import Store, mirror_json
 
@@ -50,7 +52,7 @@ def stored_graph(spark, sf_dir):
     """A graph in folders by kind: a filter reads only its own."""
     store = _store(spark)
     store.write("graph", _routed(spark, sf_dir), ("graph",))
-    return readers.read_relation(spark, store.current("graph")).where("graph in ('inheritance', 'containment')").select("src", "dst")
+    return readers.read_relation(spark, *store.paths("graph")).where("graph in ('inheritance', 'containment')").select("src", "dst")
 
 
 @registered("select 's' || user_id as snapshot_id, min(ts) as created_at, 'b' || max(event_id) as branch from events group by user_id")
@@ -134,3 +136,42 @@ def published_manifests(spark, sf_dir):
     store.publish(rows.where("cast(manifest_id as bigint) % 2 = 1"))
     found = W.with_previous(store.read("manifests").drop("previous_manifest_id").withColumn("manifest_id", F.col("manifest_id").cast("long")))
     return found.select("manifest_id", F.col("previous_manifest_id").alias("previous"))
+
+
+@registered("select count(*) as asked, 10 * count(*) as wanted, true as recall_of_nine_tenths, 0 as wrong_scores from embeddings where vec_id % 100 = 0")
+def small_world_recall(spark, sf_dir):
+    """A stored index of two parts is asked with every hundredth vector; its answers against those of the exact search."""
+    store, v = _store(spark), vectors(spark, sf_dir)
+    store.write("index", small_world.build_index(v.where("id % 2 = 0")))
+    shards = store.read("index").agg(F.max("shard")).first()[0] + 1
+    store.append("index", small_world.build_index(v.where("id % 2 = 1"), first_shard=shards))
+    asked = v.where("id % 100 = 0").select(F.col("id").alias("query_id"), F.col("vector").alias("query_vector"))
+    found = small_world.search_index(store.read("index"), asked, 10).select("query_id", "id", F.col("score").alias("found"))
+    exact = Q.vector_batch_top(v, asked, 10).select("query_id", "id", "score")
+    both = exact.join(found, ["query_id", "id"], "left")
+    wrong = F.count_if(F.abs(F.col("found") - F.col("score")) > 1e-9)
+    return both.agg(F.countDistinct("query_id").alias("asked"), F.count(F.lit(1)).alias("wanted"), (F.count("found") >= 0.9 * F.count(F.lit(1))).alias("recall_of_nine_tenths"), wrong.cast("int").alias("wrong_scores"))
+
+
+@registered("select user_id::varchar as repo_name, count(*) as manifests, count(*) - 1 as pointers, max(ts) as head_at from events group by user_id")
+def manifest_log(spark, sf_dir):
+    """Three publications, each a commit of its own rows; in each ref all but the first manifest point to the one before."""
+    store, e = _store(spark), table(spark, sf_dir, "events")
+    rows = e.select(F.col("event_id").cast("string").alias("manifest_id"), F.col("user_id").cast("string").alias("repo_name"), F.lit("main").alias("ref_name"), F.lit("s").alias("snapshot_id"), _none().alias("index_run_id"), F.col("ts").alias("published_at"), _none().alias("previous_manifest_id"), F.lit("published").alias("status"))
+    third = F.ntile(3).over(Window.partitionBy("repo_name").orderBy("published_at", "manifest_id"))
+    dealt = rows.withColumn("third", third)
+    for i in (1, 2, 3):
+        store.publish(dealt.where(F.col("third") == i).drop("third"))
+    log = store.read("manifests")
+    heads = W.heads(log).select("repo_name", F.col("published_at").alias("head_at"))
+    return log.groupBy("repo_name").agg(F.count(F.lit(1)).alias("manifests"), F.countDistinct("previous_manifest_id").alias("pointers")).join(heads, "repo_name")
+
+
+@registered(f"with {_BM25} select id, round(score, 6) as score from scored where score > 0 order by score desc, id limit 10")
+def ranked_postings(spark, sf_dir):
+    """A top-k report from stored blocks."""
+    store = _store(spark)
+    for name, rows in ranked.build(documents(spark, sf_dir), "doc_id").items():
+        store.write(name, rows)
+    found, _ = ranked.search(store.read("blocks"), store.read("terms"), ASKED, 10)
+    return found.select("id", F.round("score", 6).alias("score"))

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.operators import communities as C
+from millrace.operators import graph as G
 from millrace.operators import steiner
 
 
@@ -157,3 +158,17 @@ def test_scope(spark):
     assert nodes(3, 6, 20) == {2, 3, 4, 5, 6, 7, 20, 21}
     far = steiner.nearest_terminals(steiner.distances(graph), spark.createDataFrame([(0,), (10,)], "node int"))
     assert {r.node: (r.distance, r.terminal) for r in far.where(F.col("node").isin(5, 6, 12)).collect()} == {5: (5.0, 0), 6: (4.0, 10), 12: (2.0, 10)}
+
+
+def test_pagerank_to_a_tolerance(spark):
+    edges = preferential(random.Random(9), 80, 2) + [(200, 201, 1.0)]
+    nodes = sorted({x for a, b, _ in edges for x in (a, b)})
+    around = {n: {} for n in nodes}
+    for a, b, w in edges:
+        around[a][b] = around[b][a] = w
+    rank = dict.fromkeys(nodes, 1 / len(nodes))
+    for _ in range(300):
+        rank = {n: 0.15 / len(nodes) + 0.85 * sum(rank[o] * w / sum(around[o].values()) for o, w in around[n].items()) for n in nodes}
+    got = {r.node: r.rank for r in G.pagerank_to(spark.createDataFrame(edges, "a int, b int, weight double")).collect()}
+    assert set(got) == set(nodes) and sum(abs(got[n] - rank[n]) for n in nodes) <= 1e-6
+    assert G.pagerank_to(spark.createDataFrame([], "a int, b int, weight double")).count() == 0
