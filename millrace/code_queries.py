@@ -574,11 +574,14 @@ def readiness(spark, sf_dir):
     return O.readiness(wanted, spark.range(20).select(F.concat(F.lit("r"), "id").alias("repo_name"), (F.col("id") % 2 == 0).alias("is_stale")))
 
 
-@registered("select source, kind from (values ('a.zip', 'zip'), ('dir', 'path'), ('https://h/x', 'git'), ('me@h:x/y', 'git'), ('what', 'unknown')) as v(source, kind)")
+_SOURCES = "case doc_id % 5 when 0 then 'a/' || source || '.zip' when 1 then source || '/d' || doc_id when 2 then 'https://h/' || source when 3 then 'me@h:' || source || '/r' || doc_id else 'what ' || doc_id end"
+
+
+@registered(f"select doc_id, {_SOURCES} as source, case doc_id % 5 when 0 then 'zip' when 1 then 'path' when 4 then 'unknown' else 'git' end as kind from documents")
 def source_kinds(spark, sf_dir):
-    """Fixed names: no table is read."""
-    rows = spark.createDataFrame([("a.zip", True), ("dir", True), ("https://h/x", False), ("me@h:x/y", False), ("what", False)], "source string, here boolean")
-    return rows.select("source", T.source_kind(F.col("source"), F.col("here")).alias("kind"))
+    """Archives and folders that are there, addresses of two forms, and neither."""
+    rows = documents(spark, sf_dir).select("doc_id", F.expr(_SOURCES).alias("source"), (F.col("doc_id") % 5 < 2).alias("here"))
+    return rows.select("doc_id", "source", T.source_kind(F.col("source"), F.col("here")).alias("kind"))
 
 
 @registered("""with f as (select source as repo_name, case doc_id % 5 when 0 then 'README.md' when 1 then 'readme.txt' else 'x' || doc_id end as path, doc_id from documents), r as (select repo_name, path, min(doc_id) as doc_id from f where path in ('README.md', 'readme.txt') group by all)
@@ -741,11 +744,20 @@ def token_estimates(spark, sf_dir):
     return documents(spark, sf_dir).select("doc_id", T.token_estimate(F.col("text")).alias("tokens"))
 
 
-@registered("select name, provider from (values ('GPT-4o', 'openai'), ('claude-x', 'anthropic'), ('llama', 'other')) as v(name, provider)")
+@registered("select doc_id, case when lang in ('en', 'de') then 'openai' when lang = 'fr' then 'anthropic' else 'other' end as provider from documents")
 def providers(spark, sf_dir):
-    """Fixed names: no table is read."""
-    rows = spark.createDataFrame([("GPT-4o",), ("claude-x",), ("llama",)], "name string")
-    return rows.select("name", T.first_match(F.col("name"), [("gpt", "openai"), ("claude", "anthropic")], "other").alias("provider"))
+    """A model's name for each language."""
+    name = F.when(F.col("lang") == "en", "GPT-4o").when(F.col("lang") == "de", "my-gpt-small").when(F.col("lang") == "fr", "Claude-x").otherwise("llama")
+    return documents(spark, sf_dir).select("doc_id", T.first_match(name, [("gpt", "openai"), ("claude", "anthropic")], "other").alias("provider"))
+
+
+@registered()
+def bpe_token_counts(spark, sf_dir):
+    """Counts by a public vocabulary, and texts cut after a hundred tokens."""
+    import public_tokenizers
+
+    d = documents(spark, sf_dir).select("doc_id", "text")
+    return T.bpe_tokens(d, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, most=100).select("doc_id", "n_tokens", F.md5(F.col("cut").cast("binary")).alias("cut_digest"))
 
 
 # -- values ------------------------------------------------------------------------------------------------

@@ -5,10 +5,13 @@ All of them stay in the JVM. Null text counts as empty unless a function says ot
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Iterator
+from functools import cache, reduce
 
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 # Word lists, patterns and weights that results depend on.
 STOP_WORDS = tuple(
@@ -357,7 +360,7 @@ def title(text: Column, most: int = 80) -> Column:
 
 
 def token_estimate(text: Column) -> Column:
-    """Tokens between white space, where no BPE vocabulary is at hand (ST21)."""
+    """Tokens between white space, where no vocabulary is at hand; else see bpe_tokens (ST21)."""
     return F.size(whitespace_tokens(text))
 
 
@@ -366,6 +369,36 @@ def truncate_tokens(text: Column, most: int) -> Column:
     return F.when(F.size(words) <= most, text).otherwise(F.array_join(F.slice(words, 1, most), " "))
 
 
+def bpe_tokens(rows: DataFrame, ranks_path: str, pattern: str, most: int | None = None, text_col: str = "text") -> DataFrame:
+    """rows with n_tokens, the tokens of a text by a byte-pair vocabulary, and cut, the text of the first `most` of them
+    (ST21). ranks_path: a file of lines "base64 of a token, its rank", which every worker can read. What looks like a special
+    token in a text is text."""
+    fields = StructType([*rows.schema.fields, StructField("n_tokens", IntegerType()), StructField("cut", StringType())])
+    at = rows.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        library = bpe_library(ranks_path, pattern)
+        for b in batches:
+            texts = b.column(at).to_pylist()
+            tokens = [library.encode_ordinary(t or "") for t in texts]
+            cut = [t if most is None or len(x) <= most else library.decode(x[:most]) for t, x in zip(texts, tokens, strict=True)]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(map(len, tokens), pa.int32()), pa.array(cut, pa.string())], names=fields.fieldNames())
+
+    return rows.mapInArrow(run, fields)
+
+
+@cache
+def bpe_library(ranks_path: str, pattern: str):
+    """A worker's encoder, made once."""
+    import base64
+
+    import tiktoken
+
+    with open(ranks_path, "rb") as lines:
+        ranks = {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in lines if line.strip())}
+    return tiktoken.Encoding("of the file", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+
+
 def code_block(code: Column, language: Column, path: Column, line: Column) -> Column:
     """A fenced block with its place (ST22)."""
     return F.concat(F.lit("```"), _text(language), F.when(_text(path) != "", F.concat(F.lit(" - "), path)).otherwise(F.lit("")), F.when(line.isNotNull(), F.format_string(" (Line %d)", line)).otherwise(F.lit("")), F.lit("\n"), _text(code), F.lit("\n```"))

@@ -61,9 +61,10 @@ def typed_nodes(elements: DataFrame, edges: DataFrame) -> DataFrame:
 
 def compose(first: DataFrame, second: DataFrame) -> DataFrame:
     """Both edge tables as one; what the second says of an edge wins."""
-    order = Window.partitionBy("src", "dst", "edge_type").orderBy(F.desc("__side"))
     both = first.withColumn("__side", F.lit(0)).unionByName(second.withColumn("__side", F.lit(1)), allowMissingColumns=True)
-    return both.withColumn("__r", F.row_number().over(order)).where("__r = 1").drop("__r", "__side")
+    rest = [c for c in both.columns if c not in ("src", "dst", "edge_type", "__side")]
+    last = both.groupBy("src", "dst", "edge_type").agg(F.max_by(F.struct(F.col("__side").alias("side"), *rest), "__side").alias("__last"))
+    return last.select("src", "dst", "edge_type", *[F.col(f"__last.{c}").alias(c) for c in rest]).select([c for c in both.columns if c != "__side"])
 
 
 # -- neighbours and reach ---------------------------------------------------------
@@ -86,7 +87,7 @@ def both_ways(edges: DataFrame) -> DataFrame:
     return edges.select(F.explode(F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst")))).alias("e")).select("e.src", "e.dst")
 
 
-def _few(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+def few(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     """A written table, to be broadcast if it is counted to be small."""
     return F.broadcast(df) if df.count() <= most else df
 
@@ -98,7 +99,7 @@ def reach(edges: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
     found = frontier = written(seeds.select("seed", F.col("seed").alias("node")).distinct().withColumn("distance", F.lit(0)), f"{folder}/0")
     links = edges.select(F.col("src").alias("node"), F.col("dst").alias("next"))
     for hop in range(1, hops + 1):
-        step = links.join(_few(frontier), "node").select("seed", F.col("next").alias("node")).distinct()
+        step = links.join(few(frontier), "node").select("seed", F.col("next").alias("node")).distinct()
         frontier = written(step.join(found, ["seed", "node"], "left_anti").withColumn("distance", F.lit(hop)), f"{folder}/{hop}")
         found = found.union(frontier)
     return found.select("seed", "node", "distance")
@@ -152,7 +153,7 @@ def shortest_path(edges: DataFrame, source, target, most: int | None = None) ->
         if not hit.isEmpty() or hop == most or level.isEmpty():
             return hit.select("path", (F.size("path") - 1).alias("hops"))
         hop += 1
-        step = links.join(_few(level), links["src"] == level["node"]).groupBy(F.col("dst").alias("node")).agg(F.min(F.concat("path", F.array("dst"))).alias("path"))
+        step = links.join(few(level), links["src"] == level["node"]).groupBy(F.col("dst").alias("node")).agg(F.min(F.concat("path", F.array("dst"))).alias("path"))
         level = written(step.join(seen, "node", "left_anti"), f"{folder}/{hop}")
         seen = written(seen.union(level.select("node")), f"{folder}/seen-{hop}") if hop % 8 == 0 else seen.union(level.select("node"))
 
@@ -160,11 +161,12 @@ def shortest_path(edges: DataFrame, source, target, most: int | None = None) ->
 def call_chain(edges: DataFrame, seed, hops: int = 2, direction: str = "callees") -> DataFrame:
     """node, depth, parent of what a call leads to (or comes from), each node once at its least depth."""
     links = edges.select("src", "dst") if direction == "callees" else edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    kind = edges.schema["src"].dataType
-    out = level = edges.sparkSession.range(1).select(F.lit(seed).cast(kind).alias("node"), F.lit(0).alias("depth"), F.lit(None).cast(kind).alias("parent"))
+    kind, folder = edges.schema["src"].dataType, work_folder(edges.sparkSession)
+    seed = edges.sparkSession.range(1).select(F.lit(seed).cast(kind).alias("node"), F.lit(0).alias("depth"), F.lit(None).cast(kind).alias("parent"))
+    out = level = written(seed, f"{folder}/0")
     for depth in range(1, min(hops, 5) + 1):
-        level = level.join(links, level["node"] == links["src"]).groupBy(F.col("dst").alias("node")).agg(F.min("src").alias("parent")).select("node", F.lit(depth).alias("depth"), "parent")
-        level = level.join(out.select("node"), "node", "left_anti")
+        found = few(level).join(links, level["node"] == links["src"]).groupBy(F.col("dst").alias("node")).agg(F.min("src").alias("parent")).select("node", F.lit(depth).alias("depth"), "parent")
+        level = written(found.join(out.select("node"), "node", "left_anti"), f"{folder}/{depth}")
         out = out.union(level)
     return out
 
@@ -359,7 +361,7 @@ def backbone(clusters: DataFrame, links: DataFrame) -> DataFrame:
     seen, out, i = level, spark.createDataFrame([], f"parent {kind}, child {kind}"), 0
     while not level.isEmpty():
         i += 1
-        step = both.join(_few(level), both["src"] == level["node"]).select(F.col("src").alias("parent"), F.col("dst").alias("node"))
+        step = both.join(few(level), both["src"] == level["node"]).select(F.col("src").alias("parent"), F.col("dst").alias("node"))
         step = written(step.join(seen, "node", "left_anti").select("parent", F.col("node").alias("child")), f"{folder}/{i}")
         out, level = out.union(step), step.select(F.col("child").alias("node"))
         seen = seen.union(level)

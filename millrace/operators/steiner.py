@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .graph import _few, reach, spanning_forest, work_folder, written
+from .graph import few, reach, spanning_forest, work_folder, written
 
 
 def distances(graph: DataFrame) -> DataFrame:
@@ -32,7 +32,7 @@ def nearest_terminals(links: DataFrame, terminals: DataFrame, most: float | None
     turn = 0
     while not frontier.isEmpty():
         turn += 1
-        step = links.join(_few(frontier.withColumnRenamed("node", "src").drop("parent")), "src")
+        step = links.join(few(frontier.withColumnRenamed("node", "src").drop("parent")), "src")
         step = step.select(F.col("dst").alias("node"), (F.col("distance") + F.col("length")).alias("distance"), "terminal", F.col("src").alias("parent"))
         step = step if most is None else step.where(F.col("distance") <= most)
         best = step.groupBy("node").agg(F.min(F.struct("distance", "terminal", "parent")).alias("n"))
@@ -60,7 +60,7 @@ def steiner_tree(graph: DataFrame, terminals: DataFrame) -> DataFrame:
     seen, turn = at, 0
     while not at.isEmpty():
         turn += 1
-        step = written(up.join(_few(at), "node"), f"{folder}/up-{turn}")
+        step = written(up.join(few(at), "node"), f"{folder}/up-{turn}")
         priced = step.join(links, (F.col("node") == F.col("src")) & (F.col("parent") == F.col("dst"))).select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), "length")
         tree = written(tree.union(priced), f"{folder}/tree-{turn}")
         at = written(step.select(F.col("parent").alias("node")).distinct().join(seen, "node", "left_anti"), f"{folder}/at-{turn}")

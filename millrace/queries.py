@@ -73,10 +73,11 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # -- lexical ------------------------------------------------------------------------
 _TOKENS = "tokens as (select doc_id as id, list_filter(string_split_regex(lower(text), '\\s+'), lambda x: x <> '') as w from documents)"
-_BM25 = f"""{_TOKENS}, size as (select count(*) as n, avg(len(w)) as mean_length from tokens),
+_IDF = f"""{_TOKENS}, size as (select count(*) as n, avg(len(w)) as mean_length from tokens),
     df as (select term, count(*) as df from (select id, unnest(list_distinct(w)) as term from tokens) group by term),
     raw as (select term, ln(n - df + 0.5) - ln(df + 0.5) as raw from df, size),
-    idf as (select term, case when raw < 0 then {Q.NEGATIVE_IDF_SHARE} * (select avg(raw) from raw) else raw end as idf from raw),
+    idf as (select term, case when raw < 0 then {Q.NEGATIVE_IDF_SHARE} * (select avg(raw) from raw) else raw end as idf from raw)"""
+_BM25 = f"""{_IDF},
     hits as (select id, len(w) as dl, q.term, len(list_filter(w, lambda x: x = q.term)) as tf from tokens, (values ('the'), ('that'), ('and')) as q(term)),
     scored as (select id, sum(idf * tf * {Q.K1 + 1} / (tf + {Q.K1} * (1 - {Q.B} + {Q.B} * dl / mean_length))) as score from hits join idf using (term), size where tf > 0 group by id having sum(idf * tf) <> 0)"""
 
@@ -88,7 +89,7 @@ def bm25_topk(spark, sf_dir):
     return found.select("id", F.round("score", 6).alias("score"))
 
 
-@registered(f"with {_BM25} select term, df, round(idf, 6) as idf from idf join df using (term)")
+@registered(f"with {_IDF} select term, df, round(idf, 6) as idf from idf join df using (term)")
 def bm25_idf(spark, sf_dir):
     d = documents(spark, sf_dir)
     size = Q.corpus_size(d).select("documents")
@@ -692,7 +693,7 @@ def relative_imports(spark, sf_dir):
 
 
 def queries() -> dict[str, Query]:
-    from . import code_queries, graph_queries, more_queries, store_queries  # noqa: F401  register their own
+    from . import code_queries, graph_queries, more_queries, store_queries, stream_queries  # noqa: F401  register their own
 
     return QUERIES
 

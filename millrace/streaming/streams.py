@@ -79,14 +79,15 @@ def visible(buffer: str, hidden: bool, chunk: str) -> tuple[str, str, bool]:
     """(shown, buffer, hidden) after a chunk of an answer: what stands between the tags is hidden, tags may be cut by
     chunk borders (R02)."""
     text, shown = buffer + chunk, ""
+    capitals = lambda t: t.encode(errors="surrogatepass").upper().decode(errors="surrogatepass")  # noqa: E731  a-z only: lengths stay
     while True:
         tag = CLOSE if hidden else OPEN
-        at = text.upper().find(tag)
+        at = capitals(text).find(tag)
         if at >= 0:
             shown += "" if hidden else text[:at]
             text, hidden = text[at + len(tag) :], not hidden
             continue
-        keep = next((n for n in range(min(len(tag) - 1, len(text)), 0, -1) if tag.startswith(text[-n:].upper())), 0)
+        keep = next((n for n in range(min(len(tag) - 1, len(text)), 0, -1) if tag.startswith(capitals(text[-n:]))), 0)
         shown += "" if hidden else text[: len(text) - keep]
         return shown, text[len(text) - keep :], hidden
 

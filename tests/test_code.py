@@ -224,3 +224,14 @@ def test_cron(spark):
     jobs = spark.createDataFrame([("at", now + 5, None, None), ("at", now - 5, None, None), ("every", None, 60_000, None), ("cron", None, None, "0 0 * * *")], "kind string, at_ms bigint, every_ms bigint, expr string")
     got = [r.n for r in jobs.select(V.next_run_ms(F.col("kind"), F.col("at_ms"), F.col("every_ms"), F.col("expr"), F.lit("UTC"), F.lit(now)).alias("n")).collect()]
     assert got == [now + 5, None, now + 60_000, now + 600_000]
+
+
+def test_tokens_by_a_vocabulary(spark, tmp_path):
+    """A vocabulary of single bytes and one pair: counts, cuts, texts that look like special tokens."""
+    import base64
+
+    path = tmp_path / "ranks"
+    path.write_text("".join(f"{base64.b64encode(t).decode()} {i}\n" for i, t in enumerate([*(bytes([b]) for b in range(256)), b"ab"])))
+    rows = spark.createDataFrame([(1, "abab c"), (2, None), (3, "<|endoftext|>"), (4, "é")], "id int, text string")
+    got = {r.id: (r.n_tokens, r.cut) for r in T.bpe_tokens(rows, str(path), r"\S+|\s+", most=3).collect()}
+    assert got == {1: (4, "abab "), 2: (0, None), 3: (13, "<|e"), 4: (2, "é")}

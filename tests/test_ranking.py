@@ -60,6 +60,34 @@ def test_budget_equals_the_greedy_rule(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("least", [1, 3])
+def test_budget_in_every_order(spark, least):
+    """Two hundred groups in orders of their own, with ties, rows that fit nowhere and rows without lines."""
+    rnd = random.Random(7 + least)
+    rows = [(i, "r", f"q{i % 200}", "function", f"n{i}", 0, rnd.choice([0, 0, 1, 4, 9, 30, 150]), rnd.choice([0.1, 0.2, 0.3, rnd.random()])) for i in range(2600)]
+    got = {r.id for r in S.prune_to_budget(scored(spark, rows).withColumn("priority", F.col("total_score")), 40, "relative_path", least).collect()}
+    want = set()
+    for q in {r[2] for r in rows}:
+        taken, used = [], 0
+        for r in sorted((r for r in rows if r[2] == q), key=lambda r: (-r[7], r[0])):
+            n = r[6] - r[5] + 1 if r[6] > r[5] else 0
+            if not taken or used + n <= 40:
+                taken.append(r[0])
+                used += n
+            elif len(taken) >= least:
+                break
+        want |= set(taken)
+    assert got == want
+
+
+def test_budget_of_one_large_group(spark):
+    rows = spark.range(400_000).select("id", F.lit(1).alias("start_line"), (F.col("id") % 50).alias("end_line"), (F.col("id") * 7919 % 400_009).cast("double").alias("priority"))
+    got = S.prune_to_budget(rows, 3000)
+    lines = got.agg(F.sum(S.lines_of(F.col("start_line"), F.col("end_line")))).first()[0]
+    first = rows.orderBy(F.desc("priority"), "id").limit(got.count()).select("id")
+    assert 2950 < lines <= 3000 and got.select("id").exceptAll(first).isEmpty()
+
+
 def test_duplicates(spark):
     rows = [(1, "r", "a", "file", "a", 1, 9, 0.1), (2, "r", "a", "class", "C", 1, 5, 0.9), (3, "r", "b", "class", "D", 1, 5, 0.2), (3, "r", "b", "class", "D", 1, 5, 0.8)]
     got = [(r.id, r.total_score) for r in S.drop_duplicates(scored(spark, rows)).orderBy("id").collect()]
@@ -161,6 +189,11 @@ def test_hidden_summaries():
         assert shown + buffer == "Answer <b> one two <SUM no end"
 
 
+def test_hidden_parts_after_letters_that_grow_in_capitals():
+    shown, buffer, hidden = streams.visible("", False, "Straße ŉ ﬁ <Summary>x</sUMMARY>end")
+    assert (shown + buffer, hidden) == ("Straße ŉ ﬁ end", False)
+
+
 def test_hidden_summaries_end(spark, tmp_path):
     """A null chunk shows what was held back, and the next answer starts anew."""
     folder, schema = tmp_path / "in", "session_id string, ord int, chunk string"
