@@ -381,6 +381,30 @@ def test_repeated_passages_against_all_pairs(spark):
     assert len(want) > 20 and sum(bool(found.get(a, set()) & found.get(b, set())) for a, b in want) >= 0.95 * len(want)
 
 
+def test_edited_passages_against_all_windows(spark):
+    """Pairs with a passage of 60 words, changed, taken out or put in at one to three places: every window of 50 words of the one
+    against every one of the other, as sets of word tuples."""
+    rnd = random.Random(21)
+    tuples = lambda x: [set(zip(*(x[a + k : a + 46 + k] for k in range(5)), strict=True)) for a in range(len(x) - 49)]
+    pairs, want = [], set()
+    for n in range(70):
+        p = words(20_000 + n, 60)
+        q = list(p)
+        for _ in range(rnd.randrange(4) if n < 60 else 9):
+            at = rnd.randrange(len(q))
+            q[at : at + rnd.randrange(2)] = [f"new{n}x{rnd.randrange(99)}"] * rnd.randrange(2)
+        a, b = words(30_000 + n, 20) + p + words(40_000 + n, 20), words(50_000 + n, 15) + q + words(60_000 + n, 30)
+        pairs += [(2 * n, " ".join(a)), (2 * n + 1, " ".join(b))]
+        theirs = tuples(b)
+        if any(10 * len(x & y) >= 8 * len(x | y) for x in tuples(a) for y in theirs):
+            want.add(n)
+    docs = spark.createDataFrame(rows_of(pairs), SCHEMA).repartition(3)
+    found = {r.doc_id // 2 for r in passages.repeated_passages(docs).collect()}
+    assert 30 < len(want) < 70 and len(found & want) >= 0.95 * len(want)
+    # a longer passage can be alike where no window of 50 words is, but not much more often
+    assert len(found - want) <= 3
+
+
 def test_language_scores_by_hand(spark):
     """Counts, back-off and scores worked out again in plain loops, for a whole table."""
     docs = spark.read.parquet(f"{SF}/documents.parquet")
