@@ -265,7 +265,7 @@ def pagerank(graph: DataFrame, alpha: float = 0.85, rounds: int = 20) -> DataFra
 
 
 def pagerank_to(graph: DataFrame, alpha: float = 0.85, tolerance: float = 1e-6, chained: int = 4) -> DataFrame:
-    """node, rank of a weighted undirected graph (a, b, weight), the sum of all errors at most the tolerance.
+    """node, rank of a weighted undirected graph (a, b, weight), the mean of all errors at most the tolerance.
 
     Ranks start in proportion to the nodes' strength, which is what they are without jumps, so the first residual is known
     at once. Then only nodes whose residual is above their share of the tolerance pass it on, until none is left. A few
@@ -282,7 +282,7 @@ def pagerank_to(graph: DataFrame, alpha: float = 0.85, tolerance: float = 1e-6,
     links = written(both.join(nodes.withColumnRenamed("node", "src"), "src").select("src", "dst", (F.col("weight") / F.col("strength")).alias("share")), f"{folder}/links")
     start = F.col("strength") / total
     state = nodes.select("node", start.alias("rank"), ((1 - alpha) * (1.0 / n - start)).alias("residual"))
-    least, turn = tolerance * (1 - alpha) / n, 0
+    least, turn = tolerance * (1 - alpha), 0
     while True:
         turn += 1
         for _ in range(chained):

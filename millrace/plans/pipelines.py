@@ -97,7 +97,11 @@ class Engine:
         """snap:repo:commit, or a digest of all paths and contents where there is no commit."""
         if commit:
             return f"snap:{repo}:{commit}"
-        digest = files.select(F.concat_ws(":", "path", F.md5(F.col("content").cast("binary"))).alias("f")).agg(F.sha1(F.array_join(F.array_sort(F.collect_list("f")), "\n").cast("binary")).alias("d"))
+        # files are digested by part of the path first, so that no list of all of them meets in one task
+        of = lambda column: F.sha1(F.array_join(F.array_sort(F.collect_list(column)), "\n").cast("binary")).alias("d")
+        own = files.select(F.substring(F.md5(F.col("path").cast("binary")), 1, 3).alias("part"), F.concat_ws(":", "path", F.md5(F.col("content").cast("binary"))).alias("f"))
+        parts = own.groupBy("part").agg(of("f")).select(F.concat_ws(":", "part", "d").alias("p"))
+        digest = parts.agg(of("p"))
         return f"snap:{repo}:{digest.first().d}"
 
     def index(self, source: str, repo: str, ref: str = "main", commit: str | None = None, precise: str | None = None, publish: bool = True) -> dict[str, str]:
@@ -160,10 +164,7 @@ class Engine:
         own = {r: s for r, s in heads.items() if repos is None or r in repos}
         if not own:
             raise ValueError("no such repository")
-        every = [self.elements(s) for s in own.values()]
-        both = every[0]
-        for e in every[1:]:
-            both = both.unionByName(e, allowMissingColumns=True)
+        both = self.store.read_all([f"elements/{_name(s)}" for s in own.values()])
         vector = self.query_vector(question)
         if repos is None and len(own) > 1:
             q = F.array(*[F.lit(float(x)) for x in vector])

@@ -175,3 +175,21 @@ def ranked_postings(spark, sf_dir):
         store.write(name, rows)
     found, _ = ranked.search(store.read("blocks"), store.read("terms"), ASKED, 10)
     return found.select("id", F.round("score", 6).alias("score"))
+
+
+@registered("""select source || '/' || lang as folder, count(*) as documents, sum(octet_length(encode(text)) + 1)::bigint as size, md5(string_agg(text, chr(10) order by doc_id) || chr(10)) as digest
+    from (select doc_id, source, lang, coalesce(text, '') as text from documents) where lang <> 'fr' and source <> 'src3' group by source, lang""")
+def scanned_files(spark, sf_dir):
+    """Documents as files in folders; the ignore list of the root leaves out a folder anywhere and one at the root."""
+    root, d = G.work_folder(spark), documents(spark, sf_dir).where("lang is not null").withColumn("text", F.coalesce("text", F.lit("")))
+    placed = d.select("source", "lang", "text", "doc_id").repartition("source", "lang").sortWithinPartitions("source", "lang", "doc_id")
+    placed.select("source", "lang", "text").write.partitionBy("source", "lang").text(root)
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(f"{root}/.gitignore")
+    out = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(at, True)
+    out.write(bytearray(b"# folders\n\nlang=fr/\n/source=src3/\n*.crc\n"))
+    out.close()
+    found = readers.scan(spark, root, extensions=[".txt"], ignored=readers.gitignore_patterns(spark, f"{root}/.gitignore"), megabytes=1000, content=True)
+    folder = F.concat_ws("/", F.regexp_extract("relative_path", "source=([^/]+)", 1), F.regexp_extract("relative_path", "lang=([^/]+)", 1))
+    counted = d.groupBy(F.concat_ws("/", "source", "lang").alias("folder")).agg(F.count(F.lit(1)).alias("documents"))
+    return found.select(folder.alias("folder"), "size", F.md5(F.col("content").cast("binary")).alias("digest")).join(counted, "folder").select("folder", "documents", "size", "digest")
