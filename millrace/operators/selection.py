@@ -6,9 +6,14 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from . import intervals
-from .graph import few, work_folder, written
+from .graph import work_folder, written
+
+
+#: Rows of a group that are folded as one array.
+FOLD_ROWS = 2_000
 
 
 def lines_of(start: Column, end: Column) -> Column:
@@ -30,38 +35,61 @@ def priority(rows: DataFrame) -> DataFrame:
     return rows.withColumn("priority", F.coalesce(F.col("total_score"), F.lit(0.5)) * 0.4 + source + kind + size * 0.2 + precise)
 
 
+def _folded_whole(rows: DataFrame, key: Column, budget: int, least: int) -> DataFrame:
+    """The pass over each group as one array, for groups of a bounded size."""
+    lines = lines_of(F.col("start_line"), F.col("end_line")).cast("long")
+    items = rows.select(key.alias("__group"), F.struct((-F.col("priority")).alias("order"), F.col("id"), lines.alias("lines")).alias("item"))
+    start = F.struct(F.array().cast(ArrayType(rows.schema["id"].dataType)).alias("ids"), F.lit(0).cast("long").alias("used"), F.lit(False).alias("done"))
+
+    def step(s, x):
+        fits = (F.size(s["ids"]) == 0) | (s["used"] + x["lines"] <= budget)
+        take = ~s["done"] & fits
+        return F.struct(F.when(take, F.concat(s["ids"], F.array(x["id"]))).otherwise(s["ids"]).alias("ids"), F.when(take, s["used"] + x["lines"]).otherwise(s["used"]).alias("used"), (s["done"] | (~fits & (F.size(s["ids"]) >= least))).alias("done"))
+
+    taken = items.groupBy("__group").agg(F.aggregate(F.array_sort(F.collect_list("item")), start, step, lambda s: s["ids"]).alias("ids"))
+    kept = taken.select("__group", F.explode("ids").alias("id"))
+    return rows.withColumn("__group", key).join(kept, ["__group", "id"], "left_semi").drop("__group")
+
+
 def prune_to_budget(rows: DataFrame, budget: int, group: str | None = None, least: int = 5) -> DataFrame:
     """The rows of each group that a greedy pass by priority takes (W14): the first always; then each that fits
     the lines left; one that doesn't fit is skipped, and ends the pass once `least` rows are taken (Q24).
 
-    No group is read in order. The next row that is taken is the first, by order, among those that come later and fit: a minimum
-    per group, pre-aggregated in each task, `least` times. From there on the pass takes whatever comes until the
-    lines are used up; as lines are whole numbers, that happens within the first `budget` + 1 rows that have any, of which
-    each task keeps its own before the shuffle.
+    No group is read whole in order. Until `least` rows are taken, a row that is taken is among the first `least` of its group
+    with as many lines: those before it fitted as well, so they are taken. These few rows per group and number of lines are found
+    by windows of which each task keeps only what may count, and folded. From there on the pass takes whatever comes until
+    the lines are used up; as lines are whole numbers, that happens within the first `budget` + 1 rows that have any.
+    Where no group is counted to have more than FOLD_ROWS rows, as one answer's candidates, all of a group are folded at once.
     """
-    folder = work_folder(rows.sparkSession)
     key = F.col(group) if group else F.lit(0)
+    largest = rows.select(key.alias("of")).groupBy("of").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    if largest <= FOLD_ROWS:
+        return _folded_whole(rows, key, budget, least)
+    folder = work_folder(rows.sparkSession)
     order = F.struct((-F.col("priority")).alias("p"), F.col("id"))
     items = written(rows.select(key.alias("__group"), order.alias("o"), lines_of(F.col("start_line"), F.col("end_line")).cast("long").alias("lines")), f"{folder}/items")
     same = lambda a, b: F.col(f"{a}.__group").eqNullSafe(F.col(f"{b}.__group"))
-    first = items.groupBy("__group").agg(F.min(F.struct("o", "lines")).alias("m"))
-    state = written(first.select("__group", F.array("m.o").alias("taken"), F.col("m.o").alias("at"), F.col("m.lines").alias("used")), f"{folder}/1")
-    for n in range(2, least + 1):
-        fits = (F.size("taken") == n - 1) & (F.col("i.o") > F.col("at")) & (F.col("used") + F.col("i.lines") <= budget)
-        found = items.alias("i").join(few(state).alias("s"), same("i", "s")).where(fits).groupBy("s.__group").agg(F.min(F.struct("i.o", "i.lines")).alias("m"))
-        both = state.alias("s").join(found.alias("f"), same("s", "f"), "left")
-        more = F.col("m").isNotNull()
-        state = written(both.select("s.__group", F.when(more, F.concat("taken", F.array("m.o"))).otherwise(F.col("taken")).alias("taken"), F.coalesce("m.o", "at").alias("at"), (F.col("used") + F.coalesce("m.lines", F.lit(0))).alias("used")), f"{folder}/{n}")
-    going = state.where(F.size("taken") >= least)
-    later = items.alias("i").join(few(going).alias("s"), same("i", "s")).where((F.col("i.o") > F.col("at")) & (F.col("i.lines") > 0)).select("s.__group", "i.o", "i.lines", "used")
+    # all that can't fit stand together, so that the first row of the group is among those kept
+    size = F.least(F.col("lines"), F.lit(budget + 1).cast("long"))
+    early = items.withColumn("n", F.row_number().over(Window.partitionBy("__group", size).orderBy("o"))).where(F.col("n") <= least)
+    kind = early.schema["o"].dataType
+    start = F.struct(F.array().cast(ArrayType(kind)).alias("taken"), F.lit(0).cast("long").alias("used"))
+
+    def step(s, x):
+        fits = (F.size(s["taken"]) < least) & ((F.size(s["taken"]) == 0) | (s["used"] + x["lines"] <= budget))
+        return F.struct(F.when(fits, F.concat(s["taken"], F.array(x["o"]))).otherwise(s["taken"]).alias("taken"), F.when(fits, s["used"] + x["lines"]).otherwise(s["used"]).alias("used"))
+
+    folded = early.groupBy("__group").agg(F.aggregate(F.array_sort(F.collect_list(F.struct("o", "lines"))), start, step).alias("s"))
+    state = written(folded.select("__group", "s.taken", "s.used", F.element_at("s.taken", -1).alias("at"), ((F.size("s.taken") >= least) & (F.col("s.used") <= budget)).alias("open")), f"{folder}/state")
+    later = items.alias("i").join(state.where("open").alias("s"), same("i", "s")).where((F.col("i.o") > F.col("at")) & (F.col("i.lines") > 0)).select("s.__group", "i.o", "i.lines", "used")
     by_order = Window.partitionBy("__group").orderBy("o")
     near = later.withColumn("n", F.row_number().over(by_order)).where(F.col("n") <= max(budget, 0) + 1)
     over = near.withColumn("sum", F.col("used") + F.sum("lines").over(by_order.rowsBetween(Window.unboundedPreceding, 0))).where(F.col("sum") > budget)
     stop = over.groupBy("__group").agg(F.min("o").alias("stop"))
-    ends = written(state.alias("s").join(stop.alias("e"), same("s", "e"), "left").select("s.*", "stop", ((F.size("taken") >= least) & (F.col("used") <= budget)).alias("open")), f"{folder}/ends")
+    ends = state.alias("s").join(stop.alias("e"), same("s", "e"), "left").select("s.*", "stop")
     placed = rows.withColumn("__group", key).withColumn("__o", order)
     kept = F.array_contains("taken", F.col("__o")) | (F.col("open") & (F.col("__o") > F.col("at")) & (F.col("stop").isNull() | (F.col("__o") < F.col("stop"))))
-    return placed.alias("r").join(few(ends).alias("e"), same("r", "e")).where(kept).select([F.col(f"r.{c}") for c in rows.columns])
+    return placed.alias("r").join(ends.alias("e"), same("r", "e")).where(kept).select([F.col(f"r.{c}") for c in rows.columns])
 
 
 def prefix_budget(rows: DataFrame, budget: int) -> DataFrame:

@@ -60,9 +60,10 @@ def test_budget_equals_the_greedy_rule(spark):
     assert got == want
 
 
-@pytest.mark.parametrize("least", [1, 3])
-def test_budget_in_every_order(spark, least):
+@pytest.mark.parametrize("least, fold_rows", [(1, 0), (3, 0), (5, 0), (3, 2000)])
+def test_budget_in_every_order(spark, least, fold_rows, monkeypatch):
     """Two hundred groups in orders of their own, with ties, rows that fit nowhere and rows without lines."""
+    monkeypatch.setattr(S, "FOLD_ROWS", fold_rows)
     rnd = random.Random(7 + least)
     rows = [(i, "r", f"q{i % 200}", "function", f"n{i}", 0, rnd.choice([0, 0, 1, 4, 9, 30, 150]), rnd.choice([0.1, 0.2, 0.3, rnd.random()])) for i in range(2600)]
     got = {r.id for r in S.prune_to_budget(scored(spark, rows).withColumn("priority", F.col("total_score")), 40, "relative_path", least).collect()}
