@@ -172,3 +172,22 @@ def test_pagerank_to_a_tolerance(spark):
     got = {r.node: r.rank for r in G.pagerank_to(spark.createDataFrame(edges, "a int, b int, weight double"), tolerance=1e-8).collect()}
     assert set(got) == set(nodes) and sum(abs(got[n] - rank[n]) for n in nodes) <= 1e-8 * len(nodes)
     assert G.pagerank_to(spark.createDataFrame([], "a int, b int, weight double")).count() == 0
+
+
+def test_rounds_send_no_table_through_the_driver(spark, monkeypatch):
+    """All joins of the rounds, of the split and of the contraction shuffle both sides, however small; a community of texts
+    has the name of its smallest node."""
+    from millrace.operators import communities, graph
+
+    seen, own = [], graph.written
+
+    def kept(df, path):
+        seen.append(df._jdf.queryExecution().executedPlan().toString())
+        return own(df, path)
+
+    monkeypatch.setattr(communities, "written", kept)
+    monkeypatch.setattr(graph, "written", kept)
+    rows = [(f"{g}{i}", f"{g}{j}", 1.0) for g in "xyz" for i in range(6) for j in range(i)] + [("x0", "y0", 1.0), ("y1", "z1", 1.0)]
+    found = communities.communities(spark.createDataFrame(rows, "a string, b string, weight double"), local_links=0)
+    assert {r.node: r.cluster for r in found.collect()} == {f"{g}{i}": f"{g}0" for g in "xyz" for i in range(6)}
+    assert len(seen) > 10 and not [p for p in seen if "Broadcast" in p]
