@@ -7,6 +7,9 @@ is stored, read and dropped like any other; new vectors are new shards. A search
 layers greedily and keeps the EF_SEARCH best on the lowest. Shards' results are scored in double precision
 from the original vectors and merged by query.
 
+Equal vectors of a shard are one vector of its graph: the first by id is linked, the others are rows that name it (layer -1), and an
+answer has as many of them as it needs, smaller ids first. Copies would else fill a search, and which of them it finds would be chance.
+
 Null vectors take no part; vectors of another length than the query's don't meet it; zero vectors have score 0.
 """
 
@@ -134,9 +137,15 @@ def build_index(vectors: DataFrame, shard_rows: int = SHARD_ROWS, first_shard: i
 
     def run(group: pa.Table) -> pa.Table:
         group = group.sort_by("id")
-        graph = Graph.build(unit(_matrix(group.column("vector"))), int(group.column("shard")[0].as_py()), m, ef)
-        links = pa.array([[x.tolist() for x in own] for own in graph.links], nested)
-        return pa.table({"dim": group.column("dim"), "shard": group.column("shard"), "place": pa.array(range(len(group)), pa.int32()), "id": group.column("id"), "vector": group.column("vector"), "layer": pa.array(graph.layers, pa.int32()), "links": links})
+        x = _matrix(group.column("vector"))
+        firsts, of = np.unique(x, axis=0, return_index=True, return_inverse=True)[1:]
+        firsts, own = np.sort(firsts), firsts[of.reshape(-1)]  # each row's first equal row
+        copies = np.flatnonzero(own != np.arange(len(x)))
+        graph = Graph.build(unit(x[firsts]), int(group.column("shard")[0].as_py()), m, ef)
+        links = pa.array([[x.tolist() for x in own] for own in graph.links] + [[[i]] for i in np.searchsorted(firsts, own[copies]).tolist()], nested)
+        group = group.take(pa.array(np.r_[firsts, copies]))
+        layers = pa.array(np.r_[graph.layers, np.full(len(copies), -1)], pa.int32())
+        return pa.table({"dim": group.column("dim"), "shard": group.column("shard"), "place": pa.array(range(len(group)), pa.int32()), "id": group.column("id"), "vector": group.column("vector"), "layer": layers, "links": links})
 
     return dealt.groupBy("dim", "shard").applyInArrow(run, f"dim int, shard int, place int, id {kind}, vector array<double>, layer int, links array<array<int>>")
 
@@ -153,7 +162,7 @@ def search_index(index: DataFrame, queries: DataFrame, k: int, ef: int = EF_SEAR
     meet = own.union(asked).repartition("dim", "shard").sortWithinPartitions("dim", "shard", "kind", "place")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, parts, graph, ids, exact = None, [], None, [], None
+        at, parts, graph, ids, exact, copies = None, [], None, [], None, {}
         for batch in batches:
             dims, numbers, kind = (batch.column(c).to_numpy() for c in ("dim", "shard", "kind"))
             edges = np.flatnonzero(np.r_[True, (dims[1:] != dims[:-1]) | (numbers[1:] != numbers[:-1]) | (kind[1:] != kind[:-1])])
@@ -167,11 +176,17 @@ def search_index(index: DataFrame, queries: DataFrame, k: int, ef: int = EF_SEAR
                 if graph is None:
                     rows = pa.Table.from_batches(parts)
                     ids, exact = rows.column("id"), unit(_matrix(rows.column("vector")))
-                    graph = Graph(exact, rows.column("layer").to_numpy(), [[np.array(x, np.int64) for x in own] for own in rows.column("links").to_pylist()])
-                    parts = []
+                    layers, links = rows.column("layer").to_numpy(), rows.column("links").to_pylist()
+                    linked = int((layers >= 0).sum())
+                    graph = Graph(exact[:linked], layers[:linked], [[np.array(x, np.int64) for x in own] for own in links[:linked]])
+                    parts, copies = [], {}
+                    for place in range(linked, len(links)):
+                        copies.setdefault(links[place][0][0], []).append(place)
                 asked, places, scores = [], [], []
                 for i, q in enumerate(unit(_matrix(piece.column("vector")))):
                     found = graph.search(q, k, ef)
+                    if copies:
+                        found = [x for place in found for x in (place, *copies.get(place, [])[: k - 1])][:k]
                     asked += [i] * len(found)
                     places += found
                     scores.append((exact[found] * q).sum(axis=1))

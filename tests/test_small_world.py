@@ -41,3 +41,15 @@ def test_index(spark):
     both = index.union(S.build_index(vectors.where("id < 'v3'"), shard_rows=200, first_shard=50))
     assert both.select("shard").distinct().count() > 5
     assert S.search_index(index, asked.limit(0), 5).count() == 0 and S.search_index(index.limit(0), asked, 5).count() == 0
+
+
+def test_copies(spark):
+    """Of many equal vectors an answer has those with the smallest ids, as the exact search does."""
+    rnd = np.random.default_rng(8)
+    own = rnd.normal(size=(40, 16)).tolist()
+    vectors = spark.createDataFrame([(i, own[i % 40]) for i in range(1600)], "id long, vector array<float>")
+    asked = vectors.where("id % 100 = 0").select(F.col("id").alias("query_id"), F.col("vector").alias("query_vector"))
+    index = S.build_index(vectors, shard_rows=500)
+    assert index.count() == 1600 and index.where("layer >= 0").count() <= 40 * index.select("shard").distinct().count()
+    pick = lambda found: sorted((r.query_id, r["rank"], r.id) for r in found.collect())
+    assert pick(S.search_index(index, asked, 50)) == pick(Q.vector_batch_top(vectors, asked, 50))
