@@ -3,6 +3,7 @@
 import zipfile
 from datetime import UTC, datetime
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -235,3 +236,23 @@ def test_tokens_by_a_vocabulary(spark, tmp_path):
     rows = spark.createDataFrame([(1, "abab c"), (2, None), (3, "<|endoftext|>"), (4, "é")], "id int, text string")
     got = {r.id: (r.n_tokens, r.cut) for r in T.bpe_tokens(rows, str(path), r"\S+|\s+", most=3).collect()}
     assert got == {1: (4, "abab "), 2: (0, None), 3: (13, "<|e"), 4: (2, "é")}
+
+
+def test_bpe_tokens_in_slices(spark, tmp_path, monkeypatch):
+    """A batch is given in slices bounded by rows and by bytes, in its order; a text longer than a slice is one of its own."""
+    import base64
+
+    path = tmp_path / "ranks"
+    path.write_text("\n".join(f"{base64.b64encode(bytes([i])).decode()} {i}" for i in range(256)))
+    monkeypatch.setattr(T, "SLICE_BYTES", 10)
+
+    class Rows:
+        schema, columns = spark.createDataFrame([], "id long, text string").schema, ["id", "text"]
+        mapInArrow = staticmethod(lambda run, fields: run)
+
+    texts = ["abc", None, "", "d" * 30, "é", "efghij", "kl"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(7)), pa.array(texts)], names=["id", "text"])
+    got = list(T.bpe_tokens(Rows, str(path), r"\S+|\s+", most=2)(iter([batch, batch.slice(0, 0)])))
+    assert len(got) > 2 and max(sum(len(t or "") for t in b.column("text").to_pylist()) for b in got if b.num_rows > 1) <= 10
+    rows = [r for b in got for r in b.to_pylist()]
+    assert [r["text"] for r in rows] == texts and [r["n_tokens"] for r in rows] == [3, 0, 0, 30, 2, 6, 2] and [r["cut"] for r in rows] == ["ab", None, "", "dd", "é", "ef", "kl"]
