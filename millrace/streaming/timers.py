@@ -12,6 +12,8 @@ from collections.abc import Iterator
 from datetime import UTC, datetime
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -90,7 +92,18 @@ def fired(jobs: DataFrame, delay: str = "0 seconds") -> DataFrame:
     return rows.groupBy("job_id").transformWithStateInPandas(_Jobs(), "job_id string, due_ms bigint", "Append", "EventTime")
 
 
+def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The first and the last time of each batch."""
+    for b in batches:
+        ends = pc.min_max(b.column(0))
+        if ends["min"].is_valid:
+            yield pa.RecordBatch.from_arrays([pa.array([ends["min"].as_py(), ends["max"].as_py()], b.schema.field(0).type)], names=["set_at"])
+
+
 def heartbeat(ticks: DataFrame, every_ms: int = HEARTBEAT_MS, job_id: str = "heartbeat") -> DataFrame:
-    """Rows for fired(), from a stream's ticks (set_at), of one job that fires every so often from the first tick on."""
+    """Rows for fired(), from a stream's ticks (set_at), of one job that fires every so often from the first tick on. All rows
+    say the same, so that of each batch of ticks the first, which may set the job, and the last, which moves the clock, are
+    all that the job's single state sees."""
     none, text = F.lit(None).cast("long"), F.lit(None).cast("string")
-    return ticks.select(F.lit(job_id).alias("job_id"), F.lit("every").alias("kind"), none.alias("at_ms"), F.lit(every_ms).cast("long").alias("every_ms"), text.alias("expr"), text.alias("tz"), F.lit(True).alias("enabled"), "set_at")
+    ends = ticks.select(F.col("set_at").cast("timestamp").alias("set_at")).mapInArrow(_ends, "set_at timestamp")
+    return ends.select(F.lit(job_id).alias("job_id"), F.lit("every").alias("kind"), none.alias("at_ms"), F.lit(every_ms).cast("long").alias("every_ms"), text.alias("expr"), text.alias("tz"), F.lit(True).alias("enabled"), "set_at")

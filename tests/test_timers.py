@@ -3,6 +3,7 @@
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
 from millrace.streaming import timers
 
@@ -58,3 +59,11 @@ def test_heartbeat(spark, tmp_path):
 def test_next_time(kind, more, after, want):
     values = {"at_ms": None, "every_ms": None, "expr": None, "tz": None} | more
     assert timers.next_time(kind, **values, after_ms=after) == want
+
+
+def test_heartbeat_sees_the_ends_of_a_batch(spark):
+    """A job's state is one task's: of many ticks it gets two of each Arrow batch, which fire the same."""
+    ticks = spark.range(50_000, numPartitions=2).select(F.timestamp_millis(F.col("id") * 1000).alias("set_at"))
+    got = timers.heartbeat(ticks).agg(F.count(F.lit(1)), F.unix_millis(F.min("set_at")), F.unix_millis(F.max("set_at"))).first()
+    assert got[0] <= 200 and got[1:] == (0, 49_999_000)
+    assert timers.heartbeat(ticks.limit(0)).count() == 0
