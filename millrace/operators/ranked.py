@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .retrieval import K1, B, idf, top
+from .retrieval import K1, B, document_terms, idf, postings, top
 
 BUCKET_DOCS = 256
 #: Buckets that are named in a filter, which the scan of the blocks uses; more are joined.
@@ -32,18 +32,18 @@ class Read:
 
 def build(corpus: DataFrame, id_col: str = "id", text_col: str = "text", bucket_docs: int = BUCKET_DOCS) -> dict[str, DataFrame]:
     """blocks (term, bucket, most, n, ids, parts) and terms (term, df, idf), to be stored. corpus: id, text."""
-    tokens = corpus.select(F.col(id_col).alias("id"), T.whitespace_tokens(F.col(text_col)).alias("tokens")).withColumn("length", F.size("tokens"))
+    tokens = corpus.select(F.size(T.whitespace_tokens(F.col(text_col))).alias("length"))
     size = tokens.agg(F.count(F.lit(1)).alias("documents"), F.avg("length").alias("mean_length"))
     # classes of lengths are fewer than 200, as a length is an int
     kind = F.floor(F.log(F.col("length") + 1.0) * 8).cast("int")
     kinds = tokens.groupBy(kind.alias("of")).agg(F.ceil(F.count(F.lit(1)) / bucket_docs).alias("slices"))
-    counted = tokens.select("id", "length", F.explode("tokens").alias("term")).groupBy("id", "length", "term").agg(F.count(F.lit(1)).alias("tf"))
+    counted = postings(corpus, id_col, text_col)
     part = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean_length")))
     placed = counted.crossJoin(F.broadcast(size)).join(F.broadcast(kinds), kind == F.col("of"))
     placed = placed.select("term", F.concat_ws(".", "of", F.pmod(F.xxhash64("id"), F.col("slices"))).alias("bucket"), F.struct(part.alias("part"), "id").alias("p"))
     blocks = placed.groupBy("term", "bucket").agg(F.array_sort(F.collect_list("p")).alias("p"))
     blocks = blocks.select("term", "bucket", F.array_max("p.part").alias("most"), F.size("p").alias("n"), F.col("p.id").alias("ids"), F.col("p.part").alias("parts"))
-    terms = idf(counted.crossJoin(F.broadcast(size.select("documents"))), F.col("documents"))
+    terms = idf(document_terms(corpus, text_col).crossJoin(F.broadcast(size.select("documents"))), F.col("documents"))
     return {"blocks": blocks.sortWithinPartitions("term", "bucket"), "terms": terms.sortWithinPartitions("term")}
 
 
