@@ -170,13 +170,13 @@ _WRITTEN = {"js": (r"[\\`$]", r"\\$0"), "ts": (r"[\\`$]", r"\\$0"), "cpp": (r'\)
 
 
 def _brace_files(spark, sf_dir):
-    out, whole = None, F.coalesce("text", F.lit(""))
-    for ext, template in _BRACES.items():
-        quoted = F.regexp_replace(whole, *_WRITTEN[ext])
-        text = _rendered(template, text=F.regexp_replace(whole, r"\*/|/\*", "* /"), quoted=quoted)
-        part = documents(spark, sf_dir).select(F.concat_ws(".", F.col("doc_id").cast("string"), F.lit(ext)).alias("path"), text.alias("content"))
-        out = part if out is None else out.union(part)
-    return P.with_language(out)
+    """Each document is read once and gives a file in each language."""
+    whole = F.coalesce("text", F.lit(""))
+    ways = list(dict.fromkeys(_WRITTEN.values()))
+    d = documents(spark, sf_dir).select("doc_id", F.regexp_replace(whole, r"\*/|/\*", "* /").alias("plain"), *[F.regexp_replace(whole, *w).alias(f"quoted_{i}") for i, w in enumerate(ways)])
+    files = [F.struct(F.lit(ext).alias("ext"), _rendered(template, text=F.col("plain"), quoted=F.col(f"quoted_{ways.index(_WRITTEN[ext])}")).alias("content")) for ext, template in _BRACES.items()]
+    out = d.select("doc_id", F.explode(F.array(*files)).alias("f"))
+    return P.with_language(out.select(F.concat_ws(".", F.col("doc_id").cast("string"), "f.ext").alias("path"), "f.content"))
 
 
 #: extension, kind, name, first and last line and how often the text's lines come before each, surrounding type.
@@ -195,7 +195,7 @@ _LINES = "lines as (select *, length(coalesce(text, '')) - length(replace(coales
     for ext, kind, name, a, i, b, j, of in _FOUND))
 def parse_brace_languages(spark, sf_dir):
     """JavaScript, TypeScript, C++, Rust and C#: whole documents stand in comments and texts, where their marks are no code."""
-    return P.definitions(_brace_files(spark, sf_dir)).select("path", "kind", "name", "start_line", "end_line", "class_name")
+    return P.definitions(_brace_files(spark, sf_dir), ("kind", "name", "start_line", "end_line", "class_name"))
 
 
 @registered(" union all ".join(f"select doc_id || '.{ext}' as path, {_n(name)} as module, 1 as line from documents" for ext, name in (("js", "m{b}"), ("ts", "m{b}"), ("cpp", "m{b}"), ("rs", "a::m{b}"), ("cs", "A.m{b}"))))

@@ -10,12 +10,13 @@ from __future__ import annotations
 import ast
 import inspect
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from functools import partial
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions import text as T
 from ..functions import values as V
@@ -42,12 +43,17 @@ TYPE_ROW = "path string, scope_id string, variable string, class_name string"
 # -- Python -------------------------------------------------------------------------
 def repaired(text: str) -> str:
     """Without code fences around it and doubled "as" clauses."""
-    lines = re.sub(r"except\s+(\w+)\s+as\s+(\w+)\s+as\s+\2\s*:", r"except \1 as \2:", text).split("\n")
-    if lines and lines[0].strip().startswith("```"):
-        lines = lines[1:]
-    while lines and lines[-1].strip() in ("", "```"):
-        lines.pop()
-    return "\n".join(lines)
+    if "except" in text:
+        text = re.sub(r"except\s+(\w+)\s+as\s+(\w+)\s+as\s+\2\s*:", r"except \1 as \2:", text)
+    start, end = 0, len(text)
+    if text[: text.find("\n") + 1 or end].strip().startswith("```"):
+        start = text.find("\n") + 1 or end + 1
+    while start <= end:  # the last line begins at at
+        at = max(text.rfind("\n", start, end) + 1, start)
+        if text[at:end].strip() not in ("", "```"):
+            return text[start:end]
+        end = at - 1
+    return ""
 
 
 def repaired_column(text: Column) -> Column:
@@ -227,28 +233,29 @@ def other_definitions(text: str | None, language: str) -> list[dict]:
 
 
 def other_imports(text: str | None, language: str) -> list[dict]:
-    return grammar.declarations(repaired(text or ""), language).imports
+    return grammar.declarations(repaired(text or ""), language, with_rows=False).imports
 
 
 #: language -> function of a text to definition rows; others can be added.
 PARSERS: dict[str, Callable[[str | None], list[dict]]] = {"python": python_definitions} | {name: partial(other_definitions, language=name) for name in grammar.LANGUAGES}
 
 
-def _generated(files: DataFrame, make: Callable[[str | None, str | None], list[dict]], schema: str) -> DataFrame:
-    """files (path, content, language) through a function that gives rows."""
+def _generated(files: DataFrame, make: Callable[[str | None, str | None], list[dict]], schema: str, columns: Sequence[str] | None = None) -> DataFrame:
+    """files (path, content, language) through a function that gives rows: the path and the columns asked for, or all."""
     spark = files.sparkSession
     kind = spark.createDataFrame([], schema).schema
+    kind = StructType([f for f in kind.fields if columns is None or f.name in ("path", *columns)])
     from pyspark.sql.pandas.types import to_arrow_schema
 
     arrow = to_arrow_schema(kind)
-    names = [f.name for f in kind.fields if f.name != "path"]
+    names = [f.name for f in kind.fields if f.name != "path"]  # path is the first
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [{"path": p} | {n: r.get(n) for n in names} for p, c, l in zip(*(x.to_pylist() for x in batch.columns), strict=True) for r in make(c, l)]
-            yield pa.RecordBatch.from_pylist(rows, schema=arrow)
+            rows = [(p, r) for p, c, l in zip(*(x.to_pylist() for x in batch.columns), strict=True) for r in make(c, l)]
+            yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in rows], arrow.field("path").type), *[pa.array([r.get(n) for _, r in rows], arrow.field(n).type) for n in names]], schema=arrow)
 
-    return files.select("path", "content", "language").mapInArrow(run, schema)
+    return files.select("path", "content", "language").mapInArrow(run, kind)
 
 
 def with_language(files: DataFrame) -> DataFrame:
@@ -256,9 +263,9 @@ def with_language(files: DataFrame) -> DataFrame:
     return files.withColumn("language", T.language_of(T.extension(F.col("path"))))
 
 
-def definitions(files: DataFrame) -> DataFrame:
-    """Rows of definitions of every file whose language has a parser."""
-    return _generated(files, lambda c, l: PARSERS[l](c) if l in PARSERS else [], DEFINITION_ROW)
+def definitions(files: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """Rows of definitions of every file whose language has a parser (T01 to T11, T15), with the path and the columns asked for."""
+    return _generated(files, lambda c, l: PARSERS[l](c) if l in PARSERS else [], DEFINITION_ROW, columns)
 
 
 def imports(files: DataFrame) -> DataFrame:

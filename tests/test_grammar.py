@@ -246,3 +246,25 @@ def test_languages_of_the_engine():
     js = "import React from 'react';\nexport class View extends Base {\n  render(a, b) {\n    return 1;\n  }\n}\n"
     assert [r["name"] for r in P.PARSERS["javascript"](f"```js\n{js}```\n")] == ["View", "render"] and P.PARSERS["c"](None) == []
     assert "cobol" not in P.PARSERS and [i["module"] for i in P.other_imports(js, "javascript")] == ["react"]
+
+
+@pytest.mark.parametrize("language", ["javascript", "typescript", "cpp", "rust", "csharp"])
+def test_imports_alone_make_no_rows_of_definitions(language):
+    text = "import x from 'm';\n#include <m>\nuse a::m;\nusing A.m;\nstruct S { x: i32 }\n/* b */ class K { int f(int a) { return 1; } }\n"
+    both, alone = grammar.declarations(text, language), grammar.declarations(text, language, with_rows=False)
+    assert both.rows and both.imports and alone.imports == both.imports and not alone.rows
+
+
+def test_marks_that_may_be_special():
+    kinds = lambda text, language: [(t.kind, t.text) for t in grammar.Source(text, language).tokens]
+    assert kinds("`a\\`${ {`}`} /* ` */ }b` / 'c' // `", "javascript") == [("text", "`a\\`${ {`}`} /* ` */ }b`"), ("mark", "/"), ("text", "'c'")]
+    assert kinds("br b'x' 'a r#fn r##\"\"# \"## c", "rust") == [("word", "br"), ("text", "b'x'"), ("mark", "'a"), ("word", "r#fn"), ("text", 'r##""# "##'), ("word", "c")]
+    assert kinds('@"a""b" @in $x u8R"-()")-" ', "csharp")[:4] == [("text", '@"a""b"'), ("word", "@in"), ("mark", "$"), ("word", "x")]
+    assert kinds('u8R"-()")-" /*/ a */ .5e+3\\\n#if 0', "cpp") == [("text", 'u8R"-()")-"'), ("number", ".5e+3")]
+
+
+def test_files_of_all_languages_read_each_document_once(spark):
+    from millrace import code_queries
+
+    plan = code_queries._brace_files(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 1
