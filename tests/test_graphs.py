@@ -191,3 +191,10 @@ def test_rounds_send_no_table_through_the_driver(spark, monkeypatch):
     found = communities.communities(spark.createDataFrame(rows, "a string, b string, weight double"), local_links=0)
     assert {r.node: r.cluster for r in found.collect()} == {f"{g}{i}": f"{g}0" for g in "xyz" for i in range(6)}
     assert len(seen) > 10 and not [p for p in seen if "Broadcast" in p]
+
+
+def test_damped_graphs_are_not_shuffled_for_their_hubs(spark):
+    links = [("h", f"n{i:03d}", 2.0) for i in range(40)] + [(f"n{i:03d}", f"n{i + 1:03d}", 0.3 + i) for i in range(39)]
+    got = G.damp_hubs(spark.createDataFrame(links, "a string, b string, weight double"))
+    assert "hashpartitioning" not in got._jdf.queryExecution().executedPlan().toString()
+    assert {(r.a, r.b, r.weight, r.compressed_by_hub) for r in got.collect()} == {(a, b, 0.5 if a == "h" else w, a == "h") for a, b, w in links}
