@@ -198,3 +198,14 @@ def test_damped_graphs_are_not_shuffled_for_their_hubs(spark):
     got = G.damp_hubs(spark.createDataFrame(links, "a string, b string, weight double"))
     assert "hashpartitioning" not in got._jdf.queryExecution().executedPlan().toString()
     assert {(r.a, r.b, r.weight, r.compressed_by_hub) for r in got.collect()} == {(a, b, 0.5 if a == "h" else w, a == "h") for a, b, w in links}
+
+
+def test_routed_edges_meet_in_counted_parts(spark, monkeypatch):
+    monkeypatch.setattr(G, "PART_ROWS", 10)
+    edges = spark.range(400).select(F.concat(F.lit("a"), F.col("id") % 100).alias("src_id"), F.concat(F.lit("b"), F.col("id") % 7).alias("dst_id"), F.lit("call").alias("edge_type"), F.col("id").alias("ord"))
+    routed = G.route_edges(edges)
+    assert "REPARTITION_BY_NUM" in (plan := routed._jdf.queryExecution().executedPlan().toString()) and ", 41), REPARTITION" in plan
+    got = G.graph_stats(routed.select("graph", F.col("src_id").alias("src"), F.col("dst_id").alias("dst")))
+    assert [tuple(r) for r in got.collect()] == [("call", 107, len({(i % 100, i % 7) for i in range(400)}))]
+    both = spark.createDataFrame([("g", "x", "y"), ("g", "x", "y"), ("g", "x", "x"), ("g", "z", None), ("h", "y", "x")], "graph string, src string, dst string")
+    assert {tuple(r) for r in G.graph_stats(both).collect()} == {("g", 4, 2), ("h", 2, 1)}
