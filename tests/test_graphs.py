@@ -209,3 +209,12 @@ def test_routed_edges_meet_in_counted_parts(spark, monkeypatch):
     assert [tuple(r) for r in got.collect()] == [("call", 107, len({(i % 100, i % 7) for i in range(400)}))]
     both = spark.createDataFrame([("g", "x", "y"), ("g", "x", "y"), ("g", "x", "x"), ("g", "z", None), ("h", "y", "x")], "graph string, src string, dst string")
     assert {tuple(r) for r in G.graph_stats(both).collect()} == {("g", 4, 2), ("h", 2, 1)}
+
+
+def test_degrees_shuffle_each_pair_once(spark):
+    edges = spark.createDataFrame([(f"n{i % 20}", f"n{i % 31}") for i in range(3000)] + [("n1", "n1"), ("n2", None), (None, "n2")], "src string, dst string")
+    got = {r.node: r.degree for r in G.degrees(edges).collect()}
+    pairs = {frozenset((f"n{i % 20}", f"n{i % 31}")) for i in range(3000)} | {frozenset(("n1",)), frozenset(("n2", None))}
+    assert got == {n: sum(n in p for p in pairs) for n in {n for p in pairs for n in p}}
+    plan = G.degrees(edges)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate explode") < plan.index("Aggregate [a#")  # pairs are made distinct before each gives its ends
