@@ -34,11 +34,11 @@ reported; very long texts are read whole; extra columns are left out.
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -52,6 +52,8 @@ HASHES, ENOUGH = 8, 4
 ROUNDS = 1
 #: Diagonals of two texts that are verified one by one.
 DIAGONALS = 32
+#: Shingles of which windows are made at once; longer texts are split one by one.
+SLICE_SHINGLES = 1 << 15
 #: Words that a worker numbers before it starts anew.
 NUMBERED = 400_000
 #: Diagonals of one passage's windows differ by its insertions and deletions: by no more than this from one to the next.
@@ -61,6 +63,10 @@ _HASH_BITS, _REACH_BITS = 4, 16
 #: Shingles of a least passage that a similar one, which is no shorter, must have as well: r + s shingles with a Jaccard
 #: similarity of 0.8 have 4 / 9 of them in common.
 NEEDED = -(-8 * (MIN_WORDS - WIDTH + 1) // 9)
+#: Passages of so few distinct shingles are only similar to those of the same ones, at 0.8: they are linked by these, without pairs.
+FEW = 3
+#: The order of windows that are such passages.
+RUN = HASHES
 _REACH = (1 << _REACH_BITS) - 1
 _SPAN = MIN_WORDS - WIDTH + 1
 #: Classes of starts outside all known passages, and of windows themselves.
@@ -103,68 +109,139 @@ def text_windows(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return hashes[order, c].view(np.int64), packed
 
 
+def _repeats(x: np.ndarray) -> int:
+    x = np.sort(x)
+    return int(np.count_nonzero(x[1:] == x[:-1]))
+
+
+def back(x: np.ndarray) -> np.ndarray:
+    """How far before each place the same shingle stands, within a passage's length; else 0."""
+    order = np.argsort(x, kind="stable")
+    near = np.flatnonzero((x[order][1:] == x[order][:-1]) & (np.diff(order) < _SPAN))
+    out = np.zeros(len(x), np.int64)
+    out[order[near + 1]] = np.diff(order)[near]
+    return out
+
+
+def text_runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and packed windows of order RUN: where least passages have FEW distinct shingles or fewer, the starts, from place to
+    place plus reach, of those that have fewest; the key is made of their shingles."""
+    places = np.flatnonzero(gap := back(x))
+    marks = np.zeros(len(x) + 1, np.int64)  # a repeat within the passages of these starts
+    np.add.at(marks, np.maximum(places - _SPAN + 1, 0), 1)
+    np.add.at(marks, places - gap[places] + 1, -1)
+    distinct = _SPAN - np.cumsum(marks)[: len(x) - _SPAN + 1]
+    edges = np.flatnonzero(np.diff(np.concatenate(([False], distinct <= FEW, [False])).astype(np.int8)))
+    keys, spots = [], []
+    for begin, end in edges.reshape(-1, 2).tolist():
+        least = begin + np.flatnonzero(distinct[begin:end] == distinct[begin:end].min())
+        own, key = np.unique(x[least[0] : least[0] + _SPAN]), np.uint64(0)
+        for shingle in own:
+            key = mixed(shingle[None] ^ key, RUN)[0]
+        keys.append(key)
+        spots.append(RUN << 58 | int(least[0]) << 2 * _REACH_BITS | min(int(least[-1] - least[0]), _REACH))
+    return np.array(keys, np.uint64).view(np.int64), np.array(spots, np.int64)
+
+
+def many_windows(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which text, key and packed window, as text_windows gives them for each text, in another order. All trees go down level by
+    level together: a level's segments are reduced at once, each to its least hash with its place behind it."""
+    which = np.repeat(np.arange(len(texts)), [len(x) for x in texts])
+    first = np.cumsum([0, *(len(x) for x in texts)])
+    hashes = mixed(np.concatenate(texts) ^ _ORDERS, 5000)
+    bits = np.uint64(len(which).bit_length())
+    places = np.arange(len(which), dtype=np.uint64)
+    ranked = hashes >> bits << bits | places
+    for i, x in enumerate(texts):
+        if _repeats(x) > len(x) // 16:  # as in text_windows
+            own = slice(first[i], first[i + 1])
+            for order in range(HASHES):
+                ranked[order, np.lexsort((mixed(np.arange(len(x), dtype=np.uint64), order), hashes[order, own])) + first[i]] = np.arange(len(x), dtype=np.uint64) << bits
+            ranked[:, own] |= places[own]
+    flat = np.append(ranked.ravel(), np.uint64(0))
+    # segments: order, first place, number of places, and where they begin in flat
+    order, l = np.repeat(np.arange(HASHES), len(texts)), np.tile(first[:-1], HASHES)
+    n, at = np.tile(np.diff(first), HASHES), np.repeat(np.arange(HASHES) * len(which), len(texts)) + l
+    found = []
+    while (keep := n >= _SPAN).any():
+        order, l, n, at = order[keep], l[keep], n[keep], at[keep]
+        if 2 * (size := int(n.sum())) < len(flat):  # only what goes on
+            begin = np.cumsum(n) - n
+            flat, at = np.append(flat[np.arange(size) + np.repeat(at - begin, n)], np.uint64(0)), begin
+        least = np.minimum.reduceat(flat, np.stack((at, at + n), 1).ravel())[::2]
+        c = (least & (np.uint64(1) << bits) - np.uint64(1)).astype(np.int64)
+        found.append((order, l, c, l + n - 1))
+        left = c - l
+        order, l, n, at = (np.stack(x, 1).ravel() for x in ((order, order), (l, c + 1), (left, n - left - 1), (at, at + left + 1)))
+    if not found:
+        return (np.empty(0, np.int64),) * 3
+    order, l, c, r = (np.concatenate(x) for x in zip(*found, strict=True))
+    packed = order << 58 | c - first[which[c]] << 2 * _REACH_BITS | np.minimum(c - l, _REACH) << _REACH_BITS | np.minimum(r - c, _REACH)
+    return which[c], hashes[order, c].view(np.int64), packed
+
+
 def unpacked(window: int) -> tuple[int, int, int, int]:
     """order, l, c, r."""
     c = window >> 2 * _REACH_BITS & (1 << 58 - 2 * _REACH_BITS) - 1
     return window >> 58, c - (window >> _REACH_BITS & _REACH), c, c + (window & _REACH)
 
 
-def candidate_passages(meetings: list[tuple[int, int]]) -> list[tuple[int, int, int, int]]:
-    """Interval join of the windows (of a, of b) in which two texts meet: first and last start in b, and the diagonals there."""
-    by_diagonal = []
-    for window_a, window_b in meetings:
-        order, la, ca, ra = unpacked(window_a)
-        _, lb, cb, rb = unpacked(window_b)
-        # starts in b of passages of the least length that both windows hold, along the diagonal
-        d = cb - ca
-        first = max(lb, cb - _SPAN + 1, la + d)
-        last = min(cb, rb - _SPAN + 1, ra + d - _SPAN + 1)
-        if first <= last:
-            by_diagonal.append((d, first, last, order))
-    by_diagonal.sort()
-    out, begin = [], 0
-    for i in range(1, len(by_diagonal) + 1):
-        if i == len(by_diagonal) or by_diagonal[i][0] - by_diagonal[i - 1][0] > DRIFT:
-            if i - begin >= ENOUGH:
-                out += _covered(by_diagonal[begin:i])
-            begin = i
+def candidate_passages(pair: np.ndarray, of_a: np.ndarray, of_b: np.ndarray) -> np.ndarray:
+    """Interval join of the windows (of a, of b) in which the texts of each pair meet, pairs given by numbers in order: rows of
+    the pair, first and last start in b, and the diagonals there, for runs of starts that intervals of ENOUGH orders cover."""
+    order, place = of_a >> 58, (1 << 58 - 2 * _REACH_BITS) - 1
+    ca, cb = of_a >> 2 * _REACH_BITS & place, of_b >> 2 * _REACH_BITS & place
+    # starts in b of passages of the least length that both windows hold, along the diagonal
+    d = cb - ca
+    first = np.maximum(np.maximum(cb - (of_b >> _REACH_BITS & _REACH), cb - _SPAN + 1), cb - (of_a >> _REACH_BITS & _REACH))
+    last = np.minimum(np.minimum(cb, cb + (of_b & _REACH) - _SPAN + 1), cb + (of_a & _REACH) - _SPAN + 1)
+    keep = np.flatnonzero(first <= last)
+    keep = keep[np.lexsort((d[keep], pair[keep]))]
+    pair, d, first, last, order = pair[keep], d[keep], first[keep], last[keep], order[keep]
+    if not len(pair):
+        return np.empty((0, 5), np.int64)
+    group = np.cumsum(np.concatenate(([0], (np.diff(pair) > 0) | (np.diff(d) > DRIFT))))  # of diagonals that are near
+    top = int(last.max()) + 2
+    # the starts that each order covers in a group
+    own = group * HASHES + order
+    merged, low, high = _merged(own, first, last, top)
+    # where intervals of ENOUGH orders lie over each other
+    at, change = np.concatenate((merged // HASHES * top + low, merged // HASHES * top + high + 1)), np.repeat([1, -1], len(merged))
+    at, where = np.unique(at, return_inverse=True)
+    enough = np.cumsum(np.bincount(where, change, len(at)).astype(np.int64)) >= ENOUGH
+    edges = np.diff(np.concatenate(([False], enough, [False])).astype(np.int8))
+    opened, closed = at[edges[:-1] == 1], at[np.flatnonzero(edges == -1)]
+    if not len(opened):
+        return np.empty((0, 5), np.int64)
+    events = np.unique(np.concatenate((group * top + first, group * top + last + 1)))
+    latest = events[np.searchsorted(events, closed) - 1]
+    begins, ends = (np.searchsorted(group, opened // top, side) for side in ("left", "right"))
+    out = np.empty((len(opened), 5), np.int64)
+    out[:, 0], out[:, 1], out[:, 2] = pair[begins], opened % top, closed % top - 1
+    for k, (i, j, start, end) in enumerate(zip(begins.tolist(), ends.tolist(), (opened % top).tolist(), (latest % top).tolist(), strict=True)):
+        f, t, own = first[i:j], last[i:j], d[i:j]  # in order of diagonals
+        for column, x in ((3, start), (4, end)):
+            now = own[(f <= x) & (x <= t)]
+            out[k, column] = now[len(now) // 2]
     return out
 
 
-def _covered(intervals: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
-    """Runs of starts that intervals of ENOUGH orders cover."""
-    events = defaultdict(list)
-    for i, (_, first, last, _) in enumerate(intervals):
-        events[first].append((1, i))
-        events[last + 1].append((0, i))
-    active: dict[int, dict[int, int]] = defaultdict(dict)  # by order
-    out, start, diagonal = [], None, 0
-    for at in sorted(events):
-        for opens, i in sorted(events[at]):
-            d, _, _, order = intervals[i]
-            if opens:
-                active[order][i] = d
-            else:
-                del active[order][i]
-                if not active[order]:
-                    del active[order]
-        if len(active) >= ENOUGH:
-            now = sorted(d for own in active.values() for d in own.values())
-            if start is None:
-                start, diagonal = at, now[len(now) // 2]
-            last_diagonal = now[len(now) // 2]
-        elif start is not None:
-            out.append((start, at - 1, diagonal, last_diagonal))
-            start = None
-    return out
+def _merged(own: np.ndarray, first: np.ndarray, last: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Intervals of the same owner that overlap or touch, as one: owner, first, last."""
+    at = np.concatenate((own * top + first, own * top + last + 1))
+    at, where = np.unique(at, return_inverse=True)
+    open_ = np.cumsum(np.bincount(where, np.repeat([1, -1], len(own)), len(at)).astype(np.int64)) > 0
+    edges = np.diff(np.concatenate(([False], open_, [False])).astype(np.int8))
+    low, high = at[edges[:-1] == 1], at[np.flatnonzero(edges == -1)]
+    return low // top, low % top, high % top - 1
 
 
 def _similarity(x: np.ndarray, y: np.ndarray) -> float:
     """Jaccard similarity of two runs of shingles."""
-    x, y = np.unique(x), np.unique(y)
-    if not len(x) or not len(y):
+    x, y = set(x.tolist()), set(y.tolist())
+    if not x or not y:
         return 0.0
-    both = len(x) + len(y) - len(np.unique(np.concatenate((x, y))))
+    both = len(x & y)
     return both / (len(x) + len(y) - both)
 
 
@@ -306,16 +383,30 @@ def _windows(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = worker_cache(("shingler",), Shingler)
         for batch in batches:
-            ids, keys, packed = [], [], []
+            ids, texts, size = [], [], 0
+
+            def held() -> pa.RecordBatch:
+                which, key, spot = many_windows(texts)
+                runs = [(i, *text_runs(x)) for i, x in enumerate(texts) if _repeats(x) >= _SPAN - FEW]
+                if runs:
+                    which = np.concatenate((which, *(np.full(len(k), i) for i, k, _ in runs)))
+                    key, spot = np.concatenate((key, *(k for _, k, _ in runs))), np.concatenate((spot, *(w for *_, w in runs)))
+                return pa.RecordBatch.from_pydict({"key": pa.array(key), "id": pa.array(np.array(ids, np.int64)[which]), "spot": pa.array(spot)})
+
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 x = shingler.sequence(text)
-                if len(x) >= _SPAN:
-                    k, w = text_windows(x)
-                    keys.append(k)
-                    packed.append(w)
-                    ids.append(np.full(len(k), doc_id, np.int64))
+                if len(x) > SLICE_SHINGLES:
+                    key, spot = (np.concatenate(c) for c in zip(text_windows(x), text_runs(x), strict=True))
+                    yield pa.RecordBatch.from_pydict({"key": pa.array(key), "id": pa.array(np.full(len(key), doc_id, np.int64)), "spot": pa.array(spot)})
+                elif len(x) >= _SPAN:
+                    if size + len(x) > SLICE_SHINGLES:
+                        yield held()
+                        ids, texts, size = [], [], 0
+                    ids.append(doc_id)
+                    texts.append(x)
+                    size += len(x)
             if ids:
-                yield pa.RecordBatch.from_pydict({"key": pa.array(np.concatenate(keys)), "id": pa.array(np.concatenate(ids)), "spot": pa.array(np.concatenate(packed))})
+                yield held()
 
     return docs.mapInArrow(run, "key bigint, id bigint, spot bigint")
 
@@ -383,13 +474,14 @@ def _whole_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]
 
 
 def _where_covered(windows: DataFrame) -> DataFrame:
-    """The interval join within each text: windows that lie where windows of ENOUGH orders do. A text whose windows
+    """The interval join within each text: windows that lie where windows of ENOUGH orders do, and runs. A text whose windows
     are shared by chance, or over fewer words than a passage has, keeps none of them."""
     names = windows.columns
 
     def run(batches):
         for columns in _whole_texts(batches):
-            keep = covered(columns[1], columns[2])
+            keep = columns[2] >> 58 == RUN
+            keep[~keep] = covered(*(x[~keep] for x in columns[1:3]))
             yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in columns], names=names)
 
     return windows.repartition("id").sortWithinPartitions("id").mapInArrow(run, windows.schema)
@@ -415,8 +507,8 @@ def _in_classes(windows: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def _shingles_in(windows: DataFrame, texts: DataFrame) -> DataFrame:
-    """shingle, id, place, alone, again of the places that windows (id, spot, class) reach: alone if windows of no class
-    do, again if the shingle stands once more within a passage's length."""
+    """shingle, id, place, alone, again, back of the places that windows (id, spot, class) reach: alone if windows of no class
+    do, again if the shingle stands once more within a passage's length, and how far before, if it does."""
     reached = windows.groupBy("id").agg(F.collect_list("spot").alias("spots"), F.collect_list(F.col("class") == ALONE).alias("alone"))
 
     def run(batches):
@@ -431,37 +523,49 @@ def _shingles_in(windows: DataFrame, texts: DataFrame) -> DataFrame:
                 np.add.at(marks, (np.array(alone, np.int64), np.minimum(last + _SPAN, len(x))), -1)
                 held = np.cumsum(marks, axis=1)[:, :-1] > 0
                 place = np.flatnonzero(held.any(axis=0))
-                order = np.argsort(x, kind="stable")
-                near = np.flatnonzero((x[order][1:] == x[order][:-1]) & (np.diff(order) < _SPAN))
-                again = np.zeros(len(x), bool)
-                again[order[near]] = again[order[near + 1]] = True
-                out.append((x[place].view(np.int64), np.full(len(place), own), place, held[1][place], again[place]))
+                gap = back(x)
+                again = gap > 0
+                again[np.flatnonzero(gap) - gap[gap > 0]] = True
+                out.append((x[place].view(np.int64), np.full(len(place), own), place, held[1][place], again[place], gap[place]))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["shingle", "id", "place", "alone", "again"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["shingle", "id", "place", "alone", "again", "back"])
 
-    return texts.join(reached, "id").select("id", "text", "spots", "alone").mapInArrow(run, "shingle bigint, id bigint, place bigint, alone boolean, again boolean")
+    return texts.join(reached, "id").select("id", "text", "spots", "alone").mapInArrow(run, "shingle bigint, id bigint, place bigint, alone boolean, again boolean, back bigint")
 
 
 def _where_shingles_are_shared(windows: DataFrame, texts: DataFrame, folder: str) -> DataFrame:
     """Without the windows of no class at whose starts fewer shingles than a similar passage needs are in any other text
-    that windows reach: edits of a much copied text have few partners, though they share windows with all copies."""
+    that windows reach: edits of a much copied text have few partners, though they share windows with all copies. Where shingles
+    stand again, four fifths of a passage's distinct ones must be in other texts as well: a phrase over and over is one shingle."""
     held = materialize(_shingles_in(windows, texts), f"{folder}/shingles")
     shared = held.groupBy("shingle").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("shingle")
-    places = held.where("alone and not again").join(shared, "shingle", "left_semi").union(held.where("alone and again"))
-    marks = places.select(F.col("place").alias("key"), "id", F.lit(0).cast("long").alias("spot"), F.lit(NO_ISLAND).cast("long").alias("class"))
+    places = held.where("alone").join(shared.withColumn("shared", F.lit(1)), "shingle", "left").where("again or shared = 1")
+    mark = F.when(F.col("again"), F.col("back") * 4 + F.coalesce("shared", F.lit(0)) * 2 + 1).otherwise(0).cast("long")
+    marks = places.select(F.col("place").alias("key"), "id", mark.alias("spot"), F.lit(NO_ISLAND).cast("long").alias("class"))
     rows = windows.union(marks).repartition("id").sortWithinPartitions("id")
 
     def run(batches):
         for key, ids, spots, own in _whole_texts(batches):
             mark = own == NO_ISLAND
-            place, key, text, spots, own = key[mark], key[~mark], ids, spots[~mark], own[~mark]
+            place, kind, key, text, spots, own = key[mark], spots[mark], key[~mark], ids, spots[~mark], own[~mark]
             first, _, last = starts(spots)
             number = np.cumsum(np.concatenate(([0], text[1:] != text[:-1]))) * (int(max(place.max(initial=0), last.max(initial=0))) + 2 * MIN_WORDS)
-            place, number = np.sort(place + number[mark]), number[~mark]
+            place, number = place + number[mark], number[~mark]
+            again, gap = kind & 1 > 0, kind >> 2
+            repeated, told = again & (gap > 0), again & (kind & 2 > 0)
+            plain = np.sort(place[~again])
             many = last - first + 1
             window = np.repeat(np.arange(len(spots)), many)
             start = np.arange(len(window)) - np.repeat(np.cumsum(many) - many, many) + (first + number)[window]
-            enough = np.searchsorted(place, start + _SPAN) - np.searchsorted(place, start) >= NEEDED
+
+            def over(low, high):
+                """How many intervals hold each start."""
+                return np.searchsorted(np.sort(low), start, "right") - np.searchsorted(np.sort(high), start)
+
+            distinct = _SPAN - over(place[repeated] - _SPAN + 1, (place - gap)[repeated])
+            first_there = over(np.where(gap > 0, place - gap + 1, place - _SPAN + 1)[told], place[told])
+            own_count, any_again = np.searchsorted(plain, start + _SPAN) - np.searchsorted(plain, start), over(place[again] - _SPAN + 1, place[again])
+            enough = (own_count + any_again >= NEEDED) & ((any_again == 0) | (5 * (own_count + first_there) >= 4 * distinct))
             keep = (np.bincount(window[enough], minlength=len(spots)) > 0) | (own != ALONE)
             yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (key, ids[~mark], spots, own)], names=["key", "id", "spot", "class"])
 
@@ -477,6 +581,19 @@ def _in_several(windows: DataFrame) -> DataFrame:
     return (told.where(f"least < most or least = {ALONE}") if "class" in windows.columns else told).select(windows.columns)
 
 
+def _linked_runs(runs: DataFrame) -> DataFrame:
+    """Candidates of runs with the same few shingles: each with the first of its key, that of the first text also with the last."""
+    same, low, high = Window.partitionBy("key"), F.min(F.struct("id", "spot")), F.max(F.struct("id", "spot"))
+    told = runs.withColumns({"low": low.over(same), "high": high.over(same)})
+    other = F.when(F.col("id") != F.col("low.id"), F.col("low")).when(F.col("spot") != F.col("low.spot"), F.col("high"))
+    pairs = told.select("id", "spot", other.alias("other")).where("other is not null")
+    first, last = (lambda s: F.shiftright(s, 2 * _REACH_BITS).bitwiseAND((1 << 58 - 2 * _REACH_BITS) - 1)), (lambda s: s.bitwiseAND(_REACH))
+    begin, reach, a = first(F.col("spot")), last(F.col("spot")), F.col("other.spot")
+    d = begin - first(a)
+    columns = F.col("other.id").alias("a"), F.col("id").alias("b"), begin, begin + reach, d, d + reach - last(a)
+    return pairs.select(*columns[:2], *(c.cast("int").alias(n) for c, n in zip(columns[2:], ("first", "last", "d1", "d2"), strict=True)))
+
+
 _CANDIDATE = "a bigint, b bigint, first int, last int, d1 int, d2 int"
 
 
@@ -485,11 +602,11 @@ def _join_intervals(meetings: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            rows = []
-            for a, b, spots in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                rows += [(a, b, *x) for x in candidate_passages([(s["of_a"], s["of_b"]) for s in spots])]
-            columns = zip(*rows, strict=True) if rows else [()] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if i < 2 else pa.int32()) for i, c in enumerate(columns)], names=["a", "b", "first", "last", "d1", "d2"])
+            a, b, spots = batch.columns
+            met = spots.flatten()
+            pair, *found = candidate_passages(pc.list_parent_indices(spots).to_numpy().astype(np.int64), *(met.field(x).to_numpy() for x in ("of_a", "of_b"))).T
+            pair = pa.array(np.ascontiguousarray(pair))
+            yield pa.RecordBatch.from_arrays([a.take(pair), b.take(pair), *(pa.array(x.astype(np.int32)) for x in found)], names=["a", "b", "first", "last", "d1", "d2"])
 
     return meetings.where(_orders("spots") >= ENOUGH).mapInArrow(run, _CANDIDATE)
 
@@ -602,9 +719,12 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     rows = rows.join(few_or_shuffled(drop), "node", "left_anti").select(F.col("node").alias("id"), "text")
 
     met = materialize(_where_covered(_in_several(_windows(rows))), f"{folder}/met")
+    run = F.shiftright("spot", 58) == RUN
+    runs, met = met.where(run), met.where(~run)
     told, tried, found = met.withColumn("class", F.lit(ALONE).cast("long")), None, None
     for i in range(ROUNDS):
-        candidates = materialize(_meetings(told, i, f"{folder}/{i}"), f"{folder}/{i}/candidates")
+        candidates = _meetings(told, i, f"{folder}/{i}")
+        candidates = materialize(candidates if i else candidates.union(_linked_runs(runs)), f"{folder}/{i}/candidates")
         linked = materialize(_verify(candidates, _texts(rows, candidates, f"{folder}/{i}/texts")), f"{folder}/{i}/found")
         tried, found = (candidates, linked) if not i else (tried.union(candidates), found.union(linked))
         told = materialize(_in_several(_in_classes(met, _classes(found, f"{folder}/{i}"))), f"{folder}/{i}/told")
