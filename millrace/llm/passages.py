@@ -10,14 +10,14 @@ overlap on one diagonal, the texts hold a likely near-duplicate passage. It is
 extended over the words around that agree, and verified: the shingles themselves
 must have a Jaccard similarity of at least 0.8 over MIN_WORDS words or more.
 
-Within one hash's group each window first meets the windows of the text with the most
-company in all its groups and of one chosen by chance. What that verifies joins passages
-to classes. Then all windows of a group that aren't of one class meet each
-other; so the only pairs never compared are those whose passages are joined already.
-Before each meeting windows are joined as intervals within their own text: a passage
-can only be a candidate where windows of ENOUGH orders are shared, so that texts which
-have no more than a line or a phrase in common drop out and groups stay small. Before
-the second one, so do passages of which too few shingles are in any other text.
+Within one hash's group each window first meets the window of the text with the most company in all its groups. What that
+verifies joins passages to classes. Then all windows of a group that aren't of one class meet each other; so the only pairs
+never compared are those whose passages are joined already. Before each meeting windows are joined as intervals within
+their own text: a passage can only be a candidate where windows of ENOUGH orders are shared, so that texts which have no
+more than a line or a phrase in common drop out and groups stay small. Before the second one, a prefix is taken of each least
+passage: as many of its rarest shingles as a similar one can't all be without. Only the windows of texts that hold one of these
+meet its windows, those of none are left out; where very many hold it, those whose words around it are common meet it first,
+and the others only what isn't joined to their class by then.
 
 Recall: what a pair of texts shares is sought by halving what isn't similar yet, and, where their windows lie on more
 than DIAGONALS diagonals, in the region around all of them by the same halving; this can miss a passage. Of pairs of texts
@@ -65,6 +65,10 @@ _HASH_BITS, _REACH_BITS = 4, 16
 NEEDED = -(-8 * (MIN_WORDS - WIDTH + 1) // 9)
 #: Passages of so few distinct shingles are only similar to those of the same ones, at 0.8: they are linked by these, without pairs.
 FEW = 3
+#: Holders of a shingle that all meet at once; of more, first those that stand for the others.
+MANY = 16
+#: Of each class so many stand for it, the words around the shingle being different ones.
+TYPICAL = 8
 #: The order of windows that are such passages.
 RUN = HASHES
 _REACH = (1 << _REACH_BITS) - 1
@@ -315,7 +319,14 @@ class Texts:
             held = held[np.abs(held - middle) <= last - first + _SPAN + 2 * DRIFT]  # not where a shingle stands elsewhere once more
             low, high = int(held.min()), int(held.max()) + WIDTH
             begin, end = b1 + first + int(shared[0]), b1 + first + int(shared[-1]) + WIDTH
-            if min(high - low, end - begin) < MIN_WORDS:
+            if (short := MIN_WORDS - min(high - low, end - begin)) > 0:
+                if short <= _SPAN - NEEDED:  # with words beside them that differ, they can still be similar
+                    for before in range(short + 1):
+                        begins = low - before, begin - before
+                        ends = high + short - before, end + short - before
+                        if min(begins) >= 0 and ends[0] <= len(self.words[0]) and ends[1] <= len(self.words[1]) and (found := self.similarity(begins[0], ends[0], begins[1], ends[1])) >= similarity:
+                            out.append((begins[0], ends[0], begins[1], ends[1], found))
+                            break
                 return True
             if (found := self.similarity(low, high, begin, end)) >= similarity:
                 out.append(self.extended(low, high, begin, end, found))
@@ -507,69 +518,101 @@ def _in_classes(windows: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def _shingles_in(windows: DataFrame, texts: DataFrame) -> DataFrame:
-    """shingle, id, place, alone, again, back of the places that windows (id, spot, class) reach: alone if windows of no class
-    do, again if the shingle stands once more within a passage's length, and how far before, if it does."""
-    reached = windows.groupBy("id").agg(F.collect_list("spot").alias("spots"), F.collect_list(F.col("class") == ALONE).alias("alone"))
+    """shingle, id, place, class, minor, near of the places that windows (id, spot, class, minor) reach: the class of the windows
+    there, ALONE if they are of several; whether minor ones are among them; and a hash of the shingles around the place."""
+    reached = windows.groupBy("id").agg(F.collect_list(F.struct("spot", "class", "minor")).alias("windows"))
 
     def run(batches):
         shingler = worker_cache(("shingler",), Shingler)
         for batch in batches:
             out = []
-            for own, text, spots, alone in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            held = batch.column(2)
+            ends = held.offsets.to_numpy()
+            spots, classes, minor = (held.values.field(i).to_numpy(zero_copy_only=False) for i in range(3))
+            for own, text, begin, end in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True):
                 x = shingler.sequence(text)
-                first, _, last = starts(np.array(spots, np.int64))
-                marks = np.zeros((2, len(x) + 1), np.int32)
-                np.add.at(marks, (np.array(alone, np.int64), first), 1)
-                np.add.at(marks, (np.array(alone, np.int64), np.minimum(last + _SPAN, len(x))), -1)
-                held = np.cumsum(marks, axis=1)[:, :-1] > 0
-                place = np.flatnonzero(held.any(axis=0))
-                gap = back(x)
-                again = gap > 0
-                again[np.flatnonzero(gap) - gap[gap > 0]] = True
-                out.append((x[place].view(np.int64), np.full(len(place), own), place, held[1][place], again[place], gap[place]))
+                first, _, last = starts(spots[begin:end])
+                last = np.minimum(last + _SPAN, len(x))
+                of, marks = np.full((2, len(x)), NO_ISLAND), np.zeros(len(x) + 1, np.int32)
+                order = np.argsort(classes[begin:end], kind="stable")
+                for f, l, c in zip(first[order].tolist(), last[order].tolist(), classes[begin:end][order].tolist(), strict=True):
+                    of[1, f:l] = c
+                for f, l, c in zip(first[order[::-1]].tolist(), last[order[::-1]].tolist(), classes[begin:end][order[::-1]].tolist(), strict=True):
+                    of[0, f:l] = c
+                np.add.at(marks, first, minor[begin:end].astype(np.int32))
+                np.add.at(marks, last, -minor[begin:end].astype(np.int32))
+                place = np.flatnonzero(of[1] != NO_ISLAND)
+                label = np.where(of[0] == of[1], of[1], ALONE)[place]
+                sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mixed(x, 9))))
+                near = sums[np.minimum(place + _SPAN, len(x))] - sums[np.maximum(place - _SPAN + 1, 0)]
+                out.append((x[place].view(np.int64), np.full(len(place), own), place, label, np.cumsum(marks)[place] > 0, near.view(np.int64)))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["shingle", "id", "place", "alone", "again", "back"])
-
-    return texts.join(reached, "id").select("id", "text", "spots", "alone").mapInArrow(run, "shingle bigint, id bigint, place bigint, alone boolean, again boolean, back bigint")
-
-
-def _where_shingles_are_shared(windows: DataFrame, texts: DataFrame, folder: str) -> DataFrame:
-    """Without the windows of no class at whose starts fewer shingles than a similar passage needs are in any other text
-    that windows reach: edits of a much copied text have few partners, though they share windows with all copies. Where shingles
-    stand again, four fifths of a passage's distinct ones must be in other texts as well: a phrase over and over is one shingle."""
-    held = materialize(_shingles_in(windows, texts), f"{folder}/shingles")
-    shared = held.groupBy("shingle").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("shingle")
-    places = held.where("alone").join(shared.withColumn("shared", F.lit(1)), "shingle", "left").where("again or shared = 1")
-    mark = F.when(F.col("again"), F.col("back") * 4 + F.coalesce("shared", F.lit(0)) * 2 + 1).otherwise(0).cast("long")
-    marks = places.select(F.col("place").alias("key"), "id", mark.alias("spot"), F.lit(NO_ISLAND).cast("long").alias("class"))
-    rows = windows.union(marks).repartition("id").sortWithinPartitions("id")
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["shingle", "id", "place", "class", "minor", "near"])
+
+    return texts.join(reached, "id").select("id", "text", "windows").mapInArrow(run, "shingle bigint, id bigint, place bigint, class bigint, minor boolean, near bigint")
+
+
+def rarest(shingles: np.ndarray, others: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of least passages that begin at these places: which of them can be similar to another, and the places of the shingles of which
+    another has to have one. A similar one has all but so few of the distinct shingles that, of any one more than these, it has
+    one; taken are those that the fewest others have. Passages with that many which no other has (others: 0) are like none.
+    A place that isn't known has a shingle of its own."""
+    order = np.lexsort((shingles, others))
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.cumsum(np.concatenate(([0], (np.diff(shingles[order]) != 0) | (np.diff(others[order]) != 0))))
+    live = int(rank[others > 0].min(initial=len(order)))
+    rank = np.append(rank, np.full(_SPAN, len(order)))
+    alive, taken = np.zeros(len(begins), bool), np.zeros(len(rank), bool)
+    for i in range(0, len(begins), 1 << 14):
+        begin = begins[i : i + (1 << 14)]
+        held = np.lib.stride_tricks.sliding_window_view(rank, _SPAN)[begin]
+        in_order = np.sort(held, axis=1)
+        number = np.cumsum(np.concatenate((np.ones((len(begin), 1), np.int64), np.diff(in_order, axis=1) > 0), axis=1), axis=1)
+        distinct = number[:, -1]
+        needed = np.where(distinct == _SPAN, _SPAN - NEEDED, distinct // 5) + 1
+        last = in_order[np.arange(len(begin)), (number < needed[:, None]).sum(axis=1)]
+        alive[i : i + len(begin)] = on = last >= live
+        chosen = (held >= live) & (held <= last[:, None]) & on[:, None]
+        taken[(begin[:, None] + np.arange(_SPAN))[chosen]] = True
+    return alive, np.flatnonzero(taken[: len(order)])
+
+
+def _with_rarest(windows: DataFrame, held: DataFrame) -> DataFrame:
+    """The windows (key, id, spot, class, minor) without the minor ones at whose starts too few shingles are in another text that
+    windows of another class or of none reach; and rows of kind 2, (shingle, id, place, class): of those of which a similar passage has to
+    have one, with the number of their holders in n. Every start of a minor window that stays has all of these."""
+    per = held.groupBy("shingle").agg(F.count(F.lit(1)).alias("all"), F.min("id").alias("low"), F.max("id").alias("high"), F.min("class").alias("least"), F.max("class").alias("most"))
+    nobody = (F.col("low") == F.col("high")) | (F.col("least") == F.col("most")) & (F.col("least") != ALONE)
+    per = per.select("shingle", F.when(nobody, 0).otherwise(F.col("all") - 1).alias("n"))
+    marks = held.where("minor").select("shingle", "id", "place", "class").join(per, "shingle")
+    marks = marks.select(F.col("shingle").alias("key"), "id", F.col("place").alias("spot"), "class", F.lit(2).alias("kind"), "n")
+    rows = windows.select("key", "id", "spot", "class", F.col("minor").cast("int").alias("kind"), F.lit(0).cast("long").alias("n"))
+    rows = rows.union(marks).repartition("id").sortWithinPartitions("id")
 
     def run(batches):
-        for key, ids, spots, own in _whole_texts(batches):
-            mark = own == NO_ISLAND
-            place, kind, key, text, spots, own = key[mark], spots[mark], key[~mark], ids, spots[~mark], own[~mark]
-            first, _, last = starts(spots)
-            number = np.cumsum(np.concatenate(([0], text[1:] != text[:-1]))) * (int(max(place.max(initial=0), last.max(initial=0))) + 2 * MIN_WORDS)
-            place, number = place + number[mark], number[~mark]
-            again, gap = kind & 1 > 0, kind >> 2
-            repeated, told = again & (gap > 0), again & (kind & 2 > 0)
-            plain = np.sort(place[~again])
-            many = last - first + 1
-            window = np.repeat(np.arange(len(spots)), many)
-            start = np.arange(len(window)) - np.repeat(np.cumsum(many) - many, many) + (first + number)[window]
-
-            def over(low, high):
-                """How many intervals hold each start."""
-                return np.searchsorted(np.sort(low), start, "right") - np.searchsorted(np.sort(high), start)
-
-            distinct = _SPAN - over(place[repeated] - _SPAN + 1, (place - gap)[repeated])
-            first_there = over(np.where(gap > 0, place - gap + 1, place - _SPAN + 1)[told], place[told])
-            own_count, any_again = np.searchsorted(plain, start + _SPAN) - np.searchsorted(plain, start), over(place[again] - _SPAN + 1, place[again])
-            enough = (own_count + any_again >= NEEDED) & ((any_again == 0) | (5 * (own_count + first_there) >= 4 * distinct))
-            keep = (np.bincount(window[enough], minlength=len(spots)) > 0) | (own != ALONE)
-            yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (key, ids[~mark], spots, own)], names=["key", "id", "spot", "class"])
-
-    return rows.mapInArrow(run, windows.schema)
+        for key, ids, spots, own, kind, n in _whole_texts(batches):
+            mark, minor = kind == 2, kind == 1
+            keep = kind == 0
+            if minor.any():
+                first, _, last = starts(spots[minor])
+                text = np.cumsum(np.concatenate(([0], ids[1:] != ids[:-1])))
+                size = np.zeros(int(text[-1]) + 1, np.int64)
+                np.maximum.at(size, text[mark], spots[mark] + 1)
+                np.maximum.at(size, text[minor], last + _SPAN)
+                base = np.concatenate(([0], np.cumsum(size)))
+                at = base[text[mark]] + spots[mark]
+                shingles, others, row = np.arange(base[-1]), np.zeros(base[-1], np.int64), np.full(base[-1], -1)
+                shingles[at], others[at], row[at] = key[mark], n[mark], np.flatnonzero(mark)
+                many = last - first + 1
+                window = np.repeat(np.arange(len(first)), many)
+                start = np.arange(len(window)) - np.repeat(np.cumsum(many) - many, many) + (first + base[text[minor]])[window]
+                begins, which = np.unique(start, return_inverse=True)
+                alive, taken = rarest(shingles, others, begins)
+                keep[np.flatnonzero(minor)[np.bincount(window[alive[which]], minlength=len(first)) > 0]] = True
+                keep[row[taken]] = True
+            yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (key, ids, spots, own, kind, n)], names=["key", "id", "spot", "class", "kind", "n"])
+
+    return rows.mapInArrow(run, rows.schema)
 
 
 def _in_several(windows: DataFrame) -> DataFrame:
@@ -668,17 +711,53 @@ def _classes(found: DataFrame, folder: str) -> DataFrame:
     return materialize(islands.join(parts, "node", "left").select("id", "begin", "end", F.coalesce("component", "node").alias("class")), f"{folder}/classes")
 
 
-def _between_classes(told: DataFrame, rows: DataFrame, folder: str) -> tuple[DataFrame, DataFrame]:
-    """Candidates among all windows of a group that aren't of one class, and the texts that they are of. Windows at whose
-    starts too few orders or too few shingles are shared are left out first, so that groups shrink to what can still
-    make a passage. The class with most windows in a group isn't joined with itself."""
-    ids = materialize(told.select("id").distinct(), f"{folder}/told-ids")
-    texts = materialize(rows.join(few_or_shuffled(ids), "id", "left_semi").dropDuplicates(["id"]), f"{folder}/told-texts")
-    kept = _in_several(_where_shingles_are_shared(told, texts, folder))
-    apart = materialize(_in_several(_where_covered(kept)), f"{folder}/apart")
-    major = apart.where(F.col("class") != ALONE).groupBy("key", "class").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max(F.struct("n", "class")).alias("most"))
-    sides = apart.join(major.select("key", F.col("most.class").alias("major")), "key", "left")
+def _sides_apart(told: DataFrame, rows: DataFrame, folder: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """The windows of groups of several classes, with minor: all but those of the class with most windows in a group, which isn't
+    joined with itself; the rarest shingles of minor ones (shingle, id, place, class, n); who holds these; and the texts. Minor
+    windows at whose starts too few orders or too few shingles are shared are left out first."""
+    major = told.where(F.col("class") != ALONE).groupBy("key", "class").agg(F.count(F.lit(1)).alias("n")).groupBy("key").agg(F.max(F.struct("n", "class")).alias("most"))
+    sides = told.join(major.select("key", F.col("most.class").alias("major")), "key", "left")
     sides = materialize(sides.withColumn("minor", F.coalesce(F.col("class") != F.col("major"), F.lit(True))).drop("major"), f"{folder}/sides")
+    ids = materialize(sides.select("id").distinct(), f"{folder}/told-ids")
+    texts = materialize(rows.join(few_or_shuffled(ids), "id", "left_semi").dropDuplicates(["id"]), f"{folder}/told-texts")
+    held = materialize(_shingles_in(sides, texts), f"{folder}/shingles")
+    kept = materialize(_with_rarest(sides, held), f"{folder}/rarest")
+    rare = kept.where("kind = 2").select(F.col("key").alias("shingle"), "id", F.col("spot").alias("place"), "class", "n")
+    holders = materialize(held.join(few_or_shuffled(rare.select("shingle").distinct()), "shingle", "left_semi").drop("minor"), f"{folder}/holders-of-rarest")
+    return kept.where("kind < 2").select("key", "id", "spot", "class", (F.col("kind") == 1).alias("minor")), rare, holders, texts
+
+
+def _first_pairs(rare: DataFrame, holders: DataFrame) -> DataFrame:
+    """id, other: the texts with minor windows and those that hold one of their rarest shingles; of very many holders of a shingle
+    only a few of two classes, around which the words are those that most have."""
+    other = holders.select("shingle", F.col("id").alias("other"), F.col("class").alias("other_class"))
+    alike = holders.groupBy("shingle", "class", "near").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("id"))
+    alike = alike.withColumn("i", F.row_number().over(Window.partitionBy("shingle", "class").orderBy(F.desc("n"), F.desc("id")))).where(f"i <= {TYPICAL}")
+    alike = alike.withColumn("best", F.max("n").over(Window.partitionBy("shingle", "class")))
+    alike = alike.withColumn("i", F.dense_rank().over(Window.partitionBy("shingle").orderBy(F.desc("best"), "class"))).where("i <= 2")
+    typical = alike.select("shingle", F.col("id").alias("other"), F.col("class").alias("other_class"))
+    met = rare.where(F.col("n") <= MANY).join(other, "shingle").unionByName(rare.where(F.col("n") > MANY).join(typical, "shingle"))
+    return met.where(f"id <> other and (class = {ALONE} or class <> other_class)").select("id", "other").distinct()
+
+
+def _further_pairs(rare: DataFrame, holders: DataFrame, classes: DataFrame) -> DataFrame:
+    """id, other: all holders of the rarest shingles that very many hold, but for places within passages of one class."""
+    rare = rare.where(F.col("n") > MANY)
+    inside = (F.col("p.id") == F.col("c.id")) & F.col("p.place").between(F.col("c.begin"), F.col("c.end") - WIDTH)
+
+    def told(rows: DataFrame, name: str) -> DataFrame:
+        rows = rows.select("shingle", "id", "place").alias("p").join(classes.alias("c"), inside, "left")
+        return rows.select("p.shingle", F.col("p.id").alias(name), F.coalesce("c.class", F.lit(ALONE)).alias(f"{name}_class"))
+
+    mine = told(rare, "id").distinct()
+    # of the holders of a shingle, those of the one class that all of its minor ones are of take no part
+    limits = mine.groupBy("shingle").agg(F.min("id_class").alias("least"), F.max("id_class").alias("most"))
+    other = told(holders, "other").distinct().join(limits, "shingle").where(f"least < most or least = {ALONE} or other_class <> least")
+    return mine.join(other, "shingle").where(f"id <> other and (id_class = {ALONE} or id_class <> other_class)").select("id", "other").distinct()
+
+
+def _between(pairs: DataFrame, sides: DataFrame) -> DataFrame:
+    """Candidates among the windows of pairs (id, other) of texts that share a key and aren't of one class."""
 
     def parts(s: str):
         c = F.shiftright(f"{s}.spot", 2 * _REACH_BITS).bitwiseAND((1 << 58 - 2 * _REACH_BITS) - 1)
@@ -687,12 +766,11 @@ def _between_classes(told: DataFrame, rows: DataFrame, folder: str) -> tuple[Dat
     (la, ca, ra), (lb, cb, rb) = parts("l"), parts("r")
     d = cb - ca  # as in candidate_passages
     aligned = F.greatest(lb, cb - _SPAN + 1, la + d) <= F.least(cb, rb - _SPAN + 1, ra + d - _SPAN + 1)
-    once = F.when(F.col("r.minor"), F.col("l.id") < F.col("r.id")).otherwise(F.col("l.id") != F.col("r.id"))
-    meet = (F.col("l.key") == F.col("r.key")) & once & ((F.col("l.class") != F.col("r.class")) | (F.col("l.class") == ALONE))
-    met = sides.where("minor").alias("l").join(sides.alias("r"), meet & aligned)
+    meet = (F.col("l.key") == F.col("r.key")) & (F.col("l.other") == F.col("r.id")) & ((F.col("l.class") != F.col("r.class")) | (F.col("l.class") == ALONE))
+    met = sides.where("minor").join(pairs, "id").alias("l").join(sides.alias("r"), meet & aligned)
     of_a, of_b = (F.when(F.col("l.id") < F.col("r.id"), F.col(x)).otherwise(F.col(y)) for x, y in (("l.spot", "r.spot"), ("r.spot", "l.spot")))
     pairs = met.groupBy(F.least("l.id", "r.id").alias("a"), F.greatest("l.id", "r.id").alias("b"))
-    return _join_intervals(pairs.agg(F.collect_set(F.struct(of_a.alias("of_a"), of_b.alias("of_b"))).alias("spots"))), texts
+    return _join_intervals(pairs.agg(F.collect_set(F.struct(of_a.alias("of_a"), of_b.alias("of_b"))).alias("spots")))
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -723,31 +801,29 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     runs, met = met.where(run), met.where(~run)
     told, tried, found = met.withColumn("class", F.lit(ALONE).cast("long")), None, None
     for i in range(ROUNDS):
-        candidates = _meetings(told, i, f"{folder}/{i}")
+        candidates = _meetings(told, f"{folder}/{i}")
         candidates = materialize(candidates if i else candidates.union(_linked_runs(runs)), f"{folder}/{i}/candidates")
         linked = materialize(_verify(candidates, _texts(rows, candidates, f"{folder}/{i}/texts")), f"{folder}/{i}/found")
         tried, found = (candidates, linked) if not i else (tried.union(candidates), found.union(linked))
         told = materialize(_in_several(_in_classes(met, _classes(found, f"{folder}/{i}"))), f"{folder}/{i}/told")
-    candidates, texts = _between_classes(told, rows, folder)
-    candidates = materialize(candidates.join(tried, candidates.columns, "left_anti"), f"{folder}/candidates")
-    found = materialize(found.union(materialize(_verify(candidates, texts), f"{folder}/found")).distinct(), f"{folder}/all")
+    sides, rare, holders, texts = _sides_apart(told, rows, folder)
+    first = materialize(_first_pairs(rare, holders), f"{folder}/first-pairs")
+    candidates = materialize(_between(first, sides).join(tried, candidates.columns, "left_anti"), f"{folder}/candidates")
+    found = materialize(found.union(_verify(candidates, texts)).distinct(), f"{folder}/found")
+    further = _further_pairs(rare, holders, _classes(found, f"{folder}/between")).join(first, ["id", "other"], "left_anti")
+    further = materialize(_between(materialize(further, f"{folder}/further-pairs"), sides).join(tried, candidates.columns, "left_anti"), f"{folder}/further")
+    found = materialize(found.union(_verify(further, texts)).distinct(), f"{folder}/all")
     return _reported(found, _classes(found, f"{folder}/last"), owners, rows, folder)
 
 
-def _meetings(told: DataFrame, seed: int, folder: str) -> DataFrame:
-    """Candidates among windows (key, id, spot, class) and one or two others of their group: one by chance, the same in all
-    groups that have it, and at first that of the text with the most company over all its windows, such as the one that
-    others are edits of."""
+def _meetings(told: DataFrame, folder: str) -> DataFrame:
+    """Candidates among windows (key, id, spot, class) and one other of their group: that of the text with the most company over
+    all its windows, such as the one that others are edits of."""
     same = Window.partitionBy("key")
-    pick = lambda *order: F.max(F.struct(*order, F.xxhash64("id", F.lit(seed)).alias("by"), "id", "spot", "class")).over(same)
-    others = {"chance": pick()}
-    if not seed:
-        company = told.withColumn("members", F.count(F.lit(1)).over(same)).groupBy("id").agg(F.sum("members").alias("company"))
-        told = told.join(materialize(company, f"{folder}/company"), "id")
-        others["most"] = pick("company")
-    told = told.withColumns(others)
-    other = F.explode(F.array_distinct(F.array(*[F.struct(*[F.col(f"{c}.{x}").alias(x) for x in ("id", "spot", "class")]) for c in others])))
-    meet = told.select("id", "spot", "class", other.alias("other")).where(f"other.id <> id and (other.class <> class or class = {ALONE})")
+    company = told.withColumn("members", F.count(F.lit(1)).over(same)).groupBy("id").agg(F.sum("members").alias("company"))
+    told = told.join(materialize(company, f"{folder}/company"), "id")
+    told = told.withColumn("other", F.max(F.struct("company", F.xxhash64("id").alias("by"), "id", "spot", "class")).over(same))
+    meet = told.where(f"other.id <> id and (other.class <> class or class = {ALONE})")
     pairs = meet.groupBy(F.col("other.id").alias("a"), F.col("id").alias("b"))
     return _join_intervals(pairs.agg(F.collect_set(F.struct(F.col("other.spot").alias("of_a"), F.col("spot").alias("of_b"))).alias("spots")))
 

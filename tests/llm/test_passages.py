@@ -65,3 +65,50 @@ def test_repetitive_passages_meet_in_pairs_of_a_number_like_theirs(spark, monkey
     found = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
     assert {r.doc_id for r in found} == set(range(40)) and {(r.class_id, r.class_docs) for r in found} == {("0:30", 40)}
     assert sum(pairs) <= 5 * 80
+
+
+def test_passages_with_other_words_at_their_ends():
+    """49 words and one more that differs: 45 of 47 shingles of the passages of 50 words are the same."""
+    shared = [b"s%d" % i for i in range(49)]
+    a, b = ([b"%s%d" % (side, i) for i in range(60)] + shared + [b"%s%d" % (side, i) for i in range(60, 120)] for side in (b"a", b"b"))
+    ((a1, a2, b1, b2, similarity),) = passages.verified(a, b, 55, 65, 0, 0)
+    assert (a2 - a1, b2 - b1) == (50, 50) and a1 == b1 and a1 in (59, 60) and similarity == 45 / 47
+    assert not passages.verified(a[:60] + shared[:44] + a[109:], b[:60] + shared[:44] + b[109:], 55, 65, 0, 0)
+
+
+def test_rarest_shingles_leave_no_similar_passage_out():
+    """Any passage with 41 shingles of a least one has one of those taken; where more than five are nobody's, it is like none."""
+    rnd = random.Random(6)
+    for _ in range(60):
+        own = np.arange(46) if rnd.random() < 0.7 else np.array([rnd.randrange(20) for _ in range(46)])
+        others = np.array([rnd.choice([0, 1, 2, 900, 900, 900, 900, 900]) for _ in range(46)])[own]
+        alive, taken = passages.rarest(own, others, np.array([0]))
+        distinct = len(set(own.tolist()))
+        lacking = 5 if distinct == 46 else distinct // 5
+        nobody = set(own[others == 0].tolist())
+        assert alive.tolist() == [len(nobody) <= lacking]
+        if alive[0]:
+            assert len(set(own[taken].tolist())) + len(nobody) == lacking + 1 and not set(own[taken].tolist()) & nobody
+
+
+def test_many_edits_of_one_text_meet_few_others(spark, monkeypatch):
+    """Edits of one text, some unlike it at most places: all that have a least passage of it are of its class, without the pairs of all."""
+    verify, pairs = passages._verify, []
+
+    def counted(candidates, texts):
+        pairs.append(candidates.select("a", "b").distinct().count())
+        return verify(candidates, texts)
+
+    monkeypatch.setattr(passages, "_verify", counted)
+    rnd, base, rows, like = random.Random(9), [f"b{j}" for j in range(160)], [(0, " ".join(f"b{j}" for j in range(160)))], {0}
+    for i in range(1, 240):
+        text = list(base)
+        for at in (places := rnd.sample(range(160), rnd.randrange(2, 6))):
+            text[at] = f"e{i}x{at}"
+        if max(np.diff(sorted([-1, *places, 160]))) > 50:
+            like.add(i)
+        rows.append((i, " ".join(text)))
+    found = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    (largest,) = {r.class_id for r in found if r.class_docs == max(r.class_docs for r in found)}
+    assert len(like - {r.doc_id for r in found if r.class_id == largest}) <= 0.02 * len(like)
+    assert sum(pairs) <= 12 * 240
