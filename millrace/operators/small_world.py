@@ -4,7 +4,8 @@ Vectors are dealt to shards by a hash. A shard's task builds a graph: each vecto
 each of its layers it is linked to near ones that came before it, chosen so that no link is better served by another one, and
 these link back. The index is a table of rows, one per vector, with its shard, its layer and its links, so that it
 is stored, read and dropped like any other; new vectors are new shards. A search streams all queries over each shard: it descends the
-layers greedily and keeps the EF_SEARCH best on the lowest. Shards' results are scored in double precision
+layers greedily and keeps the EF_SEARCH best on the lowest, or as many more as the shard needs: its task measures at the build,
+against exact answers, how wide a search has to be, and the index says so. Shards' results are scored in double precision
 from the original vectors and merged by query.
 
 Equal vectors of a shard are one vector of its graph: the first by id is linked, the others are rows that name it (layer -1), and an
@@ -25,6 +26,8 @@ from pyspark.sql import functions as F
 
 #: Links per vector and layer (twice as many on the lowest), candidates for them, and candidates of a search.
 M, EF_CONSTRUCTION, EF_SEARCH = 16, 200, 50
+#: What a shard's searches are to find of the NEAREST nearest ones: measured on MEASURED of its vectors, each as if it weren't there.
+RECALL, NEAREST, MEASURED = 0.95, 10, 128
 #: Vectors of a shard, all of which its task holds.
 SHARD_ROWS = 20_000
 _BLOCK = 256
@@ -85,8 +88,22 @@ class Graph:
                         links[other][layer] = back if len(back) <= most else _diverse(vectors[back] @ vectors[other], vectors, back, most)
         return cls(vectors, layers, links)
 
-    def search(self, query: np.ndarray, k: int, ef: int = EF_SEARCH) -> list[int]:
-        """Places of about the k nearest, nearest first."""
+    def breadth(self, k: int = NEAREST, least: int = EF_SEARCH) -> int:
+        """The first ef of least, twice that and so on whose searches find RECALL of the k nearest, or all vectors."""
+        low, k, ef = np.flatnonzero((self.layers == 0) & (np.arange(len(self.x)) != self.entry)), min(k, len(self.x) - 1), least
+        sample = low[np.unique(np.linspace(0, len(low) - 1, MEASURED).astype(np.int64))] if len(low) else low
+        near = self.x[sample] @ self.x.T
+        near[np.arange(len(sample)), sample] = -np.inf
+        last = np.partition(near, -k, axis=1)[:, -k] if len(sample) else near
+        while ef < len(self.x):
+            found = sum(int((near[i, self.search(self.x[place], k, ef, place)] >= last[i] - 1e-9).sum()) for i, place in enumerate(sample.tolist()))
+            if found >= RECALL * k * len(sample):
+                break
+            ef *= 2
+        return ef
+
+    def search(self, query: np.ndarray, k: int, ef: int = EF_SEARCH, without: int | None = None) -> list[int]:
+        """Places of about the k nearest, nearest first; without: a place of the lowest layer that isn't to be met."""
         if self.entry < 0:
             return []
         at, near = self.entry, float(self.x[self.entry] @ query)
@@ -100,6 +117,8 @@ class Graph:
         ef = max(ef, k)
         self._turn += 1
         self._seen[at] = self._turn
+        if without is not None:
+            self._seen[without] = self._turn
         todo, kept = [(-near, at)], [(near, at)]
         while todo:
             minus, at = heapq.heappop(todo)
@@ -127,8 +146,8 @@ def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
 
 
 def build_index(vectors: DataFrame, shard_rows: int = SHARD_ROWS, first_shard: int = 0, m: int = M, ef: int = EF_CONSTRUCTION) -> DataFrame:
-    """dim, shard, place, id, vector, layer, links of vectors (id, vector). Shards are numbered from first_shard, so that an
-    index can be appended to another one."""
+    """dim, shard, place, id, vector, layer, links, breadth (of its shard's searches) of vectors (id, vector). Shards are numbered
+    from first_shard, so that an index can be appended to another one."""
     rows = vectors.where(F.col("vector").isNotNull() & (F.size("vector") > 0)).select("id", F.col("vector").cast("array<double>").alias("vector"))
     shards = max(1, -(-rows.count() // shard_rows))
     dealt = rows.withColumn("dim", F.size("vector")).withColumn("shard", (F.pmod(F.xxhash64("id"), F.lit(shards)) + first_shard).cast("int"))
@@ -145,24 +164,24 @@ def build_index(vectors: DataFrame, shard_rows: int = SHARD_ROWS, first_shard: i
         links = pa.array([[x.tolist() for x in own] for own in graph.links] + [[[i]] for i in np.searchsorted(firsts, own[copies]).tolist()], nested)
         group = group.take(pa.array(np.r_[firsts, copies]))
         layers = pa.array(np.r_[graph.layers, np.full(len(copies), -1)], pa.int32())
-        return pa.table({"dim": group.column("dim"), "shard": group.column("shard"), "place": pa.array(range(len(group)), pa.int32()), "id": group.column("id"), "vector": group.column("vector"), "layer": layers, "links": links})
+        return pa.table({"dim": group.column("dim"), "shard": group.column("shard"), "place": pa.array(range(len(group)), pa.int32()), "id": group.column("id"), "vector": group.column("vector"), "layer": layers, "links": links, "breadth": pa.array([graph.breadth()] * len(group), pa.int32())})
 
-    return dealt.groupBy("dim", "shard").applyInArrow(run, f"dim int, shard int, place int, id {kind}, vector array<double>, layer int, links array<array<int>>")
+    return dealt.groupBy("dim", "shard").applyInArrow(run, f"dim int, shard int, place int, id {kind}, vector array<double>, layer int, links array<array<int>>, breadth int")
 
 
 def search_index(index: DataFrame, queries: DataFrame, k: int, ef: int = EF_SEARCH) -> DataFrame:
     """query_id, id, score (cosine), rank of about the k nearest to each query (query_id, query_vector). Each shard's task
-    reads its rows and then all queries as they come."""
+    reads its rows and then all queries as they come. A search keeps ef candidates, or more where its shard needs them."""
     shards = index.select("dim", "shard").distinct()
     kinds = dict(index.dtypes)["id"], dict(queries.dtypes)["query_id"]
-    none = {c: F.lit(None).cast(t) for c, t in (("id", kinds[0]), ("layer", "int"), ("links", "array<array<int>>"), ("query_id", kinds[1]), ("place", "int"))}
-    own = index.select("dim", "shard", F.lit(0).alias("kind"), "place", "id", none["query_id"].alias("query_id"), "vector", "layer", "links")
+    none = {c: F.lit(None).cast(t) for c, t in (("id", kinds[0]), ("layer", "int"), ("links", "array<array<int>>"), ("query_id", kinds[1]), ("place", "int"), ("breadth", "int"))}
+    own = index.select("dim", "shard", F.lit(0).alias("kind"), "place", "id", none["query_id"].alias("query_id"), "vector", "layer", "links", "breadth")
     asked = queries.where(F.col("query_vector").isNotNull()).withColumn("dim", F.size("query_vector")).join(shards, "dim")
-    asked = asked.select("dim", "shard", F.lit(1).alias("kind"), none["place"].alias("place"), none["id"].alias("id"), "query_id", F.col("query_vector").cast("array<double>").alias("vector"), none["layer"].alias("layer"), none["links"].alias("links"))
+    asked = asked.select("dim", "shard", F.lit(1).alias("kind"), none["place"].alias("place"), none["id"].alias("id"), "query_id", F.col("query_vector").cast("array<double>").alias("vector"), none["layer"].alias("layer"), none["links"].alias("links"), none["breadth"].alias("breadth"))
     meet = own.union(asked).repartition("dim", "shard").sortWithinPartitions("dim", "shard", "kind", "place")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, parts, graph, ids, exact, copies = None, [], None, [], None, {}
+        at, parts, graph, ids, exact, copies, wide = None, [], None, [], None, {}, ef
         for batch in batches:
             dims, numbers, kind = (batch.column(c).to_numpy() for c in ("dim", "shard", "kind"))
             edges = np.flatnonzero(np.r_[True, (dims[1:] != dims[:-1]) | (numbers[1:] != numbers[:-1]) | (kind[1:] != kind[:-1])])
@@ -179,12 +198,13 @@ def search_index(index: DataFrame, queries: DataFrame, k: int, ef: int = EF_SEAR
                     layers, links = rows.column("layer").to_numpy(), rows.column("links").to_pylist()
                     linked = int((layers >= 0).sum())
                     graph = Graph(exact[:linked], layers[:linked], [[np.array(x, np.int64) for x in own] for own in links[:linked]])
+                    wide = max(ef, rows.column("breadth")[0].as_py() * max(k, NEAREST) // NEAREST)
                     parts, copies = [], {}
                     for place in range(linked, len(links)):
                         copies.setdefault(links[place][0][0], []).append(place)
                 asked, places, scores = [], [], []
                 for i, q in enumerate(unit(_matrix(piece.column("vector")))):
-                    found = graph.search(q, k, ef)
+                    found = graph.search(q, k, wide)
                     if copies:
                         found = [x for place in found for x in (place, *copies.get(place, [])[: k - 1])][:k]
                     asked += [i] * len(found)

@@ -53,3 +53,14 @@ def test_copies(spark):
     assert index.count() == 1600 and index.where("layer >= 0").count() <= 40 * index.select("shard").distinct().count()
     pick = lambda found: sorted((r.query_id, r["rank"], r.id) for r in found.collect())
     assert pick(S.search_index(index, asked, 50)) == pick(Q.vector_batch_top(vectors, asked, 50))
+
+
+def test_search_as_wide_as_its_shard_needs(spark):
+    """Vectors of many dimensions without groups: a search of EF_SEARCH candidates finds less than 0.9 of the nearest."""
+    rnd = np.random.default_rng(9)
+    vectors = spark.createDataFrame([(i, rnd.normal(size=128).tolist()) for i in range(2200)], "id long, vector array<double>")
+    asked = spark.createDataFrame([(i, rnd.normal(size=128).tolist()) for i in range(60)], "query_id long, query_vector array<double>")
+    index = S.build_index(vectors)
+    assert index.select("breadth").distinct().count() == 1 and index.first().breadth > S.EF_SEARCH
+    pick = lambda found: {(r.query_id, r.id) for r in found.collect()}
+    assert len(pick(S.search_index(index, asked, 10)) & pick(Q.vector_batch_top(vectors, asked, 10))) >= 0.9 * 600
