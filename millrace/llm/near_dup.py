@@ -13,8 +13,9 @@ two segments. A set whose cheap segments don't suffice is indexed under a second
 hashing as well, and so on; empty contents are indexed under the last only.
 
 Candidates become links only if the shingles themselves, words compared, have
-100 * intersection >= 80 * union. Equal sets are one class from the start: found by
-fingerprints, and compared by words as well. Within
+100 * intersection >= 80 * union. Before their texts are fetched, sketches as wide as the sets leave out
+what can't reach that. Equal sets are one class from the start: found by fingerprints, and compared by
+words as well, or by SHA-256 of all words in order. Within
 an index entry every member is compared with the most central one; then members of one
 entry that are still in different components are compared with each other. That
 leaves out only pairs whose components are one already, so components are exact.
@@ -34,16 +35,16 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, shared_dir, small_batches, with_columns_of, worker_cache
+from .common import SPACE, ascii_lower_col, materialize, shared_dir, small_batches, with_columns_of, worker_cache
 from .shingles import Shingler, components, exact_shingles, mixed
 
 #: Counters of shingles, by hash; those HOT times over the mean mark shingles that many documents have.
 #: A task reports only what stands out in it; the order that they give needn't be exact, only the same for all.
 COUNTERS, HOT = 1 << 20, 4
-#: 64-bit words of a sketch.
+#: 64-bit words of a sketch; sets of more shingles than bits have a wide one besides, of a bit or more for each shingle.
 SKETCH = 8
 #: Hashings that a set tries before it indexes empty segments.
 HASHINGS = 4
@@ -143,8 +144,28 @@ def parity_sketch(x: np.ndarray) -> np.ndarray:
     return np.packbits(bits.astype(bool), bitorder="little").view(np.int64)
 
 
+def wide_sketch(x: np.ndarray) -> bytes | None:
+    """Parities as in parity_sketch(), in the least doubling of its bits that isn't below the number of shingles; null if that is none."""
+    bits = 64 * SKETCH << max(0, (max(len(x), 1) - 1) // (64 * SKETCH)).bit_length()
+    if bits == 64 * SKETCH:
+        return None
+    counts = np.bincount((mixed(x, 999) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(counts.astype(bool), bitorder="little").tobytes()
+
+
+def bits_apart(x: bytes, y: bytes) -> int:
+    """In how many bits wide sketches differ; the wider one is folded to the other's width."""
+    sizes, p, q = [len(x), len(y)], int.from_bytes(x, "little"), int.from_bytes(y, "little")
+    if sizes[0] < sizes[1]:
+        sizes, p, q = sizes[::-1], q, p
+    while sizes[0] > sizes[1]:
+        sizes[0] //= 2
+        p = p >> 8 * sizes[0] ^ p & (1 << 8 * sizes[0]) - 1
+    return (p ^ q).bit_count()
+
+
 def _profile(docs: DataFrame) -> DataFrame:
-    """docs: id, text, print. Per document: bucket null, id, print, n, a fingerprint of its set and its sketch; per task: bucket and how many shingles fell there."""
+    """docs: id, text, print. Per document: bucket null, id, print, n, a fingerprint of its set and its sketches; per task: bucket and how many shingles fell there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = worker_cache(("shingler",), Shingler)
@@ -160,13 +181,13 @@ def _profile(docs: DataFrame) -> DataFrame:
                 with np.errstate(over="ignore"):
                     sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mixed(every, seed), dtype=np.uint64)))[np.concatenate(([0], ends)).astype(np.int64)]
                     prints.append(np.diff(sums).view(np.int64))
-            yield pa.RecordBatch.from_pydict({"bucket": pa.nulls(n, pa.int32()), "doc_id": batch.column(0), "print": batch.column(2), "n": pa.array(map(len, sets), pa.int64()), "print_a": pa.array(prints[0]), "print_b": pa.array(prints[1]), "sketch": pa.array(list(map(parity_sketch, sets)), pa.list_(pa.int64()))})
+            yield pa.RecordBatch.from_pydict({"bucket": pa.nulls(n, pa.int32()), "doc_id": batch.column(0), "print": batch.column(2), "n": pa.array(map(len, sets), pa.int64()), "print_a": pa.array(prints[0]), "print_b": pa.array(prints[1]), "sketch": pa.array(list(map(parity_sketch, sets)), pa.list_(pa.int64())), "wide": pa.array(list(map(wide_sketch, sets)), pa.binary())})
         full = np.flatnonzero(counters > 8 + HOT * counters.mean())
         if len(full):
             none = pa.nulls(len(full), pa.int64())
-            yield pa.RecordBatch.from_pydict({"bucket": pa.array(full, pa.int32()), "doc_id": none, "print": none, "n": pa.array(counters[full]), "print_a": none, "print_b": none, "sketch": pa.nulls(len(full), pa.list_(pa.int64()))})
+            yield pa.RecordBatch.from_pydict({"bucket": pa.array(full, pa.int32()), "doc_id": none, "print": none, "n": pa.array(counters[full]), "print_a": none, "print_b": none, "sketch": pa.nulls(len(full), pa.list_(pa.int64())), "wide": pa.nulls(len(full), pa.binary())})
 
-    return docs.mapInArrow(run, "bucket int, doc_id bigint, print bigint, n bigint, print_a bigint, print_b bigint, sketch array<bigint>")
+    return docs.mapInArrow(run, "bucket int, doc_id bigint, print bigint, n bigint, print_a bigint, print_b bigint, sketch array<bigint>, wide binary")
 
 
 def _hot(profile: DataFrame) -> dict[int, int]:
@@ -225,7 +246,8 @@ def with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     hot = few_or_shuffled(hot.select(F.col("a").alias("__hot"), "parts"))
     part = F.coalesce(F.pmod(F.xxhash64("b"), F.col("parts")).cast("int"), F.lit(0)).alias("part")
     left = pairs.join(hot, F.col("a") == F.col("__hot"), "left").select(*pairs.columns, part)
-    dealt = texts.join(hot, F.col("id") == F.col("__hot"), "left").select(F.col("id").alias("a"), F.col("text").alias("text_a"), F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"))
+    firsts = few_or_shuffled(pairs.select(F.col("a").alias("id")).distinct())
+    dealt = texts.join(firsts, "id", "left_semi").join(hot, F.col("id") == F.col("__hot"), "left").select(F.col("id").alias("a"), F.col("text").alias("text_a"), F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"))
     return left.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b").join(dealt, ["a", "part"])
 
 
@@ -250,10 +272,10 @@ def verify(pairs: DataFrame, texts: DataFrame, least: int = 80) -> DataFrame:
     return joined.mapInArrow(run, "a bigint, b bigint")
 
 
-def _texts(rows: DataFrame, pairs: DataFrame) -> DataFrame:
-    """id and text of the documents that the pairs name."""
+def _texts(rows: DataFrame, pairs: DataFrame, value: Column | str = "text") -> DataFrame:
+    """id and text, or what is made of it, of the documents that the pairs name."""
     ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    return rows.join(few_or_shuffled(ids), "doc_id", "left_semi").select(F.col("doc_id").alias("id"), "text").dropDuplicates(["id"])
+    return rows.join(few_or_shuffled(ids), "doc_id", "left_semi").select(F.col("doc_id").alias("id"), value).dropDuplicates(["id"])
 
 
 def _similar_enough(left: str, right: str):
@@ -269,12 +291,38 @@ def _plausible(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
     return x.join(sketches.alias("r"), (F.col("b") == F.col("r.id")) & _similar_enough("l", "r")).select("a", "b")
 
 
+def _closer(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose wide sketches, if both have one, allow the similarity: long texts, the narrow ones of which are full."""
+    wide = sketches.where("wide is not null")
+    end = lambda c: wide.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("wide").alias(f"wide_{c}"))
+    joined = pairs.join(end("a"), "a", "left").join(end("b"), "b", "left").select("a", "b", "n_a", "n_b", "wide_a", "wide_b")
+
+    def run(batches):
+        for batch in batches:
+            rows = zip(*(c.to_pylist() for c in batch.columns[2:]), strict=True)
+            near = [x is None or y is None or bits_apart(x, y) <= most_different(n, m) for n, m, x, y in rows]
+            yield pa.RecordBatch.from_pydict({"a": batch.column(0), "b": batch.column(1)}).filter(pa.array(near, pa.bool_()))
+
+    return joined.mapInArrow(run, "a bigint, b bigint")
+
+
+def _copies(equal: DataFrame, texts: DataFrame, folder: str) -> DataFrame:
+    """The pairs (a, b) of equal whose sets are equal: by digests of their words, and by the words where these differ."""
+    digest = F.sha2(F.trim(F.regexp_replace(ascii_lower_col("text"), f"[{SPACE}]+", " ")).cast("binary"), 256)
+    digests = materialize(_texts(texts, equal, digest.alias("digest")), f"{folder}/digests")
+    end = lambda c: digests.select(F.col("id").alias(c), F.col("digest").alias(f"of_{c}"))
+    compared = equal.join(end("a"), "a").join(end("b"), "b").select("a", "b", (F.col("of_a") == F.col("of_b")).alias("same"))
+    compared = materialize(compared, f"{folder}/compared")
+    rest = compared.where("not same").select("a", "b")
+    return compared.where("same").select("a", "b").union(verify(rest, _texts(texts, rest), 100))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id (the smallest id reachable by links), class_id (the smallest
     id with an equal set), print (xxhash64 of the text), kept (whether the text is the one that stands for its component).
 
     Shuffles: a record per document; the index, (key, id) per entry, about a third of the number of shingles;
-    and texts of documents that share an entry, to verify them.
+    and texts of documents that share an entry and whose sketches allow the similarity, to verify them.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -289,21 +337,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = filled.groupBy("print_a", "print_b", "n").agg(F.min("node").alias("id"), F.max("node").alias("most")).where("id < most").drop("most")
     equal = materialize(filled.join(classes, ["print_a", "print_b", "n"]).where("node <> id").select(F.col("id").alias("a"), F.col("node").alias("b")).distinct(), f"{folder}/equal")
     texts = rows.select(F.col("node").alias("doc_id"), "text")
-    copies = materialize(verify(equal, _texts(texts, equal), 100), f"{folder}/copies")
+    copies = materialize(_copies(equal, texts, folder), f"{folder}/copies")
     single = texts.join(few_or_shuffled(copies.select(F.col("b").alias("doc_id"))), "doc_id", "left_anti")
 
     same = Window.partitionBy("key")
     index = _keys(single, hot).withColumn("members", F.count(F.lit(1)).over(same))
     groups = materialize(index.where("members > 1"), f"{folder}/groups")
     ids = materialize(groups.groupBy("id").agg(F.sum("members").alias("central")), f"{folder}/ids")
-    held = sets.where("n > 0").select(F.col("node").alias("id"), "n", "sketch").join(few_or_shuffled(ids.select("id")), "id", "left_semi")
+    held = sets.where("n > 0").select(F.col("node").alias("id"), "n", "sketch", "wide").join(few_or_shuffled(ids.select("id")), "id", "left_semi")
     sketches = materialize(held.dropDuplicates(["id"]), f"{folder}/sketches")
 
     # the first of an entry: the member with the most company over all its entries, such as the text that others are edits of
     groups = groups.join(ids, "id").withColumn("first", -F.max(F.struct("central", -F.col("id"))).over(same)["col2"])
     groups = materialize(groups.select("key", "id", "first"), f"{folder}/starred")
     stars = groups.where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
-    stars = materialize(_plausible(stars, sketches), f"{folder}/plausible-stars")
+    stars = materialize(_closer(_plausible(stars, sketches), sketches), f"{folder}/plausible-stars")
     linked = materialize(verify(stars, _texts(texts, stars)), f"{folder}/stars")
     parts = materialize(components(linked, f"{folder}/first"), f"{folder}/parts")
 
@@ -312,7 +360,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     apart = materialize(apart.join(sketches, "id").select("key", "id", "component", "n", "sketch"), f"{folder}/apart")
     ordered = (F.col("l.key") == F.col("r.key")) & (F.col("l.id") < F.col("r.id")) & (F.col("l.component") != F.col("r.component"))
     cross = apart.alias("l").join(apart.alias("r"), ordered & _similar_enough("l", "r"))
-    cross = materialize(cross.select(F.col("l.id").alias("a"), F.col("r.id").alias("b")).distinct(), f"{folder}/cross")
+    cross = cross.select(F.col("l.id").alias("a"), F.col("r.id").alias("b")).distinct()
+    cross = materialize(_closer(cross, sketches), f"{folder}/cross")
     more = materialize(verify(cross, _texts(texts, cross)), f"{folder}/more")
     if not more.isEmpty():
         links = parts.select(F.col("component").alias("a"), F.col("node").alias("b")).union(more)

@@ -247,6 +247,22 @@ def test_near_duplicates_chains_and_a_hot_passage(spark):
     assert got == brute_components(pairs)
 
 
+def test_texts_are_fetched_only_if_they_may_link(spark, monkeypatch):
+    """Long texts that share much, but too little, aren't fetched, nor are copies in other spaces and capitals; those about the limit are."""
+    own, pairs = words(31, 1500), []
+    for i, shared in enumerate([900, 1000, 1100, 1150, 1200, 1330, 1338, 1345, 1400, 1490]):
+        pairs += [(2 * i, " ".join(own[:shared] + words(400 + i, 1500 - shared))), (2 * i + 1, " ".join(words(500 + i, 1500 - shared) + own[:shared]))]
+    short = words(32, 1250)
+    pairs += [(40, " ".join(own)), (41, "\t".join(own).upper() + "\n"), (42, " ".join(own)), (43, " ".join(short)), (44, " ".join(short[:1010]))]
+    sent, before = [], near_dup.verify
+    monkeypatch.setattr(near_dup, "verify", lambda links, texts, least=80: (sent.extend((least, r.a, r.b) for r in links.collect()), before(links, texts, least))[1])
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dup.near_duplicates(spark.createDataFrame(rows_of(pairs), SCHEMA)).collect()}
+    want = brute_components(pairs)
+    assert got == want and want[41][1] == want[42][1] == want[19][1] and want[44][1] == 43
+    sets = {i: shingles.exact_shingles(t) for i, t in pairs}
+    assert sent and all(least == 80 and len(sets[a] & sets[b]) > 0.7 * len(sets[a] | sets[b]) for least, a, b in sent)
+
+
 def test_repeated_passages(spark, hard, nothing):
     found = {(r.doc_id, r.start_word, r.n_words, r.match_doc_id) for r in passages.repeated_passages(hard).collect()}
     ids = {x[0] for x in found}

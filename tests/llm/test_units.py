@@ -143,6 +143,20 @@ def test_index_loses_no_similar_pair(hot):
         assert len(np.intersect1d(near_dup.index_keys(x, levels(x)), near_dup.index_keys(y, levels(y))))
 
 
+def test_wide_sketches_differ_in_no_more_bits_than_sets_in_shingles():
+    rnd = np.random.default_rng(11)
+    assert near_dup.wide_sketch(np.arange(512, dtype=np.uint64)) is None and len(near_dup.wide_sketch(np.arange(513, dtype=np.uint64))) == 128
+    for _ in range(300):
+        n, d = int(rnd.integers(520, 5000)), int(rnd.integers(0, 260))
+        x = rnd.integers(0, 2**63, n, dtype=np.uint64)
+        y = np.concatenate([x[d:], rnd.integers(0, 2**63, int(rnd.integers(0, 2 * d + 1)), dtype=np.uint64)])
+        if len(y) > 512:
+            a, b = near_dup.wide_sketch(x), near_dup.wide_sketch(y)
+            assert near_dup.bits_apart(a, b) == near_dup.bits_apart(b, a) <= len(np.setxor1d(x, y))
+    far = [near_dup.wide_sketch(rnd.integers(0, 2**63, 3000, dtype=np.uint64)) for _ in range(2)]
+    assert near_dup.bits_apart(*far) > near_dup.most_different(3000, 3000)
+
+
 def test_shingler_has_as_many_as_there_are():
     s = shingles.Shingler()
     for t in texts(300):
